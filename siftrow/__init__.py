@@ -1,0 +1,109 @@
+"""Documents to one tidy table on Spark, driven by a column catalog."""
+
+import sys
+
+from pyspark import cloudpickle
+
+from siftrow.errors import GuardError
+from siftrow.functions.text import (
+    cap_cell,
+    clean_cell,
+    fill_na,
+    is_blank,
+    page_count,
+    sanitize_cell,
+    truncate_middle,
+)
+from siftrow.operators.answers import (
+    all_or_nothing,
+    flatten_row,
+    join_synthesis,
+    merge_batches,
+    merge_responses,
+    nest,
+    parse_strict,
+)
+from siftrow.operators.catalog import DEFAULT_CATALOG, Catalog, Entry, catalog_integrity, header_diff
+from siftrow.operators.extract import Rule, TransientError, extract_by_rules, extract_with, to_answers
+from siftrow.operators.ledger import (
+    failures_report,
+    fold_ledger,
+    outcome,
+    pending_documents,
+    run_summary,
+    run_verdict,
+)
+from siftrow.operators.pages import assemble_pages, assemble_trimmed, split_pages
+from siftrow.operators.requests import fan_out, render_request, request_volume
+from siftrow.plans.run import first_per_key, plan_requests, run
+from siftrow.sources.documents import load_text, read_documents, read_header, scan_documents
+from siftrow.sources.ledger import read_ledger, read_runs, read_snapshot, write_snapshot
+from siftrow.sources.results import (
+    append_results,
+    count_output_rows,
+    create_empty_output,
+    export_csv,
+    read_results,
+)
+from siftrow.streaming.incremental import incremental_run
+
+# Functions sent to Python workers carry this package's code with them, so it
+# need not be installed on the executors.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+__all__ = [
+    "DEFAULT_CATALOG",
+    "Catalog",
+    "Entry",
+    "GuardError",
+    "Rule",
+    "TransientError",
+    "all_or_nothing",
+    "append_results",
+    "assemble_pages",
+    "assemble_trimmed",
+    "cap_cell",
+    "catalog_integrity",
+    "clean_cell",
+    "count_output_rows",
+    "create_empty_output",
+    "export_csv",
+    "extract_by_rules",
+    "extract_with",
+    "failures_report",
+    "fan_out",
+    "fill_na",
+    "first_per_key",
+    "flatten_row",
+    "fold_ledger",
+    "header_diff",
+    "incremental_run",
+    "is_blank",
+    "join_synthesis",
+    "load_text",
+    "merge_batches",
+    "merge_responses",
+    "nest",
+    "outcome",
+    "page_count",
+    "parse_strict",
+    "pending_documents",
+    "plan_requests",
+    "read_documents",
+    "read_header",
+    "read_ledger",
+    "read_results",
+    "read_runs",
+    "read_snapshot",
+    "render_request",
+    "request_volume",
+    "run",
+    "run_summary",
+    "run_verdict",
+    "sanitize_cell",
+    "scan_documents",
+    "split_pages",
+    "to_answers",
+    "truncate_middle",
+    "write_snapshot",
+]
