@@ -8,21 +8,26 @@ from pyspark.sql import functions as F
 from siftrow.functions.text import clean_cell, fill_na
 from siftrow.operators.catalog import DEFAULT_CATALOG, SYNTHESIS, Catalog
 
-_FIELD_MAP = "map<string,variant>"
+_OBJECTS = "array<map<string,variant>>"
 
 
-def object_fields(response: Column) -> Column:
-    """The response as a map of variants; null unless it is exactly one JSON object.
+def _objects(response: Column) -> Column:
+    """The response read as the only content of a JSON array; null if it is not JSON.
 
-    Wrapping the text in an array makes the JSON reader see anything after the
-    object. The one thing that could slip past is text that closes the array
-    itself, so only then the text is read a second time inside an object.
+    Inside an array the JSON reader also sees what follows the first object.
     """
-    wrapped = F.try_parse_json(F.concat(F.lit("["), response, F.lit("]")))
-    alone = F.try_variant_get(wrapped, "$[1]", "variant").isNull()
-    second = F.try_parse_json(F.concat(F.lit('{"r":'), response, F.lit("}")))
-    closed = F.when(response.rlike(r"\}\s*\]"), second.isNotNull()).otherwise(F.lit(True))
-    return F.when(alone & closed, F.try_variant_get(wrapped, "$[0]", _FIELD_MAP))
+    return F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), response, F.lit("]"))), "$", _OBJECTS)
+
+
+def _single(objects: Column, response: Column) -> Column:
+    """The one object, as a map of variants; null unless there is exactly one.
+
+    Text that closes the array itself could still hide behind the object, so
+    where that is possible the response is read once more, inside an object.
+    """
+    enclosed = F.try_parse_json(F.concat(F.lit('{"r":'), response, F.lit("}"))).isNotNull()
+    alone = F.when(response.rlike(r"\}\s*\]"), enclosed).otherwise(F.lit(True))
+    return F.when((F.size(objects) == 1) & alone, F.try_element_at(objects, F.lit(1)))
 
 
 def parse_strict(
@@ -35,8 +40,12 @@ def parse_strict(
     becomes ``NA`` on merge. ``allowed`` overrides the fields per row.
     """
     known = catalog.allowed_fields(F.col("batch")) if allowed is None else allowed
-    parsed = responses.withColumn("_m", object_fields(F.col("response"))).withColumn(
-        "_unknown", F.array_sort(F.array_except(F.map_keys("_m"), known))
+    # One projection per step, so that no step is evaluated twice.
+    parsed = (
+        responses.withColumn("_objects", _objects(F.col("response")))
+        .withColumn("_m", _single(F.col("_objects"), F.col("response")))
+        .withColumn("_unknown", F.array_sort(F.array_except(F.map_keys("_m"), known)))
+        .drop("_objects")
     )
     not_text = F.map_filter("_m", lambda _, v: F.schema_of_variant(v) != "STRING")
     problem = (

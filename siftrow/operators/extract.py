@@ -137,8 +137,9 @@ def extract_with(
                 return fn(row), None, attempt
             except transient as exc:
                 problem = f"unavailable after {attempt} attempts: {exc}"
-                if attempt < max_attempts:
-                    time.sleep(wait(attempt))
+                pause = wait(attempt) if attempt < max_attempts else 0
+                if pause > 0:
+                    time.sleep(pause)
             except Exception as exc:  # one request must never end the run
                 return None, f"extraction failed: {exc}", attempt
         return None, problem, max_attempts
