@@ -138,9 +138,9 @@ def run(
     committed = runs.where(F.col("run_id") == run_id)
     if committed.head(1):
         return committed
-    events = read_ledger(spark, ledger)
+    events = read_ledger(spark, ledger, runs)
 
-    work = _plan_work(spark, docs.select("doc_key"), events, runs, catalog, out, run_id)
+    work = _Work(spark, docs.select("doc_key"), events, runs, catalog, out, run_id)
     total, pending = work.count()
     todo = work.narrow(docs, total, pending)
     if tasks:
@@ -215,7 +215,7 @@ def _summary(events: DataFrame, written: DataFrame, total: int, pending: int) ->
     )
 
 
-class _plan_work:
+class _Work:
     """Which documents a run touches, worked out on names alone.
 
     Writes ``<out>/_work/run_id=...`` with one row per listed document:

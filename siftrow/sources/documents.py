@@ -52,7 +52,8 @@ def scan_documents(spark: SparkSession, folder: str, suffix: str = ".pdf", order
 
     Only the top level counts and the suffix is case sensitive. The content is
     never read. An order that a later join or aggregation does not need is
-    dropped by the optimizer.
+    dropped by the optimizer. Spark leaves out files of zero bytes and names
+    that start with ``_`` or ``.``.
     """
     listing = _listing(spark, folder, suffix).select(
         file_name(F.col("path")).alias("doc_key"),

@@ -54,12 +54,16 @@ def require_version(versioned: DataFrame, name: str) -> None:
         raise GuardError(f"ledger {name} has version {other[0][0]!r}, expected {LEDGER_VERSION}")
 
 
-def read_ledger(spark: SparkSession, ledger: str) -> DataFrame:
-    """Events of all committed runs; no rows when there is no ledger yet."""
-    runs = read_runs(spark, ledger).select("run_id")
+def read_ledger(spark: SparkSession, ledger: str, runs: DataFrame | None = None) -> DataFrame:
+    """Events of all committed runs; no rows when there is no ledger yet.
+
+    The run id is a partition column, so the small list of runs also prunes the
+    folders that are read.
+    """
+    committed = read_runs(spark, ledger) if runs is None else runs
     schema = T.StructType.fromDDL(LEDGER_SCHEMA)
     events = read_parquet_if_there(spark, f"{ledger}/events", schema)
-    return events.join(runs, "run_id", "left_semi").select(*schema.names)
+    return events.join(committed.select("run_id"), "run_id", "left_semi").select(*schema.names)
 
 
 def write_events(events: DataFrame, ledger: str, run_id: str) -> None:

@@ -20,7 +20,7 @@ def scratch_folder(spark: SparkSession) -> str:
     base = spark.conf.get(CHECKPOINT_DIR, None) or spark.sparkContext.getCheckpointDir()
     if not base:
         base = tempfile.mkdtemp(prefix="siftrow-")
-        spark.conf.set(CHECKPOINT_DIR, base)
+        spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/siftrow-{uuid.uuid4().hex}"
 
 
