@@ -54,6 +54,9 @@ def event_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# Snapshot rows hold this many users of one day, however many users there are.
+USERS_PER_ROW = 50
+
 FOLD_SQL = """
 SELECT user_id || '/' || strftime(ts, '%Y-%m-%d') AS doc_key,
   CASE WHEN bool_or(event_type = 'purchase') THEN 'done' ELSE 'failed' END AS status,
@@ -79,13 +82,16 @@ WITH span AS (SELECT strftime(min(ts), '%Y-%m-%dT%H:%M:%S.%f+00:00') AS started_
 rows AS (SELECT
     coalesce(string_agg(doc_key, ',' ORDER BY doc_key) FILTER (WHERE status = 'done'), '') AS processed,
     coalesce(string_agg(doc_key || '=' || reason, ',' ORDER BY doc_key) FILTER (WHERE status = 'failed'), '') AS failed
-  FROM ({FOLD_SQL}) GROUP BY split_part(doc_key, '/', 2))
+  FROM ({FOLD_SQL})
+  GROUP BY split_part(doc_key, '/', 2), CAST(split_part(doc_key, '/', 1) AS BIGINT) // {USERS_PER_ROW})
 SELECT 1 AS version, started_at, updated_at, processed, failed FROM rows CROSS JOIN span
 """
 )
 def ledger_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Snapshot with one row per day, its list and map shown as text."""
-    rows = snapshot(event_ledger(spark, sf_dir), F.element_at(F.split("doc_key", "/"), 2))
+    """Snapshot with one row per day and some users, its list and map shown as text."""
+    user = F.floor(F.split_part("doc_key", F.lit("/"), F.lit(1)).cast("bigint") / USERS_PER_ROW)
+    shard = F.struct(F.split_part("doc_key", F.lit("/"), F.lit(2)), user)
+    rows = snapshot(event_ledger(spark, sf_dir), shard)
     entries = F.transform(F.array_sort(F.map_entries("failed")), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
     return rows.select(
         "version",

@@ -6,12 +6,12 @@ twice and a lost executor repeats only its own tasks:
 1. guards: header, ledger version, unique document keys;
 2. names only: which documents are pending, which batches are already staged;
 3. one pass over the texts: clean, trim, fan out, extract, strict parse, written
-   to ``<out>/_answers/run_id=...``;
-4. results of whole documents to ``<out>/run_id=...``;
+   to ``<out>/_answers/attempt=...``;
+4. results of whole documents to ``<out>/attempt=...``;
 5. events to the ledger, and last the one row that commits the run.
 
-A crash before the last step leaves nothing visible. The next run reuses every
-staged answer that worked, so no call is made twice for the same document.
+A crash before the last step leaves nothing visible. The next attempt reuses
+every staged answer that worked, so no call is made twice for the same document.
 One run at a time per output.
 """
 
@@ -33,13 +33,23 @@ from siftrow.operators.catalog import DEFAULT_CATALOG, Catalog, require_header
 from siftrow.operators.extract import MAX_ATTEMPTS, TRANSIENT, exponential_wait, extract_with
 from siftrow.operators.ledger import FAILED, done_keys, fold_ledger, outcome, run_verdict
 from siftrow.operators.requests import batch_array, request_text
-from siftrow.sources.ledger import LEDGER_VERSION, RUNS_SCHEMA, commit_run, read_ledger, read_runs, write_events
+from siftrow.sources.ledger import (
+    EVENT_SCHEMA,
+    LEDGER_VERSION,
+    RUNS_SCHEMA,
+    commit_run,
+    open_attempts,
+    read_ledger,
+    read_runs,
+    start_attempt,
+    write_events,
+)
 from siftrow.sources.paths import read_parquet_if_there
 from siftrow.sources.results import append_results
 
 STAGED_SCHEMA = (
     "doc_key string, batch string, batch_ordinal int, stage string, response string, error string, "
-    "attempts int, answer map<string,string>, run_id string"
+    "attempts int, answer map<string,string>"
 )
 
 # Where a document stopped, in order.
@@ -140,7 +150,10 @@ def run(
         return committed
     events = read_ledger(spark, ledger, runs)
 
-    work = _Work(spark, docs.select("doc_key"), events, runs, catalog, out, run_id)
+    attempt = f"{started_at:%Y%m%dT%H%M%S}-{uuid.uuid4().hex[:12]}"
+    orphans = _staged_answers(spark, out, open_attempts(spark, ledger, runs), catalog)
+    start_attempt(spark, ledger, attempt, run_id, started_at)
+    work = _Work(spark, docs.select("doc_key"), events, orphans, f"{out}/_work/attempt={attempt}")
     total, pending = work.count()
     todo = work.narrow(docs, total, pending)
     if tasks:
@@ -157,16 +170,15 @@ def run(
     )
     stage = F.when(F.col("batch").isNotNull(), EXTRACT).when(F.col("error").startswith("could not open"), READ)
     staged = parse_strict(responses, catalog).withColumn("stage", F.coalesce(stage, F.lit(BLANK)))
-    names = [f.name for f in T.StructType.fromDDL(STAGED_SCHEMA) if f.name != "run_id"]
-    fresh = f"{out}/_answers/run_id={run_id}"
-    staged.select(*names).write.mode("overwrite").parquet(fresh)
-
     schema = T.StructType.fromDDL(STAGED_SCHEMA)
-    answers = spark.read.schema(schema).parquet(fresh).select(*names)
+    fresh = f"{out}/_answers/attempt={attempt}"
+    staged.select(*schema.names).write.mode("overwrite").parquet(fresh)
+
+    answers = spark.read.schema(schema).parquet(fresh)
     if work.has_reuse:
-        answers = answers.unionByName(work.reused().select(*names))
+        answers = answers.unionByName(work.reused().select(*schema.names))
 
-    append_results(flatten_row(merge_responses(answers, catalog), catalog), out, run_id)
+    append_results(flatten_row(merge_responses(answers, catalog), catalog), out, attempt)
 
     # A pending document without any answer vanished between listing and reading.
     outcomes = (
@@ -182,17 +194,18 @@ def run(
         )
     )
     finished = outcomes.select(
-        "*", F.lit(started_at).alias("at"), F.lit(LEDGER_VERSION).alias("version"), F.lit(run_id).alias("run_id")
+        "*", F.lit(started_at).alias("at"), F.lit(LEDGER_VERSION).alias("version")
     )
-    write_events(finished, ledger, run_id)
+    write_events(finished, ledger, attempt)
 
-    written = spark.read.parquet(f"{ledger}/events/run_id={run_id}")
+    written = spark.read.schema(EVENT_SCHEMA).parquet(f"{ledger}/events/attempt={attempt}")
     summary = _summary(events, written, total, pending).select(
         F.lit(run_id).alias("run_id"),
         F.lit(LEDGER_VERSION).alias("version"),
         "*",
         F.lit(started_at).alias("started_at"),
         F.current_timestamp().alias("finished_at"),
+        F.lit(attempt).alias("attempt"),
     )
     commit_run(summary, ledger)
     return spark.read.schema(RUNS_SCHEMA).parquet(f"{ledger}/runs").where(F.col("run_id") == run_id)
@@ -215,48 +228,46 @@ def _summary(events: DataFrame, written: DataFrame, total: int, pending: int) ->
     )
 
 
+def _staged_answers(
+    spark: SparkSession, out: str, attempts: list[str], catalog: Catalog
+) -> DataFrame | None:
+    """Good answers that dead attempts left behind and that still fit the catalog."""
+    schema = T.StructType.fromDDL(STAGED_SCHEMA)
+    found = None
+    for attempt in attempts:
+        path = f"{out}/_answers/attempt={attempt}"
+        part = read_parquet_if_there(spark, path, schema).withColumn("attempt", F.lit(attempt))
+        found = part if found is None else found.unionByName(part)
+    if found is None:
+        return None
+    unknown = F.array_except(F.map_keys("answer"), catalog.allowed_fields(F.col("batch")))
+    return found.where(F.col("error").isNull() & (F.size(unknown) == 0))
+
+
 class _Work:
     """Which documents a run touches, worked out on names alone.
 
-    Writes ``<out>/_work/run_id=...`` with one row per listed document:
-    (doc_key, done, have). ``have`` names the batches whose staged answers from
-    a run that never committed can be used again.
+    Writes one row per listed document to ``path``: (doc_key, copies, done,
+    have). ``have`` names the batches that need no call, because ``orphans``,
+    the answers of attempts that died, hold a good answer.
     """
 
     def __init__(
-        self,
-        spark: SparkSession,
-        keys: DataFrame,
-        events: DataFrame,
-        runs: DataFrame,
-        catalog: Catalog,
-        out: str,
-        run_id: str,
+        self, spark: SparkSession, keys: DataFrame, events: DataFrame, orphans: DataFrame | None, path: str
     ) -> None:
-        self._spark = spark
-        staged = read_parquet_if_there(spark, f"{out}/_answers", T.StructType.fromDDL(STAGED_SCHEMA))
-        # A staged answer counts when its run never committed, when it still
-        # fits the catalog, and not for this run's own folder, which is about
-        # to be written anew.
-        unknown = F.array_except(F.map_keys("answer"), catalog.allowed_fields(F.col("batch")))
-        self._orphans = (
-            staged.where(F.col("error").isNull() & (F.col("run_id") != run_id))
-            .where(F.size(unknown) == 0)
-            .join(runs.select("run_id"), "run_id", "left_anti")
-        )
-        # Several crashed runs may have answered the same batch: keep one.
-        kept = self._orphans.groupBy("doc_key", "batch").agg(F.max("run_id").alias("run_id"))
-        self._kept = kept
-        reuse = kept.groupBy("doc_key").agg(F.collect_set("batch").alias("have"))
+        self._orphans = orphans
         listed = keys.groupBy("doc_key").agg(F.count("*").alias("copies"))
         done = done_keys(events).withColumn("done", F.lit(True))
-        table = (
-            listed.join(done, "doc_key", "left")
-            .join(reuse, "doc_key", "left")
-            .select("doc_key", "copies", F.coalesce("done", F.lit(False)).alias("done"), "have")
-        )
-        path = f"{out}/_work/run_id={run_id}"
-        table.write.mode("overwrite").parquet(path)
+        table = listed.join(done, "doc_key", "left")
+        if orphans is None:
+            table = table.withColumn("have", F.lit(None).cast("array<string>"))
+        else:
+            # Several dead attempts may have answered the same batch: keep one.
+            self._kept = orphans.groupBy("doc_key", "batch").agg(F.max("attempt").alias("attempt"))
+            table = table.join(self._kept.groupBy("doc_key").agg(F.collect_set("batch").alias("have")), "doc_key", "left")
+        table.select("doc_key", "copies", F.coalesce("done", F.lit(False)).alias("done"), "have").write.mode(
+            "overwrite"
+        ).parquet(path)
         self._table = spark.read.schema("doc_key string, copies bigint, done boolean, have array<string>").parquet(path)
 
     def count(self) -> tuple[int, int]:
@@ -292,7 +303,7 @@ class _Work:
 
     def reused(self) -> DataFrame:
         """Staged answers to use again, for pending documents only."""
-        return self._orphans.join(self._kept, ["doc_key", "batch", "run_id"], "left_semi").join(
+        return self._orphans.join(self._kept, ["doc_key", "batch", "attempt"], "left_semi").join(
             self.pending(), "doc_key", "left_semi"
         )
 

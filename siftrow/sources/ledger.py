@@ -2,16 +2,21 @@
 
 Layout under the ledger folder::
 
-    events/run_id=.../part-*.parquet   what came of each document in a run
-    runs/part-*.parquet                one row per finished run
-
-A run writes its events with as many tasks as it likes, then commits by adding
-one row, that is one file, to ``runs``. Readers take only events of committed
-runs, so they see a run whole or not at all.
+    started/part-*.parquet             one row per attempt at a run
+    events/attempt=.../part-*.parquet  what came of each document
+    runs/part-*.parquet                one row per finished run, with its attempt
+
+An attempt writes its events with as many tasks as it likes into a folder of its
+own, then commits by adding one row, that is one file, to ``runs``. Readers take
+only events of committed attempts, so they see a run whole or not at all, and no
+folder is ever written twice. An attempt that is in ``started`` and not in
+``runs`` died on the way; its staged answers can be used again.
 """
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,9 +30,12 @@ LEDGER_VERSION = 1
 
 RUNS_SCHEMA = (
     "run_id string, version int, total bigint, skipped bigint, succeeded bigint, failed bigint, "
-    "failed_outstanding bigint, verdict int, started_at timestamp, finished_at timestamp"
+    "failed_outstanding bigint, verdict int, started_at timestamp, finished_at timestamp, attempt string"
 )
 
+EVENT_SCHEMA = "doc_key string, status string, stage string, reason string, at timestamp, version int"
+STARTED_SCHEMA = "attempt string, run_id string, started_at timestamp"
+
 SNAPSHOT_SCHEMA = (
     "version int, started_at string, updated_at string, processed array<string>, failed map<string,string>"
 )
@@ -55,21 +63,37 @@ def require_version(versioned: DataFrame, name: str) -> None:
 
 
 def read_ledger(spark: SparkSession, ledger: str, runs: DataFrame | None = None) -> DataFrame:
-    """Events of all committed runs; no rows when there is no ledger yet.
-
-    The run id is a partition column, so the small list of runs also prunes the
-    folders that are read.
-    """
+    """Events of all committed runs; no rows when there is no ledger yet."""
     committed = read_runs(spark, ledger) if runs is None else runs
-    schema = T.StructType.fromDDL(LEDGER_SCHEMA)
-    events = read_parquet_if_there(spark, f"{ledger}/events", schema)
-    return events.join(committed.select("run_id"), "run_id", "left_semi").select(*schema.names)
+    stored = T.StructType.fromDDL(EVENT_SCHEMA).add("attempt", T.StringType())
+    events = read_parquet_if_there(spark, f"{ledger}/events", stored)
+    names = T.StructType.fromDDL(LEDGER_SCHEMA).names
+    return events.join(committed.select("attempt", "run_id"), "attempt").select(*names)
+
 
+def write_events(events: DataFrame, ledger: str, attempt: str) -> None:
+    """Write an attempt's events. Not visible before :func:`commit_run`."""
+    names = T.StructType.fromDDL(EVENT_SCHEMA).names
+    events.select(*names).write.mode("overwrite").parquet(f"{ledger}/events/attempt={attempt}")
 
-def write_events(events: DataFrame, ledger: str, run_id: str) -> None:
-    """Write a run's events. Not visible before :func:`commit_run`."""
-    names = [f.name for f in T.StructType.fromDDL(LEDGER_SCHEMA) if f.name != "run_id"]
-    events.select(*names).write.mode("overwrite").parquet(f"{ledger}/events/run_id={run_id}")
+
+def start_attempt(spark: SparkSession, ledger: str, attempt: str, run_id: str, at: datetime) -> None:
+    """Note that an attempt begins, before it stages anything."""
+    row = spark.createDataFrame([(attempt, run_id, at)], STARTED_SCHEMA)
+    row.coalesce(1).write.mode("append").parquet(f"{ledger}/started")
+
+
+def open_attempts(spark: SparkSession, ledger: str, runs: DataFrame) -> list[str]:
+    """Attempts since the last committed run that never committed themselves.
+
+    Older ones do not count: the run that committed after them has already
+    taken up what they left. So the list is as long as the last row of crashes.
+    """
+    started = read_parquet_if_there(spark, f"{ledger}/started", STARTED_SCHEMA)
+    last = runs.select(F.max("started_at")).scalar()
+    recent = started.where(last.isNull() | (F.col("started_at") > last))
+    rows = recent.join(runs.select("attempt"), "attempt", "left_anti").select("attempt").distinct().collect()
+    return sorted(r.attempt for r in rows)
 
 
 def commit_run(run: DataFrame, ledger: str) -> None:

@@ -1,8 +1,8 @@
 """The output table.
 
-Rows of a run are written once, in parallel, to ``run_id=...`` under the output
-folder. Readers take only runs the ledger has committed, so they never see half
-a write, and a run that died leaves nothing visible.
+Rows are written once, in parallel, to ``attempt=...`` under the output folder.
+Readers take only attempts the ledger has committed, so they never see half a
+write, and a run that died leaves nothing visible.
 """
 
 from __future__ import annotations
@@ -20,26 +20,26 @@ def results_schema(catalog: Catalog = DEFAULT_CATALOG, key: str = "doc_key") ->
     return T.StructType([T.StructField(n, T.StringType()) for n in names])
 
 
-def append_results(rows: DataFrame, out: str, run_id: str) -> None:
-    """Write the rows of one run; doing it again for the same run replaces them."""
-    rows.drop("run_id").write.mode("overwrite").parquet(f"{out}/run_id={run_id}")
+def append_results(rows: DataFrame, out: str, attempt: str) -> None:
+    """Write the rows of one attempt at a run. Visible once the ledger commits it."""
+    rows.drop("run_id").write.mode("overwrite").parquet(f"{out}/attempt={attempt}")
 
 
 def create_empty_output(spark: SparkSession, out: str, catalog: Catalog = DEFAULT_CATALOG) -> None:
     """Make an output that holds its columns and no rows; an existing one stays."""
     empty = spark.createDataFrame([], results_schema(catalog)).drop("run_id")
-    empty.write.mode("ignore").parquet(f"{out}/run_id=empty")
+    empty.write.mode("ignore").parquet(f"{out}/attempt=empty")
 
 
 def read_results(
     spark: SparkSession, out: str, ledger: str, catalog: Catalog = DEFAULT_CATALOG
 ) -> DataFrame:
     """Visible rows: (doc_key, the catalog's columns, run_id)."""
-    rows = read_parquet_if_there(spark, out, results_schema(catalog))
-    names = ("doc_key", *catalog.columns, "run_id")
-    return rows.join(read_runs(spark, ledger).select("run_id"), "run_id", "left_semi").select(
-        *(f"`{n}`" for n in names)
-    )
+    names = results_schema(catalog).names
+    stored = T.StructType([T.StructField(n, T.StringType()) for n in (*names[:-1], "attempt")])
+    rows = read_parquet_if_there(spark, out, stored)
+    committed = read_runs(spark, ledger).select("attempt", "run_id")
+    return rows.join(committed, "attempt").select(*(f"`{n}`" for n in names))
 
 
 def count_output_rows(spark: SparkSession, out: str, ledger: str, catalog: Catalog = DEFAULT_CATALOG) -> int:

@@ -96,7 +96,7 @@ def test_summary_of_nothing(spark, docs_of):
 
 def write_run(spark, ledger, run_id, rows, version=1):
     write_events(events_of(spark, *rows), ledger, run_id)
-    run = spark.createDataFrame([(run_id, version, 1, 0, 1, 0, 0, 0, at(1), at(1))], RUNS_SCHEMA)
+    run = spark.createDataFrame([(run_id, version, 1, 0, 1, 0, 0, 0, at(1), at(1), run_id)], RUNS_SCHEMA)
     commit_run(run, ledger)
 
 

@@ -139,6 +139,46 @@ def test_crash_before_commit_shows_nothing_and_repeats_no_call(spark, docs_of, p
     assert read_results(spark, *places, SMALL).count() == 4
 
 
+def test_answers_of_several_dead_attempts_are_reused_once(spark, docs_of, places, monkeypatch):
+    """Also under one and the same run id, as when a streaming batch is repeated."""
+    calls = spark.sparkContext.accumulator(0)
+
+    def counting(row):
+        calls.add(1)
+        return echo(row)
+
+    def crash(*_args, **_kwargs):
+        raise RuntimeError("power cut")
+
+    with monkeypatch.context() as patched:
+        patched.setattr(run_module, "commit_run", crash)
+        for docs in (docs_of(("a", "x")), docs_of(("a", "x"), ("b", "y")), docs_of(("a", "x"), ("b", "y"))):
+            with pytest.raises(RuntimeError):
+                run(spark, docs, counting, *places, catalog=SMALL, run_id="batch-0")
+    assert calls.value == 6
+    assert counts(run(spark, docs_of(("a", "x"), ("b", "y")), counting, *places, catalog=SMALL, run_id="batch-0")) == (2, 0, 2, 0, 0, 0)
+    assert calls.value == 6 and titles(spark, places) == {"a": "x", "b": "y"}
+
+
+def test_stale_answers_do_not_fit_another_catalog(spark, docs_of, places, monkeypatch):
+    def crash(*_args, **_kwargs):
+        raise RuntimeError("power cut")
+
+    with monkeypatch.context() as patched:
+        patched.setattr(run_module, "commit_run", crash)
+        with pytest.raises(RuntimeError):
+            run(spark, docs_of(("a", "x")), echo, *places, catalog=SMALL)
+    renamed = Catalog((Entry("Title", "name", "first"), SMALL.entries[1], SMALL.entries[2]))
+
+    def other(row):
+        assert row["batch"] == "first", "the other batches still fit"
+        return '{"name": "new"}'
+
+    assert counts(run(spark, docs_of(("a", "x")), other, *places, catalog=renamed)) == (1, 0, 1, 0, 0, 0)
+    row = read_results(spark, *places, renamed).head()
+    assert (row.Title, row.Year) == ("new", "x")
+
+
 def test_committed_run_id_is_not_run_again(spark, docs_of, places):
     run(spark, docs_of(("a", "x")), echo, *places, catalog=SMALL, run_id="r")
     again = run(spark, docs_of(("a", "x"), ("b", "y")), echo, *places, catalog=SMALL, run_id="r")

@@ -113,7 +113,7 @@ def test_results_append_and_visibility(spark, tmp_path):
 def test_empty_output_keeps_columns_and_rows(spark, tmp_path):
     out, ledger = str(tmp_path / "out"), str(tmp_path / "ledger")
     create_empty_output(spark, out)
-    require_header(read_header(spark, f"{out}/run_id=empty", "parquet")[1:])
+    require_header(read_header(spark, f"{out}/attempt=empty", "parquet")[1:])
     assert count_output_rows(spark, out, ledger) == 0
     append_results(sample(spark, "a"), out, "r1")
     write_run(spark, ledger, "r1", [("a", "done", None, 1)])
