@@ -35,7 +35,7 @@ from siftrow.operators.ledger import (
 )
 from siftrow.operators.pages import assemble_pages, assemble_trimmed, split_pages
 from siftrow.operators.requests import fan_out, render_request, request_volume
-from siftrow.plans.run import first_per_key, plan_requests, run
+from siftrow.plans.run import first_per_key, plan_requests, run, run_folder
 from siftrow.sources.documents import load_text, read_documents, read_header, scan_documents
 from siftrow.sources.ledger import read_ledger, read_runs, read_snapshot, write_snapshot
 from siftrow.sources.results import (
@@ -98,6 +98,7 @@ __all__ = [
     "render_request",
     "request_volume",
     "run",
+    "run_folder",
     "run_summary",
     "run_verdict",
     "sanitize_cell",

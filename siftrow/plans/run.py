@@ -31,8 +31,16 @@ from siftrow.functions.text import MAX_TEXT_CHARS, is_blank, truncate_middle
 from siftrow.operators.answers import flatten_row, merge_responses, parse_strict
 from siftrow.operators.catalog import DEFAULT_CATALOG, Catalog, require_header
 from siftrow.operators.extract import MAX_ATTEMPTS, TRANSIENT, exponential_wait, extract_with
-from siftrow.operators.ledger import FAILED, done_keys, fold_ledger, outcome, run_verdict
+from siftrow.operators.ledger import (
+    FAILED,
+    done_keys,
+    fold_ledger,
+    outcome,
+    pending_documents,
+    run_verdict,
+)
 from siftrow.operators.requests import batch_array, request_text
+from siftrow.sources.documents import read_documents, read_header, scan_documents
 from siftrow.sources.ledger import (
     EVENT_SCHEMA,
     LEDGER_VERSION,
@@ -126,11 +134,13 @@ def run(
     per_task: bool = False,
     tasks: int | None = None,
     requests_per_minute: int | None = None,
+    listing: DataFrame | None = None,
 ) -> DataFrame:
     """Run the job and return its one-row summary (see ``RUNS_SCHEMA``).
 
-    ``docs`` holds (doc_key, text[, reason]). ``tasks`` bounds how many calls
-    are in flight; ``requests_per_minute`` needs it and is shared between them.
+    ``docs`` holds (doc_key, text[, reason]). ``listing`` names all documents
+    (doc_key) where ``docs`` holds only those still to be read. ``tasks`` bounds
+    how many calls are in flight; ``requests_per_minute`` needs it and is shared between them.
     A run id that is already committed is not run again, which makes a repeated
     streaming batch harmless.
     """
@@ -153,7 +163,8 @@ def run(
     attempt = f"{started_at:%Y%m%dT%H%M%S}-{uuid.uuid4().hex[:12]}"
     orphans = _staged_answers(spark, out, open_attempts(spark, ledger, runs), catalog)
     start_attempt(spark, ledger, attempt, run_id, started_at)
-    work = _Work(spark, docs.select("doc_key"), events, orphans, f"{out}/_work/attempt={attempt}")
+    keys = (docs if listing is None else listing).select("doc_key")
+    work = _Work(spark, keys, events, orphans, f"{out}/_work/attempt={attempt}")
     total, pending = work.count()
     todo = work.narrow(docs, total, pending)
     if tasks:
@@ -211,6 +222,33 @@ def run(
     return spark.read.schema(RUNS_SCHEMA).parquet(f"{ledger}/runs").where(F.col("run_id") == run_id)
 
 
+def run_folder(
+    spark: SparkSession,
+    folder: str,
+    extractor: Callable[[Mapping], str],
+    out: str,
+    ledger: str,
+    *,
+    suffix: str = ".txt",
+    template: str | None = None,
+    template_format: str = "csv",
+    catalog: Catalog = DEFAULT_CATALOG,
+    **options,
+) -> DataFrame:
+    """A folder of text files in, output rows out; see :func:`run`.
+
+    The header of ``template`` is checked first. Finished documents are told
+    from their names, so their files are not opened again.
+    """
+    header = None if template is None else read_header(spark, template, template_format)
+    if header is not None:
+        require_header(header, catalog)
+    listing = scan_documents(spark, folder, suffix, ordered=False)
+    pending = pending_documents(listing, read_ledger(spark, ledger))
+    docs = read_documents(spark, folder, suffix, only=pending)
+    return run(spark, docs, extractor, out, ledger, catalog=catalog, header=header, listing=listing, **options)
+
+
 def _summary(events: DataFrame, written: DataFrame, total: int, pending: int) -> DataFrame:
     """Counts of a run from its events and the earlier ledger."""
     now = written.agg(F.count_if(F.col("status") != FAILED), F.count_if(F.col("status") == FAILED)).head()

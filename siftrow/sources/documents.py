@@ -5,13 +5,15 @@ from __future__ import annotations
 import re
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 
 from siftrow.errors import GuardError
 
 # Content above this is not read; the document becomes a failure with a reason.
 MAX_CONTENT_BYTES = 1 << 30
+# Longest list of paths that goes through the driver to the reader.
+MAX_PATHS = 10_000
 
 
 def file_name(path: Column) -> Column:
@@ -19,17 +21,19 @@ def file_name(path: Column) -> Column:
     return F.element_at(F.split(path, "/"), -1)
 
 
-def _glob(folder: str, suffix: str) -> str:
-    def plain(text: str) -> str:
-        return re.sub(r"([\\{}\[\]*?])", r"\\\1", text)
+def _escaped(path: str) -> str:
+    """A path taken literally, not as a pattern."""
+    return re.sub(r"([\\{}\[\]*?])", r"\\\1", path)
 
-    return f"{plain(folder.rstrip('/'))}/*{plain(suffix)}"
+
+def _reader(spark: SparkSession) -> DataFrameReader:
+    return spark.read.format("binaryFile").option("ignoreMissingFiles", "true")
 
 
 def _listing(spark: SparkSession, folder: str, suffix: str) -> DataFrame:
-    reader = spark.read.format("binaryFile").option("ignoreMissingFiles", "true")
+    reader = _reader(spark)
     try:
-        return reader.load(_glob(folder, suffix))
+        return reader.load(f"{_escaped(folder.rstrip('/'))}/*{_escaped(suffix)}")
     except AnalysisException as exc:
         if exc.getCondition() != "PATH_NOT_FOUND":
             raise
@@ -65,14 +69,26 @@ def scan_documents(spark: SparkSession, folder: str, suffix: str = ".pdf", order
 
 
 def read_documents(
-    spark: SparkSession, folder: str, suffix: str = ".txt", max_bytes: int = MAX_CONTENT_BYTES
+    spark: SparkSession,
+    folder: str,
+    suffix: str = ".txt",
+    max_bytes: int = MAX_CONTENT_BYTES,
+    only: DataFrame | None = None,
+    max_paths: int = MAX_PATHS,
 ) -> DataFrame:
     """The files of a folder with their text: (doc_key, path, length, modified, text, reason).
 
     A file that is too large or is not UTF-8 text gets a null text and a
     reason. The size test reaches the reader, so such a file is not opened.
+
+    ``only`` holds the paths that are wanted. Up to ``max_paths`` of them are
+    handed to the reader, which then opens nothing else; a longer list is
+    joined to the whole folder instead.
     """
     listing = _listing(spark, folder, suffix)
+    if only is not None:
+        paths = [r.path for r in only.select("path").limit(max_paths + 1).collect()]
+        listing = _wanted(spark, listing, only, paths, max_paths)
     meta = (
         file_name(F.col("path")).alias("doc_key"),
         F.col("path"),
@@ -80,7 +96,7 @@ def read_documents(
         F.col("modificationTime").alias("modified"),
     )
     readable = listing.where(F.col("length") <= max_bytes).select(
-        *meta, F.try_validate_utf8(F.col("content").cast("string")).alias("text")
+        *meta, decode_text(F.col("content")).alias("text")
     )
     too_large = listing.where(F.col("length") > max_bytes).select(
         *meta,
@@ -90,6 +106,21 @@ def read_documents(
     return load_text(readable).unionByName(too_large)
 
 
+def _wanted(
+    spark: SparkSession, listing: DataFrame, only: DataFrame, paths: list[str], max_paths: int
+) -> DataFrame:
+    if not paths:
+        return listing.where(F.lit(False))
+    if len(paths) <= max_paths:
+        try:
+            return _reader(spark).load([_escaped(p) for p in paths])
+        except AnalysisException as exc:
+            # One of them is gone since it was listed.
+            if exc.getCondition() != "PATH_NOT_FOUND":
+                raise
+    return listing.join(only.select("path"), "path", "left_semi")
+
+
 def load_text(docs: DataFrame, text: str = "text") -> DataFrame:
     """Add ``reason``: a document without a text is a failure, not an exception."""
     return docs.withColumn("reason", F.when(F.col(text).isNull(), "could not open: no readable text"))

@@ -79,8 +79,10 @@ def write_events(events: DataFrame, ledger: str, attempt: str) -> None:
 
 def start_attempt(spark: SparkSession, ledger: str, attempt: str, run_id: str, at: datetime) -> None:
     """Note that an attempt begins, before it stages anything."""
-    row = spark.createDataFrame([(attempt, run_id, at)], STARTED_SCHEMA)
-    row.coalesce(1).write.mode("append").parquet(f"{ledger}/started")
+    row = spark.range(1, numPartitions=1).select(
+        F.lit(attempt).alias("attempt"), F.lit(run_id).alias("run_id"), F.lit(at).alias("started_at")
+    )
+    row.write.mode("append").parquet(f"{ledger}/started")
 
 
 def open_attempts(spark: SparkSession, ledger: str, runs: DataFrame) -> list[str]:

@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 
@@ -24,6 +26,12 @@ def scratch_folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/siftrow-{uuid.uuid4().hex}"
 
 
+def no_rows(spark: SparkSession, schema) -> DataFrame:
+    """An empty table that lives in the JVM alone."""
+    fields = (T.StructType.fromDDL(schema) if isinstance(schema, str) else schema).fields
+    return spark.range(0).select(*(F.lit(None).cast(f.dataType).alias(f.name) for f in fields))
+
+
 def read_parquet_if_there(spark: SparkSession, path: str, schema) -> DataFrame:
     """The table at ``path``, or no rows when nothing has been written yet."""
     try:
@@ -31,4 +39,4 @@ def read_parquet_if_there(spark: SparkSession, path: str, schema) -> DataFrame:
     except AnalysisException as exc:
         if exc.getCondition() != "PATH_NOT_FOUND":
             raise
-        return spark.createDataFrame([], schema)
+        return no_rows(spark, schema)

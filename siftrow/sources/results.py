@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from siftrow.operators.catalog import DEFAULT_CATALOG, Catalog
 from siftrow.sources.ledger import read_runs
-from siftrow.sources.paths import read_parquet_if_there
+from siftrow.sources.paths import no_rows, read_parquet_if_there
 
 
 def results_schema(catalog: Catalog = DEFAULT_CATALOG, key: str = "doc_key") -> T.StructType:
@@ -27,7 +27,7 @@ def append_results(rows: DataFrame, out: str, attempt: str) -> None:
 
 def create_empty_output(spark: SparkSession, out: str, catalog: Catalog = DEFAULT_CATALOG) -> None:
     """Make an output that holds its columns and no rows; an existing one stays."""
-    empty = spark.createDataFrame([], results_schema(catalog)).drop("run_id")
+    empty = no_rows(spark, results_schema(catalog)).drop("run_id")
     empty.write.mode("ignore").parquet(f"{out}/attempt=empty")
 
 

@@ -12,10 +12,11 @@ def spark():
     session = (
         SparkSession.builder.master("local[8]")
         .appName("siftrow-tests")
-        .config("spark.sql.shuffle.partitions", "4")
+        .config("spark.sql.shuffle.partitions", "2")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "6g")
+        .config("spark.default.parallelism", "2")
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")

@@ -1,9 +1,8 @@
 import json
 
 import pytest
-from pyspark.sql import functions as F
 
-from siftrow import DEFAULT_CATALOG, Catalog, Entry, GuardError, count_output_rows, incremental_run, read_ledger, read_results, run
+from siftrow import DEFAULT_CATALOG, Catalog, Entry, GuardError, count_output_rows, incremental_run, read_ledger, read_results, run, run_folder
 from siftrow.operators.ledger import fold_ledger
 from siftrow.plans import run as run_module
 
@@ -203,29 +202,45 @@ def test_paced_and_spread(spark, docs_of, places):
     assert counts(summary) == (6, 0, 6, 0, 0, 0)
 
 
-def test_documents_that_vanish_are_failures(spark, places):
+def test_documents_that_vanish_are_failures(spark, docs_of, places):
     """Listed by name, gone when read."""
-    flag = spark.sparkContext.accumulator(0)
-    docs = spark.range(4).select(F.col("id").cast("string").alias("doc_key"), F.lit("t").alias("text"))
-
-    def stub(row):
-        flag.add(1)
-        return echo(row)
-
-    class Listing:
-        """Keys of four documents, texts of three."""
-
-        def select(self, *cols):
-            return (docs if cols == ("doc_key",) else docs.where("doc_key <> '2'")).select(*cols)
-
-        def __getattr__(self, name):
-            return getattr(docs.where("doc_key <> '2'"), name)
-
-    assert counts(run(spark, Listing(), stub, *places, catalog=SMALL)) == (4, 0, 3, 1, 1, 2)
+    listing = docs_of(("0", ""), ("1", ""), ("2", ""))
+    docs = docs_of(("0", "t"), ("1", "t"))
+    assert counts(run(spark, docs, echo, *places, catalog=SMALL, listing=listing)) == (3, 0, 2, 1, 1, 2)
     lost = read_ledger(spark, places[1]).where("doc_key = '2'").head()
     assert (lost.stage, lost.reason) == ("read", "could not open: the document is gone")
 
 
+@pytest.mark.parametrize("max_paths", [0, 10_000])
+def test_folder_run_opens_only_pending_files(spark, tmp_path, places, monkeypatch, max_paths):
+    """Both ways of reading: paths handed to the reader, and a join to the folder."""
+    read = run_module.read_documents
+    monkeypatch.setattr(run_module, "read_documents", lambda *a, **k: read(*a, **k, max_paths=max_paths))
+    folder = tmp_path / "papers [1]"
+    folder.mkdir()
+    (folder / "a.txt").write_text("x")
+    (folder / "b.txt").write_bytes(b"\xff")
+    template = tmp_path / "template.csv"
+    template.write_text("Title,Year,Brief\n")
+    options = {"catalog": SMALL, "template": str(template)}
+    assert counts(run_folder(spark, str(folder), echo, *places, **options)) == (2, 0, 1, 1, 1, 2)
+    (folder / "b.txt").write_text("y")
+    (folder / "c.txt").write_text("z")
+    (folder / "a.txt").write_text("changed, but done")
+    assert counts(run_folder(spark, str(folder), echo, *places, **options)) == (3, 1, 2, 0, 0, 0)
+    assert titles(spark, places) == {"a.txt": "x", "b.txt": "y", "c.txt": "z"}
+    assert counts(run_folder(spark, str(folder), echo, *places, **options)) == (3, 3, 0, 0, 0, 0)
+
+
+def test_folder_run_guards(spark, tmp_path, places):
+    (tmp_path / "empty").mkdir()
+    assert counts(run_folder(spark, str(tmp_path / "empty"), echo, *places, catalog=SMALL)) == (0, 0, 0, 0, 0, 0)
+    with pytest.raises(GuardError, match="template"):
+        run_folder(spark, str(tmp_path / "empty"), echo, *places, catalog=SMALL, template=str(tmp_path / "no.csv"))
+    with pytest.raises(GuardError, match="does not exist"):
+        run_folder(spark, str(tmp_path / "missing"), echo, *places, catalog=SMALL)
+
+
 def test_incremental_equals_batch(spark, tmp_path, places):
     source, marks = str(tmp_path / "in"), str(tmp_path / "marks")
 
