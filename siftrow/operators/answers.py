@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftrow.functions.text import clean_cell, fill_na
-from siftrow.operators.catalog import DEFAULT_CATALOG, SYNTHESIS, Catalog
+from siftrow.functions import sql
+from siftrow.functions.text import CONTROL_CHARS, MAX_CELL_CHARS, NOT_AVAILABLE
+from siftrow.operators.catalog import DEFAULT_CATALOG, SYNTHESIS, Batch, Catalog, Entry
 
 _OBJECTS = "array<map<string,variant>>"
 
@@ -72,8 +73,12 @@ def merge_batches(answers: DataFrame, catalog: Catalog = DEFAULT_CATALOG, key: s
     answered is still a column. ``max`` combines before the shuffle, so each
     task sends one row per document.
     """
+    na = sql.text(NOT_AVAILABLE)
     return answers.groupBy(key).agg(
-        *(fill_na(F.max(F.when(F.col("field") == e.field, F.col("value")))).alias(e.field) for e in catalog.entries)
+        *(
+            F.expr(f"coalesce(max(CASE WHEN field = {sql.text(e.field)} THEN value END), {na}) AS {sql.name(e.field)}")
+            for e in catalog.entries
+        )
     )
 
 
@@ -85,38 +90,41 @@ def merge_responses(parsed: DataFrame, catalog: Catalog = DEFAULT_CATALOG, key:
     errors come out. ``parsed`` is the result of :func:`parse_strict`.
     """
 
-    def record(batch) -> Column:
-        cells = (fill_na(F.try_element_at("answer", F.lit(f))).alias(f) for f in batch.fields)
-        return F.max(F.when((F.col("batch") == batch.name) & F.col("error").isNull(), F.struct(*cells)))
+    def record(batch: Batch) -> Column:
+        cells = sql.listing(
+            f"coalesce(try_element_at(answer, {sql.text(f)}), {sql.text(NOT_AVAILABLE)}) AS {sql.name(f)}"
+            for f in batch.fields
+        )
+        answered = f"batch = {sql.text(batch.name)} AND error IS NULL"
+        return F.expr(f"max(CASE WHEN {answered} THEN struct({cells}) END) AS b{batch.ordinal}")
 
     merged = (
-        parsed.groupBy(key)
-        .agg(*(record(b).alias(f"b{b.ordinal}") for b in catalog.batches), _complete(catalog).alias("ok"))
-        .where("ok")
+        parsed.groupBy(key).agg(*map(record, catalog.batches), whole_document(catalog).alias("ok")).where("ok")
     )
 
-    def part(batches) -> Column:
-        return F.struct(*(F.col(f"b{b.ordinal}.{f}").alias(f) for b in batches for f in b.fields))
+    def part(batches: tuple[Batch, ...]) -> str:
+        return "struct({})".format(sql.listing(f"b{b.ordinal}.{sql.name(f)}" for b in batches for f in b.fields))
 
-    columns = [part(catalog.part(synthesis=False)).alias("structured")]
+    columns = [F.expr(f"{part(catalog.part(synthesis=False))} AS structured")]
     if catalog.part(synthesis=True):
-        columns.append(part(catalog.part(synthesis=True)).alias("synthesis"))
+        columns.append(F.expr(f"{part(catalog.part(synthesis=True))} AS synthesis"))
     return merged.select(key, *columns)
 
 
-def _complete(catalog: Catalog) -> Column:
-    """Every batch of the catalog answered, none failed."""
-    answered = [F.max((F.col("batch") == b.name) & F.col("error").isNull()) for b in catalog.batches]
-    whole = F.count_if(F.col("error").isNotNull()) == 0
-    for flag in answered:
-        whole = whole & F.coalesce(flag, F.lit(False))
-    return whole
+def whole_document(catalog: Catalog) -> Column:
+    """Aggregate: every batch of the catalog answered, none failed.
+
+    Only names of the catalog's batches are gathered, so the set stays small.
+    """
+    names = [b.name for b in catalog.batches]
+    good = F.collect_set(F.when(F.col("error").isNull() & F.col("batch").isin(names), F.col("batch")))
+    return (F.size(good) == len(names)) & (F.count_if(F.col("error").isNotNull()) == 0)
 
 
 def all_or_nothing(responses: DataFrame, catalog: Catalog = DEFAULT_CATALOG, key: str = "doc_key") -> DataFrame:
     """(key, complete, failed_batches): complete only if every batch worked."""
     return responses.groupBy(key).agg(
-        _complete(catalog).alias("complete"), F.count_if(F.col("error").isNotNull()).alias("failed_batches")
+        whole_document(catalog).alias("complete"), F.count_if(F.col("error").isNotNull()).alias("failed_batches")
     )
 
 
@@ -142,9 +150,11 @@ def flatten_row(
 ) -> DataFrame:
     """Nested extraction to output columns in catalog order, cells cleaned."""
 
-    def cell(entry) -> Column:
+    def cell(entry: Entry) -> Column:
         part = "synthesis" if entry.batch == SYNTHESIS else "structured"
-        value = fill_na(F.col(f"{part}.{entry.field}"))
-        return (clean_cell(value) if clean else value).alias(entry.column)
+        value = f"coalesce({part}.{sql.name(entry.field)}, {sql.text(NOT_AVAILABLE)})"
+        if clean:
+            value = f"left(regexp_replace({value}, {sql.text(CONTROL_CHARS)}, ''), {MAX_CELL_CHARS})"
+        return F.expr(f"{value} AS {sql.name(entry.column)}")
 
-    return extraction.select(key, *(cell(e) for e in catalog.entries))
+    return extraction.select(key, *map(cell, catalog.entries))

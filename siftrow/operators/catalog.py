@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftrow.errors import GuardError
+from siftrow.functions import sql
 
 MAX_CATALOG_ROWS = 2_000
 SYNTHESIS = "synthesis"
@@ -148,10 +149,10 @@ class Catalog:
 
     def allowed_fields(self, batch: Column) -> Column:
         """Field names a response of this batch may hold, as an array."""
-        pairs = []
-        for b in self.batches:
-            pairs += [F.lit(b.name), F.array(*map(F.lit, b.fields))]
-        return F.try_element_at(F.create_map(*pairs), batch)
+        known = sql.listing(
+            f"{sql.text(b.name)}, array({sql.listing(map(sql.text, b.fields))})" for b in self.batches
+        )
+        return F.try_element_at(F.expr(f"map({known})"), batch)
 
 
 def _batch_instruction(name: str, members: list[Entry]) -> str:

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siftrow.functions import sql
 from siftrow.functions.text import MULTIPLE, NOT_AVAILABLE, UNCERTAIN, value_array
 from siftrow.operators.catalog import DEFAULT_CATALOG, Catalog
 
@@ -81,29 +82,25 @@ def _verdict(table: DataFrame, field: str, ok: Column, key: str) -> DataFrame:
 
 def check_labels(table: DataFrame, catalog: Catalog = DEFAULT_CATALOG, key: str = "doc_key") -> DataFrame:
     """One row per cell; a blank cell is not ok."""
-    cells = F.array(
-        *(
-            F.struct(
-                F.lit(e.field).alias("field"),
-                F.col(e.field).alias("value"),
-                (label_class(F.col(e.field)) != "blank").alias("ok"),
-            )
-            for e in catalog.entries
-        )
+    return _cells(table, catalog, key).select("*", (label_class(F.col("value")) != "blank").alias("ok"))
+
+
+def _cells(table: DataFrame, catalog: Catalog, *keep: str) -> DataFrame:
+    """One row per cell: the kept columns, field and value."""
+    cells = sql.listing(
+        f"struct({sql.text(e.field)} AS field, {sql.name(e.field)} AS value)" for e in catalog.entries
     )
-    return table.select(key, F.inline(cells))
+    return table.select(*keep, F.expr(f"inline(array({cells}))"))
 
 
 def label_profile(table: DataFrame, catalog: Catalog = DEFAULT_CATALOG) -> DataFrame:
     """(field, class, n, share): how often each field is filled, labelled or blank.
 
-    Only the class of a cell is carried on, and counts combine before the
-    shuffle, so each task sends at most five rows per field.
+    Counts combine before the shuffle, so each task sends at most five rows per
+    field.
     """
-    cells = F.array(
-        *(F.struct(F.lit(e.field).alias("field"), label_class(F.col(e.field)).alias("class")) for e in catalog.entries)
-    )
-    counted = table.select(F.inline(cells)).groupBy("field", "class").agg(F.count("*").alias("n"))
+    classes = _cells(table, catalog).select("field", label_class(F.col("value")).alias("class"))
+    counted = classes.groupBy("field", "class").agg(F.count("*").alias("n"))
     totals = counted.groupBy("field").agg(F.sum("n").alias("all_rows"))
     return counted.join(totals, "field").select("field", "class", "n", (F.col("n") / F.col("all_rows")).alias("share"))
 

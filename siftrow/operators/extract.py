@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siftrow.errors import GuardError
+from siftrow.functions import sql
 from siftrow.functions.text import NOT_AVAILABLE, VALUE_SEPARATOR
 from siftrow.operators.catalog import DEFAULT_CATALOG, MAX_CATALOG_ROWS, Catalog
 
@@ -81,13 +82,11 @@ def extract_by_rules(
 
 def to_answers(wide: DataFrame, catalog: Catalog = DEFAULT_CATALOG, key: str = "doc_key") -> DataFrame:
     """Wide record to long answers (key, batch, field, value)."""
-    cells = F.array(
-        *(
-            F.struct(F.lit(e.batch).alias("batch"), F.lit(e.field).alias("field"), F.col(e.field).alias("value"))
-            for e in catalog.entries
-        )
+    cells = sql.listing(
+        f"struct({sql.text(e.batch)} AS batch, {sql.text(e.field)} AS field, {sql.name(e.field)} AS value)"
+        for e in catalog.entries
     )
-    return wide.select(key, F.inline(cells))
+    return wide.select(key, F.expr(f"inline(array({cells}))"))
 
 
 class TransientError(Exception):

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siftrow.operators.answers import whole_document
 from siftrow.operators.catalog import DEFAULT_CATALOG, Catalog
 
 DONE = "done"
@@ -70,15 +71,8 @@ def outcome(responses: DataFrame, catalog: Catalog = DEFAULT_CATALOG, key: str =
     """
     order = F.coalesce(F.col("batch_ordinal"), F.lit(0))
     first = F.min(F.when(F.col("error").isNotNull(), F.struct(order.alias("order"), "stage", "error")))
-    answered = [
-        F.coalesce(F.max((F.col("batch") == b.name) & F.col("error").isNull()), F.lit(False))
-        for b in catalog.batches
-    ]
-    complete = F.lit(True)
-    for flag in answered:
-        complete = complete & flag
-    folded = responses.groupBy(key).agg(first.alias("first"), complete.alias("complete"))
-    done = F.col("complete") & F.col("first").isNull()
+    folded = responses.groupBy(key).agg(first.alias("first"), whole_document(catalog).alias("complete"))
+    done = F.col("complete")
     return folded.select(
         key,
         F.when(done, DONE).otherwise(FAILED).alias("status"),

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftrow.errors import GuardError
+from siftrow.functions import sql
 from siftrow.operators.catalog import DEFAULT_CATALOG, Catalog
 
 # Our own wording of what every request asks for.
@@ -21,16 +22,11 @@ REQUEST_FRAME = "\n\nARTICLE TEXT\n---\n{text}\n---"
 
 def batch_array(catalog: Catalog) -> Column:
     """The catalog's batches as a constant array of structs."""
-    return F.array(
-        *(
-            F.struct(
-                F.lit(b.name).alias("batch"),
-                F.lit(b.ordinal).alias("batch_ordinal"),
-                F.lit(b.instruction).alias("instruction"),
-            )
-            for b in catalog.batches
-        )
+    rows = sql.listing(
+        f"struct({sql.text(b.name)} AS batch, {b.ordinal} AS batch_ordinal, {sql.text(b.instruction)} AS instruction)"
+        for b in catalog.batches
     )
+    return F.expr(f"array({rows})")
 
 
 def fan_out(docs: DataFrame, catalog: Catalog = DEFAULT_CATALOG) -> DataFrame:
