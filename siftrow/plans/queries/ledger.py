@@ -48,7 +48,8 @@ def event_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.concat(F.col("user_id").cast("string"), F.lit("/"), F.date_format(ts, "yyyy-MM-dd")).alias("doc_key"),
             F.when(F.col("event_type") == "purchase", "done").otherwise("failed").alias("status"),
             F.when(F.col("event_type") == "error", F.col("props")).alias("reason"),
-            ts.cast("timestamp").alias("at"),
+            # The table's clock is UTC, also in a session of another time zone.
+            F.from_utc_timestamp(ts.cast("timestamp"), F.current_timezone()).alias("at"),
             F.lit(LEDGER_VERSION).alias("version"),
         )
     )

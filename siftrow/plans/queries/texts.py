@@ -17,7 +17,8 @@ from siftrow.operators.catalog import DEFAULT_CATALOG
 from siftrow.operators.pages import assemble_pages, assemble_trimmed, split_pages
 from siftrow.operators.requests import REQUEST_FRAME, fan_out, render_request, request_volume
 from siftrow.plans.queries.registry import DOC_KEY, PAGED, documents, paged, query, table
-from siftrow.sources.documents import decode_text, load_text, scan_documents
+from siftrow.sources.documents import decode_text, load_text, read_documents, scan_documents
+from siftrow.sources.paths import scratch_folder
 
 # Low enough for a good share of the texts to be cut.
 SHORT_LIMIT = 2_000
@@ -185,10 +186,30 @@ def decoded_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load_text(docs.select("doc_key", decode_text(raw).alias("text")))
 
 
-@query()
+def _text_files(spark: SparkSession, sf_dir: str) -> str:
+    """The documents as text files on storage, as many as the scan has parts."""
+    folder = scratch_folder(spark)
+    documents(spark, sf_dir).select("text").write.text(folder)
+    return folder
+
+
+@query("SELECT CAST(sum(strlen(text) + 1) AS BIGINT) AS bytes FROM documents")
 def listed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The listing of the data folder itself; content is not read."""
-    return scan_documents(spark, sf_dir, ".parquet").select("doc_key", "length")
+    """Sizes of the listed files; their content is not read."""
+    listing = scan_documents(spark, _text_files(spark, sf_dir), ".txt")
+    return listing.agg(F.sum("length").alias("bytes"))
+
+
+@query(
+    """
+SELECT line, count(*) AS n FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM documents) GROUP BY line
+"""
+)
+def lines_of_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The files read back as documents and taken apart into lines."""
+    files = read_documents(spark, _text_files(spark, sf_dir), ".txt")
+    body = F.left(F.col("text"), F.length("text") - 1)  # without the last line end
+    return files.select(F.explode(F.split(body, "\n", -1)).alias("line")).groupBy("line").agg(F.count("*").alias("n"))
 
 
 @query(

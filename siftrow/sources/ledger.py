@@ -104,6 +104,11 @@ def commit_run(run: DataFrame, ledger: str) -> None:
     run.select(*names).coalesce(1).write.mode("append").parquet(f"{ledger}/runs")
 
 
+def iso_utc(at: Column) -> Column:
+    """An instant as ISO-8601 text in UTC, whatever the session's time zone."""
+    return F.date_format(F.to_utc_timestamp(at, F.current_timezone()), ISO_FORMAT)
+
+
 def snapshot(events: DataFrame, shard: Column, key: str = "doc_key") -> DataFrame:
     """The folded ledger as rows of (version, started_at, updated_at, processed, failed).
 
@@ -119,8 +124,8 @@ def snapshot(events: DataFrame, shard: Column, key: str = "doc_key") -> DataFram
     )
     return rows.select(
         F.lit(LEDGER_VERSION).alias("version"),
-        F.date_format(events.select(F.min("at")).scalar(), ISO_FORMAT).alias("started_at"),
-        F.date_format(events.select(F.max("at")).scalar(), ISO_FORMAT).alias("updated_at"),
+        iso_utc(events.select(F.min("at")).scalar()).alias("started_at"),
+        iso_utc(events.select(F.max("at")).scalar()).alias("updated_at"),
         "processed",
         "failed",
     )
@@ -142,7 +147,7 @@ def write_snapshot(events: DataFrame, path: str, docs_per_row: int = DOCS_PER_SN
 
 
 def _empty_snapshot(spark: SparkSession) -> DataFrame:
-    now = F.date_format(F.current_timestamp(), ISO_FORMAT)
+    now = iso_utc(F.current_timestamp())
     return spark.range(1).select(
         F.lit(LEDGER_VERSION).alias("version"),
         now.alias("started_at"),

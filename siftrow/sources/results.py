@@ -50,4 +50,6 @@ def count_output_rows(spark: SparkSession, out: str, ledger: str, catalog: Catal
 def export_csv(rows: DataFrame, path: str, catalog: Catalog = DEFAULT_CATALOG, key: str = "doc_key") -> None:
     """Results in key order as CSV with the catalog's header."""
     ordered = rows.orderBy(key).select(*(f"`{c}`" for c in catalog.columns))
-    ordered.write.mode("overwrite").option("header", "true").option("escape", '"').csv(path)
+    # Cells go out as they are: Spark would otherwise trim blanks at their ends.
+    kept = {"ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+    ordered.write.mode("overwrite").options(header="true", escape='"', **kept).csv(path)

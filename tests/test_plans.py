@@ -20,7 +20,7 @@ NO_SHUFFLE = (
 ).split()
 # One aggregation on the document key: one shuffle, combined before it.
 ONE_SHUFFLE = "merged_batches flattened_rows complete_documents merged_whole_documents folded_ledger".split()
-STORED = {"full_run", "ledger_of_run", "resumed_run", "incremental_runs", "appended_results", "output_row_count", "snapshot_round_trip"}
+STORED = {"full_run", "ledger_of_run", "resumed_run", "incremental_runs", "appended_results", "output_row_count", "snapshot_round_trip", "exported_rows", "listed_files", "lines_of_files"}
 
 
 @pytest.mark.parametrize("name", NO_SHUFFLE)

@@ -3,6 +3,8 @@ from pyspark.sql import functions as F
 
 from siftrow import (
     DEFAULT_CATALOG,
+    Catalog,
+    Entry,
     GuardError,
     append_results,
     count_output_rows,
@@ -122,6 +124,17 @@ def test_empty_output_keeps_columns_and_rows(spark, tmp_path):
     assert read_results(spark, out, ledger).columns == results_schema().names
 
 
+def test_export_csv_keeps_cells_as_they_are(spark, tmp_path):
+    path = str(tmp_path / "csv")
+    cells = [" padded ", 'say "hi", then', "two\nlines", "back\\slash", "plain"]
+    catalog = Catalog(tuple(Entry(f"C{i}", f"c{i}", "b") for i in range(len(cells))))
+    df = spark.createDataFrame([("k", *cells)], ["doc_key", *catalog.columns])
+    export_csv(df, path, catalog)
+    assert read_header(spark, path) == list(catalog.columns)
+    back = spark.read.option("header", "true").option("escape", '"').option("multiLine", "true").csv(path)
+    assert list(back.head()) == cells
+
+
 def test_export_csv_has_the_header_and_key_order(spark, tmp_path):
     path = str(tmp_path / "csv")
     export_csv(sample(spark, "b", "a").coalesce(1), path)
