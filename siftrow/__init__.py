@@ -24,6 +24,23 @@ from siftrow.operators.answers import (
     parse_strict,
 )
 from siftrow.operators.catalog import DEFAULT_CATALOG, Catalog, Entry, catalog_integrity, header_diff
+from siftrow.operators.checks import (
+    by_field,
+    check_authors,
+    check_brief,
+    check_grounding,
+    check_identifier,
+    check_labels,
+    check_methodology,
+    check_study_type,
+    check_vocabulary,
+    check_year,
+    explode_multi,
+    grounding_share,
+    label_class,
+    label_profile,
+    labelled_sections,
+)
 from siftrow.operators.extract import Rule, TransientError, extract_by_rules, extract_with, to_answers
 from siftrow.operators.ledger import (
     failures_report,
@@ -52,8 +69,8 @@ from siftrow.streaming.incremental import incremental_run
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 __all__ = [
-    "DEFAULT_CATALOG",
     "Catalog",
+    "DEFAULT_CATALOG",
     "Entry",
     "GuardError",
     "Rule",
@@ -62,11 +79,22 @@ __all__ = [
     "append_results",
     "assemble_pages",
     "assemble_trimmed",
+    "by_field",
     "cap_cell",
     "catalog_integrity",
+    "check_authors",
+    "check_brief",
+    "check_grounding",
+    "check_identifier",
+    "check_labels",
+    "check_methodology",
+    "check_study_type",
+    "check_vocabulary",
+    "check_year",
     "clean_cell",
     "count_output_rows",
     "create_empty_output",
+    "explode_multi",
     "export_csv",
     "extract_by_rules",
     "extract_with",
@@ -76,10 +104,14 @@ __all__ = [
     "first_per_key",
     "flatten_row",
     "fold_ledger",
+    "grounding_share",
     "header_diff",
     "incremental_run",
     "is_blank",
     "join_synthesis",
+    "label_class",
+    "label_profile",
+    "labelled_sections",
     "load_text",
     "merge_batches",
     "merge_responses",
