@@ -194,13 +194,15 @@ def labelled_sections(table: DataFrame, field: str = "modeling_simulation", key:
     sections = table.where(~is_label(F.col(field))).select(
         key, F.posexplode(F.split(F.col(field), SECTION_SEPARATOR, -1)).alias("position", "section")
     )
-    shape = r"^([^:]+): ([\s\S]*)$"
-    ok = F.col("section").rlike(shape)
+    # The label runs to the first colon, which a blank must follow.
+    label = F.substring_index("section", ":", 1)
+    size = F.length(label)
+    ok = (size > 0) & (F.col("section").substr(size + 1, F.lit(2)) == ": ")
     return sections.select(
         key,
         "position",
-        F.when(ok, F.regexp_extract("section", shape, 1)).alias("label"),
-        F.when(ok, F.regexp_extract("section", shape, 2)).otherwise(F.col("section")).alias("body"),
+        F.when(ok, label).alias("label"),
+        F.when(ok, F.col("section").substr(size + 3, F.length("section"))).otherwise(F.col("section")).alias("body"),
         ok.alias("ok"),
     )
 
