@@ -91,7 +91,8 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) -> l
     trusted: doc_id of the trusted documents. Repeated ids in trusted count once. One pass over the texts.
     """
     marked = trusted.select(F.col("doc_id").alias("_id")).where("_id is not null").distinct().withColumn("_t", F.lit(1))
-    joined = docs.select("doc_id", "text").join(marked, F.col("doc_id") == F.col("_id"), "left")
+    # Merged at every size: the trusted ids grow with the documents, so they are never sent to all tasks.
+    joined = docs.select("doc_id", "text").join(marked.hint("merge"), F.col("doc_id") == F.col("_id"), "left")
     each = joined.select(F.coalesce("_t", F.lit(0)).cast("long").alias("t"), F.explode(words(F.col("text"))).alias("w"))
     grams = each.select("t", F.explode(F.array(bucket(F.col("w"), buckets), bucket(ending(F.col("w")), buckets))).alias("b"))
     counts = grams.groupBy("b").agg(F.count(F.lit(1)).alias("raw"), F.sum("t").alias("target")).collect()
