@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import sys
+import types
+from collections.abc import Callable, Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +21,16 @@ BLANK[[32, 9, 10, 11, 12, 13]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
-_powers = [np.ones(1, U), np.ones(1, U)]
+
+def worker_memory(name: str, make: Callable[[], Any]) -> Any:
+    """An object that a Python worker keeps from task to task.
+
+    The package's code is sent to the workers by value, so its own globals last for one task only.
+    """
+    box = sys.modules.setdefault("_siftrow_worker_memory", types.ModuleType("_siftrow_worker_memory"))
+    if not hasattr(box, name):
+        setattr(box, name, make())
+    return getattr(box, name)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -35,13 +47,14 @@ BYTE_VALUE = mix(np.arange(1, 257, dtype=U) * _MULTIPLIER)
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first n powers of the multiplier and of its inverse, modulo 2^64."""
-    if len(_powers[0]) < n:
+    known = worker_memory("powers", lambda: [np.ones(1, U), np.ones(1, U)])
+    if len(known[0]) < n:
         size = 1 << (n - 1).bit_length()
         for i, base in enumerate((_MULTIPLIER, _INVERSE)):
             steps = np.full(size, base, U)
             steps[0] = 1
-            _powers[i] = np.multiply.accumulate(steps)
-    return _powers[0][:n], _powers[1][:n]
+            known[i] = np.multiply.accumulate(steps)
+    return known[0][:n], known[1][:n]
 
 
 def prefix_hashes(data: np.ndarray) -> np.ndarray:

@@ -23,8 +23,8 @@ from siftrow.llm.bytes import LOWER, U, mix, prefix_hashes, slices, span_hashes
 
 BITS = 18
 FIT_ROWS = 20_000
-EPOCHS = 3
-ALPHA, BETA, L1, L2 = 0.3, 1.0, 0.02, 0.5
+EPOCHS = 5
+ALPHA, BETA, L1, L2 = 3.0, 1.0, 0.01, 0.0
 PREDICT_FROM = 0.3
 REPEAT = mix(np.array([0x5EED], U))[0]
 

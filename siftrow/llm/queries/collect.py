@@ -1,6 +1,6 @@
 """All queries of the subpackage. Importing the modules registers them."""
 
-from siftrow.llm.queries import native
+from siftrow.llm.queries import documents, models, native, token_files
 from siftrow.llm.queries.registry import ORACLE, QUERIES
 
-__all__ = ["ORACLE", "QUERIES", "native"]
+__all__ = ["ORACLE", "QUERIES", "documents", "models", "native", "token_files"]

@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from siftrow.llm.bytes import worker_memory
 from siftrow.llm.common import stored
 
 NO_ID = -(1 << 63)
@@ -35,8 +36,6 @@ ROWS_PER_SHARD = 8192
 MEMORY = 1_000_000
 META = "shard long, docs long, ids long, base long"
 
-_encoders: dict[tuple, Encoder] = {}
-
 
 class Encoder:
     """Texts to id bytes (unsigned 32-bit, little-endian), as the tokenizers library gives them for whole texts.
@@ -89,9 +88,10 @@ _ODD_SPACE = re.compile(r" (?=\s|\Z)")
 
 def encoder(path: str) -> Encoder:
     """The worker's encoder for a vocabulary file; one for all tasks of a worker."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    known = worker_memory("encoders", dict)
+    if path not in known:
+        known[path] = Encoder(path)
+    return known[path]
 
 
 def place(folder: str) -> tuple[pafs.FileSystem, str]:
