@@ -16,23 +16,23 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftrow.llm.bytes import U, mix, prefix_hashes, slices, span_hashes
-from siftrow.llm.tokens import range_cuts, with_shard
 
 WINDOW = 24
 PAIRS = WINDOW * (WINDOW - 1) // 2
 #: Windows in a run, and in how many runs a feature must be the rarest.
 RUN, POPULAR = 32, 8
 BITS, PER_FILTER, HASHES = 2048, 128, 5
-#: Bytes of the spans that stand for a text too short or too uniform to have features.
-SHORT = 6
+#: Bytes of the spans that stand for a text of fewer than BRIEF bytes, or for one too uniform to have features.
+SHORT, BRIEF = 6, 512
 #: Windows with more equal pairs than this are too uniform to tell texts apart.
 DULL = PAIRS // 2
-ROWS_PER_RANGE = 4096
+ROWS_PER_RANGE = 2048
 
 
 def equal_pairs(data: np.ndarray) -> np.ndarray:
@@ -117,12 +117,12 @@ def chain(hashes: np.ndarray) -> np.ndarray:
 
 
 def fingerprints(texts: pa.Array, ranks: np.ndarray) -> list[bytes]:
-    """The chain of each text as bytes; nothing for an empty one. A text without a feature gives all its short spans."""
+    """The chain of each text as bytes; nothing for an empty one. A brief text gives all its short spans."""
     out: list[bytes] = []
     for data, offsets, _ in slices(texts):
         hashes, bounds = features(data, offsets, ranks)
         for i in range(len(offsets) - 1):
-            if bounds[i + 1] > bounds[i]:
+            if bounds[i + 1] > bounds[i] and offsets[i + 1] - offsets[i] >= BRIEF:
                 out.append(chain(hashes[bounds[i] : bounds[i + 1]]).tobytes())
             elif offsets[i + 1] > offsets[i]:
                 own = data[offsets[i] : offsets[i + 1]]
@@ -157,6 +157,19 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
+def with_range(docs: DataFrame, ranges: int) -> DataFrame:
+    """Adds shard: which of about equally many rows' ranges of doc_id a row lies in, in ascending order; 0 for a null id."""
+    shares = [i / ranges for i in range(1, ranges)]
+    found = docs.agg(F.percentile_approx("doc_id", shares, 100 * ranges).alias("q")).first()["q"] if shares else None
+    cuts = np.array(sorted(set(found or [])), np.int64)
+
+    def place(ids: pd.Series) -> pd.Series:
+        known = ids.notna().to_numpy()
+        return pd.Series(np.where(known, np.searchsorted(cuts, ids.fillna(0).astype("int64"), "right"), 0))
+
+    return docs.withColumn("shard", F.pandas_udf(place, "long")("doc_id"))
+
+
 def compare_with_next(docs: DataFrame, ranks: np.ndarray, rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint (hex), near_edited, near_next.
 
@@ -168,7 +181,7 @@ def compare_with_next(docs: DataFrame, ranks: np.ndarray, rows_per_range: int =
     """
     n = docs.count()
     ranges = max(1, -(-n // rows_per_range))
-    cut = with_shard(docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text")), range_cuts(docs, ranges))
+    cut = with_range(docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text")), ranges)
     # The first id of every range that has rows: one number per range. In this order the ranges follow each other.
     heads = sorted(cut.groupBy("shard").agg(F.min("doc_id").alias("id"), F.max(F.col("doc_id").isNull()).alias("none")).collect())
     rows = cut.withColumn("guest", F.lit(False))

@@ -238,3 +238,11 @@ def identify_languages(docs: DataFrame, order: int = ORDER) -> DataFrame:
     """docs with held_out, lang_pred, score and accepted, learned from docs' own lang and predicted in one go."""
     model = learn_languages(docs.select("doc_id", "text", "lang"), order)
     return predict_language(docs, model, order).withColumn("held_out", held_out(F.col("doc_id")))
+
+
+def keep_identified(docs: DataFrame, order: int = ORDER) -> DataFrame:
+    """docs (doc_id, text, lang and others) without the rejected ones; columns as they are."""
+    named = predict_language(
+        docs.select(F.struct(*docs.columns).alias("_row"), "text"), learn_languages(docs.select("doc_id", "text", "lang"), order), order
+    )
+    return named.where("accepted").select("_row.*")

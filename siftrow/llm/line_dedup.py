@@ -114,7 +114,8 @@ def dedup_lines(docs: DataFrame, batches: int = BATCHES, fan_in: int = FAN_IN) -
     documents hold loses all its lines but those in the document of the smallest doc_id; there, all stay. Ties: rows of
     equal doc_id are one document here, so a line that only they share stays in each. A null doc_id is smaller than none:
     such a row keeps only lines that no other document holds, and rows without an id are one document. A null or empty
-    text is one empty line and comes out empty. No documents: no rows. Clashing columns n_lines and n_dropped are replaced.
+    text is one empty line and comes out empty. No documents: no rows. Clashing columns n_lines and n_dropped are replaced, and n_chars, where
+    docs have it, is the length of the new text.
 
     The table is taken in `batches` ranges of ascending doc_id. Hashes are computed once and written to the shared folder
     (doc_id, place, 16 bytes). The result is lazy and reads the index: its tables stay until the session ends.
@@ -150,4 +151,6 @@ def dedup_lines(docs: DataFrame, batches: int = BATCHES, fan_in: int = FAN_IN) -
         "n_dropped": F.when(F.col("_gone").isNull(), F.lit(0)).otherwise(dropped).cast("long"),
         "text": whole,
     })
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast("long"))
     return out.select(*docs.columns, *[c for c in ("n_lines", "n_dropped") if c not in docs.columns])

@@ -27,9 +27,13 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(spark, folder, shards)
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    out = pack_documents(docs, vocabulary(BYTE_VOCABULARY), end_id=2)
+    return out.select(
+        "doc_id", F.col("piece").cast("int").alias("piece"), "start", F.col("size").alias("length"), "ids_crc32", F.col("bin").alias("sequence_id"), "offset"
+    )
+
+
 @query()
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = pack_documents(read(spark, sf_dir, "documents"), vocabulary(BYTE_VOCABULARY), end_id=2)
-    return out.select(
-        "doc_id", "piece", "start", F.col("size").alias("length"), "ids_crc32", F.col("bin").alias("sequence_id"), "offset"
-    ).withColumn("piece", F.col("piece").cast("int"))
+    return packed(read(spark, sf_dir, "documents"))

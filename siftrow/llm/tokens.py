@@ -31,7 +31,7 @@ from siftrow.llm.common import stored
 
 NO_ID = -(1 << 63)
 #: Documents per shard, about; it sets the number of shards from the number of rows.
-ROWS_PER_SHARD = 8192
+ROWS_PER_SHARD = 4096
 #: Entries of a worker's memory of encoded words; beyond, it starts anew.
 MEMORY = 1_000_000
 META = "shard long, docs long, ids long, base long"
@@ -101,21 +101,6 @@ def place(folder: str) -> tuple[pafs.FileSystem, str]:
     return pafs.LocalFileSystem(), folder
 
 
-def range_cuts(docs: DataFrame, parts: int) -> list[int]:
-    """doc_ids that cut the table into about equal ranges: a document's range is the number of cuts up to its id."""
-    if parts < 2:
-        return []
-    found = docs.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], 100 * parts).alias("q")).first()["q"]
-    return sorted(set(found or []))
-
-
-def with_shard(docs: DataFrame, cuts: list[int]) -> DataFrame:
-    """Adds shard: the number of cuts below or at doc_id, 0 for a null id. A binary search over a constant array."""
-    if not cuts:
-        return docs.withColumn("shard", F.lit(0).cast("long"))
-    return docs.withColumn("shard", F.coalesce(F.expr(f"width_bucket(doc_id, array({','.join(f'{c}L' for c in cuts)}))"), F.lit(0)).cast("long"))
-
-
 def write_tokens(docs: DataFrame, folder: str, vocabulary: str, end_id: int, rows_per_shard: int = ROWS_PER_SHARD) -> DataFrame:
     """Encode every whole text, add end_id to each, write the dataset in ascending doc_id; returns its shard table.
 
@@ -126,40 +111,41 @@ def write_tokens(docs: DataFrame, folder: str, vocabulary: str, end_id: int, row
     spark = docs.sparkSession
     n = docs.count()
     shards = max(1, -(-n // rows_per_shard))
-    cut = with_shard(docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text")), range_cuts(docs, shards))
-    ordered = cut.repartitionByRange(shards, "shard").sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first(), "text")
+    by_id = F.col("doc_id").asc_nulls_first()
+    ordered = (
+        docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
+        .repartitionByRange(shards, by_id)
+        .sortWithinPartitions(by_id, "text")
+    )
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, path = place(folder)
         encode = encoder(vocabulary).encode
         fs.create_dir(path, recursive=True)
-        own, open_shard, files, docs_in, ids_in = uuid.uuid4().hex, None, {}, 0, 0
-        end = np.uint32(end_id).tobytes()
-
-        def close() -> pa.RecordBatch:
-            files["off"].write(np.int64(ids_in).tobytes())
-            for kind, f in files.items():
-                f.close()
-                fs.move(f"{path}/{open_shard}.{kind}.{own}", f"{path}/{open_shard}.{kind}")
-            return pa.RecordBatch.from_pydict({"shard": [open_shard], "docs": [docs_in], "ids": [ids_in]})
+        from pyspark import TaskContext
 
+        # Partitions are ranges in ascending order, so a partition's number is its shard's.
+        shard, own, files, docs_in, ids_in = TaskContext.get().partitionId(), uuid.uuid4().hex, {}, 0, 0
+        end = np.uint32(end_id).tobytes()
         for batch in batches:
-            numbers = np.asarray(batch.column("shard"))
-            for shard in np.unique(numbers):
-                rows = batch.slice(int(np.searchsorted(numbers, shard)), int((numbers == shard).sum()))
-                if shard != open_shard:
-                    if open_shard is not None:
-                        yield close()
-                    open_shard, docs_in, ids_in = int(shard), 0, 0
-                    files = {k: fs.open_output_stream(f"{path}/{open_shard}.{k}.{own}") for k in ("ids", "off", "doc")}
+            if not batch.num_rows:
+                continue
+            if not files:
+                files = {k: fs.open_output_stream(f"{path}/{shard}.{k}.{own}") for k in ("ids", "off", "doc")}
+            for lo in range(0, batch.num_rows, 512):
+                rows = batch.slice(lo, 512)
                 encoded = [x + end for x in encode(rows.column("text").to_pylist())]
                 lengths = np.array([len(x) // 4 for x in encoded], np.int64)
                 files["ids"].write(b"".join(encoded))
                 files["off"].write((ids_in + np.cumsum(lengths) - lengths).astype("<i8").tobytes())
                 files["doc"].write(np.asarray(rows.column("doc_id").fill_null(NO_ID)).astype("<i8").tobytes())
                 docs_in, ids_in = docs_in + len(encoded), ids_in + int(lengths.sum())
-        if open_shard is not None:
-            yield close()
+        if files:
+            files["off"].write(np.int64(ids_in).tobytes())
+            for kind, f in files.items():
+                f.close()
+                fs.move(f"{path}/{shard}.{kind}.{own}", f"{path}/{shard}.{kind}")
+            yield pa.RecordBatch.from_pydict({"shard": [shard], "docs": [docs_in], "ids": [ids_in]})
 
     counts = stored(ordered.mapInArrow(write, "shard long, docs long, ids long"), f"{folder}/counts")
     # One small row per shard: the prefix sums are taken here and kept with the dataset.
