@@ -2,7 +2,8 @@
 
 A dataset is a folder of shards. Shard i holds the documents of one range of doc_id, in ascending order, in three files:
 
-- `i.ids`: the token ids of its documents, one after another, unsigned 32-bit, little-endian;
+- `i.ids`: the token ids of its documents, one after another, unsigned, little-endian, 16 bits wide if the vocabulary and
+  the end id have at most 65,536 numbers, else 32 (the shard table names the width);
 - `i.off`: signed 64-bit, little-endian; where each document starts in `i.ids`, in ids, and at last the number of ids;
 - `i.doc`: signed 64-bit, little-endian; the doc_id of each document (the smallest number stands for null).
 
@@ -17,6 +18,7 @@ from __future__ import annotations
 import re
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,7 +36,7 @@ NO_ID = -(1 << 63)
 ROWS_PER_SHARD = 4096
 #: Entries of a worker's memory of encoded words; beyond, it starts anew.
 MEMORY = 1_000_000
-META = "shard long, docs long, ids long, base long"
+META = "shard long, docs long, ids long, base long, width int"
 
 
 class Encoder:
@@ -51,12 +53,32 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(added)) if added else None
+        self.between = next(((t.content, i) for i, t in self.tokenizer.get_added_tokens_decoder().items()), None)
         form = self.tokenizer.pre_tokenizer.__getstate__()
         self.kind = "byte" if b'"type":"ByteLevel"' in form[:40] else "word"
         self.ids: dict[str, bytes] = {}
 
     def whole(self, texts: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def apart(self, words: list[str]) -> list[bytes]:
+        """Ids of words that hold no special token: many in one text, with a special token between them."""
+        if not self.special:
+            return self.whole(words)
+        token, mark = self.between
+        out: list[bytes] = []
+        for lo in range(0, len(words), 1024):
+            ids = np.array(self.tokenizer.encode(token.join(words[lo : lo + 1024]), add_special_tokens=False).ids, "<u4")
+            ends = np.append(np.flatnonzero(ids == mark), len(ids)).tolist()
+            data, at = ids.tobytes(), 0
+            for end in ends:
+                out.append(data[4 * at : 4 * end])
+                at = end + 1
+        return out
+
+    def width(self, end_id: int) -> int:
+        """Bytes that hold every id."""
+        return 2 if max(self.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
 
     def parts(self, text: str) -> list[str] | None:
         """Words whose ids, in order, are those of the text; None if it has to be encoded whole."""
@@ -74,8 +96,8 @@ class Encoder:
             self.ids = {}
         split = [self.parts(t) for t in texts]
         known = self.ids
-        new = list({p for parts in split if parts is not None for p in parts if p not in known})
-        known.update(zip(new, self.whole(new), strict=True))
+        new = list(set().union(*[parts for parts in split if parts is not None]).difference(known))
+        known.update(zip(new, self.apart(new), strict=True))
         rest = iter(self.whole([t for t, parts in zip(texts, split, strict=True) if parts is None]))
         return [next(rest) if parts is None else b"".join([known[p] for p in parts]) for parts in split]
 
@@ -120,7 +142,8 @@ def write_tokens(docs: DataFrame, folder: str, vocabulary: str, end_id: int, row
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, path = place(folder)
-        encode = encoder(vocabulary).encode
+        made = encoder(vocabulary)
+        encode, kind_of_id = made.encode, f"<u{made.width(end_id)}"
         fs.create_dir(path, recursive=True)
         from pyspark import TaskContext
 
@@ -136,7 +159,7 @@ def write_tokens(docs: DataFrame, folder: str, vocabulary: str, end_id: int, row
                 rows = batch.slice(lo, 512)
                 encoded = [x + end for x in encode(rows.column("text").to_pylist())]
                 lengths = np.array([len(x) // 4 for x in encoded], np.int64)
-                files["ids"].write(b"".join(encoded))
+                files["ids"].write(np.frombuffer(b"".join(encoded), "<u4").astype(kind_of_id).tobytes())
                 files["off"].write((ids_in + np.cumsum(lengths) - lengths).astype("<i8").tobytes())
                 files["doc"].write(np.asarray(rows.column("doc_id").fill_null(NO_ID)).astype("<i8").tobytes())
                 docs_in, ids_in = docs_in + len(encoded), ids_in + int(lengths.sum())
@@ -145,13 +168,13 @@ def write_tokens(docs: DataFrame, folder: str, vocabulary: str, end_id: int, row
             for kind, f in files.items():
                 f.close()
                 fs.move(f"{path}/{shard}.{kind}.{own}", f"{path}/{shard}.{kind}")
-            yield pa.RecordBatch.from_pydict({"shard": [shard], "docs": [docs_in], "ids": [ids_in]})
+            yield pa.RecordBatch.from_pydict({"shard": [shard], "docs": [docs_in], "ids": [ids_in], "width": pa.array([made.width(end_id)], pa.int32())})
 
-    counts = stored(ordered.mapInArrow(write, "shard long, docs long, ids long"), f"{folder}/counts")
+    counts = stored(ordered.mapInArrow(write, "shard long, docs long, ids long, width int"), f"{folder}/counts")
     # One small row per shard: the prefix sums are taken here and kept with the dataset.
     rows, base, table = sorted(counts.collect()), 0, []
     for row in rows:
-        table.append((row["shard"], row["docs"], row["ids"], base))
+        table.append((row["shard"], row["docs"], row["ids"], base, row["width"]))
         base += row["ids"]
     return stored(spark.createDataFrame(table, META).coalesce(1), f"{folder}/shards")
 
@@ -163,7 +186,7 @@ def read_tokens(spark: SparkSession, folder: str, shards: DataFrame | None = Non
 
 def token_digests(spark: SparkSession, folder: str, shards: DataFrame | None = None) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32 of each document's ids, from the files."""
-    return _read(spark, folder, shards, "ids_crc32 long", lambda view: pa.array([zlib.crc32(x) for x in view], pa.int64()))
+    return _read(spark, folder, shards, "ids_crc32 long", lambda view: pa.array([zlib.crc32(x.astype("<u4").tobytes()) for x in view], pa.int64()))
 
 
 def _read(spark: SparkSession, folder: str, shards: DataFrame | None, column: str, make) -> DataFrame:
@@ -181,7 +204,7 @@ def _read(spark: SparkSession, folder: str, shards: DataFrame | None, column: st
         for batch in batches:
             for row in batch.to_pylist():
                 at = f"{path}/{row['shard']}."
-                ids, off, doc = view_of(fs, at, "ids", "<u4"), view_of(fs, at, "off", "<i8"), view_of(fs, at, "doc", "<i8")
+                ids, off, doc = view_of(fs, at, "ids", f"<u{row['width']}"), view_of(fs, at, "off", "<i8"), view_of(fs, at, "doc", "<i8")
                 for lo in range(0, len(doc), 1024):
                     hi = min(lo + 1024, len(doc))
                     edges = off[lo : hi + 1]
