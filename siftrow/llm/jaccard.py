@@ -14,7 +14,7 @@ prefixes under one order, must then also share a prefix token under two more ord
   thus costs as many comparisons as it has members.
 
 Nothing is capped: every pair that could be linked is compared or already connected. Sets of candidate classes are built
-once and written; texts are shuffled once.
+once and written; texts are never shuffled.
 """
 
 from __future__ import annotations
@@ -34,10 +34,16 @@ SIZE = 5
 #: Least similarity in percent.
 PERCENT = 75
 #: Most tokens that the first order puts last, and how often a task must meet a token for that.
-FREQUENT, OFTEN = 1 << 18, 8
+FREQUENT, OFTEN = 1 << 18, 3
 #: Seeds of the orders that candidates must pass after the first.
 MORE_ORDERS = (0x1B873593, 0xCC9E2D51)
 PIVOT_ROUNDS = 2
+#: Partners of one class that one task compares, about.
+PARTNERS = 256
+#: Bits of a token that candidates are joined on; unequal tokens that agree in them only add candidates to compare.
+KEY_BITS = 40
+#: Bits of the map of documents whose sets are built. Where it fills up, more sets are built than needed, never fewer.
+MAP_BITS = 1 << 26
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, size: int = SIZE) -> tuple[np.ndarray, np.ndarray]:
@@ -142,66 +148,85 @@ def prefix_tokens(docs: DataFrame, frequent: np.ndarray, percent: int = PERCENT,
                 rank = (token >> U(1)) | (is_often.astype(U) << U(63))
                 kept, text = ordered_prefixes(token, bounds, rank, percent)
                 cls, n = class_ids(token, bounds), np.diff(bounds)
-                yield pa.RecordBatch.from_arrays([pa.array(kept.view(np.int64)), pa.array(cls[text]), pa.array(n[text], pa.int64())], names=["token", "cls", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array((kept >> U(64 - KEY_BITS)).view(np.int64)), pa.array(cls[text]), pa.array(n[text], pa.int64())], names=["token", "cls", "n"])
 
     return docs.select("text").mapInArrow(tokens, "token long, cls long, n long")
 
 
+def document_map(ids: DataFrame) -> np.ndarray:
+    """Bits of the hashed doc_ids of ids, at most MAP_BITS of them: 8 MB however many documents there are."""
+    at = F.pmod(F.xxhash64("doc_id"), F.lit(MAP_BITS)) + 1
+    parts = ids.select(at.alias("at")).groupBy(F.bitmap_bucket_number("at").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
+    out = np.zeros(MAP_BITS // 8 + 4096, np.uint8)
+    for row in parts.collect():
+        bits = np.frombuffer(row["bits"], np.uint8)
+        start = (row["part"] - 1) * 4096
+        out[start : start + len(bits)] = bits
+    return out
+
+
 def class_sets(docs: DataFrame, chosen: DataFrame, size: int = SIZE) -> DataFrame:
-    """cls, tokens (sorted) of one document per class. chosen: doc_id, cls."""
-    texts = docs.select("doc_id", "text").join(chosen, "doc_id").select("cls", "text")
+    """cls, tokens (sorted) of documents, at least of those in chosen (doc_id). Texts are not shuffled."""
+    shared = docs.sparkSession.sparkContext.broadcast(document_map(chosen))
+    rows = docs.select("text", F.pmod(F.xxhash64("doc_id"), F.lit(MAP_BITS)).alias("at"))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = shared.value
         for batch in batches:
-            own = batch.column("cls")
-            for data, offsets, at in slices(batch.column("text")):
+            at = batch.column("at").to_numpy(zero_copy_only=False)
+            wanted = (bits[at >> 3] >> (at & 7)) & 1
+            if not wanted.any():
+                continue
+            for data, offsets, _ in slices(batch.column("text").filter(pa.array(wanted.astype(bool)))):
                 token, bounds = shingles(data, offsets, size)
-                # Rows of a repeated doc_id may differ in text; the class tells.
-                yield pa.RecordBatch.from_arrays(
-                    [own.slice(at, len(offsets) - 1), pa.array(class_ids(token, bounds)), lists(token.view(np.int64), bounds, pa.int64())], names=["cls", "made", "tokens"]
-                )
+                yield pa.RecordBatch.from_arrays([pa.array(class_ids(token, bounds)), lists(token.view(np.int64), bounds, pa.int64())], names=["cls", "tokens"])
 
-    rows = texts.mapInArrow(sets, "cls long, made long, tokens array<long>").where("cls = made")
-    return rows.groupBy("cls").agg(F.first("tokens").alias("tokens"))
+    return rows.mapInArrow(sets, "cls long, tokens array<long>").where("cls <> 0")
 
 
 def verify(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     """a, b, shared, either (sizes of intersection and union) and linked, for candidate pairs a, b of classes.
 
-    Pairs that share no prefix token under the further orders are not compared: shared is null, they are not linked.
+    Pairs that share no prefix token under the further orders are not linked without a full comparison. Each set moves to
+    the places of its partners, all pairs of one a follow the set of a.
     """
-    left = sets.select(F.col("cls").alias("a"), F.col("tokens").alias("x"))
-    right = sets.select(F.col("cls").alias("b"), F.col("tokens").alias("y"))
-    joined = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
+    ends = pairs.select("a", "b").distinct()
+    # A class of very many partners is dealt over several tasks, each with the set of a.
+    many = ends.groupBy("a").agg((F.floor(F.count(F.lit(1)) / PARTNERS) + 1).alias("parts"))
+    ends = ends.join(many, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).alias("salt"))
+    heads = ends.select("a", F.col("a").alias("b"), "salt").distinct()
+    moved = heads.unionByName(ends).join(sets.select(F.col("cls").alias("b"), "tokens"), "b")
+    rows = moved.select("a", "salt", "b", "tokens", (F.col("a") != F.col("b")).alias("partner"))
+    rows = rows.repartition("a", "salt").sortWithinPartitions("a", "salt", "partner")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, x = None, np.zeros(0, U)
         for batch in batches:
-            a_sets, b_sets = batch.column("x"), batch.column("y")
-            shared, either, linked = [], [], []
-            for i in range(batch.num_rows):
-                x, y = (c[i].values.to_numpy(zero_copy_only=False).view(U) for c in (a_sets, b_sets))
-                both = x[np.isin(x, y, assume_unique=True)]
-                px, py = (int(prefix_length(np.array([len(s)]), percent)[0]) for s in (x, y))
-                passes = True
-                for seed in MORE_ORDERS:
-                    # The smallest shared number must lie in both prefixes, else they share none.
-                    if not len(both):
-                        passes = False
-                        break
-                    ranks = mix(both ^ U(seed)).min()
-                    passes = bool((mix(x ^ U(seed)) < ranks).sum() < px and (mix(y ^ U(seed)) < ranks).sum() < py)
-                    if not passes:
-                        break
-                union = len(x) + len(y) - len(both)
-                shared.append(len(both))
-                either.append(union)
-                linked.append(passes and 100 * len(both) >= percent * union)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("a"), batch.column("b"), pa.array(shared, pa.int64()), pa.array(either, pa.int64()), pa.array(linked, pa.bool_())],
-                names=["a", "b", "shared", "either", "linked"],
-            )
-
-    return joined.mapInArrow(compare, "a long, b long, shared long, either long, linked boolean")
+            tokens = batch.column("tokens")
+            ends = list(zip(batch.column("a").to_pylist(), batch.column("salt").to_pylist(), batch.column("b").to_pylist(), strict=True))
+            out: dict[str, list] = {"a": [], "b": [], "shared": [], "either": [], "linked": []}
+            for i, (a, part, b) in enumerate(ends):
+                y = tokens[i].values.to_numpy(zero_copy_only=False).view(U)
+                if a == b:
+                    key, x = (a, part), y
+                elif key == (a, part):
+                    for name, value in zip(out, (a, b, *_compare(x, y, percent)), strict=True):
+                        out[name].append(value)
+            yield pa.RecordBatch.from_pydict({k: pa.array(v, pa.bool_() if k == "linked" else pa.int64()) for k, v in out.items()})
+
+    return rows.select("a", "salt", "b", "tokens").mapInArrow(compare, "a long, b long, shared long, either long, linked boolean").dropDuplicates(["a", "b"])
+
+
+def _compare(x: np.ndarray, y: np.ndarray, percent: int) -> tuple[int, int, bool]:
+    both = x[np.isin(x, y, assume_unique=True)]
+    px, py = (int(prefix_length(np.array([len(s)]), percent)[0]) for s in (x, y))
+    union = len(x) + len(y) - len(both)
+    for seed in MORE_ORDERS:
+        # The first common token must lie in both prefixes, else they share none.
+        first = mix(both ^ U(seed)).min() if len(both) else U(0)
+        if not len(both) or (mix(x ^ U(seed)) < first).sum() >= px or (mix(y ^ U(seed)) < first).sum() >= py:
+            return len(both), union, False
+    return len(both), union, 100 * len(both) >= percent * union
 
 
 def linked_classes(docs: DataFrame, base: DataFrame, folder: str, percent: int = PERCENT, size: int = SIZE) -> DataFrame:
@@ -209,11 +234,19 @@ def linked_classes(docs: DataFrame, base: DataFrame, folder: str, percent: int =
     tokens = prefix_tokens(docs, frequent_tokens(docs, size), percent, size)
     pivots = tokens.groupBy("token").agg(F.min("cls").alias("pivot"), F.max("cls").alias("_most")).where("pivot < _most").drop("_most")
     members = stored(tokens.join(pivots, "token").select("token", "cls", "n", "pivot").distinct(), f"{folder}/members")
-    chosen = base.join(members.select("cls").distinct(), "cls").groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
-    sets = stored(class_sets(docs, chosen, size), f"{folder}/sets")
     near = (F.col("n") * percent <= F.col("pn") * 100) & (F.col("pn") * percent <= F.col("n") * 100)
     sizes = members.select(F.col("cls").alias("pivot"), F.col("n").alias("pn")).distinct()
 
+    # Classes that share a token with one of like size; one document of each.
+    spread = members.groupBy("token").agg(F.collect_set(_step(F.col("n"))).alias("steps"))
+    step = _step(F.col("n"))
+    others = members.join(spread, "token").where(F.exists("steps", lambda x: (x != step) & (F.abs(x - step) <= 4)))
+    same = members.groupBy("token", step.alias("step")).agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo < hi")
+    crowd = members.withColumn("step", step).join(same, ["token", "step"])
+    wanted = others.select("cls").unionByName(crowd.select("cls")).distinct()
+    chosen = base.join(wanted, "cls").groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
+    sets = stored(class_sets(docs, chosen, size), f"{folder}/sets")
+
     links = None
     group = members
     for turn in range(PIVOT_ROUNDS):
@@ -240,6 +273,11 @@ def linked_classes(docs: DataFrame, base: DataFrame, folder: str, percent: int =
     return links.unionByName(verify(rest, sets, percent).where("linked").select("a", "b"))
 
 
+def _step(n):
+    """Sizes on a scale of steps of a twelfth: sizes in the ratio of three to four lie within four steps."""
+    return F.floor(F.log(13 / 12, n.cast("double"))).cast("int")
+
+
 def _across(some: DataFrame, others: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
     """a, b: pairs with a common token that sizes, distances to the pivot and components do not settle."""
 
