@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftrow.functions import sql
-from siftrow.functions.text import MULTIPLE, NOT_AVAILABLE, UNCERTAIN, value_array
+from siftrow.functions.text import MULTIPLE, NOT_AVAILABLE, UNCERTAIN, is_blank, value_array
 from siftrow.operators.catalog import DEFAULT_CATALOG, Catalog
 
 # The closed vocabularies of the two classification fields.
@@ -64,7 +64,7 @@ def is_label(value: Column) -> Column:
 def label_class(value: Column) -> Column:
     """``NA``, ``UNCERTAIN``, ``MULTIPLE``, ``blank`` or ``value``."""
     return (
-        F.when(value.isNull() | (F.trim(value) == ""), "blank")
+        F.when(value.isNull() | is_blank(value), "blank")
         .when(is_label(value), value)
         .otherwise("value")
     )
@@ -172,7 +172,7 @@ def check_study_type(
 
     def cell(field: str, applies: Column, allowed: Column) -> Column:
         return F.struct(
-            F.lit(field).alias("field"), F.col(field).alias("value"), (~applies | allowed).alias("ok")
+            F.lit(field).alias("field"), F.col(field).alias("value"), F.coalesce(~applies | allowed, F.lit(False)).alias("ok")
         )
 
     def empty(field: str) -> Column:
@@ -210,12 +210,12 @@ def labelled_sections(table: DataFrame, field: str = "modeling_simulation", key:
 def check_grounding(
     table: DataFrame, docs: DataFrame, fields: tuple[str, ...], text: str = "text", key: str = "doc_key"
 ) -> DataFrame:
-    """Every part of a cell occurs in the document's whole text.
+    """Every part of a cell occurs in the document's whole text; without a document, none does.
 
     The wide row meets its document once, before the cells are taken apart, so
     a text is read once and is not repeated per field.
     """
-    joined = table.select(key, *fields).join(docs.select(key, F.col(text).alias("_text")), key)
+    joined = table.select(key, *fields).join(docs.select(key, F.col(text).alias("_text")), key, "left")
 
     def cell(field: str) -> Column:
         parts = value_array(F.col(field))

@@ -80,7 +80,7 @@ SELECT doc_key, '{field}' AS field, {field} AS value, {_labelled(field)} OR ({ok
 
 
 _CLASS_SQL = (
-    "CASE WHEN value IS NULL OR trim(value) = '' THEN 'blank' "
+    "CASE WHEN value IS NULL OR regexp_full_match(value, '\\s*') THEN 'blank' "
     "WHEN value IN ('NA', 'UNCERTAIN', 'MULTIPLE') THEN value ELSE 'value' END"
 )
 _CELLS_SQL = "WITH a AS ({}) {}".format(

@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from siftrow.plans.run import run
 
@@ -26,12 +27,21 @@ def incremental_run(
     """Process everything that is new in ``stream`` and stop; number of batches run.
 
     ``stream`` is a streaming DataFrame with (doc_key, text[, reason]). The run
-    id is the batch id: a batch that is repeated after a crash either finds its
-    run committed or redoes it under the same id, so rows are never doubled.
+    id is the id that the checkpoint keeps for its stream, with the batch id: a
+    batch that is repeated after a crash either finds its run committed or
+    redoes it under the same id, so rows are never doubled, and another stream
+    or a new checkpoint on the same ledger never meets the ids of this one. Of
+    files with one key in a batch the smallest text is taken.
     """
+    done: list[int] = []
 
     def one_batch(batch: DataFrame, batch_id: int) -> None:
-        run(batch.sparkSession, batch, extractor, out, ledger, run_id=f"batch-{batch_id:09d}", **options)
+        stream_id = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+        if not batch.isEmpty():
+            done.append(batch_id)
+        rest = [F.col(c) for c in batch.columns if c != "doc_key"]
+        one = batch.groupBy("doc_key").agg(F.min(F.struct(*rest)).alias("_first")).select("doc_key", "_first.*")
+        run(batch.sparkSession, one, extractor, out, ledger, run_id=f"{stream_id}-{batch_id:09d}", **options)
 
     query = (
         stream.writeStream.foreachBatch(one_batch)
@@ -40,4 +50,4 @@ def incremental_run(
         .start()
     )
     query.awaitTermination()
-    return sum(1 for p in query.recentProgress if p["numInputRows"] > 0)
+    return len(set(done))
