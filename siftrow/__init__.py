@@ -51,10 +51,10 @@ from siftrow.operators.ledger import (
     run_verdict,
 )
 from siftrow.operators.pages import assemble_pages, assemble_trimmed, split_pages
-from siftrow.operators.requests import fan_out, render_request, request_volume
+from siftrow.operators.requests import SYSTEM_TEXT, fan_out, render_request, request_volume
 from siftrow.plans.run import first_per_key, plan_requests, run, run_folder
 from siftrow.sources.documents import load_text, read_documents, read_header, scan_documents
-from siftrow.sources.ledger import read_ledger, read_runs, read_snapshot, write_snapshot
+from siftrow.sources.ledger import import_snapshot, read_ledger, read_runs, read_snapshot, write_snapshot
 from siftrow.sources.results import (
     append_results,
     count_output_rows,
@@ -74,6 +74,7 @@ __all__ = [
     "Entry",
     "GuardError",
     "Rule",
+    "SYSTEM_TEXT",
     "TransientError",
     "all_or_nothing",
     "append_results",
@@ -106,6 +107,7 @@ __all__ = [
     "fold_ledger",
     "grounding_share",
     "header_diff",
+    "import_snapshot",
     "incremental_run",
     "is_blank",
     "join_synthesis",

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftrow.functions import sql
-from siftrow.functions.text import CONTROL_CHARS, MAX_CELL_CHARS, NOT_AVAILABLE
+from siftrow.functions.text import CONTROL_CHARS, NOT_AVAILABLE
 from siftrow.operators.catalog import DEFAULT_CATALOG, SYNTHESIS, Batch, Catalog, Entry
 
 _OBJECTS = "array<map<string,variant>>"
@@ -146,15 +146,21 @@ def nest(wide: DataFrame, catalog: Catalog = DEFAULT_CATALOG, key: str = "doc_ke
 
 
 def flatten_row(
-    extraction: DataFrame, catalog: Catalog = DEFAULT_CATALOG, key: str = "doc_key", clean: bool = True
+    extraction: DataFrame, catalog: Catalog = DEFAULT_CATALOG, key: str = "doc_key", clean: bool = True, cap: int | None = None
 ) -> DataFrame:
-    """Nested extraction to output columns in catalog order, cells cleaned."""
+    """Nested extraction to output columns in catalog order.
+
+    ``clean`` drops control characters; ``cap`` cuts cells to so many
+    characters, for a sink that needs it.
+    """
 
     def cell(entry: Entry) -> Column:
         part = "synthesis" if entry.batch == SYNTHESIS else "structured"
         value = f"coalesce({part}.{sql.name(entry.field)}, {sql.text(NOT_AVAILABLE)})"
         if clean:
-            value = f"left(regexp_replace({value}, {sql.text(CONTROL_CHARS)}, ''), {MAX_CELL_CHARS})"
+            value = f"regexp_replace({value}, {sql.text(CONTROL_CHARS)}, '')"
+        if cap is not None:
+            value = f"left({value}, {int(cap)})"
         return F.expr(f"{value} AS {sql.name(entry.column)}")
 
     return extraction.select(key, *map(cell, catalog.entries))

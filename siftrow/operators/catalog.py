@@ -191,10 +191,15 @@ def catalog_integrity(table: DataFrame) -> DataFrame:
     return counts.agg(*(F.max(c).alias(c) for c in counts.columns))
 
 
-def header_diff(headers: DataFrame, expected: tuple[str, ...] | list[str], key: str = "doc_key") -> DataFrame:
+def header_diff(
+    headers: DataFrame, expected: tuple[str, ...] | list[str], key: str = "doc_key", files: DataFrame | None = None
+) -> DataFrame:
     """Differences between each file's header and the expected column list.
 
-    ``headers`` holds (key, ordinal, name), ordinals from 1. The result holds
+    ``headers`` holds (key, ordinal, name), ordinals from 1; a null name is an
+    empty one, and a row without an ordinal stands for a file whose header is
+    empty. ``files`` may name all files (key); one without any header row
+    lacks every column. The result holds
     (key, kind, ordinal, name): ``missing`` for an expected column the header
     lacks, ``unexpected`` for a name that is not expected, ``moved`` for an
     expected name at another place. No rows for a key means an exact match.
@@ -203,8 +208,13 @@ def header_diff(headers: DataFrame, expected: tuple[str, ...] | list[str], key:
     catalog, however long the header is.
     """
     names = F.array(*map(F.lit, expected))
-    place = F.array_position(names, F.col("name"))
-    known = headers.withColumn("place", place)
+    if files is not None:
+        none = F.lit(None)
+        headers = headers.select(key, "ordinal", "name").unionByName(
+            files.select(key, none.cast("int").alias("ordinal"), none.cast("string").alias("name"))
+        )
+    named = headers.withColumn("name", F.when(F.col("ordinal").isNotNull(), F.coalesce("name", F.lit(""))))
+    known = named.withColumn("place", F.array_position(names, F.col("name")))
     off = known.where((F.col("place") == 0) | (F.col("place") != F.col("ordinal"))).select(
         key,
         F.when(F.col("place") == 0, "unexpected").otherwise("moved").alias("kind"),

@@ -43,7 +43,7 @@ class Rule:
 
 def rules_of(table: DataFrame) -> tuple[Rule, ...]:
     """Rules from a table (field, source, pattern, group, every); they become columns."""
-    rows = table.limit(MAX_CATALOG_ROWS + 1).collect()
+    rows = table.orderBy("field", "source", "pattern").limit(MAX_CATALOG_ROWS + 1).collect()
     if len(rows) > MAX_CATALOG_ROWS:
         raise GuardError(f"at most {MAX_CATALOG_ROWS} rules")
     return tuple(Rule(r.field, r.source, r.pattern, r.group, r.every) for r in rows)
@@ -68,6 +68,9 @@ def extract_by_rules(
     A field without a rule or without a match is ``NA``.
     """
     by_field = {r.field: r for r in rules}
+    if len(by_field) < len(rules):
+        fields = [r.field for r in rules]
+        raise GuardError(f"several rules for one field: {sorted({f for f in fields if fields.count(f) > 1})}")
     unknown = sorted(set(by_field) - {e.field for e in catalog.entries})
     if unknown:
         raise GuardError(f"rules for fields that are not in the catalog: {unknown}")
@@ -101,6 +104,20 @@ def exponential_wait(attempt: int) -> float:
     return float(min(30, max(2, 2 ** (attempt - 1))))
 
 
+def pacer(
+    seconds: float, clock: Callable[[], float] = time.monotonic, sleep: Callable[[float], None] = time.sleep
+) -> Callable[[], None]:
+    """A function that returns no sooner than ``seconds`` after it last returned."""
+    last: list[float] = []
+
+    def ready() -> None:
+        if last and (rest := last[0] + seconds - clock()) > 0:
+            sleep(rest)
+        last[:] = [clock()]
+
+    return ready
+
+
 def extract_with(
     requests: DataFrame,
     extractor: Callable[[Mapping], str],
@@ -111,6 +128,7 @@ def extract_with(
     wait: Callable[[int], float] = exponential_wait,
     per_task: bool = False,
     seconds_between_calls: float = 0.0,
+    system: str | None = None,
 ) -> DataFrame:
     """Call ``extractor(request_row) -> JSON text`` once per request.
 
@@ -120,8 +138,10 @@ def extract_with(
     ``error`` is passed through without a call.
 
     ``per_task=True`` means ``extractor`` is a factory called once per task,
-    for clients that cannot be pickled. ``seconds_between_calls`` paces each
-    task. The result should be written before it is used twice, since every
+    for clients that cannot be pickled. ``seconds_between_calls`` is the least
+    time from the start of one attempt to the start of the next in a task,
+    repeated attempts included. ``system`` is handed over with each request, as
+    ``request_row["system"]``. The result should be written before it is used twice, since every
     further action would repeat the calls.
     """
     if max_attempts < 1:
@@ -130,8 +150,9 @@ def extract_with(
     has_error = "error" in requests.columns
     names = schema.names
 
-    def call(fn: Callable[[Mapping], str], row: Mapping) -> tuple[str | None, str | None, int]:
+    def call(fn: Callable[[Mapping], str], row: Mapping, ready: Callable[[], None]) -> tuple[str | None, str | None, int]:
         for attempt in range(1, max_attempts + 1):
+            ready()
             try:
                 return fn(row), None, attempt
             except transient as exc:
@@ -145,15 +166,16 @@ def extract_with(
 
     def run_batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         fn = extractor() if per_task else extractor
+        ready = pacer(seconds_between_calls)
         for frame in frames:
             out = []
             for row in frame.to_dict("records"):
                 if has_error and row["error"] is not None:
                     answer = (None, row["error"], 0)
                 else:
-                    answer = call(fn, row)
-                    if seconds_between_calls:
-                        time.sleep(seconds_between_calls)
+                    if system is not None:
+                        row["system"] = system
+                    answer = call(fn, row, ready)
                 out.append((row[key], row["batch"], row["batch_ordinal"], *answer))
             yield pd.DataFrame(out, columns=names)
 

@@ -56,10 +56,12 @@ def request_volume(
     text: str = "text",
     pages: str | None = None,
     requests_per_minute: int = 60,
+    system: str = SYSTEM_TEXT,
 ) -> DataFrame:
     """Size of a run per batch and in total (``batch`` null), before it is paid for.
 
-    Columns: batch, docs, pages, requests, chars, minutes. The documents are
+    Columns: batch, docs, pages, requests, chars, minutes. The ``system`` text
+    goes with every request and is part of its size. The documents are
     reduced to one row before the batches come in, so the text is scanned once
     whatever the number of batches.
     """
@@ -71,7 +73,7 @@ def request_volume(
         F.coalesce(page_total, F.lit(0)).alias("pages"),
         F.coalesce(F.sum(F.length(text).cast("bigint")), F.lit(0)).alias("text_chars"),
     )
-    frame = len(REQUEST_FRAME.format(text=""))
+    frame = len(REQUEST_FRAME.format(text="")) + len(system)
     per_batch = totals.select("*", F.inline(batch_array(catalog))).select(
         "batch",
         "docs",

@@ -15,7 +15,7 @@ from siftrow.functions.text import (
 )
 from siftrow.operators.catalog import DEFAULT_CATALOG
 from siftrow.operators.pages import assemble_pages, assemble_trimmed, split_pages
-from siftrow.operators.requests import REQUEST_FRAME, fan_out, render_request, request_volume
+from siftrow.operators.requests import REQUEST_FRAME, SYSTEM_TEXT, fan_out, render_request, request_volume
 from siftrow.plans.queries.registry import DOC_KEY, PAGED, documents, paged, query, table
 from siftrow.sources.documents import decode_text, load_text, read_documents, scan_documents
 from siftrow.sources.paths import scratch_folder
@@ -227,13 +227,12 @@ def fanned_out(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     f"""
 SELECT doc_key, batch, batch_ordinal, md5(request) AS request_md5, length(request) AS chars
-FROM (SELECT doc_key, batch, batch_ordinal, {REQUEST_SQL.format(text=truncated_sql(SHORT_LIMIT))} AS request
+FROM (SELECT doc_key, batch, batch_ordinal, {REQUEST_SQL.format(text="text")} AS request
       FROM (SELECT {DOC_KEY}, text FROM documents) CROSS JOIN {batches_sql()})
 """
 )
 def rendered_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir).withColumn("text", truncate_middle(F.col("text"), SHORT_LIMIT))
-    return render_request(fan_out(docs)).select(
+    return render_request(fan_out(documents(spark, sf_dir))).select(
         "doc_key",
         "batch",
         "batch_ordinal",
@@ -246,7 +245,7 @@ def rendered_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"""
 WITH per_batch AS (
   SELECT batch, count(*) AS docs, CAST(sum(length({PAGED}) - length(replace({PAGED}, chr(12), '')) + 1) AS BIGINT) AS pages,
-    CAST(sum(length(text) + length(instruction) + {len(REQUEST_FRAME.format(text=""))}) AS BIGINT) AS chars
+    CAST(sum(length(text) + length(instruction) + {len(REQUEST_FRAME.format(text="")) + len(SYSTEM_TEXT)}) AS BIGINT) AS chars
   FROM documents CROSS JOIN {batches_sql()} GROUP BY batch)
 SELECT batch, docs, pages, docs AS requests, chars, docs / 60 AS minutes FROM per_batch
 UNION ALL

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siftrow.errors import GuardError
-from siftrow.functions.text import MAX_TEXT_CHARS, is_blank, truncate_middle
+from siftrow.functions.text import is_blank, truncate_middle
 from siftrow.operators.answers import flatten_row, merge_responses, parse_strict
 from siftrow.operators.catalog import DEFAULT_CATALOG, Catalog, require_header
 from siftrow.operators.extract import MAX_ATTEMPTS, TRANSIENT, exponential_wait, extract_with
@@ -39,7 +39,7 @@ from siftrow.operators.ledger import (
     pending_documents,
     run_verdict,
 )
-from siftrow.operators.requests import batch_array, request_text
+from siftrow.operators.requests import SYSTEM_TEXT, batch_array, request_text
 from siftrow.sources.documents import read_documents, read_header, scan_documents
 from siftrow.sources.ledger import (
     EVENT_SCHEMA,
@@ -80,10 +80,12 @@ def stage_problem(text: Column, reason: Column | None = None) -> Column:
 
 
 def plan_requests(
-    docs: DataFrame, catalog: Catalog = DEFAULT_CATALOG, limit: int = MAX_TEXT_CHARS
+    docs: DataFrame, catalog: Catalog = DEFAULT_CATALOG, limit: int | None = None
 ) -> DataFrame:
     """One request row per document and missing batch, in a single pass.
 
+    Texts go whole unless a ``limit`` is given, beyond which their middle is left out.
+
     ``docs`` holds (doc_key, text) and may hold ``reason`` (why it could not be
     read) and ``have`` (batches that need no call). A document that cannot be
     extracted from gives one row with its ``stage`` and ``error`` and no batch.
@@ -99,7 +101,7 @@ def plan_requests(
         "doc_key",
         *([have.alias("have")] if have is not None else []),
         stage_problem(F.col("text"), reason).alias("problem"),
-        truncate_middle(F.col("text"), limit).alias("text"),
+        (F.col("text") if limit is None else truncate_middle(F.col("text"), limit)).alias("text"),
     )
     fanned = base.select(
         "doc_key",
@@ -127,7 +129,8 @@ def run(
     catalog: Catalog = DEFAULT_CATALOG,
     header: list[str] | None = None,
     run_id: str | None = None,
-    limit: int = MAX_TEXT_CHARS,
+    limit: int | None = None,
+    system: str | None = SYSTEM_TEXT,
     max_attempts: int = MAX_ATTEMPTS,
     wait: Callable[[int], float] = exponential_wait,
     transient: tuple[type[BaseException], ...] = TRANSIENT,
@@ -135,12 +138,16 @@ def run(
     tasks: int | None = None,
     requests_per_minute: int | None = None,
     listing: DataFrame | None = None,
+    covered: bool = False,
 ) -> DataFrame:
     """Run the job and return its one-row summary (see ``RUNS_SCHEMA``).
 
     ``docs`` holds (doc_key, text[, reason]). ``listing`` names all documents
-    (doc_key) where ``docs`` holds only those still to be read. ``tasks`` bounds
-    how many calls are in flight; ``requests_per_minute`` needs it and is shared between them.
+    (doc_key) where ``docs`` holds only those still to be read; a document that
+    it does not name is left alone. ``covered`` says that there is none, as with
+    ``read_documents(only=...)`` of that listing, which saves a join. The
+    extractor finds ``system`` in each request. Texts are whole unless ``limit``
+    is given. ``tasks`` bounds how many calls are in flight; ``requests_per_minute`` needs it and is shared between them.
     A run id that is already committed is not run again, which makes a repeated
     streaming batch harmless.
     """
@@ -162,11 +169,13 @@ def run(
 
     attempt = f"{started_at:%Y%m%dT%H%M%S}-{uuid.uuid4().hex[:12]}"
     orphans = _staged_answers(spark, out, open_attempts(spark, ledger, runs), catalog)
+    if listing is not None and not covered:
+        _require_unique(docs)
     start_attempt(spark, ledger, attempt, run_id, started_at)
     keys = (docs if listing is None else listing).select("doc_key")
     work = _Work(spark, keys, events, orphans, f"{out}/_work/attempt={attempt}")
     total, pending = work.count()
-    todo = work.narrow(docs, total, pending)
+    todo = docs if pending == total and not work.has_reuse and (listing is None or covered) else work.narrow(docs)
     if tasks:
         todo = todo.repartition(tasks, "doc_key")
     requests = plan_requests(todo, catalog, limit)
@@ -178,12 +187,15 @@ def run(
         transient=transient,
         per_task=per_task,
         seconds_between_calls=pause,
+        system=system,
     )
     stage = F.when(F.col("batch").isNotNull(), EXTRACT).when(F.col("error").startswith("could not open"), READ)
     staged = parse_strict(responses, catalog).withColumn("stage", F.coalesce(stage, F.lit(BLANK)))
     schema = T.StructType.fromDDL(STAGED_SCHEMA)
     fresh = f"{out}/_answers/attempt={attempt}"
-    staged.select(*schema.names).write.mode("overwrite").parquet(fresh)
+    # Each task's answers are kept as soon as it ends; the folder is this attempt's alone.
+    kept_by_task = {"mapreduce.fileoutputcommitter.algorithm.version": "2"}
+    staged.select(*schema.names).write.mode("overwrite").options(**kept_by_task).parquet(fresh)
 
     answers = spark.read.schema(schema).parquet(fresh)
     if work.has_reuse:
@@ -246,7 +258,7 @@ def run_folder(
     listing = scan_documents(spark, folder, suffix, ordered=False)
     pending = pending_documents(listing, read_ledger(spark, ledger))
     docs = read_documents(spark, folder, suffix, only=pending)
-    return run(spark, docs, extractor, out, ledger, catalog=catalog, header=header, listing=listing, **options)
+    return run(spark, docs, extractor, out, ledger, catalog=catalog, header=header, listing=listing, covered=True, **options)
 
 
 def _summary(events: DataFrame, written: DataFrame, total: int, pending: int) -> DataFrame:
@@ -267,21 +279,26 @@ def _summary(events: DataFrame, written: DataFrame, total: int, pending: int) ->
 
 
 def _staged_answers(
-    spark: SparkSession, out: str, attempts: list[str], catalog: Catalog
+    spark: SparkSession, out: str, attempts: DataFrame, catalog: Catalog
 ) -> DataFrame | None:
-    """Good answers that dead attempts left behind and that still fit the catalog."""
-    schema = T.StructType.fromDDL(STAGED_SCHEMA)
-    found = None
-    for attempt in attempts:
-        path = f"{out}/_answers/attempt={attempt}"
-        part = read_parquet_if_there(spark, path, schema).withColumn("attempt", F.lit(attempt))
-        found = part if found is None else found.unionByName(part)
-    if found is None:
+    """Good answers that dead attempts left behind and that still fit the catalog.
+
+    The attempt is the partition column, so only folders of dead attempts are read.
+    """
+    if attempts.isEmpty():
         return None
+    schema = T.StructType.fromDDL(STAGED_SCHEMA).add("attempt", T.StringType())
+    found = read_parquet_if_there(spark, f"{out}/_answers", schema).join(attempts, "attempt", "left_semi")
     unknown = F.array_except(F.map_keys("answer"), catalog.allowed_fields(F.col("batch")))
     return found.where(F.col("error").isNull() & (F.size(unknown) == 0))
 
 
+def _require_unique(docs: DataFrame) -> None:
+    twice = docs.groupBy("doc_key").count().where("count > 1").head(1)
+    if twice:
+        raise GuardError(f"document key is not unique: {twice[0].doc_key!r}; see first_per_key")
+
+
 class _Work:
     """Which documents a run touches, worked out on names alone.
 
@@ -324,20 +341,13 @@ class _Work:
     def pending(self) -> DataFrame:
         return self._table.where(~F.col("done")).select("doc_key")
 
-    def narrow(self, docs: DataFrame, total: int, pending: int) -> DataFrame:
+    def narrow(self, docs: DataFrame) -> DataFrame:
         """The pending documents with ``have``.
 
-        The texts meet whichever list of names is shorter: those to do, or
-        those to leave out. With nothing to leave out there is no join at all.
-        Spark broadcasts the list if its size allows and shuffles otherwise.
+        An inner join to their names: Spark broadcasts them if their size
+        allows, and else may drop finished documents before the shuffle.
         """
-        if pending == total and not self.has_reuse:
-            return docs
-        special = self._table.where(F.col("done") | F.col("have").isNotNull()).select("doc_key", "done", "have")
-        todo = self._table.where(~F.col("done")).select("doc_key", "have")
-        if pending <= total - pending:
-            return docs.join(todo, "doc_key")
-        return docs.join(special, "doc_key", "left").where(~F.coalesce("done", F.lit(False))).drop("done")
+        return docs.join(self._table.where(~F.col("done")).select("doc_key", "have"), "doc_key")
 
     def reused(self) -> DataFrame:
         """Staged answers to use again, for pending documents only."""

@@ -10,10 +10,8 @@ from pyspark.sql import functions as F
 
 from siftrow.errors import GuardError
 
-# Content above this is not read; the document becomes a failure with a reason.
-MAX_CONTENT_BYTES = 1 << 30
-# Longest list of paths that goes through the driver to the reader.
-MAX_PATHS = 10_000
+# The most bytes Spark can hold in one value.
+MAX_VALUE_BYTES = (1 << 31) - 16
 
 
 def file_name(path: Column) -> Column:
@@ -72,53 +70,47 @@ def read_documents(
     spark: SparkSession,
     folder: str,
     suffix: str = ".txt",
-    max_bytes: int = MAX_CONTENT_BYTES,
     only: DataFrame | None = None,
-    max_paths: int = MAX_PATHS,
 ) -> DataFrame:
     """The files of a folder with their text: (doc_key, path, length, modified, text, reason).
 
-    A file that is too large or is not UTF-8 text gets a null text and a
-    reason. The size test reaches the reader, so such a file is not opened.
+    A file that is not UTF-8 text, or holds more than one Spark value can, gets
+    a null text and a reason. The size test reaches the reader, so a file that
+    cannot be held is not opened.
 
-    ``only`` holds the paths that are wanted. Up to ``max_paths`` of them are
-    handed to the reader, which then opens nothing else; a longer list is
-    joined to the whole folder instead.
+    ``only`` holds the paths that are wanted. They are handed to the reader,
+    which opens nothing else. The driver holds these names, as Spark's own file
+    listing does for every file of the folder.
     """
     listing = _listing(spark, folder, suffix)
     if only is not None:
-        paths = [r.path for r in only.select("path").limit(max_paths + 1).collect()]
-        listing = _wanted(spark, listing, only, paths, max_paths)
+        listing = _wanted(spark, listing, [r.path for r in only.select("path").collect()])
     meta = (
         file_name(F.col("path")).alias("doc_key"),
         F.col("path"),
         F.col("length"),
         F.col("modificationTime").alias("modified"),
     )
-    readable = listing.where(F.col("length") <= max_bytes).select(
+    readable = listing.where(F.col("length") <= MAX_VALUE_BYTES).select(
         *meta, decode_text(F.col("content")).alias("text")
     )
-    too_large = listing.where(F.col("length") > max_bytes).select(
+    too_large = listing.where(F.col("length") > MAX_VALUE_BYTES).select(
         *meta,
         F.lit(None).cast("string").alias("text"),
-        F.lit(f"could not open: larger than {max_bytes} bytes").alias("reason"),
+        F.lit(f"could not open: more than the {MAX_VALUE_BYTES} bytes of one value").alias("reason"),
     )
     return load_text(readable).unionByName(too_large)
 
 
-def _wanted(
-    spark: SparkSession, listing: DataFrame, only: DataFrame, paths: list[str], max_paths: int
-) -> DataFrame:
-    if not paths:
-        return listing.where(F.lit(False))
-    if len(paths) <= max_paths:
-        try:
-            return _reader(spark).load([_escaped(p) for p in paths])
-        except AnalysisException as exc:
-            # One of them is gone since it was listed.
-            if exc.getCondition() != "PATH_NOT_FOUND":
-                raise
-    return listing.join(only.select("path"), "path", "left_semi")
+def _wanted(spark: SparkSession, listing: DataFrame, paths: list[str]) -> DataFrame:
+    try:
+        return _reader(spark).load([_escaped(p) for p in paths]) if paths else listing.where(F.lit(False))
+    except AnalysisException as exc:
+        if exc.getCondition() != "PATH_NOT_FOUND":
+            raise
+    # Some are gone since they were named: take those of the newer listing.
+    there = {r.path for r in listing.select("path").collect()}
+    return _wanted(spark, listing, [p for p in paths if p in there])
 
 
 def load_text(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -140,7 +132,7 @@ def read_header(spark: SparkSession, path: str, fmt: str = "csv") -> list[str]:
     try:
         if fmt != "csv":
             return spark.read.format(fmt).load(path).schema.names
-        rows = spark.read.option("header", "false").csv(path).head(1)
+        rows = spark.read.option("header", "false").option("multiLine", "true").option("escape", '"').csv(path).head(1)
     except AnalysisException as exc:
         raise GuardError(f"could not open template {path}: {exc.getCondition()}") from exc
     if not rows:

@@ -15,14 +15,15 @@ folder is ever written twice. An attempt that is in ``started`` and not in
 
 from __future__ import annotations
 
-from datetime import datetime
+import uuid
+from datetime import UTC, datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siftrow.errors import GuardError
-from siftrow.operators.ledger import DONE, FAILED, LEDGER_SCHEMA, fold_ledger
+from siftrow.operators.ledger import DONE, FAILED, LEDGER_SCHEMA, fold_ledger, run_verdict
 from siftrow.sources.paths import read_parquet_if_there
 
 # Fixed value: the only ledger version there is.
@@ -40,6 +41,7 @@ SNAPSHOT_SCHEMA = (
     "version int, started_at string, updated_at string, processed array<string>, failed map<string,string>"
 )
 
+# Documents in one line of a snapshot, about. It sets how many lines there are, not what they hold.
 DOCS_PER_SNAPSHOT_ROW = 10_000
 # Fixed value: how a snapshot writes an instant.
 ISO_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+00:00'"
@@ -85,17 +87,10 @@ def start_attempt(spark: SparkSession, ledger: str, attempt: str, run_id: str, a
     row.write.mode("append").parquet(f"{ledger}/started")
 
 
-def open_attempts(spark: SparkSession, ledger: str, runs: DataFrame) -> list[str]:
-    """Attempts since the last committed run that never committed themselves.
-
-    Older ones do not count: the run that committed after them has already
-    taken up what they left. So the list is as long as the last row of crashes.
-    """
+def open_attempts(spark: SparkSession, ledger: str, runs: DataFrame) -> DataFrame:
+    """All attempts (attempt) that never committed, whatever was committed since."""
     started = read_parquet_if_there(spark, f"{ledger}/started", STARTED_SCHEMA)
-    last = runs.select(F.max("started_at")).scalar()
-    recent = started.where(last.isNull() | (F.col("started_at") > last))
-    rows = recent.join(runs.select("attempt"), "attempt", "left_anti").select("attempt").distinct().collect()
-    return sorted(r.attempt for r in rows)
+    return started.select("attempt").distinct().join(runs.select("attempt"), "attempt", "left_anti")
 
 
 def commit_run(run: DataFrame, ledger: str) -> None:
@@ -109,19 +104,26 @@ def iso_utc(at: Column) -> Column:
     return F.date_format(F.to_utc_timestamp(at, F.current_timezone()), ISO_FORMAT)
 
 
-def snapshot(events: DataFrame, shard: Column, key: str = "doc_key") -> DataFrame:
+def snapshot(events: DataFrame, shard: Column | int, key: str = "doc_key") -> DataFrame:
     """The folded ledger as rows of (version, started_at, updated_at, processed, failed).
 
     ``processed`` is sorted. ``shard`` is an expression over the key that splits
-    the documents over rows, so that each row holds a bounded share.
+    the documents over rows, or a number of rows: these are then ranges of the
+    key, in ascending order.
     """
-    state = fold_ledger(events, key).withColumn("_shard", shard)
+    state = fold_ledger(events, key)
+    ranges = isinstance(shard, int)
+    if ranges:
+        state = state.repartitionByRange(shard, key).withColumn("_shard", F.spark_partition_id())
+    else:
+        state = state.withColumn("_shard", shard)
     done = F.col("status") == DONE
     failures = F.collect_list(F.when(~done, F.struct(F.col(key), F.coalesce("reason", F.lit("")).alias("reason"))))
     rows = state.groupBy("_shard").agg(
         F.sort_array(F.collect_list(F.when(done, F.col(key)))).alias("processed"),
         F.map_from_entries(F.sort_array(failures)).alias("failed"),
     )
+    rows = rows.orderBy("_shard") if ranges else rows
     return rows.select(
         F.lit(LEDGER_VERSION).alias("version"),
         iso_utc(events.select(F.min("at")).scalar()).alias("started_at"),
@@ -134,15 +136,14 @@ def snapshot(events: DataFrame, shard: Column, key: str = "doc_key") -> DataFram
 def write_snapshot(events: DataFrame, path: str, docs_per_row: int = DOCS_PER_SNAPSHOT_ROW) -> None:
     """Write the snapshot as JSON, one object per line.
 
-    A small ledger is a single object. A large one is split by a hash of the
-    key so that each object holds about ``docs_per_row`` documents.
+    The lines are ranges of the key in ascending order, each of about
+    ``docs_per_row`` documents, so ``processed`` is sorted over all of them.
     """
     keys = events.select("doc_key").distinct().count()
-    shards = max(1, -(-keys // docs_per_row))
-    shard = F.pmod(F.xxhash64("doc_key"), F.lit(shards))
-    whole = snapshot(events, shard)
     if keys == 0:
         whole = _empty_snapshot(events.sparkSession)
+    else:
+        whole = snapshot(events, -(-keys // docs_per_row))
     whole.select(F.to_json(F.struct("*")).alias("value")).write.mode("overwrite").text(path)
 
 
@@ -169,6 +170,42 @@ def read_snapshot(spark: SparkSession, path: str, multi_line: bool = False) -> D
     return snapshot_events(rows)
 
 
+def import_snapshot(spark: SparkSession, path: str, ledger: str, multi_line: bool = False) -> None:
+    """Commit a snapshot to a ledger, so that a job begun elsewhere goes on here.
+
+    Each document takes its last word in the snapshot. What the ledger already
+    holds stays and the later word counts, as everywhere. The run id is new at
+    each import; a second import of one file changes no state.
+    """
+    read_runs(spark, ledger)
+    state = fold_ledger(read_snapshot(spark, path, multi_line))
+    now, attempt = datetime.now(UTC), f"snapshot-{uuid.uuid4().hex}"
+    stage = F.lit(None).cast("string").alias("stage")
+    start_attempt(spark, ledger, attempt, attempt, now)
+    write_events(state.select("doc_key", "status", stage, "reason", "at", F.lit(LEDGER_VERSION).alias("version")), ledger, attempt)
+    written = spark.read.schema(EVENT_SCHEMA).parquet(f"{ledger}/events/attempt={attempt}")
+    failed = F.count_if(F.col("status") == FAILED)
+    counts = written.agg(
+        F.count("*").alias("total"),
+        F.lit(0).cast("bigint").alias("skipped"),
+        F.count_if(F.col("status") == DONE).alias("succeeded"),
+        failed.alias("failed"),
+        failed.alias("failed_outstanding"),
+        run_verdict(failed),
+    )
+    commit_run(
+        counts.select(
+            F.lit(attempt).alias("run_id"),
+            F.lit(LEDGER_VERSION).alias("version"),
+            "*",
+            F.lit(now).alias("started_at"),
+            F.current_timestamp().alias("finished_at"),
+            F.lit(attempt).alias("attempt"),
+        ),
+        ledger,
+    )
+
+
 def snapshot_events(rows: DataFrame) -> DataFrame:
     """Snapshot rows to ledger events, one per document and list."""
     base = rows.withColumn("at", F.to_timestamp("updated_at"))

@@ -70,6 +70,14 @@ def test_header_diff(spark):
     }
 
 
+def test_header_diff_of_empty_headers_and_null_names(spark):
+    df = spark.createDataFrame([("null name", 1, "Title"), ("null name", 2, None)], "doc_key string, ordinal int, name string")
+    files = spark.createDataFrame([("null name",), ("nothing",)], "doc_key string")
+    got = {(r.doc_key, r.kind, r.ordinal, r.name) for r in header_diff(df, EXPECTED, files=files).collect()}
+    lacking = {("nothing", "missing", i, n) for i, n in enumerate(EXPECTED, 1)}
+    assert got == lacking | {("null name", "unexpected", 2, "")} | {("null name", "missing", i, n) for i, n in enumerate(EXPECTED, 1) if i > 1}
+
+
 def test_require_header():
     catalog = Catalog(tuple(Entry(c, c.lower(), "b") for c in EXPECTED))
     require_header(HEADERS["equal"], catalog)

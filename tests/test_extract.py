@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from siftrow import Catalog, Entry, GuardError, Rule, TransientError, extract_by_rules, extract_with, to_answers
-from siftrow.operators.extract import exponential_wait, rules_of
+from siftrow.operators.extract import exponential_wait, pacer, rules_of
 from tests.conftest import plan_of
 
 CATALOG = Catalog((Entry("T", "title", "x"), Entry("Y", "year", "x"), Entry("L", "links", "y"), Entry("N", "none", "y")))
@@ -93,3 +93,26 @@ def test_rows_with_an_error_are_not_called(spark):
 def test_attempts_must_be_positive(spark):
     with pytest.raises(GuardError):
         extract_with(requests(spark, "a"), lambda r: "", max_attempts=0)
+
+
+def test_pace_counts_every_attempt_and_the_time_of_the_call():
+    now, slept = [0.0], []
+
+    def sleep(seconds):
+        slept.append(seconds)
+        now[0] += seconds
+
+    ready = pacer(2.0, lambda: now[0], sleep)
+    ready()
+    now[0] += 0.5
+    ready()
+    now[0] += 5
+    ready()
+    ready()
+    assert slept == [1.5, 2.0]
+
+
+def test_two_rules_for_one_field_are_refused(docs_of):
+    rules = [Rule("title", "text", "a(.)"), Rule("title", "text", "b(.)")]
+    with pytest.raises(GuardError, match="several rules"):
+        extract_by_rules(docs_of(("d", "ab")), rules)

@@ -1,6 +1,6 @@
 import pytest
 
-from siftrow import DEFAULT_CATALOG, GuardError, fan_out, render_request, request_volume
+from siftrow import DEFAULT_CATALOG, SYSTEM_TEXT, GuardError, fan_out, render_request, request_volume
 from siftrow.plans.run import plan_requests
 from tests.conftest import plan_of
 
@@ -26,8 +26,8 @@ def test_request_volume(docs_of):
     total = rows[None]
     assert (total.docs, total.requests, total.minutes) == (2, 22, 2.0)
     rendered = render_request(fan_out(docs)).collect()
-    assert total.chars == sum(len(r.request) for r in rendered)
-    assert rows["review"].chars == sum(len(r.request) for r in rendered if r.batch == "review")
+    assert total.chars == sum(len(r.request) + len(SYSTEM_TEXT) for r in rendered)
+    assert rows["review"].chars == sum(len(r.request) + len(SYSTEM_TEXT) for r in rendered if r.batch == "review")
 
 
 def test_request_volume_of_nothing(docs_of):

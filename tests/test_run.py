@@ -1,10 +1,14 @@
 import json
+import os
+import time
+import uuid
 
 import pytest
 
-from siftrow import DEFAULT_CATALOG, Catalog, Entry, GuardError, count_output_rows, incremental_run, read_ledger, read_results, run, run_folder
+from siftrow import DEFAULT_CATALOG, SYSTEM_TEXT, Catalog, Entry, GuardError, count_output_rows, import_snapshot, incremental_run, read_ledger, read_results, run, run_folder
 from siftrow.operators.ledger import fold_ledger
 from siftrow.plans import run as run_module
+from siftrow.sources.documents import read_documents
 
 SMALL = Catalog((Entry("Title", "title", "first"), Entry("Year", "year", "second"), Entry("Brief", "brief", "synthesis")))
 
@@ -211,11 +215,15 @@ def test_documents_that_vanish_are_failures(spark, docs_of, places):
     assert (lost.stage, lost.reason) == ("read", "could not open: the document is gone")
 
 
-@pytest.mark.parametrize("max_paths", [0, 10_000])
-def test_folder_run_opens_only_pending_files(spark, tmp_path, places, monkeypatch, max_paths):
-    """Both ways of reading: paths handed to the reader, and a join to the folder."""
-    read = run_module.read_documents
-    monkeypatch.setattr(run_module, "read_documents", lambda *a, **k: read(*a, **k, max_paths=max_paths))
+def test_folder_run_opens_only_pending_files(spark, tmp_path, places, monkeypatch):
+    opened = []
+
+    def read(*args, **options):
+        docs = read_documents(*args, **options)
+        opened.append(sorted(f.rsplit("/", 1)[-1] for f in docs.inputFiles()))
+        return docs
+
+    monkeypatch.setattr(run_module, "read_documents", read)
     folder = tmp_path / "papers [1]"
     folder.mkdir()
     (folder / "a.txt").write_text("x")
@@ -229,6 +237,7 @@ def test_folder_run_opens_only_pending_files(spark, tmp_path, places, monkeypatc
     (folder / "a.txt").write_text("changed, but done")
     assert counts(run_folder(spark, str(folder), echo, *places, **options)) == (3, 1, 2, 0, 0, 0)
     assert titles(spark, places) == {"a.txt": "x", "b.txt": "y", "c.txt": "z"}
+    assert opened == [["a.txt", "b.txt"], ["b.txt", "c.txt"]]
     assert counts(run_folder(spark, str(folder), echo, *places, **options)) == (3, 3, 0, 0, 0, 0)
 
 
@@ -272,3 +281,74 @@ def test_streams_that_share_a_ledger_lose_nothing(spark, tmp_path, places):
     # A fresh checkpoint hands out old files again; only the new document is worked on.
     assert incremental_run(spark, feed("one", ("e", "x")), echo, *places, f"{tmp_path}/marks-new", catalog=SMALL) == 1
     assert {r.doc_key for r in read_results(spark, *places).collect()} == set("abcde")
+
+
+def logged(folder, lethal=None):
+    """An extractor that leaves one file per call; one document ends its worker, after the others are through."""
+
+    def extractor(row):
+        if row["doc_key"] == lethal:
+            time.sleep(4)
+            os._exit(1)
+        (folder / f"{row['doc_key']}-{row['batch']}-{uuid.uuid4().hex}").touch()
+        return echo(row)
+
+    return extractor
+
+
+def calls_of(folder):
+    return sorted(f.name.rsplit("-", 1)[0] for f in folder.iterdir())
+
+
+def test_tasks_that_ended_keep_their_answers_when_a_worker_dies(spark, tmp_path, places):
+    docs = spark.range(0, 8, 1, 8).selectExpr("CAST(id AS STRING) AS doc_key", "concat('t', id) AS text")
+    log = tmp_path / "calls"
+    log.mkdir()
+    with pytest.raises(Exception, match="(?i)python worker"):
+        run(spark, docs, logged(log, lethal="7"), *places, catalog=SMALL)
+    assert len(calls_of(log)) == 21
+    assert counts(run(spark, docs, logged(log), *places, catalog=SMALL)) == (8, 0, 8, 0, 0, 0)
+    assert calls_of(log) == sorted(f"{i}-{b}" for i in range(8) for b in ("first", "second", "synthesis"))
+
+
+def test_answers_of_a_dead_attempt_outlive_a_run_over_other_documents(spark, docs_of, places, tmp_path, monkeypatch):
+    log = tmp_path / "calls"
+    log.mkdir()
+    x, y = docs_of(("a", "x"), ("b", "x")), docs_of(("c", "y"))
+    with monkeypatch.context() as m:
+        m.setattr(run_module, "append_results", lambda *a: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            run(spark, x, logged(log), *places, catalog=SMALL)
+    run(spark, y, logged(log), *places, catalog=SMALL)
+    run(spark, x, logged(log), *places, catalog=SMALL)
+    assert len(calls_of(log)) == len(set(calls_of(log))) == 9
+    assert titles(spark, places) == {"a": "x", "b": "x", "c": "y"}
+
+
+def test_documents_outside_the_listing_are_left_alone(spark, docs_of, places):
+    docs = docs_of(("a", "x"), ("q", "y"))
+    assert counts(run(spark, docs, echo, *places, catalog=SMALL, listing=docs_of(("a", "")))) == (1, 0, 1, 0, 0, 0)
+    assert titles(spark, places) == {"a": "x"}
+    with pytest.raises(GuardError, match="not unique"):
+        run(spark, docs_of(("b", "x"), ("b", "y")), echo, *places, catalog=SMALL, listing=docs_of(("b", "")))
+
+
+def test_texts_and_cells_go_whole_and_with_the_system_text(spark, docs_of, places):
+    def told(row):
+        assert row["system"] == SYSTEM_TEXT
+        return echo(row)
+
+    text = "w" * 250_000
+    run(spark, docs_of(("a", text)), told, *places, catalog=SMALL)
+    assert titles(spark, places) == {"a": text}
+
+
+def test_run_resumes_from_an_imported_snapshot(spark, docs_of, places, tmp_path):
+    path = tmp_path / "old.json"
+    path.write_text(json.dumps({"version": 1, "started_at": "2024-03-01T00:00:00+00:00", "updated_at": "2024-03-02T00:00:00+00:00",
+                                "processed": ["a"], "failed": {"b": "no text"}}))
+    for _ in range(2):
+        import_snapshot(spark, str(path), places[1])
+    docs = docs_of(("a", "x"), ("b", "y"))
+    assert counts(run(spark, docs, echo, *places, catalog=SMALL)) == (2, 1, 1, 0, 0, 0)
+    assert titles(spark, places) == {"b": "y"}

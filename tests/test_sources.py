@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from siftrow.sources import documents as documents_module
 from siftrow import (
     DEFAULT_CATALOG,
     Catalog,
@@ -60,17 +61,18 @@ def test_scan_of_a_folder_with_glob_characters(spark, tmp_path):
     assert names(scan_documents(spark, str(tmp_path / "a[1] {x}"))) == ["a b.pdf"]
 
 
-def test_read_documents_isolates_bad_files(spark, tmp_path):
+def test_read_documents_isolates_bad_files(spark, tmp_path, monkeypatch):
     """Spark's own listing leaves out files of zero bytes; see the README."""
     (tmp_path / "good.txt").write_text("grün", encoding="utf-8")
     (tmp_path / "bad.txt").write_bytes(b"\xff\xfe\x00")
     (tmp_path / "empty.txt").write_bytes(b"")
     (tmp_path / "huge.txt").write_bytes(b"y" * 100)
-    got = {r.doc_key: (r.text, r.reason) for r in read_documents(spark, str(tmp_path), max_bytes=50).collect()}
+    monkeypatch.setattr(documents_module, "MAX_VALUE_BYTES", 50)
+    got = {r.doc_key: (r.text, r.reason) for r in read_documents(spark, str(tmp_path)).collect()}
     assert got == {
         "good.txt": ("grün", None),
         "bad.txt": (None, "could not open: no readable text"),
-        "huge.txt": (None, "could not open: larger than 50 bytes"),
+        "huge.txt": (None, "could not open: more than the 50 bytes of one value"),
     }
 
 
