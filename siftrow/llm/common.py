@@ -9,6 +9,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+#: Removes the shuffle files of a query when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: White space of the contracts: space and U+0009 to U+000D.
 BLANKS = " \t\n\x0b\x0c\r"
 
@@ -27,9 +29,19 @@ def work_folder(spark: SparkSession, name: str) -> str:
 
 
 def stored(df: DataFrame, path: str) -> DataFrame:
-    """df written as Parquet and read again: cuts lineage, and a lost executor costs no recomputation."""
-    df.write.mode("errorifexists").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """df written as Parquet and read again: cuts lineage, and a lost executor costs no recomputation.
+
+    Its shuffle files go once it is written, since only the table is read from then on. Otherwise those of all steps of a
+    job stay on disk until the driver happens to collect its garbage.
+    """
+    spark = df.sparkSession
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.mode("errorifexists").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
