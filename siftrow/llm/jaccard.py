@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftrow.llm.bytes import LOWER, U, lists, mix, prefix_hashes, slices, span_hashes, word_spans
+from siftrow.llm.bytes import LOWER, U, mix, prefix_hashes, slices, span_hashes, word_spans
 from siftrow.llm.common import stored, work_folder
 from siftrow.llm.components import connected_components
 
@@ -42,6 +42,8 @@ PIVOT_ROUNDS = 2
 PARTNERS = 256
 #: Bits of a token that candidates are joined on; unequal tokens that agree in them only add candidates to compare.
 KEY_BITS = 40
+#: Bytes of a token in the sets that pairs are compared by.
+TOKEN_BYTES = 6
 #: Bits of the map of documents whose sets are built. Where it fills up, more sets are built than needed, never fewer.
 MAP_BITS = 1 << 26
 
@@ -165,8 +167,24 @@ def document_map(ids: DataFrame) -> np.ndarray:
     return out
 
 
+def packed_tokens(token: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """The first TOKEN_BYTES bytes of every token, one binary value per set. Hashes do not compress, so their width is what
+    the sets cost; two of a pair's different tokens agree in 48 bits once in some hundred million pairs of long texts."""
+    short = np.ascontiguousarray(token.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :TOKEN_BYTES])
+    ends = pa.array(bounds * TOKEN_BYTES, pa.int64())
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(bounds) - 1, [None, ends.buffers()[1], pa.py_buffer(short)]).cast(pa.binary())
+
+
+def unpacked(tokens: bytes) -> np.ndarray:
+    """Sorted tokens of one value of `packed_tokens`."""
+    short = np.frombuffer(tokens, np.uint8).reshape(-1, TOKEN_BYTES)
+    whole = np.zeros((len(short), 8), np.uint8)
+    whole[:, 8 - TOKEN_BYTES :] = short
+    return whole.view(">u8").reshape(-1).astype(U)
+
+
 def class_sets(docs: DataFrame, chosen: DataFrame, size: int = SIZE) -> DataFrame:
-    """cls, tokens (sorted) of documents, at least of those in chosen (doc_id). Texts are not shuffled."""
+    """cls, tokens (`packed_tokens`) of documents, at least of those in chosen (doc_id). Texts are not shuffled."""
     shared = docs.sparkSession.sparkContext.broadcast(document_map(chosen))
     rows = docs.select("text", F.pmod(F.xxhash64("doc_id"), F.lit(MAP_BITS)).alias("at"))
 
@@ -179,18 +197,18 @@ def class_sets(docs: DataFrame, chosen: DataFrame, size: int = SIZE) -> DataFram
                 continue
             for data, offsets, _ in slices(batch.column("text").filter(pa.array(wanted.astype(bool)))):
                 token, bounds = shingles(data, offsets, size)
-                yield pa.RecordBatch.from_arrays([pa.array(class_ids(token, bounds)), lists(token.view(np.int64), bounds, pa.int64())], names=["cls", "tokens"])
+                yield pa.RecordBatch.from_arrays([pa.array(class_ids(token, bounds)), packed_tokens(token, bounds)], names=["cls", "tokens"])
 
-    return rows.mapInArrow(sets, "cls long, tokens array<long>").where("cls <> 0")
+    return rows.mapInArrow(sets, "cls long, tokens binary").where("cls <> 0")
 
 
-def verify(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+def verify(pairs: DataFrame, sets: DataFrame, folder: str, percent: int = PERCENT) -> DataFrame:
     """a, b, shared, either (sizes of intersection and union) and linked, for candidate pairs a, b of classes.
 
     Pairs that share no prefix token under the further orders are not linked without a full comparison. Each set moves to
-    the places of its partners, all pairs of one a follow the set of a.
+    the places of its partners, all pairs of one a follow the set of a. The pairs are written to folder first.
     """
-    ends = pairs.select("a", "b").distinct()
+    ends = stored(pairs.select("a", "b").distinct(), f"{folder}/pairs")
     # A class of very many partners is dealt over several tasks, each with the set of a.
     many = ends.groupBy("a").agg((F.floor(F.count(F.lit(1)) / PARTNERS) + 1).alias("parts"))
     ends = ends.join(many, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).alias("salt"))
@@ -206,7 +224,7 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFra
             ends = list(zip(batch.column("a").to_pylist(), batch.column("salt").to_pylist(), batch.column("b").to_pylist(), strict=True))
             out: dict[str, list] = {"a": [], "b": [], "shared": [], "either": [], "linked": []}
             for i, (a, part, b) in enumerate(ends):
-                y = tokens[i].values.to_numpy(zero_copy_only=False).view(U)
+                y = unpacked(tokens[i].as_buffer())
                 if a == b:
                     key, x = (a, part), y
                 elif key == (a, part):
@@ -214,11 +232,12 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFra
                         out[name].append(value)
             yield pa.RecordBatch.from_pydict({k: pa.array(v, pa.bool_() if k == "linked" else pa.int64()) for k, v in out.items()})
 
-    return rows.select("a", "salt", "b", "tokens").mapInArrow(compare, "a long, b long, shared long, either long, linked boolean").dropDuplicates(["a", "b"])
+    found = rows.select("a", "salt", "b", "tokens").mapInArrow(compare, "a long, b long, shared long, either long, linked boolean")
+    return stored(found.dropDuplicates(["a", "b"]), f"{folder}/compared")
 
 
 def _compare(x: np.ndarray, y: np.ndarray, percent: int) -> tuple[int, int, bool]:
-    both = x[np.isin(x, y, assume_unique=True)]
+    both = x[y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x]
     px, py = (int(prefix_length(np.array([len(s)]), percent)[0]) for s in (x, y))
     union = len(x) + len(y) - len(both)
     for seed in MORE_ORDERS:
@@ -245,14 +264,14 @@ def linked_classes(docs: DataFrame, base: DataFrame, folder: str, percent: int =
     crowd = members.withColumn("step", step).join(same, ["token", "step"])
     wanted = others.select("cls").unionByName(crowd.select("cls")).distinct()
     chosen = base.join(wanted, "cls").groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
-    sets = stored(class_sets(docs, chosen, size), f"{folder}/sets")
+    sets = stored(class_sets(docs, stored(chosen, f"{folder}/chosen"), size), f"{folder}/sets")
 
     links = None
     group = members
     for turn in range(PIVOT_ROUNDS):
         # Pairs of too different size cannot be linked and need no comparison; their distance is taken as unknown.
         pairs = group.where("cls <> pivot").join(sizes, "pivot").where(near).select(F.col("pivot").alias("a"), F.col("cls").alias("b")).distinct()
-        checked = stored(verify(pairs, sets, percent), f"{folder}/checked-{turn}")
+        checked = verify(pairs, sets, f"{folder}/checked-{turn}", percent)
         found = checked.where("linked").select("a", "b")
         links = found if links is None else links.unionByName(found)
         distance = checked.select(F.col("a").alias("pivot"), F.col("b").alias("cls"), (1 - F.col("shared") / F.col("either")).alias("d"), "linked")
@@ -262,7 +281,7 @@ def linked_classes(docs: DataFrame, base: DataFrame, folder: str, percent: int =
         roots = stored(connected_components(links, f"{folder}/roots-{turn}"), f"{folder}/roots-{turn}/all")
         far = judged.where("not linked")
         rest = _across(far, judged.where("linked"), roots, percent)
-        extra = stored(verify(rest, sets, percent), f"{folder}/across-{turn}").where("linked").select("a", "b")
+        extra = verify(rest, sets, f"{folder}/across-{turn}", percent).where("linked").select("a", "b")
         links = links.unionByName(extra)
         # The others have a new pivot of their own.
         fresh = far.groupBy("token").agg(F.min("cls").alias("pivot"), F.max("cls").alias("_most")).where("pivot < _most").drop("_most")
@@ -270,7 +289,7 @@ def linked_classes(docs: DataFrame, base: DataFrame, folder: str, percent: int =
     roots = stored(connected_components(links, f"{folder}/roots-last"), f"{folder}/roots-last/all")
     left = group.withColumn("d", F.lit(None).cast("double"))
     rest = _across(left, left, roots, percent)
-    return links.unionByName(verify(rest, sets, percent).where("linked").select("a", "b"))
+    return links.unionByName(verify(rest, sets, f"{folder}/across-last", percent).where("linked").select("a", "b"))
 
 
 def _step(n):
