@@ -111,7 +111,3 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
 def segment_ids(bounds: np.ndarray) -> np.ndarray:
     """For each element, the segment it lies in; bounds has one number more than segments."""
     return np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
-
-
-def lists(values: np.ndarray, bounds: np.ndarray, kind: pa.DataType) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(values, kind))
