@@ -3,9 +3,9 @@
 Pages of one host are made from one template. Each page's DOM is reduced to a tree of elements in which neighbours of the
 same kind are one repeated slot. Trees of the same host are aligned two by two with simple tree matching, which finds the
 mapping of equal elements in equal order that maps most nodes; the merged tree keeps, for each node, how many pages have
-it and whether its text was the same in all of them. Nodes that are the same on every page are template. Nodes that vary
-are slots, and slots are content unless they serve the page (menus, adverts, forms, comments and the like, told by element,
-role or name).
+it and its most frequent texts. A node with one text on all pages of the host is template, wherever it stands, and that
+text is left out. What varies is content, on every page, unless it serves the page (menus, adverts, forms,
+comments and the like, told by element, role or name).
 
 Trees are merged within tasks first, then over salted groups of a host, then over the host, so every page takes part and
 no task holds more than trees, which have one node per kind of element however long the page is. Pages are not shuffled for
@@ -21,10 +21,13 @@ import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siftrow.llm.bytes import prefix_hashes, span_hashes
+
 # Fixed values of the HTML standard, as this reader needs them.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template iframe object svg math canvas head title select textarea button option".split())
@@ -44,7 +47,11 @@ SERVICE_NAMES = frozenset(
     "footer header login menu menus nav navbar navigation newsletter notice notices pagination popup promo promoted related replies "
     "reply respond share sharing sidebar signup social sponsor sponsored subscribe toolbar widget widgets".split()
 )
+# Never service, whatever their names.
 MAIN_TAGS = frozenset({"article", "main"})
+# Texts of a node that are counted; each page count is exact up to so many texts, and then short by at most a
+# LEADING-th of the pages with other texts.
+LEADING = 8
 # Pages of a host that go into one group at first, and groups that are then merged by one task.
 SALTS = 64
 
@@ -124,59 +131,144 @@ def digest(text: str) -> str:
     return hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=8).hexdigest()
 
 
-def whole_text(node: Node) -> str:
-    out, todo = [], [node]
-    while todo:
-        x = todo.pop()
-        if isinstance(x, str):
-            out.append(x)
-        elif x.tag not in RAW:
-            todo.extend(reversed(x.children))
-    return SPACE.sub(" ", "".join(out)).strip()
-
-
 def label(node: Node) -> str:
     return f"{node.tag}.{node.name}" if node.name else node.tag
 
 
+class Part:
+    """An element, or a run of text between elements, over the places first to last of an outline."""
+
+    __slots__ = ("label", "first", "last", "children", "rest", "written")
+
+    def __init__(self, name: str, first: int):
+        self.label, self.first, self.last, self.children = name, first, first, []
+        # Where the text since the last child begins, and whether there is any.
+        self.rest, self.written = first, False
+
+    def end_run(self, place: int) -> None:
+        if self.written:
+            run = Part("#text", self.rest)
+            run.last = place
+            self.children.append(run)
+        self.rest, self.written = place, False
+
+
 DEPTH = 12
 
 
-def shape(nodes: list[Node], depth: int = 0) -> list:
-    """Template tree of sibling elements: [label, pages, digest of the text or None if it varies, children].
+def outline(root: Node) -> tuple[list[str | None], list]:
+    """What can be content in page order (texts, and None where a block begins or ends), and the page's own tree.
 
-    Neighbours with the same label are one node with the children of all. Below DEPTH, elements count as text.
+    The tree: [label, first place, digest of the text, children, last place]. Neighbours with the same label are one node
+    with the children of all. Text beside elements is a node of its own. Below DEPTH, elements count as text. Service
+    elements take no part.
     """
-    out: list = []
-    groups: list[list[Node]] = []
-    for node in nodes:
-        if node.tag in RAW or node.tag in VOID:
-            continue
-        if groups and label(groups[-1][0]) == label(node):
-            groups[-1].append(node)
-        else:
-            groups.append([node])
-    for group in groups:
-        below = [c for node in group for c in node.children if isinstance(c, Node) and c.tag in BLOCKS]
-        text = "\n".join(whole_text(node) for node in group)
-        out.append([label(group[0]), 1, digest(text), shape(below, depth + 1) if depth < DEPTH else []])
-    return out
+    texts: list[str | None] = []
+    page = Part("page", 0)
+    open_parts = [page]
+    todo: list[tuple[Iterator, bool, bool]] = [(iter(root.children), False, False)]
+    while todo:
+        children, part, block = todo[-1]
+        child = next(children, todo)
+        if child is todo:
+            todo.pop()
+            if block:
+                texts.append(None)
+            if part or not todo:
+                done = open_parts.pop()
+                if done.children:
+                    done.end_run(len(texts))
+                done.last = len(texts)
+                if open_parts:
+                    open_parts[-1].rest = len(texts)
+        elif isinstance(child, str):
+            texts.append(child)
+            open_parts[-1].written = open_parts[-1].written or not child.isspace()
+        elif child.tag == "br":
+            texts.append(" ")
+        elif not child.service and child.tag not in RAW:
+            block = child.tag in BLOCKS
+            part = child.tag in BLOCKS and child.tag not in VOID
+            if part:
+                open_parts[-1].end_run(len(texts))
+                open_parts.append(Part(label(child), len(texts)))
+                open_parts[-2].children.append(open_parts[-1])
+            if block:
+                texts.append(None)
+            todo.append((iter(child.children), part, block))
+
+    # Digests without white space, so that each is a span of one array.
+    bare = ["".join(t.split()).encode("utf-8", "replace") if t else b"" for t in texts]
+    ends = np.cumsum([0, *map(len, bare)])
+    sums = prefix_hashes(np.frombuffer(b"".join(bare), np.uint8))
+    tree = ["page", 0, None, [], len(texts)]
+    nodes, below = [tree], [(page.children, tree[3], 0)]
+    while below:
+        parts, out, depth = below.pop()
+        groups: list[list[Part]] = []
+        for one in parts:
+            if groups and groups[-1][0].label == one.label:
+                groups[-1].append(one)
+            else:
+                groups.append([one])
+        for group in groups:
+            node = [group[0].label, group[0].first, None, [], group[-1].last]
+            out.append(node)
+            nodes.append(node)
+            inner = [x for one in group for x in one.children]
+            if inner and depth < DEPTH:
+                below.append((inner, node[3], depth + 1))
+    spans = span_hashes(sums, ends[[n[1] for n in nodes]], ends[[n[4] for n in nodes]])
+    for node, found in zip(nodes, spans.tolist(), strict=True):
+        node[2] = found
+    return texts, tree
 
 
 def tree_of(root: Node) -> list:
-    return ["page", 1, None, shape([c for c in root.children if isinstance(c, Node)])]
+    """Template tree of one page: [label, pages, digest of the text or None if it varies, children, texts].
+
+    texts: the most frequent digests, each with its number of pages and the least and greatest digest of such a page.
+    """
+    tree = outline(root)[1]
+    page = tree[2] >> 32
+    todo = [tree]
+    while todo:
+        node = todo.pop()
+        node[1], node[4] = 1, {node[2]: (1, page, page)}
+        todo.extend(node[3])
+    return tree
+
 
+def matching(a: list, b: list, known: dict | None = None) -> tuple[int, list[tuple[int, int]]]:
+    """Simple tree matching of two lists of sibling trees: the most nodes mapped, and the pairs that do it.
 
-def matching(a: list, b: list) -> tuple[int, list[tuple[int, int]]]:
-    """Simple tree matching of two lists of sibling trees: the most nodes mapped, and the pairs that do it."""
+    known: results for lists of the same trees, by identity.
+    """
+    known = {} if known is None else known
+    todo = [(a, b)]
+    while todo:
+        x, y = todo[-1]
+        if (id(x), id(y)) in known:
+            todo.pop()
+            continue
+        below = [(p[3], q[3]) for p in x for q in y if p[0] == q[0] and p[3] and q[3] and (id(p[3]), id(q[3])) not in known]
+        if below:
+            todo.extend(below)
+        else:
+            known[id(x), id(y)] = _best(x, y, known)
+            todo.pop()
+    return known[id(a), id(b)]
+
+
+def _best(a: list, b: list, known: dict) -> tuple[int, list[tuple[int, int]]]:
+    """The matching of two lists when those of all lists below are known."""
     m, n = len(a), len(b)
     best = [[0] * (n + 1) for _ in range(m + 1)]
-    gain = {}
     for i in range(m):
         for j in range(n):
             w = 0
             if a[i][0] == b[j][0]:
-                w = gain[i, j] = 1 + matching(a[i][3], b[j][3])[0]
+                w = 1 + (known[id(a[i][3]), id(b[j][3])][0] if a[i][3] and b[j][3] else 0)
             best[i + 1][j + 1] = max(best[i + 1][j], best[i][j + 1], best[i][j] + w)
     pairs, i, j = [], m, n
     while i and j:
@@ -190,21 +282,77 @@ def matching(a: list, b: list) -> tuple[int, list[tuple[int, int]]]:
     return best[m][n], pairs[::-1]
 
 
-def merge_lists(a: list, b: list) -> list:
-    """Both lists of siblings as one: matched nodes merged, the others side by side in their order."""
-    _, pairs = matching(a, b)
-    out, i, j = [], 0, 0
-    for p, q in [*pairs, (len(a), len(b))]:
-        out += a[i:p] + b[j:q]
-        if p < len(a):
-            out.append(merge(a[p], b[q]))
-        i, j = p + 1, q + 1
-    return out
+def merge(a: list, b: list) -> list:
+    """Both trees as one: matched nodes merged, the others side by side in their order."""
+    known: dict = {}
+    top = _both(a, b)
+    todo = [(top, a[3], b[3])]
+    while todo:
+        node, x, y = todo.pop()
+        if not x or not y:
+            node[3] = x or y
+            continue
+        out, i, j = [], 0, 0
+        for p, q in matching(x, y, known)[1]:
+            out += x[i:p] + y[j:q]
+            out.append(_both(x[p], y[q]))
+            todo.append((out[-1], x[p][3], y[q][3]))
+            i, j = p + 1, q + 1
+        node[3] = out + x[i:] + y[j:]
+    return top
+
+
+def _both(a: list, b: list) -> list:
+    """Two nodes as one, its children still to come."""
+    texts = dict(a[4])
+    for text, (n, low, high) in b[4].items():
+        held = texts.get(text)
+        texts[text] = (n + held[0], min(low, held[1]), max(high, held[2])) if held else (n, low, high)
+    if len(texts) > LEADING:
+        # Each text loses as many pages as the first that is left out has: one that leads keeps nearly all of its own.
+        less = sorted((v[0] for v in texts.values()), reverse=True)[LEADING]
+        texts = {k: (n - less, low, high) for k, (n, low, high) in texts.items() if n > less}
+    return [a[0], a[1] + b[1], a[2] if a[2] is not None and a[2] == b[2] else None, [], texts]
+
+
+def written(tree: list) -> str:
+    """JSON of a tree as a flat list, each node before its children and with their number, so that depth has no limit."""
+    flat, todo = [], [tree]
+    while todo:
+        node = todo.pop()
+        flat.append([*node[:3], len(node[3]), *([[[k, *v] for k, v in node[4].items()]] if len(node) > 4 else [])])
+        todo.extend(reversed(node[3]))
+    return json.dumps(flat, separators=(",", ":"))
 
 
-def merge(a: list, b: list) -> list:
-    same = a[2] if a[2] is not None and a[2] == b[2] else None
-    return [a[0], a[1] + b[1], same, merge_lists(a[3], b[3])]
+def read_tree(text: str) -> list:
+    top: list = []
+    todo = [(top, 1)]
+    for name, pages, same, below, *texts in json.loads(text):
+        while not todo[-1][1]:
+            todo.pop()
+        out, left = todo[-1]
+        todo[-1] = (out, left - 1)
+        out.append([name, pages, same, [], *({k: tuple(v) for k, *v in t} for t in texts)])
+        todo.append((out[-1][3], below))
+    return top[0]
+
+
+def template_of(tree: list) -> list | None:
+    """The tree with the text of each template node, None for others; None if no node is template.
+
+    A node is template if one text of it is on all pages of the host, and not only on copies of one page.
+    """
+    top = [tree[0], tree[1], None, []]
+    todo, some = [(tree, top)], False
+    while todo:
+        node, made = todo.pop()
+        for child in node[3]:
+            text = next((k for k, (n, low, high) in child[4].items() if low != high and n == tree[1]), None)
+            some = some or text is not None
+            made[3].append([child[0], child[1], text, []])
+            todo.append((child, made[3][-1]))
+    return top if some else None
 
 
 def host_of(url: Column) -> Column:
@@ -213,7 +361,7 @@ def host_of(url: Column) -> Column:
 
 
 def induce_templates(pages: DataFrame) -> DataFrame:
-    """host, tree (JSON): one merged tree per host over all its pages (url, html)."""
+    """host, tree (JSON): the template of each host that has one, by all its pages (url, html)."""
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trees: dict[str, list] = {}
@@ -227,93 +375,75 @@ def induce_templates(pages: DataFrame) -> DataFrame:
         yield rows(trees)
 
     def rows(trees: dict[str, list]) -> pa.RecordBatch:
-        texts = [json.dumps(t) for t in trees.values()]
+        texts = [written(t) for t in trees.values()]
         salts = [int(digest(h + t), 16) % SALTS for h, t in zip(trees, texts, strict=True)]
         return pa.RecordBatch.from_arrays([pa.array(list(trees), pa.string()), pa.array(salts, pa.int32()), pa.array(texts, pa.string())], names=["host", "salt", "tree"])
 
-    def join(key: tuple, table: pa.Table) -> pa.Table:
+    def total(table: pa.Table) -> list:
         trees = sorted(table.column("tree").to_pylist())
-        total = json.loads(trees[0])
+        out = read_tree(trees[0])
         for t in trees[1:]:
-            total = merge(total, json.loads(t))
-        return pa.table({"host": [key[0].as_py()], "tree": [json.dumps(total)]})
+            out = merge(out, read_tree(t))
+        return out
+
+    def join(key: tuple, table: pa.Table) -> pa.Table:
+        return pa.table({"host": [key[0].as_py()], "tree": [written(total(table))]})
+
+    def decide(key: tuple, table: pa.Table) -> pa.Table:
+        made = template_of(total(table))
+        return pa.table({"host": pa.array([key[0].as_py()] if made else [], pa.string()), "tree": pa.array([written(made)] if made else [], pa.string())})
 
     parts = pages.select(host_of(F.col("url")).alias("host"), "html").mapInArrow(local, "host string, salt int, tree string")
     salted = parts.groupBy("host", "salt").applyInArrow(join, "host string, tree string")
-    return salted.groupBy("host").applyInArrow(join, "host string, tree string")
+    return salted.groupBy("host").applyInArrow(decide, "host string, tree string")
 
 
 def content_blocks(root: Node, template: list | None) -> list[str]:
     """Texts of the page's content blocks in order, by the template of its host."""
-    mains = [n for n in _walk(root) if n.tag in MAIN_TAGS and not n.service]
-    out: list[str] = []
-    inline: list[str] = []
-
-    def flush() -> None:
-        text = SPACE.sub(" ", "".join(inline)).strip()
-        inline.clear()
-        if text:
-            out.append(text)
-
-    def visit(node: Node, nodes: list, known: list | None, inside: bool) -> None:
-        """Go through a group's children; known: the template's nodes below the group."""
-        skipped = template_nodes(node, known) if known is not None and not inside else {}
-        for child in node.children:
-            if isinstance(child, str):
-                if inside or not mains:
-                    inline.append(child)
-                continue
-            if child.service or child.tag in RAW:
-                continue
-            if child.tag == "br":
-                inline.append(" ")
-                continue
-            block = child.tag in BLOCKS
-            if block:
-                flush()
-            found = skipped.get(id(child))
-            if found is None or not _constant(found, total):
-                visit(child, nodes, found[3] if found else None, inside or child in mains)
-            if block:
-                flush()
-
-    total = template[1] if template else 1
-    visit(root, [], template[3] if template else None, False)
-    flush()
-    return out
-
-
-def _constant(node: list, total: int) -> bool:
-    """The same text on every page of a host of several pages."""
-    return total > 1 and node[1] == total and node[2] is not None
+    texts, tree = outline(root)
+    blocks = _blocks(texts, _template_places(tree, template)) if template else []
+    # Nothing but template: then nothing tells it from content.
+    return blocks or _blocks(texts, [])
 
 
-def template_nodes(node: Node, known: list) -> dict[int, list]:
-    """The template node of each block child, by aligning this page's children with the template's."""
-    own = [c for c in node.children if isinstance(c, Node) and c.tag not in RAW and c.tag not in VOID]
-    groups: list[list[Node]] = []
-    for child in own:
-        if groups and label(groups[-1][0]) == label(child):
-            groups[-1].append(child)
-        else:
-            groups.append([child])
-    _, pairs = matching([[label(g[0]), 1, None, []] for g in groups], [[k[0], 1, None, []] for k in known])
-    return {id(child): known[j] for i, j in pairs for child in groups[i]}
-
-
-def _walk(root: Node) -> Iterator[Node]:
-    todo = [root]
+def _template_places(tree: list, template: list) -> list[tuple[int, int]]:
+    """Places of the page's nodes that have the text of the template's node they are aligned with."""
+    out, known = [], {}
+    todo = [(tree[3], template[3])]
     while todo:
-        node = todo.pop()
-        yield node
-        todo.extend(c for c in reversed(node.children) if isinstance(c, Node) and not c.service)
+        own, others = todo.pop()
+        for i, j in matching(own, others, known)[1] if own and others else []:
+            if others[j][2] is not None and own[i][2] == others[j][2]:
+                out.append((own[i][1], own[i][4]))
+            else:
+                todo.append((own[i][3], others[j][3]))
+    return sorted(out)
+
+
+def _blocks(texts: list[str | None], left_out: list[tuple[int, int]]) -> list[str]:
+    kept, at = [], 0
+    for first, last in left_out:
+        # Where blocks begin and end still counts.
+        kept += texts[at:first] + [t for t in texts[first:last] if t is None]
+        at = last
+    out: list[str] = []
+    inline: list[str] = []
+    for text in [*kept, *texts[at:], None]:
+        if text is not None:
+            inline.append(text)
+        elif inline:
+            found = SPACE.sub(" ", "".join(inline)).strip()
+            inline.clear()
+            if found:
+                out.append(found)
+    return out
 
 
 def extract_main_text(pages: DataFrame) -> DataFrame:
-    """page_id, url, text, n_chars of every page: the article's blocks in page order, joined by line breaks.
+    """page_id, url, text, n_chars of every page: the content's blocks in page order, joined by line breaks.
 
-    A null or empty html, and a page without content, give an empty text. Within an article (or main) element everything
-    counts but what serves the page; without one, whatever varies between the pages of the host does. A host of one page,
+    A null or empty html, and a page without content, give an empty text. Everything counts but what serves the page and
+    what has the text of the host's template, inside and outside of article and main elements alike. A host of one page,
     or of equal pages only, has nothing to tell template from content by, and all but service elements counts. A null url
     is a host of its own. Repeated rows are pages like others. No pages: no rows. Other columns are not read.
     """
@@ -328,12 +458,8 @@ def extract_main_text(pages: DataFrame) -> DataFrame:
             for html, tree in zip(batch.column("html").to_pylist(), batch.column("tree").to_pylist(), strict=True):
                 if tree is not None and tree not in known:
                     known = {} if len(known) > 256 else known
-                    known[tree] = json.loads(tree)
-                root = parse(html or "")
-                template = known.get(tree) if tree is not None else None
-                blocks = content_blocks(root, template)
-                # Equal pages only: nothing varies, so nothing is known to be template.
-                texts.append("\n".join(blocks or content_blocks(root, None)))
+                    known[tree] = read_tree(tree)
+                texts.append("\n".join(content_blocks(parse(html or ""), known[tree] if tree is not None else None)))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
                 names=["page_id", "url", "text", "n_chars"],
