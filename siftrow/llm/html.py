@@ -3,8 +3,8 @@
 Pages of one host are made from one template. Each page's DOM is reduced to a tree of elements in which neighbours of the
 same kind are one repeated slot. Trees of the same host are aligned two by two with simple tree matching, which finds the
 mapping of equal elements in equal order that maps most nodes; the merged tree keeps, for each node, how many pages have
-it and its most frequent texts. A node with one text on all pages of the host is template, wherever it stands, and that
-text is left out. What varies is content, on every page, unless it serves the page (menus, adverts, forms,
+it and its most frequent texts. A node with one text on most pages that have its parent is template, wherever it stands,
+and that text is left out. What varies is content, on every page, unless it serves the page (menus, adverts, forms,
 comments and the like, told by element, role or name).
 
 Trees are merged within tasks first, then over salted groups of a host, then over the host, so every page takes part and
@@ -49,6 +49,8 @@ SERVICE_NAMES = frozenset(
 )
 # Never service, whatever their names.
 MAIN_TAGS = frozenset({"article", "main"})
+# A text on this share of the pages that have a node's parent makes the node template.
+SHARE = 0.75
 # Texts of a node that are counted; each page count is exact up to so many texts, and then short by at most a
 # LEADING-th of the pages with other texts.
 LEADING = 8
@@ -341,14 +343,14 @@ def read_tree(text: str) -> list:
 def template_of(tree: list) -> list | None:
     """The tree with the text of each template node, None for others; None if no node is template.
 
-    A node is template if one text of it is on all pages of the host, and not only on copies of one page.
+    A node is template if one text of it is on SHARE of the pages that have its parent, and not only on copies of one page.
     """
     top = [tree[0], tree[1], None, []]
     todo, some = [(tree, top)], False
     while todo:
         node, made = todo.pop()
         for child in node[3]:
-            text = next((k for k, (n, low, high) in child[4].items() if low != high and n == tree[1]), None)
+            text = next((k for k, (n, low, high) in child[4].items() if low != high and n >= SHARE * node[1]), None)
             some = some or text is not None
             made[3].append([child[0], child[1], text, []])
             todo.append((child, made[3][-1]))
@@ -361,13 +363,15 @@ def host_of(url: Column) -> Column:
 
 
 def induce_templates(pages: DataFrame) -> DataFrame:
-    """host, tree (JSON): the template of each host that has one, by all its pages (url, html)."""
+    """host, tree (JSON): the template of each host that has one, by all its pages (url, html). Pages without elements do not count."""
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trees: dict[str, list] = {}
         for batch in batches:
             for host, html in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
                 tree = tree_of(parse(html or ""))
+                if not tree[3]:
+                    continue
                 trees[host] = merge(trees[host], tree) if host in trees else tree
             if len(trees) > 4096:
                 yield rows(trees)

@@ -1,6 +1,6 @@
 """HTML extraction where only the alignment of a host's pages can tell content from boilerplate."""
 
-from siftrow.llm.html import extract_main_text
+from siftrow.llm.html import content_blocks, extract_main_text, merge, parse, read_tree, template_of, tree_of, written
 
 
 def texts_of(spark, pages):
@@ -21,3 +21,27 @@ def test_a_lone_page_and_equal_pages_keep_all_but_service(spark):
     page = "<body><nav>menu</nav><article>quote</article><div><p>body</p></div></body>"
     assert texts_of(spark, [page]) == ["quote\nbody"]
     assert texts_of(spark, [page] * 3) == ["quote\nbody"] * 3
+
+
+def test_odd_and_empty_pages_leave_a_host_its_template(spark):
+    page = '<body><div class="top">{1}</div><div class="story"><p>story {0}</p></div><div class="end">Written by hand</div></body>'
+    pages = [page.format(i, "Rivers Lakes Seas") for i in range(300)]
+    odd = ["", None, "<<", "<body><h1>404</h1></body>", '<body><table><tr><td>other layout</td></tr></table></body>', page.format("odd", "Rivers Lakes Seas Ponds")]
+    got = texts_of(spark, pages[:150] + odd + pages[150:])
+    assert got[:150] + got[156:] == [f"story {i}" for i in range(300)]
+    # What is not the template's text stays.
+    assert got[150:152] == ["", ""] and got[153:156] == ["404", "other layout", "Rivers Lakes Seas Ponds\nstory odd"]
+
+
+def test_copies_of_a_page_are_not_a_template(spark):
+    page = '<body><div class="top">Rivers</div><div class="story"><p>story {}</p></div></body>'
+    assert texts_of(spark, [page.format(min(i, 2)) for i in range(20)]) == [f"story {min(i, 2)}" for i in range(20)]
+
+
+def test_a_leading_text_is_found_among_many():
+    pages = ['<div class="top">{}</div><p>story {}</p>'.format(f"own {i}" if i % 10 == 0 else "same", i) for i in range(1000)]
+    trees = [tree_of(parse(p)) for p in pages]
+    while len(trees) > 1:
+        trees = [merge(*trees[i : i + 2]) if i + 1 < len(trees) else trees[i] for i in range(0, len(trees), 2)]
+    template = read_tree(written(template_of(read_tree(written(trees[0])))))
+    assert [content_blocks(parse(pages[i]), template) for i in (0, 1)] == [["own 0", "story 0"], ["story 1"]]
