@@ -49,6 +49,11 @@ SERVICE_NAMES = frozenset(
 )
 # Never service, whatever their names.
 MAIN_TAGS = frozenset({"article", "main"})
+# Elements that are part of the text around them.
+INLINE = frozenset(
+    "a abbr acronym b bdi bdo big br cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong "
+    "sub sup time tt u var wbr".split()
+)
 # A text on this share of the pages that have a node's parent makes the node template.
 SHARE = 0.75
 # Texts of a node that are counted; each page count is exact up to so many texts, and then short by at most a
@@ -155,15 +160,12 @@ class Part:
         self.rest, self.written = place, False
 
 
-DEPTH = 12
-
-
 def outline(root: Node) -> tuple[list[str | None], list]:
     """What can be content in page order (texts, and None where a block begins or ends), and the page's own tree.
 
     The tree: [label, first place, digest of the text, children, last place]. Neighbours with the same label are one node
-    with the children of all. Text beside elements is a node of its own. Below DEPTH, elements count as text. Service
-    elements take no part.
+    with the children of all. Text beside elements is a node of its own; inline elements are text, and what stands in them
+    counts as if it stood around them. Service elements take no part.
     """
     texts: list[str | None] = []
     page = Part("page", 0)
@@ -190,7 +192,7 @@ def outline(root: Node) -> tuple[list[str | None], list]:
             texts.append(" ")
         elif not child.service and child.tag not in RAW:
             block = child.tag in BLOCKS
-            part = child.tag in BLOCKS and child.tag not in VOID
+            part = child.tag not in INLINE and child.tag not in VOID
             if part:
                 open_parts[-1].end_run(len(texts))
                 open_parts.append(Part(label(child), len(texts)))
@@ -204,9 +206,9 @@ def outline(root: Node) -> tuple[list[str | None], list]:
     ends = np.cumsum([0, *map(len, bare)])
     sums = prefix_hashes(np.frombuffer(b"".join(bare), np.uint8))
     tree = ["page", 0, None, [], len(texts)]
-    nodes, below = [tree], [(page.children, tree[3], 0)]
+    nodes, below = [tree], [(page.children, tree[3])]
     while below:
-        parts, out, depth = below.pop()
+        parts, out = below.pop()
         groups: list[list[Part]] = []
         for one in parts:
             if groups and groups[-1][0].label == one.label:
@@ -218,8 +220,8 @@ def outline(root: Node) -> tuple[list[str | None], list]:
             out.append(node)
             nodes.append(node)
             inner = [x for one in group for x in one.children]
-            if inner and depth < DEPTH:
-                below.append((inner, node[3], depth + 1))
+            if inner:
+                below.append((inner, node[3]))
     spans = span_hashes(sums, ends[[n[1] for n in nodes]], ends[[n[4] for n in nodes]])
     for node, found in zip(nodes, spans.tolist(), strict=True):
         node[2] = found

@@ -45,3 +45,12 @@ def test_a_leading_text_is_found_among_many():
         trees = [merge(*trees[i : i + 2]) if i + 1 < len(trees) else trees[i] for i in range(0, len(trees), 2)]
     template = read_tree(written(template_of(read_tree(written(trees[0])))))
     assert [content_blocks(parse(pages[i]), template) for i in (0, 1)] == [["own 0", "story 0"], ["story 1"]]
+
+
+def test_templates_reach_any_depth_and_through_inline_and_unknown_elements(spark):
+    inner = '<div class="top">Rivers</div><a href="/"><div class="story"><p>story {0}</p></div><div class="box">Join us</div></a><x-note>Mind the gap</x-note>'
+    for depth in (20, 1500):
+        page = "<div>" * depth + inner + "</div>" * depth
+        assert texts_of(spark, [page.format(i) for i in range(4)]) == [f"story {i}" for i in range(4)]
+    page = "<x-page>" * 20 + inner + "</x-page>" * 20
+    assert texts_of(spark, [page.format(i) for i in range(4)]) == [f"story {i}" for i in range(4)]
