@@ -6,6 +6,9 @@ of Bloom filters: five bits each, at most 128 features to a filter of 2,048 bits
 filter: the bits in common, from what chance gives (0) to all that there could be (1). Each filter of the shorter chain
 counts with its best partner.
 
+Brief and uniform texts have few windows. They, and all texts up to somewhat above brief ones, also have a chain of all
+their spans of six bytes, which decides where one of two texts is brief or uniform; so likeness does not end at a length.
+
 The entropy of a window is that of order two, from its number of equal pairs of bytes: it can be summed along the text.
 The rarity table has one count per possible number of pairs, whatever the input, over all windows of all texts.
 """
@@ -28,8 +31,13 @@ PAIRS = WINDOW * (WINDOW - 1) // 2
 #: Windows in a run, and in how many runs a feature must be the rarest.
 RUN, POPULAR = 32, 8
 BITS, PER_FILTER, HASHES = 2048, 128, 5
-#: Bytes of the spans that stand for a text of fewer than BRIEF bytes, or for one too uniform to have features.
+#: Bytes of the spans that decide for a text of fewer than BRIEF bytes.
 SHORT, BRIEF = 6, 512
+#: Texts of up to so many bytes have both kinds of filters. An edit of a brief text is no longer than this, and an edit of
+#: a longer text is not brief, even if half of either's characters have four bytes.
+BOTH = 5 * BRIEF
+#: A text with less than one selected window in so many bytes is too uniform for windows to stand for it.
+SPARSE = 128
 #: Windows with more equal pairs than this are too uniform to tell texts apart.
 DULL = PAIRS // 2
 ROWS_PER_RANGE = 2048
@@ -117,32 +125,52 @@ def chain(hashes: np.ndarray) -> np.ndarray:
 
 
 def fingerprints(texts: pa.Array, ranks: np.ndarray) -> list[bytes]:
-    """The chain of each text as bytes; nothing for an empty one. A brief text gives all its short spans."""
+    """The chains of each text as bytes, nothing for an empty one: four bytes that say how many filters hold short spans
+    and whether these decide, then those filters, then those of the windows."""
     out: list[bytes] = []
     for data, offsets, _ in slices(texts):
         hashes, bounds = features(data, offsets, ranks)
         for i in range(len(offsets) - 1):
-            if bounds[i + 1] > bounds[i] and offsets[i + 1] - offsets[i] >= BRIEF:
-                out.append(chain(hashes[bounds[i] : bounds[i + 1]]).tobytes())
-            elif offsets[i + 1] > offsets[i]:
-                own = data[offsets[i] : offsets[i + 1]]
-                width = min(SHORT, len(own))
-                starts = np.arange(len(own) - width + 1)
-                spans = span_hashes(prefix_hashes(own), starts, starts + width)
-                _, first = np.unique(spans, return_index=True)
-                out.append(chain(spans[np.sort(first)]).tobytes())
-            else:
+            size, found = int(offsets[i + 1] - offsets[i]), hashes[bounds[i] : bounds[i + 1]]
+            if not size:
                 out.append(b"")
+                continue
+            thin = len(found) * SPARSE < size
+            short = chain(_spans(data[offsets[i] : offsets[i + 1]])) if size <= BOTH or thin else np.zeros((0, BITS // 8), np.uint8)
+            head = 2 * len(short) + (size < BRIEF or thin)
+            out.append(head.to_bytes(4, "little") + short.tobytes() + chain(found).tobytes())
     return out
 
 
+def _spans(own: np.ndarray) -> np.ndarray:
+    """Hashes of a text's different short spans in order."""
+    width = min(SHORT, len(own))
+    starts = np.arange(len(own) - width + 1)
+    spans = span_hashes(prefix_hashes(own), starts, starts + width)
+    _, first = np.unique(spans, return_index=True)
+    return spans[np.sort(first)]
+
+
 def likeness(a: bytes, b: bytes) -> float:
     """0 to 1. Equal fingerprints: 1. One without filters: 0 unless equal."""
     if a == b:
         return 1.0
-    width = BITS // 8
     if not a or not b:
         return 0.0
+    heads = [int.from_bytes(s[:4], "little") for s in (a, b)]
+    cuts = [4 + (h >> 1) * (BITS // 8) for h in heads]
+    short = [s[4:cut] for s, cut in zip((a, b), cuts, strict=True)]
+    windows = [s[cut:] for s, cut in zip((a, b), cuts, strict=True)]
+    # The windows tell texts apart unless one of them is too short or too uniform to have enough.
+    if all(short) and ((heads[0] | heads[1]) & 1 or not all(windows)):
+        return _chains_alike(*short)
+    return _chains_alike(*windows) if all(windows) else 0.0
+
+
+def _chains_alike(a: bytes, b: bytes) -> float:
+    if a == b:
+        return 1.0
+    width = BITS // 8
     x, y = (np.unpackbits(np.frombuffer(s, np.uint8).reshape(-1, width), axis=1).astype(np.float32) for s in sorted((a, b), key=len))
     nx, ny = x.sum(1)[:, None], y.sum(1)[None]
     chance, most = nx * ny / BITS, np.minimum(nx, ny)
