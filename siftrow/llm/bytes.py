@@ -15,6 +15,7 @@ U = np.uint64
 SLICE = 1 << 21
 _MULTIPLIER = U(0x9E3779B97F4A7C15)
 _INVERSE = U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+_POWERS = [np.ones(1, U), np.ones(1, U)]
 
 BLANK = np.zeros(256, bool)
 BLANK[[32, 9, 10, 11, 12, 13]] = True
@@ -23,14 +24,16 @@ LOWER[65:91] += 32
 
 
 def worker_memory(name: str, make: Callable[[], Any]) -> Any:
-    """An object that a Python worker keeps from task to task.
+    """An object that a Python worker keeps from task to task, until another is asked for.
 
-    The package's code is sent to the workers by value, so its own globals last for one task only.
+    The package's code is sent to the workers by value, so its own globals last for one task only. A worker holds one
+    object at a time: what one operator left behind goes when the next one's tasks come.
     """
     box = sys.modules.setdefault("_siftrow_worker_memory", types.ModuleType("_siftrow_worker_memory"))
-    if not hasattr(box, name):
-        setattr(box, name, make())
-    return getattr(box, name)
+    if getattr(box, "name", None) != name:
+        box.name, box.held = name, None
+        box.held = make()
+    return box.held
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -47,14 +50,13 @@ BYTE_VALUE = mix(np.arange(1, 257, dtype=U) * _MULTIPLIER)
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first n powers of the multiplier and of its inverse, modulo 2^64."""
-    known = worker_memory("powers", lambda: [np.ones(1, U), np.ones(1, U)])
-    if len(known[0]) < n:
+    if len(_POWERS[0]) < n:
         size = 1 << (n - 1).bit_length()
         for i, base in enumerate((_MULTIPLIER, _INVERSE)):
             steps = np.full(size, base, U)
             steps[0] = 1
-            known[i] = np.multiply.accumulate(steps)
-    return known[0][:n], known[1][:n]
+            _POWERS[i] = np.multiply.accumulate(steps)
+    return _POWERS[0][:n], _POWERS[1][:n]
 
 
 def prefix_hashes(data: np.ndarray) -> np.ndarray:
@@ -91,9 +93,12 @@ def slices(column: pa.Array, limit: int = SLICE) -> Iterator[tuple[np.ndarray, n
         at = to
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of the words, and the number of words before each text (one more than texts)."""
-    solid = ~BLANK[data]
+def word_spans(data: np.ndarray, offsets: np.ndarray, solid: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the words, and the number of words before each text (one more than texts).
+
+    Words are runs of bytes other than blanks, or of the bytes that solid marks.
+    """
+    solid = ~BLANK[data] if solid is None else solid
     before = np.empty(len(data), bool)
     after = np.empty(len(data), bool)
     if len(data):

@@ -40,21 +40,25 @@ def token_pieces(docs: DataFrame, vocabulary: str, end_id: int, length: int = LE
         from pyspark import TaskContext
 
         uid = TaskContext.get().partitionId() << 40
-        end = np.uint32(end_id).tobytes()
+        made = encoder(vocabulary)
         for batch in batches:
-            for lo in range(0, batch.num_rows, 512):
-                part = batch.slice(lo, 512)
-                out = {"uid": [], "doc_id": [], "piece": [], "start": [], "size": [], "ids_crc32": []}
-                encoded = encoder(vocabulary).encode(part.column("text").fill_null("").to_pylist())
-                for doc, ids in zip(part.column("doc_id").to_pylist(), encoded, strict=True):
-                    ids += end
-                    n = len(ids) // 4
-                    edges = [0, *range(n % length or length, n + 1, length)]
-                    for piece, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
-                        for name, value in zip(out, (uid, doc, piece, a, b - a, zlib.crc32(ids[4 * a : 4 * b])), strict=True):
-                            out[name].append(value)
-                        uid += 1
-                yield pa.RecordBatch.from_pydict({k: pa.array(v, pa.int64()) for k, v in out.items()})
+            numbers = batch.column("doc_id")
+            for at, ids, bounds in made.encode(batch.column("text"), end_id):
+                lengths = np.diff(bounds)
+                pieces = -(-lengths // length)
+                doc = np.repeat(np.arange(len(lengths)), pieces)
+                piece = np.arange(len(doc)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+                # The last piece ends with its document; counted from there all are full but the first.
+                ends = lengths[doc] - (pieces[doc] - 1 - piece) * length
+                starts = np.maximum(ends - length, 0)
+                flat = ids.astype("<u4", copy=False)
+                low, high = (bounds[doc] + starts).tolist(), (bounds[doc] + ends).tolist()
+                sums = [zlib.crc32(flat[a:b]) for a, b in zip(low, high, strict=True)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(uid + np.arange(len(doc))), numbers.take(pa.array(at + doc)), *map(pa.array, (piece, starts, ends - starts)), pa.array(sums, pa.int64())],
+                    names=["uid", "doc_id", "piece", "start", "size", "ids_crc32"],
+                )
+                uid += len(doc)
 
     return docs.select("doc_id", "text").mapInArrow(cut, "uid long, doc_id long, piece long, start long, size long, ids_crc32 long")
 

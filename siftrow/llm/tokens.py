@@ -18,102 +18,148 @@ from __future__ import annotations
 import re
 import uuid
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siftrow.llm.bytes import worker_memory
+from siftrow.llm.bytes import slices, worker_memory
 from siftrow.llm.common import stored
 
 NO_ID = -(1 << 63)
 #: Documents per shard, about; it sets the number of shards from the number of rows.
 ROWS_PER_SHARD = 4096
-#: Entries of a worker's memory of encoded words; beyond, it starts anew.
-MEMORY = 1_000_000
+#: Bytes of words and ids that a worker remembers; beyond, it starts anew.
+MEMORY = 48 << 20
+#: Bytes of text that are handled together; a longer text stands alone, whole.
+SLICE = 8 << 20
 META = "shard long, docs long, ids long, base long, width int"
 
 
 class Encoder:
-    """Texts to id bytes (unsigned 32-bit, little-endian), as the tokenizers library gives them for whole texts.
-
-    Both kinds of vocabulary split a text into words before they merge, so words that have been seen need not be encoded
-    again. Where a text could be split at other places than between words it is encoded whole. kind "word": white space
-    is dropped, each run of other characters stands alone. kind "byte": a space belongs to the word after it.
+    """Texts to ids (unsigned 32-bit), as the tokenizers library gives them for whole texts.
+
+    Both kinds of vocabulary split a text into words before they merge, so a word that has been seen need not be encoded
+    again. Texts are cut where every tokenizer of the kind cuts them too: before a blank that follows something else, and
+    between a letter and a mark (both ASCII). The pieces of a slice become a dictionary, only its unknown entries are
+    encoded, and the ids of all pieces are gathered from one array. A text that holds a special token or white space
+    beyond ASCII blanks, which could be cut elsewhere, is encoded whole. kind "word": white space is dropped. kind "byte":
+    a blank belongs to the word after it.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.special = re.compile("|".join(added)) if added else None
-        self.between = next(((t.content, i) for i, t in self.tokenizer.get_added_tokens_decoder().items()), None)
+        added = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
+        self.between = next(iter(added.items()), None)
+        self.odd = "|".join([_WIDE_SPACE, *[re.escape(x) for x in added]])
         form = self.tokenizer.pre_tokenizer.__getstate__()
         self.kind = "byte" if b'"type":"ByteLevel"' in form[:40] else "word"
-        self.ids: dict[str, bytes] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        self.known = pa.array([], pa.large_binary())
+        self.flat, self.starts, self.lengths = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-    def whole(self, texts: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def whole(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def apart(self, words: list[str]) -> list[bytes]:
-        """Ids of words that hold no special token: many in one text, with a special token between them."""
-        if not self.special:
-            return self.whole(words)
+    def apart(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words that hold no special token, and how many each has: many in one text, with a special token between."""
+        if not self.between:
+            ids = self.whole(words)
+            return np.concatenate(ids), np.array([len(x) for x in ids], np.int64)
         token, mark = self.between
-        out: list[bytes] = []
-        for lo in range(0, len(words), 1024):
-            ids = np.array(self.tokenizer.encode(token.join(words[lo : lo + 1024]), add_special_tokens=False).ids, "<u4")
-            ends = np.append(np.flatnonzero(ids == mark), len(ids)).tolist()
-            data, at = ids.tobytes(), 0
-            for end in ends:
-                out.append(data[4 * at : 4 * end])
-                at = end + 1
-        return out
+        runs = [words[lo : lo + 1024] for lo in range(0, len(words), 1024)]
+        ids = np.concatenate([np.array([*self.tokenizer.encode(token.join(r), add_special_tokens=False).ids, mark], np.uint32) for r in runs])
+        ends = np.flatnonzero(ids == mark)
+        return ids[ids != mark], np.diff(ends, prepend=-1) - 1
 
     def width(self, end_id: int) -> int:
         """Bytes that hold every id."""
         return 2 if max(self.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
 
-    def parts(self, text: str) -> list[str] | None:
-        """Words whose ids, in order, are those of the text; None if it has to be encoded whole."""
-        if self.special and self.special.search(text):
-            return None
-        if self.kind == "word":
-            return _BLANK.sub(" ", text).split(" ")
-        if _ODD_SPACE.search(text):
-            return None
-        first, *rest = text.split(" ")
-        return [first, *[" " + x for x in rest]]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.ids) > MEMORY:
-            self.ids = {}
-        split = [self.parts(t) for t in texts]
-        known = self.ids
-        new = list(set().union(*[parts for parts in split if parts is not None]).difference(known))
-        known.update(zip(new, self.apart(new), strict=True))
-        rest = iter(self.whole([t for t, parts in zip(texts, split, strict=True) if parts is None]))
-        return [next(rest) if parts is None else b"".join([known[p] for p in parts]) for parts in split]
-
+    def learn(self, words: pa.Array) -> None:
+        """Remember the ids of words that are not known yet, in this order."""
+        ids, lengths = self.apart(words.cast(pa.large_string()).to_pylist())
+        starts = len(self.flat) + np.cumsum(lengths) - lengths
+        self.known = pa.concat_arrays([self.known, words])
+        self.flat = np.concatenate([self.flat, ids])
+        self.starts, self.lengths = np.concatenate([self.starts, starts]), np.concatenate([self.lengths, lengths])
 
-# Only these separate words of kind "word"; other white space stays inside a word and is dropped by the tokenizer there.
-_BLANK = re.compile(r"[ \t\n\r\f\v]")
-# A space before other white space or at the end is not the start of a word.
-_ODD_SPACE = re.compile(r" (?=\s|\Z)")
+    def plain(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts that may be cut, one after another, and where each text's begin (one number more than texts)."""
+        if self.kind == "word":
+            data = _SPACED[data]
+        kind = _KIND[data]
+        begins = np.zeros(len(data), bool)
+        begins[1:] = ((kind[1:] == _GAP) & (kind[:-1] != _GAP)) | ((kind[1:] == _MARK) & (kind[:-1] == _LETTER))
+        begins[offsets[:-1][offsets[:-1] < offsets[1:]]] = True
+        starts = np.flatnonzero(begins)
+        edges = np.append(starts, len(data)).astype(np.int64)
+        pieces = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(edges), pa.py_buffer(np.ascontiguousarray(data))])
+        coded = pieces.dictionary_encode()
+        if self.known.nbytes + self.flat.nbytes > MEMORY:
+            self.forget()
+        place = pc.index_in(coded.dictionary, value_set=self.known)
+        at = place.fill_null(0).to_numpy().astype(np.int64)
+        if place.null_count:
+            new = place.is_null()
+            at[new.to_numpy(zero_copy_only=False)] = len(self.known) + np.arange(place.null_count)
+            self.learn(coded.dictionary.filter(new))
+        each = at[coded.indices.to_numpy()]
+        lengths = self.lengths[each]
+        before = np.concatenate([[0], np.cumsum(lengths)])
+        ids = self.flat[np.arange(before[-1]) + np.repeat(self.starts[each] - before[:-1], lengths)]
+        return ids, before[np.searchsorted(starts, offsets)]
+
+    def encode(self, column: pa.Array, end_id: int | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Slices of a column of texts: number of the first text, ids of all its texts, where each begins (and the end).
+
+        A null text is empty. With end_id each text's ids end with it.
+        """
+        column = column.cast(pa.large_string()).fill_null("")
+        whole = pc.match_substring_regex(column, self.odd).to_numpy(zero_copy_only=False)
+        for data, offsets, at in slices(column, SLICE):
+            n = len(offsets) - 1
+            rows = np.flatnonzero(whole[at : at + n])
+            if len(rows):
+                # Cut texts and whole ones, put back in order.
+                sizes = np.diff(offsets)
+                sizes[rows] = 0
+                rest = data[np.repeat(~whole[at : at + n], np.diff(offsets))]
+                cut, bounds = self.plain(rest, np.concatenate([[0], np.cumsum(sizes)]))
+                parts = [cut[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+                for row, ids in zip(rows, self.whole(column.take(pa.array(at + rows)).to_pylist()), strict=True):
+                    parts[row] = ids
+                ids, bounds = np.concatenate(parts), np.concatenate([[0], np.cumsum([len(x) for x in parts])])
+            else:
+                ids, bounds = self.plain(data, offsets)
+            if end_id is not None:
+                ids, bounds = np.insert(ids, bounds[1:], np.uint32(end_id)), bounds + np.arange(n + 1)
+            yield at, ids, bounds
+
+
+_LETTER, _GAP, _MARK = 1, 2, 3
+_KIND = np.zeros(256, np.uint8)
+_KIND[[*range(65, 91), *range(97, 123)]] = _LETTER
+_KIND[[9, 10, 11, 12, 13, 32]] = _GAP
+_KIND[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = _MARK
+_SPACED = np.arange(256, dtype=np.uint8)
+_SPACED[[9, 10, 11, 12, 13]] = 32
+# White space other than ASCII blanks.
+_WIDE_SPACE = r"[\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 
 
 def encoder(path: str) -> Encoder:
     """The worker's encoder for a vocabulary file; one for all tasks of a worker."""
-    known = worker_memory("encoders", dict)
-    if path not in known:
-        known[path] = Encoder(path)
-    return known[path]
+    return worker_memory(f"encoder {path}", lambda: Encoder(path))
 
 
 def place(folder: str) -> tuple[pafs.FileSystem, str]:
@@ -143,26 +189,22 @@ def write_tokens(docs: DataFrame, folder: str, vocabulary: str, end_id: int, row
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, path = place(folder)
         made = encoder(vocabulary)
-        encode, kind_of_id = made.encode, f"<u{made.width(end_id)}"
+        kind_of_id = f"<u{made.width(end_id)}"
         fs.create_dir(path, recursive=True)
         from pyspark import TaskContext
 
         # Partitions are ranges in ascending order, so a partition's number is its shard's.
         shard, own, files, docs_in, ids_in = TaskContext.get().partitionId(), uuid.uuid4().hex, {}, 0, 0
-        end = np.uint32(end_id).tobytes()
         for batch in batches:
             if not batch.num_rows:
                 continue
             if not files:
                 files = {k: fs.open_output_stream(f"{path}/{shard}.{k}.{own}") for k in ("ids", "off", "doc")}
-            for lo in range(0, batch.num_rows, 512):
-                rows = batch.slice(lo, 512)
-                encoded = [x + end for x in encode(rows.column("text").to_pylist())]
-                lengths = np.array([len(x) // 4 for x in encoded], np.int64)
-                files["ids"].write(np.frombuffer(b"".join(encoded), "<u4").astype(kind_of_id).tobytes())
-                files["off"].write((ids_in + np.cumsum(lengths) - lengths).astype("<i8").tobytes())
-                files["doc"].write(np.asarray(rows.column("doc_id").fill_null(NO_ID)).astype("<i8").tobytes())
-                docs_in, ids_in = docs_in + len(encoded), ids_in + int(lengths.sum())
+            for _, ids, bounds in made.encode(batch.column("text"), end_id):
+                files["ids"].write(ids.astype(kind_of_id).tobytes())
+                files["off"].write((ids_in + bounds[:-1]).astype("<i8").tobytes())
+                docs_in, ids_in = docs_in + len(bounds) - 1, ids_in + len(ids)
+            files["doc"].write(np.asarray(batch.column("doc_id").fill_null(NO_ID)).astype("<i8").tobytes())
         if files:
             files["off"].write(np.int64(ids_in).tobytes())
             for kind, f in files.items():

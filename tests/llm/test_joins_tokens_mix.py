@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -102,9 +103,13 @@ TEXTS = ["It's  a test. It's", " two  spaces ", "line\nbreak\tand\r\nmore", "é
 
 @pytest.mark.parametrize("name", [WORD_VOCABULARY, BYTE_VOCABULARY])
 def test_encoding_by_words_equals_encoding_whole_texts(name):
-    encoder = Encoder(vocabulary(name))
-    texts = [t or "" for t in TEXTS] * 2
-    assert encoder.encode(texts) == encoder.whole(texts)
+    encoder, rng = Encoder(vocabulary(name)), random.Random(7)
+    signs = [*"aBé. \n\t'*1", "'s", "\u0301", "\xa0", "\u2003", "\x1d", "漢", " foo", "bar,", "<|endoftext|>", "<|"]
+    texts = [t or "" for t in TEXTS] * 2 + ["".join(rng.choices(signs[: rng.choice([9, 13, 22])], k=rng.randint(1, 12))) for _ in range(4000)]
+    got = [ids[a:b].tolist() for _, ids, edges in encoder.encode(pa.array(texts)) for a, b in zip(edges[:-1], edges[1:])]
+    assert got == [x.tolist() for x in encoder.whole(texts)]
+    ended = [ids[a:b].tolist() for _, ids, edges in encoder.encode(pa.array([None, *texts]), 3) for a, b in zip(edges[:-1], edges[1:])]
+    assert ended == [[3], *[[*x, 3] for x in got]]
 
 
 def test_token_files_round_trip(spark):
