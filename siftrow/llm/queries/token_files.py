@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siftrow.llm.balanced import pack_balanced
 from siftrow.llm.common import read, work_folder
 from siftrow.llm.packing import pack_documents
 from siftrow.llm.queries.registry import query
@@ -37,3 +38,9 @@ def packed(docs: DataFrame) -> DataFrame:
 @query()
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(read(spark, sf_dir, "documents"))
+
+
+@query()
+def op11_cost_balanced_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pack_balanced(read(spark, sf_dir, "documents"), vocabulary(BYTE_VOCABULARY), end_id=1)
+    return out.select("doc_id", "start", F.col("size").alias("length"), F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
