@@ -1,29 +1,33 @@
 """Exact similarity join on word shingles by prefix filters under several global orders.
 
 A document's set is that of its five-word shingles. Two sets of Jaccard similarity t or more must share one of their first
-n - ceil(t n) + 1 tokens (n: the size of the set) under *any* order of all tokens. So candidates are joined on the
-prefixes under one order, must then also share a prefix token under two more orders, and only then are compared in full.
+n - ceil(t n) + 1 tokens (n: the size of the set) under *any* order of all tokens. Candidates are pairs that share a prefix
+token under a first order, and under two more; what is left after all three filters is compared in full.
 
 - Documents with equal sets are one class; all later work is on classes.
 - The first order puts tokens that are frequent within some task at the end, so passages that many documents share do not
-  make candidates. Which tokens those are is found in one pass; at most `FREQUENT` of them are kept, the most frequent, and
-  they alone are sent to all tasks (2 MB). Any choice gives the same links.
-- Within the classes that share a token, the class of the smallest number is the pivot. Every class is compared with its
-  pivots first. The Jaccard distance obeys the triangle inequality, so of the other pairs only those are compared whose
-  distances to the pivot differ by at most 1 - t, and which are not yet in one component. A large group of near copies
-  thus costs as many comparisons as it has members.
-
-Nothing is capped: every pair that could be linked is compared or already connected. Sets of candidate classes are built
-once and written; texts are never shuffled.
+  make candidates. Which tokens those are is found in the first pass; at most `FREQUENT` of them are kept, the most
+  frequent, and they alone are sent to all tasks (2 MB). Any choice gives the same links.
+- A token's place counts too: if it is the first that two sets share, they share no more than follows it in either. A pair
+  is a candidate through a token only if that is enough.
+- Within the classes that share a token, the one with the smallest share of rare tokens is the pivot: in a crowd of near
+  copies, the text they are copies of. Every class is compared with its pivots. Where a class is then in another component
+  than its pivot, and only there, it is compared with the others of the group. A crowd costs about as many comparisons as
+  it has members.
+- A frequent token's classes are dealt over groups by hash, each with a pivot, and the pivots are compared with the best of
+  them, so no task holds a whole crowd.
+
+Nothing is capped: every pair that could be linked is compared or already connected. The two further filters look at the
+prefixes alone, before any set moves. Sets of candidate classes are built once and written; texts are never shuffled.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftrow.llm.bytes import LOWER, U, mix, prefix_hashes, slices, span_hashes, word_spans
@@ -37,13 +41,14 @@ PERCENT = 75
 FREQUENT, OFTEN = 1 << 18, 3
 #: Seeds of the orders that candidates must pass after the first.
 MORE_ORDERS = (0x1B873593, 0xCC9E2D51)
-PIVOT_ROUNDS = 2
+#: Groups that the classes of a frequent token are dealt over.
+GROUPS = 64
 #: Partners of one class that one task compares, about.
 PARTNERS = 256
+#: Classes that a task remembers to have sent.
+SENT = 1 << 17
 #: Bits of a token that candidates are joined on; unequal tokens that agree in them only add candidates to compare.
 KEY_BITS = 40
-#: Bytes of a token in the sets that pairs are compared by.
-TOKEN_BYTES = 6
 #: Bits of the map of documents whose sets are built. Where it fills up, more sets are built than needed, never fewer.
 MAP_BITS = 1 << 26
 
@@ -86,73 +91,103 @@ def prefix_length(n: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     return np.where(n > 0, n - (percent * n + 99) // 100 + 1, 0)
 
 
-def ordered_prefixes(token: np.ndarray, bounds: np.ndarray, rank: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Tokens of the prefixes by ascending rank, and the text of each."""
+def ordered_prefixes(token: np.ndarray, bounds: np.ndarray, rank: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Tokens of the prefixes by ascending rank, the text of each, and how many tokens of its set follow, itself included."""
     n = np.diff(bounds)
     text = np.repeat(np.arange(len(n)), n)
     order = np.lexsort((rank, text))
     place = np.arange(len(token)) - np.repeat(bounds[:-1], n)
     kept = place < prefix_length(n, percent)[text]
-    return token[order][kept], text[kept]
+    return token[order][kept], text[kept], (n[text] - place)[kept]
 
 
 def word_sets(docs: DataFrame, size: int = SIZE) -> DataFrame:
-    """doc_id, n (tokens in the set), cls (number of the set) of every whole text."""
+    """A row per whole text: doc_id, n (tokens in the set), cls (number of the set). Between them rows of token and often:
+    tokens that some stretch of a task holds in many different sets, and how often."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column("doc_id")
-            for data, offsets, at in slices(batch.column("text")):
-                token, bounds = shingles(data, offsets, size)
-                yield pa.RecordBatch.from_arrays(
-                    [ids.slice(at, len(offsets) - 1), pa.array(np.diff(bounds), pa.int64()), pa.array(class_ids(token, bounds))], names=["doc_id", "n", "cls"]
-                )
-
-    return docs.select("doc_id", "text").mapInArrow(sets, "doc_id long, n long, cls long")
-
-
-def frequent_tokens(docs: DataFrame, size: int = SIZE) -> np.ndarray:
-    """Sorted tokens that some stretch of a task holds in many different sets; at most FREQUENT, the most frequent."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gathered: list[np.ndarray] = []
+        names = ["doc_id", "n", "cls", "token", "often"]
 
-        def often() -> pa.RecordBatch:
+        def counted() -> pa.RecordBatch:
             token, n = np.unique(np.concatenate(gathered), return_counts=True)
             kept = n >= OFTEN
-            return pa.RecordBatch.from_pydict({"token": pa.array(token[kept].view(np.int64)), "n": pa.array(n[kept], pa.int64())})
+            none = pa.nulls(int(kept.sum()), pa.int64())
+            return pa.RecordBatch.from_arrays([none, none, none, pa.array(token[kept].view(np.int64)), pa.array(n[kept], pa.int64())], names=names)
 
         for batch in batches:
-            for data, offsets, _ in slices(batch.column("text")):
-                gathered.append(shingles(data, offsets, size)[0])
+            ids = batch.column("doc_id")
+            for data, offsets, at in slices(batch.column("text")):
+                token, bounds = shingles(data, offsets, size)
+                rows = len(offsets) - 1
+                none = pa.nulls(rows, pa.int64())
+                yield pa.RecordBatch.from_arrays(
+                    [ids.slice(at, rows), pa.array(np.diff(bounds), pa.int64()), pa.array(class_ids(token, bounds)), none, none], names=names
+                )
+                gathered.append(token)
                 if sum(map(len, gathered)) > 1 << 22:
-                    yield often()
+                    yield counted()
                     gathered = []
         if gathered:
-            yield often()
+            yield counted()
+
+    return docs.select("doc_id", "text").mapInArrow(sets, "doc_id long, n long, cls long, token long, often long")
 
-    found = docs.select("text").mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
-    kept = found.orderBy(F.desc("n"), "token").limit(FREQUENT).toArrow()
-    return np.sort(kept.column("token").to_numpy().view(U))
+
+def frequent_tokens(found: DataFrame, folder: str) -> np.ndarray:
+    """Sorted tokens of rows (token, often); at most FREQUENT, the most frequent, but for such as are equally frequent."""
+    counts = stored(found.groupBy("token").agg(F.sum("often").alias("n")), f"{folder}/frequent")
+    # Frequencies on a scale of sixteenths of an octave: a bounded number of rows.
+    step = F.floor(F.log2(F.col("n").cast("double")) * 16)
+    by_step = {r["step"]: r["tokens"] for r in counts.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("tokens")).collect()}
+    least, room = None, FREQUENT
+    for at in sorted(by_step, reverse=True):
+        room -= by_step[at]
+        if room < 0:
+            break
+        least = at
+    if least is None:
+        return np.zeros(0, U)
+    return np.sort(counts.where(step >= least).select("token").toArrow().column("token").to_numpy().view(U))
 
 
 def prefix_tokens(docs: DataFrame, frequent: np.ndarray, percent: int = PERCENT, size: int = SIZE) -> DataFrame:
-    """token, cls, n: the prefix of every set under the first order (frequent tokens last, then by number)."""
+    """key, cls, n, left, rare: the prefix of every set under the first order (frequent tokens last, then by number).
+
+    key: KEY_BITS of the token, and for a frequent one the group of the class beyond them. left: tokens of the set from this
+    one on. rare: tokens that are not frequent, in 255ths of the set. A class is sent once by a task.
+    """
     last = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent = np.zeros(1, np.int64)
         for batch in batches:
             for data, offsets, _ in slices(batch.column("text")):
                 token, bounds = shingles(data, offsets, size)
+                cls, n = class_ids(token, bounds), np.diff(bounds)
+                own, first = np.unique(cls, return_index=True)
+                new = ~np.isin(own, sent, assume_unique=True)
+                # What a task remembers is bounded; a class that is sent again changes nothing.
+                sent, first = own if len(sent) > SENT else np.union1d(sent, own), np.sort(first[new])
+                pick = np.zeros(len(n), bool)
+                pick[first] = True
+                token, n, cls = token[np.repeat(pick, n)], n[pick], cls[pick]
+                bounds = np.concatenate([[0], np.cumsum(n)])
                 often = last.value
                 at = np.minimum(np.searchsorted(often, token), max(len(often) - 1, 0))
                 is_often = often[at] == token if len(often) else np.zeros(len(token), bool)
+                usual = np.concatenate([[0], np.cumsum(is_often)])
+                rare = (n - (usual[bounds[1:]] - usual[bounds[:-1]])) * 255 // np.maximum(n, 1)
                 rank = (token >> U(1)) | (is_often.astype(U) << U(63))
-                kept, text = ordered_prefixes(token, bounds, rank, percent)
-                cls, n = class_ids(token, bounds), np.diff(bounds)
-                yield pa.RecordBatch.from_arrays([pa.array((kept >> U(64 - KEY_BITS)).view(np.int64)), pa.array(cls[text]), pa.array(n[text], pa.int64())], names=["token", "cls", "n"])
+                kept, text, left = ordered_prefixes(token, bounds, rank, percent)
+                key = (kept >> U(64 - KEY_BITS)).view(np.int64)
+                at = np.minimum(np.searchsorted(often, kept), max(len(often) - 1, 0))
+                grouped = often[at] == kept if len(often) else np.zeros(len(kept), bool)
+                key[grouped] |= (1 + (cls[text[grouped]] & (GROUPS - 1))) << KEY_BITS
+                columns = [pa.array(key), pa.array(cls[text]), *(pa.array(x, pa.int32()) for x in (n[text], left, rare[text]))]
+                yield pa.RecordBatch.from_arrays(columns, names=["key", "cls", "n", "left", "rare"])
 
-    return docs.select("text").mapInArrow(tokens, "token long, cls long, n long")
+    return docs.select("text").mapInArrow(tokens, "key long, cls long, n int, left int, rare int")
 
 
 def document_map(ids: DataFrame) -> np.ndarray:
@@ -167,25 +202,27 @@ def document_map(ids: DataFrame) -> np.ndarray:
     return out
 
 
-def packed_tokens(token: np.ndarray, bounds: np.ndarray) -> pa.Array:
-    """The first TOKEN_BYTES bytes of every token, one binary value per set. Hashes do not compress, so their width is what
-    the sets cost. Unequal tokens agree in 48 bits once in some 280 million pairs of texts of a thousand words, once in
-    700,000 pairs of texts of 20,000; such a pair counts one shared token more."""
-    short = np.ascontiguousarray(token.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :TOKEN_BYTES])
-    ends = pa.array(bounds * TOKEN_BYTES, pa.int64())
-    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(bounds) - 1, [None, ends.buffers()[1], pa.py_buffer(short)]).cast(pa.binary())
+def packed(token: np.ndarray, bounds: np.ndarray, kind: str) -> pa.Array:
+    """Numbers as one binary value per set."""
+    flat = np.ascontiguousarray(token.astype(kind))
+    ends = pa.array(bounds * flat.itemsize, pa.int64())
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(bounds) - 1, [None, ends.buffers()[1], pa.py_buffer(flat)]).cast(pa.binary())
 
 
-def unpacked(tokens: bytes) -> np.ndarray:
-    """Sorted tokens of one value of `packed_tokens`."""
-    short = np.frombuffer(tokens, np.uint8).reshape(-1, TOKEN_BYTES)
-    whole = np.zeros((len(short), 8), np.uint8)
-    whole[:, 8 - TOKEN_BYTES :] = short
-    return whole.view(">u8").reshape(-1).astype(U)
+def further_prefixes(token: np.ndarray, bounds: np.ndarray, percent: int) -> list[pa.Array]:
+    """For each further order the sorted upper halves of the prefix tokens' ranks, one binary value per set."""
+    out = []
+    for seed in MORE_ORDERS:
+        rank = mix(token ^ U(seed))
+        # Of the ranks themselves, as mixing is a bijection.
+        kept, text, _ = ordered_prefixes(rank, bounds, rank, percent)
+        out.append(packed(kept >> U(32), np.searchsorted(text, np.arange(len(bounds))), "<u4"))
+    return out
 
 
-def class_sets(docs: DataFrame, chosen: DataFrame, size: int = SIZE) -> DataFrame:
-    """cls, tokens (`packed_tokens`) of documents, at least of those in chosen (doc_id). Texts are not shuffled."""
+def class_sets(docs: DataFrame, chosen: DataFrame, percent: int = PERCENT, size: int = SIZE) -> DataFrame:
+    """cls, tokens (sorted, 64 bits each), f1, f2 (prefixes under the further orders) of documents, at least of those in
+    chosen (doc_id). Texts are not shuffled."""
     shared = docs.sparkSession.sparkContext.broadcast(document_map(chosen))
     rows = docs.select("text", F.pmod(F.xxhash64("doc_id"), F.lit(MAP_BITS)).alias("at"))
 
@@ -198,118 +235,148 @@ def class_sets(docs: DataFrame, chosen: DataFrame, size: int = SIZE) -> DataFram
                 continue
             for data, offsets, _ in slices(batch.column("text").filter(pa.array(wanted.astype(bool)))):
                 token, bounds = shingles(data, offsets, size)
-                yield pa.RecordBatch.from_arrays([pa.array(class_ids(token, bounds)), packed_tokens(token, bounds)], names=["cls", "tokens"])
+                columns = [pa.array(class_ids(token, bounds)), packed(token, bounds, "<u8"), *further_prefixes(token, bounds, percent)]
+                yield pa.RecordBatch.from_arrays(columns, names=["cls", "tokens", "f1", "f2"])
 
-    return rows.mapInArrow(sets, "cls long, tokens binary").where("cls <> 0")
+    return rows.mapInArrow(sets, "cls long, tokens binary, f1 binary, f2 binary").where("cls <> 0")
 
 
-def verify(pairs: DataFrame, sets: DataFrame, folder: str, percent: int = PERCENT) -> DataFrame:
-    """a, b, shared, either (sizes of intersection and union) and linked, for candidate pairs a, b of classes.
+def together(pairs: DataFrame, values: DataFrame, columns: list[str], judge: Callable, result: str) -> DataFrame:
+    """a, b and what judge makes of the values (cls and columns) of both, for pairs a, b of classes.
 
-    Pairs that share no prefix token under the further orders are not linked without a full comparison. Each set moves to
-    the places of its partners, all pairs of one a follow the set of a. The pairs are written to folder first.
+    Each class moves to the places of its partners, and all pairs of one a follow its values. Values that no pair names
+    stay where they are, as far as a map of bounded size tells.
     """
-    ends = stored(pairs.select("a", "b").distinct(), f"{folder}/pairs")
-    # A class of very many partners is dealt over several tasks, each with the set of a.
-    many = ends.groupBy("a").agg((F.floor(F.count(F.lit(1)) / PARTNERS) + 1).alias("parts"))
-    ends = ends.join(many, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).alias("salt"))
+    # A class of very many partners is dealt over several tasks, each with the values of a.
+    many = pairs.groupBy("a").agg((F.floor(F.count(F.lit(1)) / PARTNERS) + 1).alias("parts"))
+    ends = pairs.join(many, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).alias("salt"))
     heads = ends.select("a", F.col("a").alias("b"), "salt").distinct()
-    moved = heads.unionByName(ends).join(sets.select(F.col("cls").alias("b"), "tokens"), "b")
-    rows = moved.select("a", "salt", "b", "tokens", (F.col("a") != F.col("b")).alias("partner"))
+    named = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id")))
+    held = in_map(values.select(F.col("cls").alias("b"), *columns), "b", document_map(named.distinct()))
+    rows = heads.unionByName(ends).join(held, "b").select("a", "salt", "b", *columns, (F.col("a") != F.col("b")).alias("partner"))
     rows = rows.repartition("a", "salt").sortWithinPartitions("a", "salt", "partner")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, x = None, np.zeros(0, U)
+        key, x = None, None
         for batch in batches:
-            tokens = batch.column("tokens")
-            ends = list(zip(batch.column("a").to_pylist(), batch.column("salt").to_pylist(), batch.column("b").to_pylist(), strict=True))
-            out: dict[str, list] = {"a": [], "b": [], "shared": [], "either": [], "linked": []}
+            ends = zip(*(batch.column(c).to_pylist() for c in ("a", "salt", "b")), strict=True)
+            data = [batch.column(c) for c in columns]
+            out = []
             for i, (a, part, b) in enumerate(ends):
-                y = unpacked(tokens[i].as_buffer())
+                y = [c[i].as_buffer() for c in data]
                 if a == b:
                     key, x = (a, part), y
                 elif key == (a, part):
-                    for name, value in zip(out, (a, b, *_compare(x, y, percent)), strict=True):
-                        out[name].append(value)
-            yield pa.RecordBatch.from_pydict({k: pa.array(v, pa.bool_() if k == "linked" else pa.int64()) for k, v in out.items()})
+                    out.append((a, b, *judge(x, y)))
+            yield pa.RecordBatch.from_pylist([dict(zip(schema.names, row, strict=True)) for row in out], schema)
 
-    found = rows.select("a", "salt", "b", "tokens").mapInArrow(compare, "a long, b long, shared long, either long, linked boolean")
-    return stored(found.dropDuplicates(["a", "b"]), f"{folder}/compared")
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), (result, pa.bool_())])
+    # Copies of a class have its values too: one answer per pair.
+    return rows.drop("partner").mapInArrow(compare, f"a long, b long, {result} boolean").dropDuplicates(["a", "b"])
 
 
-def _compare(x: np.ndarray, y: np.ndarray, percent: int) -> tuple[int, int, bool]:
-    both = x[y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x]
-    px, py = (int(prefix_length(np.array([len(s)]), percent)[0]) for s in (x, y))
-    union = len(x) + len(y) - len(both)
-    for seed in MORE_ORDERS:
-        # The first common token must lie in both prefixes, else they share none.
-        first = mix(both ^ U(seed)).min() if len(both) else U(0)
-        if not len(both) or (mix(x ^ U(seed)) < first).sum() >= px or (mix(y ^ U(seed)) < first).sum() >= py:
-            return len(both), union, False
-    return len(both), union, 100 * len(both) >= percent * union
-
-
-def linked_classes(docs: DataFrame, base: DataFrame, folder: str, percent: int = PERCENT, size: int = SIZE) -> DataFrame:
-    """a, b: links between classes, enough to connect all that are connected. base: `word_sets` of docs, written."""
-    tokens = prefix_tokens(docs, frequent_tokens(docs, size), percent, size)
-    pivots = tokens.groupBy("token").agg(F.min("cls").alias("pivot"), F.max("cls").alias("_most")).where("pivot < _most").drop("_most")
-    members = stored(tokens.join(pivots, "token").select("token", "cls", "n", "pivot").distinct(), f"{folder}/members")
-    near = (F.col("n") * percent <= F.col("pn") * 100) & (F.col("pn") * percent <= F.col("n") * 100)
-    sizes = members.select(F.col("cls").alias("pivot"), F.col("n").alias("pn")).distinct()
-
-    # Classes that share a token with one of like size; one document of each.
-    spread = members.groupBy("token").agg(F.collect_set(_step(F.col("n"))).alias("steps"))
-    step = _step(F.col("n"))
-    others = members.join(spread, "token").where(F.exists("steps", lambda x: (x != step) & (F.abs(x - step) <= 4)))
-    same = members.groupBy("token", step.alias("step")).agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo < hi")
-    crowd = members.withColumn("step", step).join(same, ["token", "step"])
-    wanted = others.select("cls").unionByName(crowd.select("cls")).distinct()
-    chosen = base.join(wanted, "cls").groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
-    sets = stored(class_sets(docs, stored(chosen, f"{folder}/chosen"), size), f"{folder}/sets")
-
-    links = None
-    group = members
-    for turn in range(PIVOT_ROUNDS):
-        # Pairs of too different size cannot be linked and need no comparison; their distance is taken as unknown.
-        pairs = group.where("cls <> pivot").join(sizes, "pivot").where(near).select(F.col("pivot").alias("a"), F.col("cls").alias("b")).distinct()
-        checked = verify(pairs, sets, f"{folder}/checked-{turn}", percent)
-        found = checked.where("linked").select("a", "b")
-        links = found if links is None else links.unionByName(found)
-        distance = checked.select(F.col("a").alias("pivot"), F.col("b").alias("cls"), (1 - F.col("shared") / F.col("either")).alias("d"), "linked")
-        judged = group.where("cls <> pivot").join(distance, ["pivot", "cls"], "left").select("token", "cls", "n", "pivot", "d", F.coalesce("linked", F.lit(False)).alias("linked"))
-        judged = stored(judged, f"{folder}/judged-{turn}")
-        # Pairs of one class linked to the pivot and one that is not.
-        roots = stored(connected_components(links, f"{folder}/roots-{turn}"), f"{folder}/roots-{turn}/all")
-        far = judged.where("not linked")
-        rest = _across(far, judged.where("linked"), roots, percent)
-        extra = verify(rest, sets, f"{folder}/across-{turn}", percent).where("linked").select("a", "b")
-        links = links.unionByName(extra)
-        # The others have a new pivot of their own.
-        fresh = far.groupBy("token").agg(F.min("cls").alias("pivot"), F.max("cls").alias("_most")).where("pivot < _most").drop("_most")
-        group = stored(far.select("token", "cls", "n").join(fresh, "token"), f"{folder}/group-{turn}")
-    roots = stored(connected_components(links, f"{folder}/roots-last"), f"{folder}/roots-last/all")
-    left = group.withColumn("d", F.lit(None).cast("double"))
-    rest = _across(left, left, roots, percent)
-    return links.unionByName(verify(rest, sets, f"{folder}/across-last", percent).where("linked").select("a", "b"))
-
-
-def _step(n):
-    """Sizes on a scale of steps of a twelfth: sizes in the ratio of three to four lie within four steps."""
-    return F.floor(F.log(13 / 12, n.cast("double"))).cast("int")
-
-
-def _across(some: DataFrame, others: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
-    """a, b: pairs with a common token that sizes, distances to the pivot and components do not settle."""
-
-    def named(df: DataFrame, end: str) -> DataFrame:
-        own = df.join(roots, df["cls"] == roots["node"], "left").withColumn("root", F.coalesce("root", "cls"))
-        return own.select(F.col("token").alias(f"token_{end}"), *[F.col(c).alias(f"{c}_{end}") for c in ("cls", "n", "d", "root")])
-
-    pairs = named(some, "x").join(named(others, "y"), F.col("token_x") == F.col("token_y")).where("cls_x <> cls_y and root_x <> root_y")
-    pairs = pairs.where((F.col("n_x") * percent <= F.col("n_y") * 100) & (F.col("n_y") * percent <= F.col("n_x") * 100))
-    slack = (100 - percent) / 100 + 1e-9
-    pairs = pairs.where(F.coalesce(F.abs(F.col("d_x") - F.col("d_y")) <= slack, F.lit(True)))
-    return pairs.select(F.least("cls_x", "cls_y").alias("a"), F.greatest("cls_x", "cls_y").alias("b")).distinct()
+def in_map(rows: DataFrame, column: str, bits: np.ndarray) -> DataFrame:
+    """Rows whose number may be among those of a `document_map`."""
+    shared = rows.sparkSession.sparkContext.broadcast(bits)
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.column("_at").to_numpy(zero_copy_only=False)
+            wanted = (shared.value[at >> 3] >> (at & 7)) & 1
+            if wanted.any():
+                yield batch.drop_columns("_at").filter(pa.array(wanted.astype(bool)))
+
+    return rows.withColumn("_at", F.pmod(F.xxhash64(column), F.lit(MAP_BITS))).mapInArrow(pick, rows.schema)
+
+
+def share_prefixes(x: list, y: list) -> tuple[bool]:
+    """Whether two classes share a prefix token under every further order."""
+    return (all(_common(np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4")) for a, b in zip(x, y, strict=True)),)
+
+
+def _common(x: np.ndarray, y: np.ndarray) -> int:
+    if not len(x) or not len(y):
+        return 0
+    return int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+
+
+def verify(pairs: DataFrame, sets: DataFrame, folder: str, percent: int = PERCENT) -> DataFrame:
+    """a, b: the candidate pairs (different, each once) that are linked. Both steps are written to folder.
+
+    The filters of the further orders are intersected first, on the prefixes alone; whole sets move for pairs that pass all.
+    """
+    passed = stored(together(pairs, sets, ["f1", "f2"], share_prefixes, "passed").where("passed").select("a", "b"), f"{folder}/passed")
+
+    def linked(x: list, y: list) -> tuple[bool]:
+        one, other = np.frombuffer(x[0], "<u8"), np.frombuffer(y[0], "<u8")
+        both = _common(one, other)
+        return (100 * both >= percent * (len(one) + len(other) - both),)
+
+    return stored(together(passed, sets, ["tokens"], linked, "linked").where("linked").select("a", "b"), f"{folder}/linked")
+
+
+def enough(left: Column, right: Column, n: Column, m: Column, percent: int) -> Column:
+    """Whether two sets of n and m tokens can be linked if they share none before a token with so many left in either."""
+    return F.least(left, right).cast("long") * (100 + percent) >= (n.cast("long") + m) * percent
+
+
+def linked_classes(docs: DataFrame, base: DataFrame, frequent: np.ndarray, folder: str, percent: int = PERCENT, size: int = SIZE) -> DataFrame:
+    """a, b: links between classes, enough to connect all that are connected. base: doc_id, n, cls of docs, written."""
+    # Rows of one key in order, pivot first; a key of one class goes.
+    in_key = Window.partitionBy("key").orderBy("rare", "cls")
+    first = {c: F.first(c).over(in_key) for c in ("cls", "n", "left")}
+    tokens = prefix_tokens(docs, frequent, percent, size).withColumns(
+        {"pivot": first["cls"], "pn": first["n"], "pleft": first["left"], "more": F.lead("cls").over(in_key)}
+    )
+    grouped = F.col("key") >= 1 << KEY_BITS
+    members = tokens.where((F.col("cls") != F.col("pivot")) | (F.col("more") != F.col("cls")) | grouped)
+    members = stored(members.withColumn("token", F.col("key").bitwiseAND((1 << KEY_BITS) - 1)).drop("more", "key").withColumn("grouped", grouped), f"{folder}/members")
+    # The pivots of a frequent token's groups meet the best of them: GROUPS rows of one token at most.
+    in_token = Window.partitionBy("token").orderBy("rare", "cls")
+    heads = members.where(F.col("grouped") & (F.col("cls") == F.col("pivot"))).dropDuplicates(["token", "cls"])
+    best = {c: F.first(c).over(in_token) for c in ("cls", "n", "left")}
+    heads = stored(heads.select("token", "cls", "n", "left", best["cls"].alias("pivot"), best["n"].alias("pn"), best["left"].alias("pleft")), f"{folder}/heads")
+
+    def with_pivot(rows: DataFrame) -> DataFrame:
+        possible = enough(F.col("left"), F.col("pleft"), F.col("n"), F.col("pn"), percent)
+        return rows.where((F.col("cls") != F.col("pivot")) & possible).select(F.col("pivot").alias("a"), F.col("cls").alias("b"))
+
+    # Of two classes the same one is the pivot under every token, so no pair is there from both ends.
+    pairs = stored(with_pivot(members).unionByName(with_pivot(heads)).distinct(), f"{folder}/pairs")
+    sets = chosen_sets(docs, base, _named(pairs), f"{folder}/sets", percent, size)
+    links = verify(pairs, sets, f"{folder}/checked", percent)
+
+    # Classes that are not where their token's pivot is are compared with all others of the token that can be linked.
+    roots = stored(connected_components(links, f"{folder}/roots"), f"{folder}/roots/all")
+    of_token = heads.select("token", F.col("pivot").alias("_best")).distinct()
+    judged = members.join(of_token, "token", "left").withColumn("pivot", F.coalesce("_best", "pivot")).select("token", "cls", "n", "left", "pivot")
+    own = roots.select(F.col("node").alias("cls"), F.col("root").alias("own"))
+    theirs = roots.select(F.col("node").alias("pivot"), F.col("root").alias("theirs"))
+    judged = judged.distinct().join(own, "cls", "left").withColumn("own", F.coalesce("own", "cls"))
+    judged = judged.join(theirs, "pivot", "left").withColumn("theirs", F.coalesce("theirs", "pivot"))
+    judged = stored(judged.select("token", "cls", "n", "left", "own", (F.col("own") != F.col("theirs")).alias("far")), f"{folder}/judged")
+    distant = judged.where("far").select("token", *(F.col(c).alias(f"x_{c}") for c in ("cls", "n", "left", "own")))
+    # Two distant ones meet from both ends; one of them is enough.
+    once = ~F.col("far") | (F.col("x_cls") < F.col("cls"))
+    possible = enough(F.col("x_left"), F.col("left"), F.col("x_n"), F.col("n"), percent)
+    across = distant.join(judged, "token").where((F.col("x_own") != F.col("own")) & once & possible)
+    across = across.select(F.col("x_cls").alias("a"), F.col("cls").alias("b")).distinct()
+    known = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    across = stored(across.join(known, ["a", "b"], "left_anti"), f"{folder}/across")
+    missing = _named(across).join(_named(pairs), "cls", "left_anti")
+    if not missing.isEmpty():
+        sets = sets.unionByName(chosen_sets(docs, base, missing, f"{folder}/more-sets", percent, size))
+    return links.unionByName(verify(across, sets, f"{folder}/checked-across", percent))
+
+
+def _named(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
+
+
+def chosen_sets(docs: DataFrame, base: DataFrame, classes: DataFrame, folder: str, percent: int, size: int) -> DataFrame:
+    """`class_sets` of one document of each class, written."""
+    chosen = base.join(classes, "cls").groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
+    return stored(class_sets(docs, stored(chosen, f"{folder}/chosen"), percent, size), f"{folder}/rows")
 
 
 def jaccard_components(docs: DataFrame, percent: int = PERCENT, size: int = SIZE) -> DataFrame:
@@ -322,8 +389,10 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, size: int = SIZE
     """
     folder = work_folder(docs.sparkSession, "jaccard")
     docs = docs.select("doc_id", "text")
-    base = stored(word_sets(docs, size), f"{folder}/base")
-    links = stored(linked_classes(docs, base, folder, percent, size), f"{folder}/links")
+    found = stored(word_sets(docs, size), f"{folder}/base")
+    base = found.where("n is not null").select("doc_id", "n", "cls")
+    frequent = frequent_tokens(found.where("token is not null").select("token", "often"), folder)
+    links = stored(linked_classes(docs, base, frequent, folder, percent, size), f"{folder}/links")
     roots = stored(connected_components(links, f"{folder}/components"), f"{folder}/roots")
     least = base.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("first"))
     rooted = least.join(roots, least["cls"] == roots["node"], "left").select("cls", "first", F.coalesce("root", "cls").alias("root"))

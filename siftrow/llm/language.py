@@ -104,28 +104,42 @@ def count_grams(docs: DataFrame, order: int = ORDER) -> DataFrame:
 
 
 class LanguageModel:
-    """Languages, per order a sorted array of codes, a matrix of log2 probabilities, and the calibration."""
-
-    def __init__(self, langs: list[str], codes: list[np.ndarray], log_p: list[np.ndarray], base: float, mean: np.ndarray, var: np.ndarray):
-        self.langs, self.codes, self.log_p, self.base, self.mean, self.var = langs, codes, log_p, base, mean, var
+    """Languages; per order a sorted array of codes with a matrix of log2 probabilities, and one of contexts with a matrix of
+    log2 back-off weights; the calibration."""
+
+    def __init__(
+        self,
+        langs: list[str],
+        codes: list[np.ndarray],
+        log_p: list[np.ndarray],
+        contexts: list[np.ndarray],
+        log_back: list[np.ndarray],
+        base: float,
+        mean: np.ndarray,
+        var: np.ndarray,
+    ):
+        self.langs, self.codes, self.log_p, self.contexts, self.log_back = langs, codes, log_p, contexts, log_back
+        self.base, self.mean, self.var = base, mean, var
 
     def lookup(self, code: np.ndarray) -> np.ndarray:
-        """log2 probabilities (n-grams by languages): of the longest n-gram seen, weighed for the steps down to it."""
+        """log2 probabilities (n-grams by languages).
+
+        Of an n-gram that no language has seen, the shorter one's, times the weight that each language gives to what its
+        context leaves open; a context that a language has not seen leaves all open.
+        """
         order = len(self.codes)
-        out = np.full((len(code), len(self.langs)), self.base, np.float32)
+        out = np.zeros((len(code), len(self.langs)), np.float32)
         left = np.arange(len(code))
         for k in range(order, 0, -1):
-            mask = U((1 << (CODE_BITS * k)) - 1) if k < 4 else U(0xFFFFFFFFFFFFFFFF)
-            wanted = code[left] & mask
-            table = self.codes[k - 1]
-            if not len(table):
-                continue
-            at = np.minimum(np.searchsorted(table, wanted), len(table) - 1)
-            hit = table[at] == wanted
-            out[left[hit]] = self.log_p[k - 1][at[hit]]
-            left = left[~hit]
+            wanted = code[left] & (U((1 << (CODE_BITS * k)) - 1) if CODE_BITS * k < 64 else U(0xFFFFFFFFFFFFFFFF))
+            at, hit = _find(self.codes[k - 1], wanted)
+            out[left[hit]] += self.log_p[k - 1][at[hit]]
+            left, wanted = left[~hit], wanted[~hit]
             if not len(left):
-                break
+                return out
+            at, known = _find(self.contexts[k - 1], wanted >> U(CODE_BITS))
+            out[left[known]] += self.log_back[k - 1][at[known]]
+        out[left] += np.float32(self.base)
         return out
 
     def cross_entropy(self, code: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -138,6 +152,12 @@ class LanguageModel:
         return sums / np.maximum(size, 1)[:, None]
 
 
+def _find(table: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places in a sorted array, and whether the wanted number stands there."""
+    at = np.minimum(np.searchsorted(table, wanted), max(len(table) - 1, 0))
+    return at, table[at] == wanted if len(table) else np.zeros(len(wanted), bool)
+
+
 def fit_model(rows: list[tuple[str, np.ndarray, np.ndarray]], order: int = ORDER) -> LanguageModel:
     """rows: (language, codes, counts) of the highest order, each language once."""
     rows = sorted(rows, key=lambda r: r[0])
@@ -155,6 +175,8 @@ def fit_model(rows: list[tuple[str, np.ndarray, np.ndarray]], order: int = ORDER
     union = [np.unique(np.concatenate([lv[k][0] for lv in per_lang])) for k in range(order)]
     alphabet = len(union[0]) + 1
     log_p = [np.zeros((len(union[k]), len(rows)), np.float32) for k in range(order)]
+    contexts = [np.unique(codes >> shift) for codes in union]
+    log_back = [np.zeros((len(c), len(rows)), np.float32) for c in contexts]
     mean, var = np.zeros(len(rows)), np.zeros(len(rows))
     for i, levels in enumerate(per_lang):
         lower: np.ndarray | None = None
@@ -174,12 +196,13 @@ def fit_model(rows: list[tuple[str, np.ndarray, np.ndarray]], order: int = ORDER
             back = 1 / alphabet if k == 0 else lower[np.searchsorted(union[k - 1], wanted & U((1 << (CODE_BITS * k)) - 1))]
             p = np.where(seen, count / total[at] + d * types[at] / total[at] * back, back)
             log_p[k][:, i] = np.log2(p)
+            log_back[k][np.searchsorted(contexts[k], ctx), i] = np.log2(d * types / total)
             lower = p
         codes, n = levels[-1]
         bits = -log_p[-1][np.searchsorted(union[-1], codes), i]
         mean[i] = (n * bits).sum() / n.sum()
         var[i] = (n * (bits - mean[i]) ** 2).sum() / n.sum()
-    return LanguageModel([r[0] for r in rows], union, log_p, -float(np.log2(alphabet)), mean, var)
+    return LanguageModel([r[0] for r in rows], union, log_p, contexts, log_back, -float(np.log2(alphabet)), mean, var)
 
 
 def learn_languages(docs: DataFrame, order: int = ORDER) -> LanguageModel | None:
@@ -193,6 +216,35 @@ def learn_languages(docs: DataFrame, order: int = ORDER) -> LanguageModel | None
     return fit_model([(name, codes[langs == name], n[langs == name]) for name in sorted(set(langs))], order)
 
 
+def _judge(m: LanguageModel, column: pa.Array, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Language, score and acceptance of each text."""
+    lang = np.full(len(column), UNKNOWN, object)
+    score, accepted = np.zeros(len(column)), np.zeros(len(column), bool)
+    for data, offsets, first in slices(column) if m is not None else ():
+        chars, bounds = characters(data, offsets)
+        letters = np.concatenate([[0], np.cumsum(chars != EDGE)])
+        has = np.diff(letters[bounds]) > 0
+        if not has.any():
+            continue
+        code, _ = grams(chars, bounds, order)
+        h = m.cross_entropy(code, bounds)
+        best = h.argmin(1)
+        least = h[np.arange(len(h)), best]
+        sure = np.minimum(np.diff(bounds), SURE_AFTER)[:, None]
+        share = 1 / np.exp2((least[:, None] - h) * sure).sum(1)
+        limit = m.mean[best] + SLACK + Z * np.sqrt(m.var[best] / np.maximum(np.diff(bounds), 1))
+        rows = slice(first, first + len(h))
+        lang[rows] = np.where(has, np.array(m.langs, object)[best], UNKNOWN)
+        score[rows] = np.where(has, share, 0.0)
+        accepted[rows] = has & (least <= limit)
+    return lang, score, accepted
+
+
+def _shared(docs: DataFrame, model: LanguageModel | None):
+    # Arrays and names alone: one row per n-gram of the languages, whatever the length of the texts.
+    return docs.sparkSession.sparkContext.broadcast(vars(model) if model else None)
+
+
 def predict_language(docs: DataFrame, model: LanguageModel | None, order: int = ORDER) -> DataFrame:
     """docs with lang_pred, score (share of the best language
     in the likelihoods of all, over 16 characters at most; 0 to 1) and accepted.
@@ -203,31 +255,12 @@ def predict_language(docs: DataFrame, model: LanguageModel | None, order: int =
     """
     kept = [c for c in docs.columns if c not in ("lang_pred", "score", "accepted")]
     schema = docs.select(*kept).withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0), "accepted": F.lit(True)}).schema
-    # Arrays and names alone: one row per n-gram of the languages, whatever the length of the texts.
-    shared = docs.sparkSession.sparkContext.broadcast(vars(model) if model else None)
+    shared = _shared(docs, model)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = LanguageModel(**shared.value) if shared.value else None
         for batch in batches:
-            lang = np.full(batch.num_rows, UNKNOWN, object)
-            score, accepted = np.zeros(batch.num_rows), np.zeros(batch.num_rows, bool)
-            for data, offsets, first in slices(batch.column("text")):
-                chars, bounds = characters(data, offsets)
-                letters = np.concatenate([[0], np.cumsum(chars != EDGE)])
-                has = np.diff(letters[bounds]) > 0
-                if m is None or not has.any():
-                    continue
-                code, _ = grams(chars, bounds, order)
-                h = m.cross_entropy(code, bounds)
-                best = h.argmin(1)
-                least = h[np.arange(len(h)), best]
-                sure = np.minimum(np.diff(bounds), SURE_AFTER)[:, None]
-                share = 1 / np.exp2((least[:, None] - h) * sure).sum(1)
-                limit = m.mean[best] + SLACK + Z * np.sqrt(m.var[best] / np.maximum(np.diff(bounds), 1))
-                rows = slice(first, first + len(h))
-                lang[rows] = np.where(has, np.array(m.langs, object)[best], UNKNOWN)
-                score[rows] = np.where(has, share, 0.0)
-                accepted[rows] = has & (least <= limit)
+            lang, score, accepted = _judge(m, batch.column("text"), order)
             extra = [pa.array(lang, pa.string()), pa.array(score), pa.array(accepted)]
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in kept] + extra, names=schema.names)
 
@@ -241,8 +274,15 @@ def identify_languages(docs: DataFrame, order: int = ORDER) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, order: int = ORDER) -> DataFrame:
-    """docs (doc_id, text, lang and others) without the rejected ones; columns as they are."""
-    named = predict_language(
-        docs.select(F.struct(*docs.columns).alias("_row"), "text"), learn_languages(docs.select("doc_id", "text", "lang"), order), order
-    )
-    return named.where("accepted").select("_row.*")
+    """docs (doc_id, text, lang and others) without the rejected ones; columns as they are.
+
+    A row goes to Python once, whole, and those that stay come back.
+    """
+    shared = _shared(docs, learn_languages(docs.select("doc_id", "text", "lang"), order))
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = LanguageModel(**shared.value) if shared.value else None
+        for batch in batches:
+            yield batch.filter(pa.array(_judge(m, batch.column("text"), order)[2]))
+
+    return docs.mapInArrow(keep, docs.schema)

@@ -118,10 +118,12 @@ def dedup_lines(docs: DataFrame, batches: int = BATCHES, fan_in: int = FAN_IN) -
     docs have it, is the length of the new text.
 
     The table is taken in `batches` ranges of ascending doc_id. Hashes are computed once and written to the shared folder
-    (doc_id, place, 16 bytes). The result is lazy and reads the index: its tables stay until the session ends.
+    (doc_id, place, 16 bytes). Which lines go is written there too, so the tables of the index are dropped before it
+    returns.
     """
     spark = docs.sparkSession
-    lines = stored(line_hashes(docs), f"{work_folder(spark, 'lines')}/hashes")
+    folder = work_folder(spark, "lines")
+    lines = stored(line_hashes(docs), f"{folder}/hashes")
     index = LineIndex(spark, fan_in)
     bounds = batch_bounds(docs, batches)
     edges: list[Column] = []
@@ -138,19 +140,22 @@ def dedup_lines(docs: DataFrame, batches: int = BATCHES, fan_in: int = FAN_IN) -
         .groupBy(F.col("doc_id").alias("_id"), F.col("row").alias("_row"))
         .agg(F.collect_set("pos").alias("_gone"))
     )
+    gone = stored(gone, f"{folder}/gone")
+    index.drop()
     text = F.coalesce(F.col("text"), F.lit(""))
-    parts = docs.withColumn("_own", F.xxhash64(text))
-    joined = parts.join(gone, parts["doc_id"].eqNullSafe(gone["_id"]) & (parts["_own"] == gone["_row"]), "left")
-    split = F.split(text, "\n")
-    dropped = F.coalesce(F.size("_gone"), F.lit(0))
+    # The caller's columns travel in one of their own, whatever they are called.
+    parts = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("id"), F.xxhash64(text).alias("own"), F.split(text, "\n").alias("lines"))
+    joined = parts.join(gone, parts["id"].eqNullSafe(gone["_id"]) & (parts["own"] == gone["_row"]), "left")
     # Positions of the lines that stay; a set difference, so a long document takes no longer per line.
-    stay = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_gone"))
-    whole = F.when(F.col("_gone").isNull(), text).otherwise(F.array_join(F.transform(stay, lambda i: F.col("_lines")[i]), "\n"))
-    out = joined.withColumn("_lines", split).withColumns({
-        "n_lines": F.size("_lines").cast("long"),
-        "n_dropped": F.when(F.col("_gone").isNull(), F.lit(0)).otherwise(dropped).cast("long"),
-        "text": whole,
-    })
+    stay = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("_gone"))
+    kept = F.when(F.col("_gone").isNull(), F.col("lines")).otherwise(F.transform(stay, lambda i: F.col("lines")[i]))
+    out = joined.select("row", "_gone", "lines", F.array_join(kept, "\n").alias("text"))
+    results = {
+        "n_lines": F.size("lines").cast("long"),
+        "n_dropped": F.when(F.col("_gone").isNull(), F.lit(0)).otherwise(F.size("_gone")).cast("long"),
+        "text": F.col("text"),
+    }
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast("long"))
-    return out.select(*docs.columns, *[c for c in ("n_lines", "n_dropped") if c not in docs.columns])
+        results["n_chars"] = F.length("text").cast("long")
+    names = [*docs.columns, *(c for c in ("n_lines", "n_dropped") if c not in docs.columns)]
+    return out.select(*(results[c].alias(c) if c in results else F.col("row")[c].alias(c) for c in names))

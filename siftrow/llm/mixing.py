@@ -3,8 +3,9 @@
 Every source is a stream of words: its documents in a shuffled order (the digest of doc_id), again from the start after
 each pass, cut into blocks of equally many words. A schedule of slots is laid over the sources: slot j takes a point of
 the golden-ratio sequence, the point falls into a source's share of the targets, and the source's k-th slot takes its
-k-th block. A source's stream ends at its target. Points are spread so evenly that each source gets its share of slots to
-within a few; blocks that no slot reached stand at the end of the mix, so the targets hold exactly.
+k-th block. What the slots reach is the mix, in the order of the slots; nothing else is. Points are spread so evenly that
+each source gets its share of slots to within a few, at every length of the schedule, so its words come near its target;
+blocks are as small as it takes for `LEAST_SLOTS` slots.
 
 All of it is DataFrame work. Ranks and stream positions are sums over (source, range) before they are sums within one
 range, so a source that holds most rows is spread like any other.
@@ -21,8 +22,8 @@ from siftrow.llm.common import running_start, stored, words, work_folder
 WEIGHTS = (5, 2, 1)
 #: A source gives each of its words at most so often.
 MOST_PASSES = 3
-#: Words in a block.
-BLOCK = 1024
+#: Most words in a block, and how many slots a mix has at least, where it has so many words.
+BLOCK, LEAST_SLOTS = 1024, 1 << 16
 SEED = "mix"
 #: The golden ratio's fractional part times 2^31, made odd: multiples modulo 2^31 are the points of the sequence.
 STEP, TURN = 1_327_217_885, 1 << 31
@@ -64,7 +65,12 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
     )
 
 
-def schedule(goals: DataFrame, block: int = BLOCK) -> DataFrame:
+def block_words(total: int) -> int:
+    """Words in a block of a mix of so many words."""
+    return max(1, min(BLOCK, total // LEAST_SLOTS))
+
+
+def schedule(goals: DataFrame, block: int) -> DataFrame:
     """slot, source_no, k: the k-th slot of a source, from 0. goals: source_no, quota (words to take)."""
     by_no = Window.orderBy("source_no")
     shares = goals.where("quota > 0").select(
@@ -88,12 +94,12 @@ def schedule(goals: DataFrame, block: int = BLOCK) -> DataFrame:
     return running_start(drawn, "source_no", "chunk", [F.col("slot")], "one", "k").select("slot", "source_no", F.col("k").cast("long"))
 
 
-def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, block: int = BLOCK, seed: str = SEED) -> DataFrame:
+def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, block: int | None = None, seed: str = SEED) -> DataFrame:
     """The mix as spans of documents, and a row without words for each document that it leaves out.
 
     Columns: doc_id, source, size, tie, start (the document's place in its source's stream), source_size, target, turn
-    (pass over the source, from 0), first_word and n_words of the span, block (of the source), slot (null: after the
-    schedule's end). The order of the mix is slot with nulls last, source, block, turn, start.
+    (pass over the source, from 0), first_word and n_words of the span, block (of the source), slot (null: left out). The
+    order of the mix is slot, turn, start. A source's last block ends where it has been taken three times.
 
     A null or empty text has no words and is left out. Null sources are one source, the last. Null doc_ids and repeated
     rows are documents of their own, told apart by start. No documents: no rows. Other columns of docs are not read. Sizes
@@ -105,53 +111,56 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, block: int
     quota = F.floor(F.col("target") + 0.5).cast("long")
     number = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
     goals = stored(targets(sizes, weights).select("source", "source_size", "target", quota.alias("quota"), number.alias("source_no")), f"{folder}/goals")
+    if block is None:
+        block = block_words(goals.agg(F.coalesce(F.sum("quota"), F.lit(0)).alias("q")).first()["q"])
+    slots = stored(schedule(goals, block), f"{folder}/slots")
+    reached = slots.groupBy("source_no").agg(F.count(F.lit(1)).alias("n_slots"))
+    end = F.least(F.coalesce("n_slots", F.lit(0)) * block, MOST_PASSES * F.col("source_size"))
+    ends = goals.join(reached, "source_no", "left").withColumn("end", end)
 
     order: list[Column] = [F.col("key"), F.col("doc_id").asc_nulls_first(), F.col("size"), F.col("tie")]
     placed = running_start(sizes, "source", "bucket", order, "size", "start").select("doc_id", "source", "size", "tie", "start")
-    own = goals.select(F.col("source").alias("_source"), "source_size", "target", "quota", "source_no")
+    own = ends.select(F.col("source").alias("_source"), "source_size", "target", "end", "source_no")
     placed = placed.join(own, placed["source"].eqNullSafe(own["_source"])).drop("_source")
-    # Passes that reach the document: those whose stream position lies before the source's end.
-    passes = F.when((F.col("size") > 0) & (F.col("start") < F.col("quota")), F.ceil((F.col("quota") - F.col("start")) / F.col("source_size")))
+    # Passes that reach the document: those whose stream position lies before the end of the last slot's block.
+    passes = F.when((F.col("size") > 0) & (F.col("start") < F.col("end")), F.ceil((F.col("end") - F.col("start")) / F.col("source_size")))
     turns = placed.withColumn("turn", F.explode_outer(F.sequence(F.lit(0).cast("long"), passes - 1)))
     at = F.col("turn") * F.col("source_size") + F.col("start")
-    turns = turns.withColumn("_at", at).withColumn("_end", F.least(at + F.col("size"), F.col("quota")))
+    turns = turns.withColumn("_at", at).withColumn("_end", F.least(at + F.col("size"), F.col("end")))
     cut = turns.withColumn("block", F.explode_outer(F.sequence(F.floor(F.col("_at") / block), F.floor((F.col("_end") - 1) / block))))
     lo, hi = F.greatest("_at", F.col("block") * block), F.least("_end", (F.col("block") + 1) * block)
-    spans = cut.withColumn("first_word", lo - F.col("_at")).withColumn("n_words", F.coalesce(hi - lo, F.lit(0).cast("long"))).drop("_at", "_end", "quota")
-    slots = schedule(goals, block).select("slot", F.col("source_no").alias("_no"), F.col("k").alias("_k"))
-    out = spans.join(slots, (spans["source_no"] == slots["_no"]) & (spans["block"] == slots["_k"]), "left")
+    spans = cut.withColumn("first_word", lo - F.col("_at")).withColumn("n_words", F.coalesce(hi - lo, F.lit(0).cast("long"))).drop("_at", "_end", "end")
+    # Every block has its slot, since the blocks end where the slots do.
+    of_slot = slots.select("slot", F.col("source_no").alias("_no"), F.col("k").alias("_k"))
+    out = spans.join(of_slot, (spans["source_no"] == of_slot["_no"]) & (spans["block"] == of_slot["_k"]), "left")
     return out.drop("source_no", "_no", "_k")
 
 
 def taken_words(spans: DataFrame) -> DataFrame:
-    """doc_id, size, source_size, target, taken: one row per document, from the spans of `mix_sources`."""
+    """doc_id, size, source_size, target, taken, first_slot (null: left out): one row per document, from `mix_sources`."""
     keys = ["doc_id", "source", "start", "tie", "size", "source_size", "target"]
-    rows = spans.groupBy(*keys).agg(F.sum("n_words").alias("taken"), F.count(F.lit(1)).alias("_rows"))
+    taken = F.sum(F.when(F.col("slot").isNotNull(), F.col("n_words")).otherwise(0))
+    rows = spans.groupBy(*keys).agg(taken.alias("taken"), F.min("slot").alias("first_slot"), F.count(F.lit(1)).alias("_rows"))
     # Wordless documents can share a place in the stream; each has one row among the spans.
     copies = F.when(F.col("size") == 0, F.col("_rows")).otherwise(F.lit(1).cast("long"))
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), copies))).select("doc_id", "size", "source_size", "target", "taken")
+    rows = rows.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), copies)))
+    return rows.select("doc_id", "size", "source_size", "target", "taken", "first_slot")
 
 
-def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, block: int = BLOCK, seed: str = SEED) -> DataFrame:
-    """docs as the mix takes them: a row per document and pass, with the columns of docs.
+def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, block: int | None = None, seed: str = SEED) -> DataFrame:
+    """docs as the mix takes them: a row per document and pass, whole, with the columns of docs, whatever their names.
 
-    A document that a source's end cuts has its first words, joined by spaces; others keep their text. What the mix leaves
-    out is gone. Rows that repeat in docs are taken as often as the mix takes each.
+    Of the document that a source's last block cuts, the whole is taken if at least half of it is in the mix, else
+    nothing. What the mix leaves out is gone. Rows that repeat in docs are taken as often as the mix takes each.
     """
-    cols = docs.columns
-    spans = mix_sources(docs, weights, block, seed).where("n_words > 0")
-    turns = spans.groupBy("doc_id", "source", "start", "tie", "size", "turn").agg(F.sum("n_words").alias("_n"))
+    spans = mix_sources(docs, weights, block, seed).where("slot is not null")
+    turns = spans.groupBy("doc_id", "source", "start", "tie", "size", "turn").agg(F.sum("n_words").alias("n")).where("2 * n >= size")
     # Equal rows of docs have equal shares of the rows taken from them.
-    counted = turns.groupBy("doc_id", "source", "tie", "size", "_n").agg(F.count(F.lit(1)).alias("_rows"))
-    counted = counted.select(F.col("doc_id").alias("_doc"), F.col("source").alias("_src"), F.col("tie").alias("_tie"), F.col("size").alias("_size"), "_n", "_rows")
-    named = docs.withColumn("_t", F.xxhash64("text"))
-    kinds = Window.partitionBy("doc_id", "source", "_t").orderBy("doc_id")
-    named = named.withColumn("_copy", F.row_number().over(kinds)).withColumn("_of", F.count(F.lit(1)).over(Window.partitionBy("doc_id", "source", "_t")))
-    on = named["doc_id"].eqNullSafe(counted["_doc"]) & named["source"].eqNullSafe(counted["_src"]) & (named["_t"] == counted["_tie"])
-    share = F.floor(F.col("_rows") / F.col("_of")) + F.when(F.col("_copy") <= F.col("_rows") % F.col("_of"), 1).otherwise(0)
-    joined = named.join(counted, on).withColumn("_share", share).where("_share > 0").withColumn("_each", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_share"))))
-    cut = F.when(F.col("_n") == F.col("_size"), F.col("text")).otherwise(F.array_join(F.slice(words(F.col("text")), 1, F.col("_n").cast("int")), " "))
-    out = joined.withColumn("text", cut)
-    if "n_chars" in cols:
-        out = out.withColumn("n_chars", F.length("text").cast("long"))
-    return out.select(*cols)
+    counted = turns.groupBy("doc_id", "source", "tie").agg(F.count(F.lit(1)).alias("rows"))
+    named = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "source", F.xxhash64("text").alias("t"))
+    kinds = Window.partitionBy("doc_id", "source", "t")
+    named = named.withColumns({"copy": F.row_number().over(kinds.orderBy("doc_id")), "of": F.count(F.lit(1)).over(kinds)}).alias("d")
+    on = F.col("d.doc_id").eqNullSafe(F.col("c.doc_id")) & F.col("d.source").eqNullSafe(F.col("c.source")) & (F.col("t") == F.col("tie"))
+    share = F.floor(F.col("rows") / F.col("of")) + F.when(F.col("copy") <= F.col("rows") % F.col("of"), 1).otherwise(0)
+    joined = named.join(counted.alias("c"), on).select("row", share.alias("share")).where("share > 0")
+    return joined.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("share")))).select("row.*")

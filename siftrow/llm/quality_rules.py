@@ -1,7 +1,7 @@
 """Quality rules: fixed base rules, then a log-likelihood ratio of hashed n-grams.
 
-Each text becomes a bag of hashed n-grams: every word, and the last three characters of every word, which tell
-punctuation, case and inflection. Two multinomials over the buckets are counted, one over all documents and one over the
+Each text becomes a bag of hashed n-grams: every word, and every word with the next one (the last word alone once more), so
+that the order of words counts. Two multinomials over the buckets are counted, one over all documents and one over the
 trusted ones. A text's verdict is the mean over its n-grams of log(trusted / raw), held in whole millionths so that sums
 do not depend on the order of rows.
 
@@ -22,19 +22,23 @@ BUCKETS = 10_000
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
 WINDOW = 5
-#: Characters of the n-gram at the end of a word.
-ENDING = 3
 #: Mean log ratio in nats below which a text goes: its n-grams are then clearly rarer among trusted texts.
 THRESHOLD = -0.1
 SCALE = 1_000_000
 
 
-def bucket(text: Column, buckets: int) -> Column:
-    return F.pmod(F.xxhash64(text), F.lit(buckets)).cast("int")
+def bucket(hashed: Column, buckets: int) -> Column:
+    return F.pmod(hashed, F.lit(buckets)).cast("int")
 
 
-def ending(word: Column) -> Column:
-    return F.substring(word, -ENDING, ENDING)
+def grams(word: Column, after: Column, buckets: int) -> tuple[Column, Column]:
+    """Buckets of a word and of the pair it makes with the next; after: null behind the last."""
+    return bucket(F.xxhash64(word), buckets), bucket(F.xxhash64(word, after), buckets)
+
+
+def following(w: Column) -> Column:
+    """Structs of every word and the one after it."""
+    return F.transform(w, lambda x, i: F.struct(x.alias("w"), F.get(w, i + 1).alias("after")))
 
 
 def features(text: Column, ratios: Column, buckets: int = BUCKETS) -> Column:
@@ -74,7 +78,7 @@ def features(text: Column, ratios: Column, buckets: int = BUCKETS) -> Column:
         lambda w: F.struct(
             F.size(w).cast("long").alias("n_words"),
             F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
-            F.aggregate(w, F.lit(0).cast("long"), lambda a, x: a + ratios[bucket(x, buckets)] + ratios[bucket(ending(x), buckets)]).alias("total"),
+            F.aggregate(following(w), F.lit(0).cast("long"), lambda a, x: a + sum(ratios[b] for b in grams(x["w"], x["after"], buckets))).alias("total"),
             let(windows(w), repeated).alias("n_repeat_words"),
         ),
     )
@@ -93,9 +97,9 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) -> l
     marked = trusted.select(F.col("doc_id").alias("_id")).where("_id is not null").distinct().withColumn("_t", F.lit(1))
     # Merged at every size: the trusted ids grow with the documents, so they are never sent to all tasks.
     joined = docs.select("doc_id", "text").join(marked.hint("merge"), F.col("doc_id") == F.col("_id"), "left")
-    each = joined.select(F.coalesce("_t", F.lit(0)).cast("long").alias("t"), F.explode(words(F.col("text"))).alias("w"))
-    grams = each.select("t", F.explode(F.array(bucket(F.col("w"), buckets), bucket(ending(F.col("w")), buckets))).alias("b"))
-    counts = grams.groupBy("b").agg(F.count(F.lit(1)).alias("raw"), F.sum("t").alias("target")).collect()
+    each = joined.select(F.coalesce("_t", F.lit(0)).cast("long").alias("t"), F.explode(let(words(F.col("text")), following)).alias("x"))
+    both = each.select("t", F.explode(F.array(*grams(F.col("x.w"), F.col("x.after"), buckets))).alias("b"))
+    counts = both.groupBy("b").agg(F.count(F.lit(1)).alias("raw"), F.sum("t").alias("target")).collect()
     raw, target = [1] * buckets, [1] * buckets
     for row in counts:
         raw[row["b"]] += row["raw"]
@@ -115,19 +119,20 @@ def quality_rules(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, t
     names of the result are replaced. No documents: no rows. No trusted documents: all ratios follow the added counts.
     """
     ratios = F.lit(log_ratios(docs, trusted, buckets))
-    f = F.col("_f")
-    out = (
-        docs.withColumn("_f", features(F.col("text"), ratios, buckets))
-        .withColumns({
-            "n_words": f["words"]["n_words"],
-            "word_chars": f["words"]["word_chars"],
-            "n_symbols": f["n_symbols"],
-            "n_dup_lines": f["n_dup_lines"],
-            "n_repeat_words": f["words"]["n_repeat_words"],
-            "llr": F.when(f["words"]["n_words"] > 0, F.floor(f["words"]["total"] / (2 * f["words"]["n_words"]))),
-        })
-        .drop("_f")
-    )
+    # The caller's columns travel in one of their own, whatever they are called.
+    judged = docs.select(F.struct(*docs.columns).alias("row"), features(F.col("text"), ratios, buckets).alias("f"))
+    f = F.col("f")
+    results = {
+        "n_words": f["words"]["n_words"],
+        "word_chars": f["words"]["word_chars"],
+        "n_symbols": f["n_symbols"],
+        "n_dup_lines": f["n_dup_lines"],
+        "n_repeat_words": f["words"]["n_repeat_words"],
+        "llr": F.when(f["words"]["n_words"] > 0, F.floor(f["words"]["total"] / (2 * f["words"]["n_words"]))),
+    }
+    names = {*results, "base_failed", "kept"}
+    own = [F.col("row")[c].alias(c) for c in docs.columns if c not in names]
+    out = judged.select(*own, *(value.alias(name) for name, value in results.items()))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     kept = ~F.col("base_failed") & F.coalesce(F.col("llr") >= round(threshold * SCALE), F.lit(False))
     return out.withColumn("base_failed", failed).withColumn("kept", kept)

@@ -50,12 +50,23 @@ WITH sized AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''),
      goals AS (SELECT source, source_size, least((3 * source_size)::DOUBLE, w::DOUBLE * max(level) OVER ()) AS target FROM levels),
      placed AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY key, doc_id NULLS FIRST, size
                                    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM sized),
-     met AS (SELECT doc_id, size, source_size, target, start, floor(target + 0.5)::BIGINT AS quota
-             FROM placed p JOIN goals g ON p.source IS NOT DISTINCT FROM g.source)
-SELECT doc_id, size, source_size, target,
-       CASE WHEN source_size = 0 THEN 0::BIGINT
-            ELSE (quota // source_size) * size + greatest(0, least(size, quota % source_size - start)) END::BIGINT AS taken
-FROM met
+     quotas AS (SELECT *, floor(target + 0.5)::BIGINT AS quota FROM goals),
+     cut AS (SELECT sum(quota)::BIGINT AS total, greatest(1, least(1024, sum(quota)::BIGINT // 65536))::BIGINT AS block FROM quotas),
+     edges AS (SELECT source, coalesce(sum(quota) OVER before, 0)::DOUBLE AS lo, sum(quota) OVER upto::DOUBLE AS hi FROM quotas WHERE quota > 0
+               WINDOW before AS (ORDER BY source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
+                      upto AS (ORDER BY source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+     shares AS (SELECT source, floor(lo / total * 2147483648)::BIGINT AS lo, floor(hi / total * 2147483648)::BIGINT AS hi FROM edges, cut),
+     points AS (SELECT slot, (slot % 2147483648) * 1327217885 % 2147483648 AS x
+                FROM (SELECT unnest(range((total + block - 1) // block))::BIGINT AS slot FROM cut)),
+     drawn AS (SELECT source, slot, row_number() OVER (PARTITION BY source ORDER BY slot) - 1 AS k FROM points JOIN shares ON x >= lo AND x < hi),
+     reach AS (SELECT source, count(*) AS n FROM drawn GROUP BY source),
+     met AS (SELECT p.doc_id, p.source, p.size, q.source_size, q.target, p.start, least(coalesce(r.n, 0) * block, 3 * q.source_size)::BIGINT AS stop, block
+             FROM placed p JOIN quotas q ON p.source IS NOT DISTINCT FROM q.source
+             LEFT JOIN reach r ON p.source IS NOT DISTINCT FROM r.source CROSS JOIN cut),
+     spread AS (SELECT *, CASE WHEN source_size = 0 THEN 0
+                  ELSE (stop // source_size) * size + greatest(0, least(size, stop % source_size - start)) END::BIGINT AS taken FROM met)
+SELECT s.doc_id, s.size, s.source_size, s.target, s.taken, d.slot AS first_slot
+FROM spread s LEFT JOIN drawn d ON s.taken > 0 AND s.source IS NOT DISTINCT FROM d.source AND d.k = s.start // s.block
 """)
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taken_words(mix_sources(read(spark, sf_dir, "documents").select("doc_id", "text", "source")))

@@ -100,7 +100,9 @@ def brute_rules(rows, trusted):
     bags = {}
     for i, (doc, text) in enumerate(rows):
         w = re.findall(r"[^\x20\x09-\x0D]+", text or "")
-        bags[i] = [xxhash.xxh64_intdigest(g.encode(), 42) for x in w for g in (x, x[-3:])]
+        alone = [xxhash.xxh64_intdigest(x.encode(), 42) for x in w]
+        pairs = [xxhash.xxh64_intdigest(y.encode(), h) for h, y in zip(alone, w[1:])] + alone[-1:]
+        bags[i] = alone + pairs
     signed = lambda h: h - (1 << 64) if h >> 63 else h
     raw, target = [1] * BUCKETS, [1] * BUCKETS
     for i, (doc, _) in enumerate(rows):
@@ -130,6 +132,36 @@ def test_quality_rules_equal_brute_force(spark):
     assert got == brute_rules(rows, {7, 9})
 
 
+def test_the_order_of_words_counts(spark):
+    rng = np.random.default_rng(5)
+    clean = [f"the {a} house stands on the {b} hill and looks over the {a} river" for a in ("old", "red", "tall") for b in ("green", "steep", "wide")]
+    mixed = [" ".join(rng.permutation(t.split())) for t in clean]
+    docs = spark.createDataFrame(list(enumerate(clean * 5 + mixed)), "doc_id long, text string")
+    out = quality_rules(docs, docs.where("doc_id < 30").select("doc_id"))
+    llr = {r.doc_id: r.llr for r in out.collect()}
+    assert all(llr[i] > llr[45 + i] for i in range(9))
+
+
+CLASHES = "_f f row _row _gone gone _lines lines _own own id _id _t t _copy copy _of of _share share _each tie rows n".split()
+
+
+@pytest.mark.parametrize("operator", ["dedup_lines", "quality_rules", "mixed_documents"])
+def test_columns_of_any_name_come_back_as_they_were(spark, operator):
+    from siftrow.llm.mixing import mixed_documents
+
+    rows = [(i, f"a common line of words here\nown words of document number {i} so that it is long enough", "s", *([f"{i}"] * len(CLASHES))) for i in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, " + ", ".join(f"{c} string" for c in CLASHES))
+    out = {
+        "dedup_lines": lambda: dedup_lines(docs),
+        "quality_rules": lambda: quality_rules(docs, docs.select("doc_id")),
+        "mixed_documents": lambda: mixed_documents(docs),
+    }[operator]()
+    assert set(docs.columns) <= set(out.columns)
+    got = out.collect()
+    assert {r.doc_id for r in got} == set(range(4))
+    assert all(r[c] == str(r.doc_id) for r in got for c in CLASHES)
+
+
 def test_word_spans_and_hashes():
     texts = ["ab cd", "", None, "ab", "cdab\n ab", "é ab"]
     for data, offsets, _ in slices(pa.array(texts, pa.string())):
@@ -161,15 +193,57 @@ def test_classifier_is_learned_without_held_out_rows(spark):
     assert dict(clash.dtypes)["score"] == "double"
 
 
-def test_kneser_ney_probabilities_sum_to_one():
+def plain_kneser_ney(texts, order, alphabet):
+    """p(gram) of one language by the textbook recursion; texts are lists of symbols, padded in front."""
+    grams = Counter(tuple(t[i : i + order]) for t in texts for i in range(len(t) - order + 1))
+    levels = {order: grams}
+    for k in range(order - 1, 0, -1):
+        levels[k] = Counter(g[1:] for g in levels[k + 1])
+
+    def p(gram):
+        if not gram:
+            return 1 / alphabet
+        counts = levels[len(gram)]
+        ones, twos = (sum(n == x for n in counts.values()) for x in (1, 2))
+        d = ones / (ones + 2 * twos) if ones and twos else 0.75
+        after = [n for g, n in counts.items() if g[:-1] == gram[:-1]]
+        if not after:
+            return p(gram[1:])
+        return max(counts[gram] - d, 0) / sum(after) + d * len(after) / sum(after) * p(gram[1:])
+
+    return p
+
+
+def coded(gram):
+    code = 0
+    for c in gram:
+        code = code << 16 | c
+    return code
+
+
+def test_kneser_ney_is_the_plain_recursion_with_unseen_grams_and_sums_to_one():
     rng = np.random.default_rng(1)
-    text = rng.integers(2, 8, 4000).astype(np.uint64)
-    codes = (text[:-1] << np.uint64(16)) | text[1:]
-    found, n = np.unique(codes, return_counts=True)
-    model = fit_model([("a", found, n)], order=2)
-    for context in range(2, 8):
-        p = np.exp2(model.lookup(np.array([(context << 16) | c for c in range(2, 8)], np.uint64)))
-        assert 0.9 < p.sum() <= 1.0 + 1e-6
+    order, symbols, unseen = 3, range(2, 9), 99
+    # The second language lacks two symbols and most contexts.
+    texts = {"a": [rng.integers(2, 9, 150).tolist()], "b": [(rng.integers(1, 4, 60) * 2).tolist()]}
+    rows = []
+    for lang, held in texts.items():
+        counts = Counter(tuple(t[i : i + order]) for t in held for i in range(len(t) - order + 1))
+        codes = sorted(counts, key=coded)
+        rows.append((lang, np.array([coded(g) for g in codes], np.uint64), np.array([counts[g] for g in codes])))
+    model = fit_model(rows, order)
+    seen = {c for _, codes, _ in rows for c in (codes & np.uint64(0xFFFF)).tolist()}
+    plain = {lang: plain_kneser_ney(held, order, len(seen) + 1) for lang, held in texts.items()}
+    contexts = [(a, b) for a in [*symbols, unseen] for b in [*symbols, unseen]]
+    missing = 0
+    for context in contexts:
+        grams = [(*context, c) for c in [*sorted(seen), unseen]]
+        got = np.exp2(model.lookup(np.array([coded(g) for g in grams], np.uint64)).astype(float))
+        want = np.array([[plain[lang](g) for lang in model.langs] for g in grams])
+        np.testing.assert_allclose(got, want, rtol=1e-4)
+        np.testing.assert_allclose(got.sum(0), 1, rtol=1e-4)
+        missing += sum(coded(g) not in model.codes[-1] for g in grams)
+    assert missing > 100
 
 
 def test_languages(spark):
