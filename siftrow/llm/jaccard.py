@@ -330,7 +330,8 @@ def linked_classes(docs: DataFrame, base: DataFrame, frequent: np.ndarray, folde
     )
     grouped = F.col("key") >= 1 << KEY_BITS
     members = tokens.where((F.col("cls") != F.col("pivot")) | (F.col("more") != F.col("cls")) | grouped)
-    members = stored(members.withColumn("token", F.col("key").bitwiseAND((1 << KEY_BITS) - 1)).drop("more", "key").withColumn("grouped", grouped), f"{folder}/members")
+    members = members.withColumns({"token": F.col("key").bitwiseAND((1 << KEY_BITS) - 1), "grouped": grouped})
+    members = stored(members.drop("more", "key"), f"{folder}/members")
     # The pivots of a frequent token's groups meet the best of them: GROUPS rows of one token at most.
     in_token = Window.partitionBy("token").orderBy("rare", "cls")
     heads = members.where(F.col("grouped") & (F.col("cls") == F.col("pivot"))).dropDuplicates(["token", "cls"])
@@ -347,7 +348,7 @@ def linked_classes(docs: DataFrame, base: DataFrame, frequent: np.ndarray, folde
     links = verify(pairs, sets, f"{folder}/checked", percent)
 
     # Classes that are not where their token's pivot is are compared with all others of the token that can be linked.
-    roots = stored(connected_components(links, f"{folder}/roots"), f"{folder}/roots/all")
+    roots = stored(connected_components(links, f"{folder}/first-roots"), f"{folder}/first-roots/all")
     of_token = heads.select("token", F.col("pivot").alias("_best")).distinct()
     judged = members.join(of_token, "token", "left").withColumn("pivot", F.coalesce("_best", "pivot")).select("token", "cls", "n", "left", "pivot")
     own = roots.select(F.col("node").alias("cls"), F.col("root").alias("own"))
