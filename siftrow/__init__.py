@@ -18,9 +18,11 @@ from siftrow.operators.answers import (
     all_or_nothing,
     flatten_row,
     join_synthesis,
+    merge_answers,
     merge_batches,
     merge_responses,
     nest,
+    parse_answers,
     parse_strict,
 )
 from siftrow.operators.catalog import DEFAULT_CATALOG, Catalog, Entry, catalog_integrity, header_diff
@@ -41,8 +43,9 @@ from siftrow.operators.checks import (
     label_profile,
     labelled_sections,
 )
-from siftrow.operators.extract import Rule, TransientError, extract_by_rules, extract_with, to_answers
+from siftrow.operators.extract import Rule, TransientError, extract_by_rules, extract_documents, extract_with, to_answers
 from siftrow.operators.ledger import (
+    document_outcome,
     failures_report,
     fold_ledger,
     outcome,
@@ -52,9 +55,17 @@ from siftrow.operators.ledger import (
 )
 from siftrow.operators.pages import assemble_pages, assemble_trimmed, split_pages
 from siftrow.operators.requests import SYSTEM_TEXT, fan_out, render_request, request_volume
-from siftrow.plans.run import first_per_key, plan_requests, run, run_folder
+from siftrow.plans.run import first_per_key, plan_requests, run, run_folder, store_documents
 from siftrow.sources.documents import load_text, read_documents, read_header, scan_documents
-from siftrow.sources.ledger import import_snapshot, read_ledger, read_runs, read_snapshot, write_snapshot
+from siftrow.sources.ledger import (
+    compact_ledger,
+    import_snapshot,
+    read_ledger,
+    read_runs,
+    read_snapshot,
+    vacuum,
+    write_snapshot,
+)
 from siftrow.sources.results import (
     append_results,
     count_output_rows,
@@ -93,11 +104,14 @@ __all__ = [
     "check_vocabulary",
     "check_year",
     "clean_cell",
+    "compact_ledger",
     "count_output_rows",
     "create_empty_output",
+    "document_outcome",
     "explode_multi",
     "export_csv",
     "extract_by_rules",
+    "extract_documents",
     "extract_with",
     "failures_report",
     "fan_out",
@@ -115,11 +129,13 @@ __all__ = [
     "label_profile",
     "labelled_sections",
     "load_text",
+    "merge_answers",
     "merge_batches",
     "merge_responses",
     "nest",
     "outcome",
     "page_count",
+    "parse_answers",
     "parse_strict",
     "pending_documents",
     "plan_requests",
@@ -138,7 +154,9 @@ __all__ = [
     "sanitize_cell",
     "scan_documents",
     "split_pages",
+    "store_documents",
     "to_answers",
     "truncate_middle",
+    "vacuum",
     "write_snapshot",
 ]

@@ -1,7 +1,13 @@
-"""From responses to rows: strict parse, merge, all-or-nothing, flatten."""
+"""From responses to rows: strict parse, merge, all-or-nothing, flatten.
+
+Answers come in two shapes. As rows, one per batch, they are merged by an aggregation. Nested, as an array in the row of
+their document (``extract_documents``), parse, merge, all-or-nothing and first failure are projections, without a shuffle.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,6 +37,29 @@ def _single(objects: Column, response: Column) -> Column:
     return F.when((F.size(objects) == 1) & alone, F.try_element_at(objects, F.lit(1)))
 
 
+def _not_text(fields: Column) -> Column:
+    return F.map_filter(fields, lambda _, v: F.schema_of_variant(v) != "STRING")
+
+
+def _problem(batch: Column | None, error: Column, fields: Column, unknown: Column, not_text: Column) -> Column:
+    """Why a response is no answer; null if it is one. ``unknown`` is null for a batch that the catalog does not know."""
+    strange = F.lit("unknown batch") if batch is None else F.concat(F.lit("unknown batch: "), F.coalesce(batch, F.lit("none")))
+    return (
+        F.when(error.isNotNull(), error)
+        .when(fields.isNull(), "no parsed object: the response is not one JSON object")
+        .when(unknown.isNull(), strange)
+        .when(F.size(unknown) > 0, F.concat(F.lit("unknown fields: "), F.array_join(unknown, ", ")))
+        .when(
+            F.size(not_text) > 0,
+            F.concat(F.lit("values that are not text: "), F.array_join(F.array_sort(F.map_keys(not_text)), ", ")),
+        )
+    )
+
+
+def _texts(fields: Column) -> Column:
+    return F.transform_values(fields, lambda _, v: F.try_variant_get(v, "$", "string"))
+
+
 def parse_strict(
     responses: DataFrame, catalog: Catalog = DEFAULT_CATALOG, *, allowed: Column | None = None
 ) -> DataFrame:
@@ -38,9 +67,11 @@ def parse_strict(
 
     A response fits when it is one JSON object, holds no field its batch does
     not know and only text values. A missing field is left out of the map and
-    becomes ``NA`` on merge. ``allowed`` overrides the fields per row.
+    becomes ``NA`` on merge. A batch that the catalog does not know, or none, is
+    an error. ``allowed`` overrides the fields per row.
     """
     known = catalog.allowed_fields(F.col("batch")) if allowed is None else allowed
+    batch = F.col("batch").cast("string") if "batch" in responses.columns else None
     # One projection per step, so that no step is evaluated twice.
     parsed = (
         responses.withColumn("_objects", _objects(F.col("response")))
@@ -48,24 +79,87 @@ def parse_strict(
         .withColumn("_unknown", F.array_sort(F.array_except(F.map_keys("_m"), known)))
         .drop("_objects")
     )
-    not_text = F.map_filter("_m", lambda _, v: F.schema_of_variant(v) != "STRING")
-    problem = (
-        F.when(F.col("error").isNotNull(), F.col("error"))
-        .when(F.col("_m").isNull(), "no parsed object: the response is not one JSON object")
-        .when(F.size("_unknown") > 0, F.concat(F.lit("unknown fields: "), F.array_join("_unknown", ", ")))
-        .when(
-            F.size(not_text) > 0,
-            F.concat(F.lit("values that are not text: "), F.array_join(F.array_sort(F.map_keys(not_text)), ", ")),
-        )
-    )
-    text_of = F.transform_values("_m", lambda _, v: F.try_variant_get(v, "$", "string"))
+    problem = _problem(batch, F.col("error"), F.col("_m"), F.col("_unknown"), _not_text(F.col("_m")))
     return (
         parsed.withColumn("error", problem)
-        .withColumn("answer", F.when(F.col("error").isNull(), text_of))
+        .withColumn("answer", F.when(F.col("error").isNull(), _texts(F.col("_m"))))
         .drop("_m", "_unknown")
     )
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` with ``value`` computed once, also inside a lambda."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+#: One answer of a document, parsed. ``asked`` tells what was asked for; see ``batch_fingerprints``.
+ANSWER_TYPE = (
+    "struct<batch:string,batch_ordinal:int,asked:string,response:string,error:string,attempts:int,"
+    "answer:map<string,string>>"
+)
+
+
+def parse_answers(answers: Column, catalog: Catalog = DEFAULT_CATALOG) -> Column:
+    """An array of answers of one document, each read as by :func:`parse_strict`: ``array<ANSWER_TYPE>``."""
+
+    def read(a: Column) -> Column:
+        def judged(m: Column) -> Column:
+            unknown = F.array_sort(F.array_except(F.map_keys(m), catalog.allowed_fields(a["batch"])))
+
+            def finish(error: Column) -> Column:
+                return F.struct(
+                    a["batch"].alias("batch"),
+                    a["batch_ordinal"].alias("batch_ordinal"),
+                    a["asked"].alias("asked"),
+                    a["response"].alias("response"),
+                    error.alias("error"),
+                    a["attempts"].alias("attempts"),
+                    F.when(error.isNull(), _texts(m)).alias("answer"),
+                )
+
+            return _let(_problem(a["batch"], a["error"], m, unknown, _not_text(m)), finish)
+
+        return _let(_objects(a["response"]), lambda o: _let(_single(o, a["response"]), judged))
+
+    return F.transform(answers, read)
+
+
+def whole_answers(answers: Column, catalog: Catalog = DEFAULT_CATALOG) -> Column:
+    """True when every batch of the catalog is answered and none failed."""
+    good = F.transform(F.filter(answers, lambda a: a["error"].isNull()), lambda a: a["batch"])
+    names = F.array(*(F.lit(b.name) for b in catalog.batches))
+    return F.coalesce(F.size(F.array_except(names, good)) == 0, F.lit(False)) & ~F.exists(answers, lambda a: a["error"].isNotNull())
+
+
+def first_problem(answers: Column) -> Column:
+    """The error of the failed answer that comes first by ordinal; null if none failed."""
+    failed = F.filter(answers, lambda a: a["error"].isNotNull())
+    return F.array_min(F.transform(failed, lambda a: F.struct(F.coalesce(a["batch_ordinal"], F.lit(0)).alias("order"), a["error"].alias("error"))))["error"]
+
+
+def cells_of(answers: Column, catalog: Catalog = DEFAULT_CATALOG) -> Column:
+    """All fields of a document's good answers as one map; of several answers to a batch, the first."""
+    names = F.array(*(F.lit(b.name) for b in catalog.batches))
+    each = F.transform(names, lambda n: F.get(F.filter(answers, lambda a: (a["batch"] == n) & a["error"].isNull()), F.lit(0))["answer"])
+    entries = F.transform(F.filter(each, lambda m: m.isNotNull()), lambda m: F.map_entries(m))
+    return F.map_from_entries(F.flatten(entries))
+
+
+def merge_answers(documents: DataFrame, catalog: Catalog = DEFAULT_CATALOG, key: str = "doc_key") -> DataFrame:
+    """Nested answers (key, answers) to (key, structured, synthesis), whole documents only; nothing moves."""
+    merged = documents.where(whole_answers(F.col("answers"), catalog)).select(key, cells_of(F.col("answers"), catalog).alias("_cells"))
+
+    def part(synthesis: bool) -> str:
+        fields = (f for b in catalog.part(synthesis) for f in b.fields)
+        na = sql.text(NOT_AVAILABLE)
+        return "struct({})".format(sql.listing(f"coalesce(try_element_at(_cells, {sql.text(f)}), {na}) AS {sql.name(f)}" for f in fields))
+
+    columns = [F.expr(f"{part(False)} AS structured")]
+    if catalog.part(synthesis=True):
+        columns.append(F.expr(f"{part(True)} AS synthesis"))
+    return merged.select(key, *columns)
+
+
 def merge_batches(answers: DataFrame, catalog: Catalog = DEFAULT_CATALOG, key: str = "doc_key") -> DataFrame:
     """Long answers (key, batch, field, value) to one wide row per document.
 

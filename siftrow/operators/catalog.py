@@ -10,6 +10,8 @@ work for one header or for millions of headers keyed by file.
 
 from __future__ import annotations
 
+import hashlib
+import json
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -148,13 +150,20 @@ class Catalog:
         return spark.createDataFrame(rows, CATALOG_SCHEMA)
 
     def allowed_fields(self, batch: Column) -> Column:
-        """Field names a response of this batch may hold, as an array."""
+        """Field names a response of this batch may hold, as an array; null for a batch that is not known, or null."""
         known = sql.listing(
             f"{sql.text(b.name)}, array({sql.listing(map(sql.text, b.fields))})" for b in self.batches
         )
         return F.try_element_at(F.expr(f"map({known})"), batch)
 
 
+def batch_fingerprints(catalog: Catalog, system: str | None = None) -> dict[str, str]:
+    """What each batch asks for, as a digest: its instruction, its fields and the system text."""
+    return {
+        b.name: hashlib.md5(json.dumps([b.instruction, list(b.fields), system]).encode()).hexdigest() for b in catalog.batches
+    }
+
+
 def _batch_instruction(name: str, members: list[Entry]) -> str:
     wanted = "; ".join(f"{e.field}: {e.instruction or e.column}" for e in members)
     return f"Topic {name}. Answer as one JSON object with these text fields: {wanted}."

@@ -122,9 +122,9 @@ def check_identifier(table: DataFrame, field: str = "doi", key: str = "doc_key")
 
 
 def check_authors(table: DataFrame, field: str = "authors", key: str = "doc_key") -> DataFrame:
-    """At most six names; ``et al.`` is not a name, alone or at the end of the last one."""
+    """One to six names; ``et al.`` is not a name, alone or at the end of the last one. A blank cell is not ok."""
     names = F.filter(value_array(F.col(field)), lambda n: F.trim(n) != AND_OTHERS)
-    return _verdict(table, field, F.size(names) <= MAX_AUTHORS, key)
+    return _verdict(table, field, (F.size(names) <= MAX_AUTHORS) & ~is_blank(F.col(field)), key)
 
 
 def check_vocabulary(
@@ -139,9 +139,10 @@ def check_vocabulary(
 
 
 def check_brief(table: DataFrame, field: str = "gmr_brief", key: str = "doc_key") -> DataFrame:
-    """One sentence of at most 40 words."""
+    """One sentence of at most 40 words. A blank cell is not ok."""
     words = F.size(F.split(F.trim(F.col(field)), r"\s+"))
-    return _verdict(table, field, (words <= MAX_BRIEF_WORDS) & (_sentences(field) <= 1), key)
+    fits = (words <= MAX_BRIEF_WORDS) & (_sentences(field) <= 1) & ~is_blank(F.col(field))
+    return _verdict(table, field, fits, key)
 
 
 def check_methodology(table: DataFrame, field: str = "methodology", key: str = "doc_key") -> DataFrame:
@@ -210,19 +211,29 @@ def labelled_sections(table: DataFrame, field: str = "modeling_simulation", key:
 def check_grounding(
     table: DataFrame, docs: DataFrame, fields: tuple[str, ...], text: str = "text", key: str = "doc_key"
 ) -> DataFrame:
-    """Every part of a cell occurs in the document's whole text; without a document, none does.
+    """Which values of a cell occur in the document's whole text: (key, field, position, value, ok).
 
-    The wide row meets its document once, before the cells are taken apart, so
-    a text is read once and is not repeated per field.
+    A cell of several values gives a row for each, by position from 0. A label
+    is ok as it is; a blank value, a null cell (one row with a null value) and a
+    value without a document are not. The wide row meets its document once,
+    before the cells are taken apart, so a text moves once and is not repeated
+    per value: what follows the join is a projection.
     """
     joined = table.select(key, *fields).join(docs.select(key, F.col(text).alias("_text")), key, "left")
 
-    def cell(field: str) -> Column:
-        parts = value_array(F.col(field))
-        ok = is_label(F.col(field)) | F.forall(parts, lambda p: F.contains(F.col("_text"), p))
-        return F.struct(F.lit(field).alias("field"), F.col(field).alias("value"), F.coalesce(ok, F.lit(False)).alias("ok"))
+    def values(field: str) -> Column:
+        # A cell that is a label is one value; a null cell is one null value.
+        parts = F.coalesce(value_array(F.col(field)), F.array(F.lit(None).cast("string")))
+
+        def one(value: Column, position: Column) -> Column:
+            ok = is_label(F.col(field)) | (F.contains(F.col("_text"), value) & ~is_blank(value))
+            return F.struct(
+                F.lit(field).alias("field"), position.alias("position"), value.alias("value"), F.coalesce(ok, F.lit(False)).alias("ok")
+            )
+
+        return F.transform(parts, one)
 
-    return joined.select(key, F.array(*map(cell, fields)).alias("cells")).select(key, F.inline("cells"))
+    return joined.select(key, F.flatten(F.array(*map(values, fields))).alias("values")).select(key, F.inline("values"))
 
 
 def grounding_share(checked: DataFrame) -> DataFrame:

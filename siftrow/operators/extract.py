@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import threading
 import time
 from collections.abc import Callable, Iterator, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,7 +17,8 @@ from pyspark.sql import types as T
 from siftrow.errors import GuardError
 from siftrow.functions import sql
 from siftrow.functions.text import NOT_AVAILABLE, VALUE_SEPARATOR
-from siftrow.operators.catalog import DEFAULT_CATALOG, MAX_CATALOG_ROWS, Catalog
+from siftrow.operators.catalog import DEFAULT_CATALOG, MAX_CATALOG_ROWS, Catalog, batch_fingerprints
+from siftrow.operators.requests import REQUEST_FRAME
 
 MAX_ATTEMPTS = 5
 
@@ -107,17 +111,49 @@ def exponential_wait(attempt: int) -> float:
 def pacer(
     seconds: float, clock: Callable[[], float] = time.monotonic, sleep: Callable[[float], None] = time.sleep
 ) -> Callable[[], None]:
-    """A function that returns no sooner than ``seconds`` after it last returned."""
+    """A function that returns no sooner than ``seconds`` after it last returned, to whichever thread."""
     last: list[float] = []
+    turn = threading.Lock()
 
     def ready() -> None:
-        if last and (rest := last[0] + seconds - clock()) > 0:
-            sleep(rest)
-        last[:] = [clock()]
+        with turn:
+            if last and (rest := last[0] + seconds - clock()) > 0:
+                sleep(rest)
+            last[:] = [clock()]
 
     return ready
 
 
+def _caller(
+    extractor: Callable[[Mapping], str],
+    transient: tuple[type[BaseException], ...],
+    max_attempts: int,
+    wait: Callable[[int], float],
+    per_task: bool,
+    seconds_between_calls: float,
+) -> Callable[[Mapping], tuple[str | None, str | None, int]]:
+    """Made once per task: a request in, (response, error, attempts) out, whatever the extractor raises."""
+    fn = extractor() if per_task else extractor
+    ready = pacer(seconds_between_calls)
+
+    def call(row: Mapping) -> tuple[str | None, str | None, int]:
+        problem = None
+        for attempt in range(1, max_attempts + 1):
+            ready()
+            try:
+                return fn(row), None, attempt
+            except transient as exc:
+                problem = f"unavailable after {attempt} attempts: {exc}"
+                pause = wait(attempt) if attempt < max_attempts else 0
+                if pause > 0:
+                    time.sleep(pause)
+            except Exception as exc:  # one request must never end the run
+                return None, f"extraction failed: {exc}", attempt
+        return None, problem, max_attempts
+
+    return call
+
+
 def extract_with(
     requests: DataFrame,
     extractor: Callable[[Mapping], str],
@@ -150,23 +186,8 @@ def extract_with(
     has_error = "error" in requests.columns
     names = schema.names
 
-    def call(fn: Callable[[Mapping], str], row: Mapping, ready: Callable[[], None]) -> tuple[str | None, str | None, int]:
-        for attempt in range(1, max_attempts + 1):
-            ready()
-            try:
-                return fn(row), None, attempt
-            except transient as exc:
-                problem = f"unavailable after {attempt} attempts: {exc}"
-                pause = wait(attempt) if attempt < max_attempts else 0
-                if pause > 0:
-                    time.sleep(pause)
-            except Exception as exc:  # one request must never end the run
-                return None, f"extraction failed: {exc}", attempt
-        return None, problem, max_attempts
-
     def run_batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        fn = extractor() if per_task else extractor
-        ready = pacer(seconds_between_calls)
+        call = _caller(extractor, transient, max_attempts, wait, per_task, seconds_between_calls)
         for frame in frames:
             out = []
             for row in frame.to_dict("records"):
@@ -175,8 +196,98 @@ def extract_with(
                 else:
                     if system is not None:
                         row["system"] = system
-                    answer = call(fn, row, ready)
+                    answer = call(row)
                 out.append((row[key], row["batch"], row["batch_ordinal"], *answer))
             yield pd.DataFrame(out, columns=names)
 
     return requests.mapInPandas(run_batches, schema)
+
+
+# One answer as it comes from the extractor. Its fields are those of RESPONSE_FIELDS and what was asked.
+_CALLED = "array<struct<batch:string,batch_ordinal:int,asked:string,response:string,error:string,attempts:int>>"
+
+
+def extract_documents(
+    docs: DataFrame,
+    extractor: Callable[[Mapping], str],
+    catalog: Catalog = DEFAULT_CATALOG,
+    *,
+    key: str = "doc_key",
+    text: str = "text",
+    transient: tuple[type[BaseException], ...] = TRANSIENT,
+    max_attempts: int = MAX_ATTEMPTS,
+    wait: Callable[[int], float] = exponential_wait,
+    per_task: bool = False,
+    seconds_between_calls: float = 0.0,
+    system: str | None = None,
+    threads: int = 1,
+) -> DataFrame:
+    """All batches of each document in one trip: ``docs`` without its text, with ``answers``.
+
+    The text goes to Python once and does not come back; the fan-out happens
+    there. ``answers`` has an entry per batch (batch, batch_ordinal, asked,
+    response, error, attempts), in catalog order. The extractor sees the same
+    request as with :func:`extract_with` (key, batch, batch_ordinal, request,
+    system), and the ``text`` beside it.
+
+    Two columns of ``docs`` are obeyed if they are there: a document with a
+    non-null ``error`` gets no call and no answers, and neither do the batches
+    named by ``have array<string>``, which is not handed on. All other columns
+    are. ``threads`` calls run at a time in a task; the extractor must allow
+    that. The other settings are those of :func:`extract_with`, and so is the
+    advice to write the result before it is used twice.
+    """
+    if max_attempts < 1 or threads < 1:
+        raise GuardError("max_attempts and threads must be at least 1")
+    has_error, has_have = "error" in docs.columns, "have" in docs.columns
+    kept = [c for c in docs.columns if c not in (text, "have", "answers")]
+    schema = T.StructType([*(docs.schema[c] for c in kept), *T.StructType.fromDDL(f"answers {_CALLED}")])
+    asked = batch_fingerprints(catalog, system)
+    batches = [(b.name, b.ordinal, b.instruction, asked[b.name]) for b in catalog.batches]
+    before, after = REQUEST_FRAME.split("{text}")
+
+    def run_batches(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        call = _caller(extractor, transient, max_attempts, wait, per_task, seconds_between_calls)
+
+        def ask(question: tuple) -> tuple:
+            key_, body, (name, ordinal, instruction, digest) = question
+            row = {key: key_, "batch": name, "batch_ordinal": ordinal, "text": body}
+            # The request is put together for its call alone.
+            row["request"] = instruction + before + body + after
+            if system is not None:
+                row["system"] = system
+            response, error, attempts = call(row)
+            return name, ordinal, digest, response, error, attempts
+
+        with ThreadPoolExecutor(threads) as pool:
+            each = pool.map if threads > 1 else map
+            for frame in frames:
+                keys, texts = frame.column(key).to_pylist(), frame.column(text).to_pylist()
+                barred = frame.column("error").is_valid().to_pylist() if has_error else [False] * len(keys)
+                have = frame.column("have").to_pylist() if has_have else [None] * len(keys)
+                questions = [
+                    [(k, body, b) for b in batches if b[0] not in (done or ())] if not stop and body is not None else []
+                    for k, body, stop, done in zip(keys, texts, barred, have, strict=True)
+                ]
+                answered = iter(list(each(ask, (q for of_one in questions for q in of_one))))
+                names = ("batch", "batch_ordinal", "asked", "response", "error", "attempts")
+                answers = [[dict(zip(names, next(answered), strict=True)) for _ in of_one] for of_one in questions]
+                nested = pa.array(answers, _ARROW_ANSWERS)
+                yield pa.RecordBatch.from_arrays([*(frame.column(c) for c in kept), nested], names=schema.names)
+
+    columns = [*kept, text, *(["have"] if has_have else [])]
+    return docs.select(*columns).mapInArrow(run_batches, schema)
+
+
+_ARROW_ANSWERS = pa.list_(
+    pa.struct(
+        [
+            ("batch", pa.string()),
+            ("batch_ordinal", pa.int32()),
+            ("asked", pa.string()),
+            ("response", pa.string()),
+            ("error", pa.string()),
+            ("attempts", pa.int32()),
+        ]
+    )
+)

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftrow.operators.answers import whole_document
+from siftrow.operators.answers import first_problem, whole_answers, whole_document
 from siftrow.operators.catalog import DEFAULT_CATALOG, Catalog
 
 DONE = "done"
@@ -81,6 +81,23 @@ def outcome(responses: DataFrame, catalog: Catalog = DEFAULT_CATALOG, key: str =
     )
 
 
+def document_outcome(documents: DataFrame, catalog: Catalog = DEFAULT_CATALOG, key: str = "doc_key") -> DataFrame:
+    """The same from nested answers, a row per document: (key, status, stage, reason), without a shuffle.
+
+    ``documents`` holds (key, stage, error, answers); a document that never got
+    to a call has its ``stage`` and ``error``, all others null there.
+    """
+    done = F.col("error").isNull() & whole_answers(F.col("answers"), catalog)
+    reason = F.coalesce("error", first_problem(F.col("answers")), F.lit("not every batch was answered"))
+    return documents.select(
+        key,
+        F.when(done, DONE).otherwise(FAILED).alias("status"),
+        # A text that was cut is told from its stage, also where all went well.
+        F.coalesce("stage", F.when(~done, "extract")).alias("stage"),
+        F.when(~done, reason).alias("reason"),
+    )
+
+
 def failures_report(events: DataFrame, key: str = "doc_key") -> DataFrame:
     """Outstanding failures (key, reason) in key order."""
     return fold_ledger(events, key).where(F.col("status") == FAILED).select(key, "reason").orderBy(key)

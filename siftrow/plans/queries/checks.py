@@ -37,7 +37,7 @@ ARTICLE_FIELDS = {
     "main_focus": "CASE source WHEN 'src1' THEN 'Thermal Comfort | Visual Comfort' WHEN 'src2' THEN 'Other (noise)' "
     "WHEN 'src3' THEN 'MULTIPLE' WHEN 'src4' THEN '' ELSE 'Comfort | ' || source END",
     "title": _LINE,
-    "authors": f"replace({_LINE}, ' ', ' | ')",
+    "authors": f"CASE source WHEN 'src5' THEN '' WHEN 'src6' THEN ' ' ELSE replace({_LINE}, ' ', ' | ') END",
     "year": "CASE WHEN lang = 'es' THEN 'UNCERTAIN' ELSE CAST(n_chars AS STRING) END",
     "doi": "CASE lang WHEN 'en' THEN 'https://doi.org/10.1234/' || CAST(doc_id AS STRING) "
     "WHEN 'fr' THEN '10.1234/' || CAST(doc_id AS STRING) WHEN 'de' THEN 'ISBN ' || CAST(doc_id AS STRING) ELSE 'NA' END",
@@ -48,7 +48,7 @@ ARTICLE_FIELDS = {
     f"ELSE 'SOFTWARE: ' || source || ' — PURPOSE: ' || {_LINE} || ' — PURPOSE: again' END",
     "review_scope": f"CASE WHEN lang = 'fr' OR source = 'src1' THEN {_LINE} ELSE 'NA' END",
     "methodology": "text",
-    "gmr_brief": _LINE,
+    "gmr_brief": f"CASE source WHEN 'src5' THEN '' WHEN 'src6' THEN '  ' ELSE {_LINE} END",
 }
 
 
@@ -126,7 +126,7 @@ def checked_identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return check_identifier(articles(spark, sf_dir))
 
 
-@query(_check_sql("authors", "len([x for x in string_split(authors, ' | ') if trim(x) <> 'et al.']) <= 6"))
+@query(_check_sql("authors", "len([x for x in string_split(authors, ' | ') if trim(x) <> 'et al.']) <= 6 AND NOT regexp_full_match(authors, '\\s*')"))
 def checked_authors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return check_authors(articles(spark, sf_dir))
 
@@ -156,7 +156,9 @@ _SENTENCES = "len(regexp_extract_all({}, '[.!?](\\s|$)'))"
 @query(
     _check_sql(
         "gmr_brief",
-        "len(string_split_regex(trim(gmr_brief), '\\s+')) <= 40 AND " + _SENTENCES.format("gmr_brief") + " <= 1",
+        "len(string_split_regex(trim(gmr_brief), '\\s+')) <= 40 AND NOT regexp_full_match(gmr_brief, '\\s*') AND "
+        + _SENTENCES.format("gmr_brief")
+        + " <= 1",
     )
 )
 def checked_briefs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -216,14 +218,16 @@ def _grounding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _GROUNDING_SQL = """
 WITH w AS (SELECT wide.*, p.html FROM ({}) wide JOIN pages p ON wide.doc_key = CAST(p.page_id AS VARCHAR)),
-c AS ({})
-SELECT doc_key, field, value,
-  value IN ('NA', 'UNCERTAIN', 'MULTIPLE') OR len([x for x in string_split(value, ' | ') if NOT contains(html, x)]) = 0 AS ok
-FROM c
+c AS ({}),
+v AS (SELECT doc_key, html, field, cell, CAST(generate_subscripts(parts, 1) - 1 AS INTEGER) AS position, unnest(parts) AS value
+      FROM (SELECT *, string_split(cell, ' | ') AS parts FROM c))
+SELECT doc_key, field, position, value,
+  cell IN ('NA', 'UNCERTAIN', 'MULTIPLE') OR (contains(html, value) AND NOT regexp_full_match(value, '\\s*')) AS ok
+FROM v
 """.format(
     WIDE_SQL,
     " UNION ALL ".join(
-        "SELECT doc_key, html, '{0}' AS field, {1} AS value FROM w".format(
+        "SELECT doc_key, html, '{0}' AS field, {1} AS cell FROM w".format(
             f, "CASE WHEN lang = 'de' THEN '~' || title ELSE title END" if f == "title" else f
         )
         for f in GROUNDED_FIELDS

@@ -8,17 +8,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftrow.operators.answers import (
-    all_or_nothing,
     flatten_row,
     join_synthesis,
+    merge_answers,
     merge_batches,
-    merge_responses,
     nest,
+    parse_answers,
     parse_strict,
+    whole_answers,
 )
 from siftrow.operators.catalog import DEFAULT_CATALOG, Catalog, Entry, catalog_integrity, header_diff
-from siftrow.operators.extract import Rule, TransientError, extract_by_rules, extract_with, to_answers
-from siftrow.operators.requests import fan_out, render_request
+from siftrow.operators.extract import Rule, TransientError, extract_by_rules, extract_documents, to_answers
+from siftrow.operators.requests import batch_array
 from siftrow.plans.queries.registry import DOC_KEY, documents, query, table
 from siftrow.plans.queries.texts import REQUEST_SQL, batches_sql
 
@@ -123,7 +124,12 @@ FROM (SELECT doc_key, batch, batch_ordinal, {REQUEST_SQL.format(text="text")} AS
 """
 )
 def extracted_with_function(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extract_with(render_request(fan_out(documents(spark, sf_dir))), digest_stub)
+    """One trip per document, its answers taken apart afterwards."""
+    return answer_rows(extract_documents(documents(spark, sf_dir), digest_stub))
+
+
+def answer_rows(nested: DataFrame) -> DataFrame:
+    return nested.select("doc_key", F.inline("answers")).drop("asked")
 
 
 def busy_stub():
@@ -150,8 +156,7 @@ CROSS JOIN {batches_sql()}
 """
 )
 def retried_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    requests = fan_out(documents(spark, sf_dir)).drop("instruction")
-    return extract_with(requests, busy_stub, per_task=True, wait=lambda _: 0.0)
+    return answer_rows(extract_documents(documents(spark, sf_dir), busy_stub, per_task=True, wait=lambda _: 0.0))
 
 
 _RESPONSE_SQL = """
@@ -164,10 +169,16 @@ CASE event_type
 """
 
 
+# Two users' events come from a batch that no catalog knows, another's from none.
+_BATCH_SQL = "CASE WHEN user_id % 10 IN (1, 2) THEN 'unheard' WHEN user_id % 10 <> 3 THEN 'props' END"
+EVENT_CATALOG = Catalog(tuple(Entry(f.title(), f, "props") for f in ("user", "kind", "k")))
+
+
 def _responses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Good objects, unknown fields, arrays, cut-off JSON and numbers, by event type."""
+    """Good objects, unknown fields, arrays, cut-off JSON and numbers, by event type; known and unknown batches."""
     return table(spark, sf_dir, "events").select(
         F.col("event_id").cast("string").alias("doc_key"),
+        F.expr(_BATCH_SQL).alias("batch"),
         F.expr(_RESPONSE_SQL).alias("response"),
         F.lit(None).cast("string").alias("error"),
     )
@@ -175,22 +186,22 @@ def _responses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""
-WITH r AS (SELECT CAST(event_id AS VARCHAR) AS doc_key, {_RESPONSE_SQL} AS response FROM events),
+WITH r AS (SELECT CAST(event_id AS VARCHAR) AS doc_key, {_BATCH_SQL} AS batch, {_RESPONSE_SQL} AS response FROM events),
 k AS (SELECT *, json_valid(response) AND coalesce(json_type(CASE WHEN json_valid(response) THEN response END), '') = 'OBJECT' AS obj FROM r),
 f AS (SELECT *, CASE WHEN obj THEN list_sort([x for x in json_keys(response) if x NOT IN ('user', 'kind', 'k')]) END AS unknown,
         CASE WHEN obj THEN list_sort([x for x in json_keys(response) if json_type(response, '$.' || x) <> 'VARCHAR']) END AS other
       FROM k)
 SELECT doc_key, CASE WHEN NOT obj THEN 'no parsed object: the response is not one JSON object'
+    WHEN batch IS NULL THEN 'unknown batch: none' WHEN batch <> 'props' THEN 'unknown batch: ' || batch
     WHEN len(unknown) > 0 THEN 'unknown fields: ' || array_to_string(unknown, ', ')
     WHEN len(other) > 0 THEN 'values that are not text: ' || array_to_string(other, ', ') END AS error,
-  CASE WHEN obj AND len(unknown) = 0 AND len(other) = 0 THEN coalesce(response ->> 'user', 'NA') END AS user_name,
-  CASE WHEN obj AND len(unknown) = 0 AND len(other) = 0 THEN coalesce(response ->> 'kind', 'NA') END AS kind
+  CASE WHEN obj AND batch = 'props' AND len(unknown) = 0 AND len(other) = 0 THEN coalesce(response ->> 'user', 'NA') END AS user_name,
+  CASE WHEN obj AND batch = 'props' AND len(unknown) = 0 AND len(other) = 0 THEN coalesce(response ->> 'kind', 'NA') END AS kind
 FROM f
 """
 )
 def strictly_parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    allowed = F.array(F.lit("user"), F.lit("kind"), F.lit("k"))
-    parsed = parse_strict(_responses(spark, sf_dir), allowed=allowed)
+    parsed = parse_strict(_responses(spark, sf_dir), EVENT_CATALOG)
 
     def field(name: str):
         return F.when(F.col("answer").isNotNull(), F.coalesce(F.try_element_at("answer", F.lit(name)), F.lit("NA")))
@@ -198,11 +209,24 @@ def strictly_parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parsed.select("doc_key", "error", field("user").alias("user_name"), field("kind").alias("kind"))
 
 
-def _batch_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents of source n fail in batch n."""
-    rows = fan_out(documents(spark, sf_dir, "lang", "source")).drop("instruction")
-    failing = F.col("source") == F.concat(F.lit("src"), F.col("batch_ordinal").cast("string"))
-    return rows.withColumn("error", F.when(failing, F.concat(F.lit("failed in "), "batch")))
+def _answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with an answer per batch: every field gets the language and its name. Those of source n fail in batch n."""
+    fields = DEFAULT_CATALOG.allowed_fields
+
+    def answer(b):
+        cells = F.transform(fields(b["batch"]), lambda f: F.concat(F.lit('"'), f, F.lit('": "'), F.col("lang"), F.lit(" "), f, F.lit('"')))
+        failing = F.col("source") == F.concat(F.lit("src"), b["batch_ordinal"].cast("string"))
+        return F.struct(
+            b["batch"].alias("batch"),
+            b["batch_ordinal"].alias("batch_ordinal"),
+            F.lit("").alias("asked"),
+            F.concat(F.lit("{"), F.array_join(cells, ", "), F.lit("}")).alias("response"),
+            F.when(failing, F.concat(F.lit("failed in "), b["batch"])).alias("error"),
+            F.lit(1).alias("attempts"),
+        )
+
+    docs = documents(spark, sf_dir, "lang", "source")
+    return docs.select("doc_key", F.transform(batch_array(DEFAULT_CATALOG), answer).alias("answers"))
 
 
 @query(
@@ -214,7 +238,8 @@ GROUP BY doc_key
 """
 )
 def complete_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return all_or_nothing(_batch_rows(spark, sf_dir))
+    failed = F.size(F.filter("answers", lambda a: a["error"].isNotNull())).cast("bigint")
+    return _answers(spark, sf_dir).select("doc_key", whole_answers(F.col("answers")).alias("complete"), failed.alias("failed_batches"))
 
 
 _CELLS_SQL = ", ".join(
@@ -230,14 +255,8 @@ WHERE source NOT IN ({", ".join(f"'src{b.ordinal}'" for b in DEFAULT_CATALOG.bat
 )
 def merged_whole_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Eleven JSON responses per document, parsed, merged and flattened to 39 columns."""
-    rows = _batch_rows(spark, sf_dir)
-    fields = DEFAULT_CATALOG.allowed_fields(F.col("batch"))
-    pairs = F.transform(
-        fields, lambda f: F.concat(F.lit('"'), f, F.lit('": "'), F.col("lang"), F.lit(" "), f, F.lit('"'))
-    )
-    response = F.concat(F.lit("{"), F.array_join(pairs, ", "), F.lit("}"))
-    parsed = parse_strict(rows.withColumn("response", response))
-    return flatten_row(merge_responses(parsed))
+    parsed = _answers(spark, sf_dir).withColumn("answers", parse_answers(F.col("answers")))
+    return flatten_row(merge_answers(parsed))
 
 
 @query(

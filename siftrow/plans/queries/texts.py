@@ -22,19 +22,14 @@ from siftrow.sources.paths import scratch_folder
 
 # Low enough for a good share of the texts to be cut.
 SHORT_LIMIT = 2_000
-# A page shorter than this counts as unreadable, to have failed pages.
-SHORT_PAGE = 20
 
 SPLIT_SQL = f"""
 SELECT doc_key, CAST(generate_subscripts(parts, 1) - 1 AS INTEGER) AS page_no, unnest(parts) AS text
 FROM (SELECT {DOC_KEY}, string_split({PAGED}, chr(12)) AS parts FROM documents)
 """
-FAILING_SQL = f"""
-SELECT doc_key, page_no, CASE WHEN length(text) >= {SHORT_PAGE} THEN text END AS text FROM ({SPLIT_SQL})
-"""
 WHOLE_SQL = f"""
 SELECT doc_key, string_agg(coalesce(text, ''), chr(12) ORDER BY page_no) AS text
-FROM ({FAILING_SQL}) GROUP BY doc_key
+FROM ({SPLIT_SQL}) GROUP BY doc_key
 """
 
 
@@ -62,9 +57,8 @@ REQUEST_SQL = (
 
 
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages of the documents; a short page has failed and is null."""
-    pages = split_pages(documents(spark, sf_dir).withColumn("text", paged("text")))
-    return pages.withColumn("text", F.when(F.length("text") >= SHORT_PAGE, F.col("text")))
+    """All pages of the documents, whole."""
+    return split_pages(documents(spark, sf_dir).withColumn("text", paged("text")))
 
 
 @query(SPLIT_SQL)
@@ -193,11 +187,20 @@ def _text_files(spark: SparkSession, sf_dir: str) -> str:
     return folder
 
 
-@query("SELECT CAST(sum(strlen(text) + 1) AS BIGINT) AS bytes FROM documents")
+@query(
+    """
+SELECT shelf, CAST(sum(strlen(text) + 1) AS BIGINT) AS length
+FROM (SELECT text, lang || '-' || substring(md5(CAST(doc_id AS VARCHAR)), 1, 1) AS shelf FROM documents) GROUP BY shelf
+"""
+)
 def listed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sizes of the listed files; their content is not read."""
-    listing = scan_documents(spark, _text_files(spark, sf_dir), ".txt")
-    return listing.agg(F.sum("length").alias("bytes"))
+    """Each file with its size. The documents lie on shelves, a file on each; contents are not read."""
+    folder = scratch_folder(spark)
+    shelf = F.concat("lang", F.lit("-"), F.left(F.md5("doc_key"), F.lit(1)))
+    docs = documents(spark, sf_dir, "text", "lang").select("text", shelf.alias("shelf"))
+    docs.repartition("shelf").write.partitionBy("shelf").text(folder)
+    listing = scan_documents(spark, f"{folder}/shelf=*", ".txt", ordered=False, pattern=True)
+    return listing.select(F.regexp_extract("path", "/shelf=([^/]+)/", 1).alias("shelf"), "length")
 
 
 @query(
@@ -207,7 +210,8 @@ SELECT line, count(*) AS n FROM (SELECT unnest(string_split(text, chr(10))) AS l
 )
 def lines_of_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The files read back as documents and taken apart into lines."""
-    files = read_documents(spark, _text_files(spark, sf_dir), ".txt")
+    folder = _text_files(spark, sf_dir)
+    files = read_documents(spark, folder, ".txt", only=scan_documents(spark, folder, ".txt", ordered=False))
     body = F.left(F.col("text"), F.length("text") - 1)  # without the last line end
     return files.select(F.explode(F.split(body, "\n", -1)).alias("line")).groupBy("line").agg(F.count("*").alias("n"))
 

@@ -4,15 +4,19 @@ Each stage that costs calls is written once and read back, so nothing runs
 twice and a lost executor repeats only its own tasks:
 
 1. guards: header, ledger version, unique document keys;
-2. names only: which documents are pending, which batches are already staged;
-3. one pass over the texts: clean, trim, fan out, extract, strict parse, written
-   to ``<out>/_answers/attempt=...``;
-4. results of whole documents to ``<out>/attempt=...``;
-5. events to the ledger, and last the one row that commits the run.
-
-A crash before the last step leaves nothing visible. The next attempt reuses
-every staged answer that worked, so no call is made twice for the same document.
-One run at a time per output.
+2. names only: which documents are pending, which answers are there already;
+3. one pass over the texts: clean, trim, one trip to Python per document, strict
+   parse, written to ``<out>/_answers/attempt=...``, a row per document;
+4. results of whole documents to ``<out>/attempt=...``, a projection of these rows;
+5. events to the ledger, another one, and last the row that commits the run.
+
+A crash before the last step leaves nothing visible. The next run reuses every
+good answer of earlier attempts, also of documents that failed in committed
+runs, as long as the text and what the batch asks for are still the same.
+
+Runs over one output may overlap. Each looks at the ledger again before it
+commits and leaves out what another has finished since; see ``read_results``
+for what is left of the race.
 """
 
 from __future__ import annotations
@@ -28,14 +32,14 @@ from pyspark.sql import types as T
 
 from siftrow.errors import GuardError
 from siftrow.functions.text import is_blank, truncate_middle
-from siftrow.operators.answers import flatten_row, merge_responses, parse_strict
-from siftrow.operators.catalog import DEFAULT_CATALOG, Catalog, require_header
-from siftrow.operators.extract import MAX_ATTEMPTS, TRANSIENT, exponential_wait, extract_with
+from siftrow.operators.answers import ANSWER_TYPE, flatten_row, merge_answers, parse_answers, whole_answers
+from siftrow.operators.catalog import DEFAULT_CATALOG, Catalog, batch_fingerprints, require_header
+from siftrow.operators.extract import MAX_ATTEMPTS, TRANSIENT, exponential_wait, extract_documents
 from siftrow.operators.ledger import (
     FAILED,
+    document_outcome,
     done_keys,
     fold_ledger,
-    outcome,
     pending_documents,
     run_verdict,
 )
@@ -44,7 +48,6 @@ from siftrow.sources.documents import read_documents, read_header, scan_document
 from siftrow.sources.ledger import (
     EVENT_SCHEMA,
     LEDGER_VERSION,
-    RUNS_SCHEMA,
     commit_run,
     open_attempts,
     read_ledger,
@@ -55,13 +58,15 @@ from siftrow.sources.ledger import (
 from siftrow.sources.paths import read_parquet_if_there
 from siftrow.sources.results import append_results
 
+# A row per document. ``asked`` in its answers and ``text_md5`` tell whether an answer still fits.
 STAGED_SCHEMA = (
-    "doc_key string, batch string, batch_ordinal int, stage string, response string, error string, "
-    "attempts int, answer map<string,string>"
+    f"doc_key string, stage string, error string, text_md5 string, answers array<{ANSWER_TYPE}>, complete boolean"
 )
 
 # Where a document stopped, in order.
 READ, BLANK, EXTRACT = "read", "blank", "extract"
+# The stage of a document whose text was cut to the limit, finished or not.
+EXTRACT_CUT = "extract: text cut"
 
 
 def stage_problem(text: Column, reason: Column | None = None) -> Column:
@@ -136,9 +141,12 @@ def run(
     transient: tuple[type[BaseException], ...] = TRANSIENT,
     per_task: bool = False,
     tasks: int | None = None,
+    threads: int = 1,
+    rounds: int = 1,
     requests_per_minute: int | None = None,
     listing: DataFrame | None = None,
     covered: bool = False,
+    buckets: int | None = None,
 ) -> DataFrame:
     """Run the job and return its one-row summary (see ``RUNS_SCHEMA``).
 
@@ -147,9 +155,17 @@ def run(
     it does not name is left alone. ``covered`` says that there is none, as with
     ``read_documents(only=...)`` of that listing, which saves a join. The
     extractor finds ``system`` in each request. Texts are whole unless ``limit``
-    is given. ``tasks`` bounds how many calls are in flight; ``requests_per_minute`` needs it and is shared between them.
-    A run id that is already committed is not run again, which makes a repeated
-    streaming batch harmless.
+    is given; the event of a document that it cut says so in its stage.
+
+    ``tasks`` bounds how many tasks make calls, each ``threads`` at a time, and
+    moves no text: parts of ``docs`` are put together, none is split.
+    ``requests_per_minute`` needs it and is shared between the tasks. A task's
+    answers are kept when it ends; ``rounds`` takes the documents in so many
+    jobs, one after the other, so that long tasks end sooner. ``buckets`` says
+    that ``docs`` is a table in so many buckets by doc_key
+    (``store_documents``): then no text moves however long the list of pending
+    names is. A run id that is already committed is not run again, which makes a
+    repeated streaming batch harmless.
     """
     if header is not None:
         require_header(header, catalog)
@@ -165,64 +181,61 @@ def run(
     committed = runs.where(F.col("run_id") == run_id)
     if committed.head(1):
         return committed
-    events = read_ledger(spark, ledger, runs)
+    events = read_ledger(spark, ledger)
 
     attempt = f"{started_at:%Y%m%dT%H%M%S}-{uuid.uuid4().hex[:12]}"
-    orphans = _staged_answers(spark, out, open_attempts(spark, ledger, runs), catalog)
     if listing is not None and not covered:
         _require_unique(docs)
     start_attempt(spark, ledger, attempt, run_id, started_at)
     keys = (docs if listing is None else listing).select("doc_key")
-    work = _Work(spark, keys, events, orphans, f"{out}/_work/attempt={attempt}")
+    earlier = _earlier_answers(spark, out, ledger, runs, attempt)
+    work = _Work(spark, keys, events, earlier, f"{out}/_work/attempt={attempt}", buckets)
     total, pending = work.count()
-    todo = docs if pending == total and not work.has_reuse and (listing is None or covered) else work.narrow(docs)
-    if tasks:
-        todo = todo.repartition(tasks, "doc_key")
-    requests = plan_requests(todo, catalog, limit)
-    responses = extract_with(
-        requests,
-        extractor,
-        max_attempts=max_attempts,
-        wait=wait,
-        transient=transient,
-        per_task=per_task,
-        seconds_between_calls=pause,
-        system=system,
-    )
-    stage = F.when(F.col("batch").isNotNull(), EXTRACT).when(F.col("error").startswith("could not open"), READ)
-    staged = parse_strict(responses, catalog).withColumn("stage", F.coalesce(stage, F.lit(BLANK)))
-    schema = T.StructType.fromDDL(STAGED_SCHEMA)
+    todo = docs if pending == total and not work.has_kept and (listing is None or covered) else work.narrow(docs)
+    asked = plan_documents(todo, catalog, limit, system)
     fresh = f"{out}/_answers/attempt={attempt}"
-    # Each task's answers are kept as soon as it ends; the folder is this attempt's alone.
-    kept_by_task = {"mapreduce.fileoutputcommitter.algorithm.version": "2"}
-    staged.select(*schema.names).write.mode("overwrite").options(**kept_by_task).parquet(fresh)
-
-    answers = spark.read.schema(schema).parquet(fresh)
-    if work.has_reuse:
-        answers = answers.unionByName(work.reused().select(*schema.names))
-
-    append_results(flatten_row(merge_responses(answers, catalog), catalog), out, attempt)
-
-    # A pending document without any answer vanished between listing and reading.
-    outcomes = (
-        work.pending()
-        .join(outcome(answers, catalog), "doc_key", "left")
-        .select(
-            "doc_key",
-            F.coalesce("status", F.lit(FAILED)).alias("status"),
-            F.when(F.col("status").isNull(), READ).otherwise(F.col("stage")).alias("stage"),
-            F.when(F.col("status").isNull(), "could not open: the document is gone")
-            .otherwise(F.col("reason"))
-            .alias("reason"),
+    for turn in range(rounds):
+        part = asked if rounds == 1 else asked.where(F.pmod(F.xxhash64("doc_key"), F.lit(rounds)) == turn)
+        called = extract_documents(
+            part.coalesce(tasks) if tasks else part,
+            extractor,
+            catalog,
+            max_attempts=max_attempts,
+            wait=wait,
+            transient=transient,
+            per_task=per_task,
+            seconds_between_calls=pause,
+            system=system,
+            threads=threads,
         )
-    )
+        # Each task's answers are kept as soon as it ends; the folder is this attempt's alone.
+        kept_by_task = {"mapreduce.fileoutputcommitter.algorithm.version": "2"}
+        staged = stage_documents(called, catalog).write.mode("append").options(**kept_by_task)
+        staged.partitionBy("complete").parquet(fresh)
+
+    answered = spark.read.schema(STAGED_SCHEMA).parquet(fresh)
+    # Documents that another run has finished since this one looked are left to it.
+    newer = read_runs(spark, ledger).join(runs.select("attempt"), "attempt", "left_anti")
+    overtaken = None if newer.isEmpty() else done_keys(read_ledger(spark, ledger, newer))
+    tried = answered.select("doc_key")
+    if overtaken is not None:
+        answered = answered.join(overtaken, "doc_key", "left_anti")
+
+    append_results(flatten_row(merge_answers(answered.where("complete"), catalog), catalog), out, attempt)
+
+    outcomes = document_outcome(answered, catalog)
+    if listing is not None:
+        # A pending document that nobody read vanished between listing and reading.
+        gone = work.pending().join(tried, "doc_key", "left_anti")
+        outcomes = outcomes.unionByName(_gone(gone if overtaken is None else gone.join(overtaken, "doc_key", "left_anti")))
     finished = outcomes.select(
         "*", F.lit(started_at).alias("at"), F.lit(LEDGER_VERSION).alias("version")
     )
     write_events(finished, ledger, attempt)
 
     written = spark.read.schema(EVENT_SCHEMA).parquet(f"{ledger}/events/attempt={attempt}")
-    summary = _summary(events, written, total, pending).select(
+    before = events if overtaken is None else read_ledger(spark, ledger)
+    summary = _summary(before, written, total).select(
         F.lit(run_id).alias("run_id"),
         F.lit(LEDGER_VERSION).alias("version"),
         "*",
@@ -231,7 +244,8 @@ def run(
         F.lit(attempt).alias("attempt"),
     )
     commit_run(summary, ledger)
-    return spark.read.schema(RUNS_SCHEMA).parquet(f"{ledger}/runs").where(F.col("run_id") == run_id)
+    work.drop()
+    return read_runs(spark, ledger).where(F.col("run_id") == run_id)
 
 
 def run_folder(
@@ -261,7 +275,7 @@ def run_folder(
     return run(spark, docs, extractor, out, ledger, catalog=catalog, header=header, listing=listing, covered=True, **options)
 
 
-def _summary(events: DataFrame, written: DataFrame, total: int, pending: int) -> DataFrame:
+def _summary(events: DataFrame, written: DataFrame, total: int) -> DataFrame:
     """Counts of a run from its events and the earlier ledger."""
     now = written.agg(F.count_if(F.col("status") != FAILED), F.count_if(F.col("status") == FAILED)).head()
     both = events.select("doc_key", "status", "reason", "at").unionByName(
@@ -270,7 +284,7 @@ def _summary(events: DataFrame, written: DataFrame, total: int, pending: int) ->
     outstanding = fold_ledger(both).agg(F.count_if(F.col("status") == FAILED).alias("failed_outstanding"))
     return outstanding.select(
         F.lit(total).cast("bigint").alias("total"),
-        F.lit(total - pending).cast("bigint").alias("skipped"),
+        F.lit(total - now[0] - now[1]).cast("bigint").alias("skipped"),
         F.lit(now[0]).cast("bigint").alias("succeeded"),
         F.lit(now[1]).cast("bigint").alias("failed"),
         "failed_outstanding",
@@ -278,19 +292,87 @@ def _summary(events: DataFrame, written: DataFrame, total: int, pending: int) ->
     )
 
 
-def _staged_answers(
-    spark: SparkSession, out: str, attempts: DataFrame, catalog: Catalog
-) -> DataFrame | None:
-    """Good answers that dead attempts left behind and that still fit the catalog.
+def plan_documents(
+    docs: DataFrame, catalog: Catalog = DEFAULT_CATALOG, limit: int | None = None, system: str | None = SYSTEM_TEXT
+) -> DataFrame:
+    """What goes to the extractor, a row per document, by a projection.
+
+    ``docs`` holds (doc_key, text) and may hold ``reason`` (why it could not be
+    read) and ``kept`` (good answers of earlier attempts). Adds ``stage`` and
+    ``error`` where a document cannot be extracted from, ``cut`` where ``limit``
+    shortened its text, and ``reuse``, ``have``: the kept answers that still fit
+    the text and what their batch asks for.
+    """
+    reason = F.col("reason") if "reason" in docs.columns else None
+    problem = stage_problem(F.col("text"), reason)
+    kept = F.col("kept") if "kept" in docs.columns else F.lit(None).cast(KEPT_TYPE)
+    text = F.col("text") if limit is None else truncate_middle(F.col("text"), limit)
+    prints = batch_fingerprints(catalog, system)
+    asked = F.create_map(*(F.lit(x) for item in prints.items() for x in item))
+    base = docs.select(
+        "doc_key",
+        problem["stage"].alias("stage"),
+        problem["error"].alias("error"),
+        (F.lit(False) if limit is None else F.length("text") > limit).alias("cut"),
+        F.when(problem.isNull(), text).alias("text"),
+        kept.alias("kept"),
+    ).withColumn("text_md5", F.md5("text"))
+    fits = F.filter(
+        F.coalesce("kept", F.array().cast(KEPT_TYPE)),
+        lambda k: (k["text_md5"] == F.col("text_md5")) & (k["answer"]["asked"] == F.try_element_at(asked, k["answer"]["batch"])),
+    )
+    reuse = F.transform(fits, lambda k: k["answer"])
+    return base.withColumn("reuse", reuse).withColumn("have", F.transform("reuse", lambda a: a["batch"])).drop("kept")
+
+
+def stage_documents(called: DataFrame, catalog: Catalog = DEFAULT_CATALOG) -> DataFrame:
+    """The rows that are written (``STAGED_SCHEMA``): answers parsed, reused ones beside them."""
+    parsed = called.withColumn("answers", F.concat(parse_answers(F.col("answers"), catalog), F.col("reuse")))
+    complete = F.col("error").isNull() & whole_answers(F.col("answers"), catalog)
+    stage = F.coalesce("stage", F.when(F.col("cut"), EXTRACT_CUT))
+    names = T.StructType.fromDDL(STAGED_SCHEMA).names
+    return parsed.withColumn("complete", complete).withColumn("stage", stage).select(*names)
+
+
+def store_documents(docs: DataFrame, table: str, buckets: int, path: str | None = None) -> DataFrame:
+    """``docs`` as a table in buckets by doc_key, sorted there, for ``run(..., buckets=buckets)``.
+
+    Texts are shuffled once, here; no later run over the table moves them.
+    """
+    writer = docs.repartition(buckets, "doc_key").write.bucketBy(buckets, "doc_key").sortBy("doc_key").format("parquet")
+    (writer if path is None else writer.option("path", path)).saveAsTable(table)
+    return docs.sparkSession.table(table)
+
+
+def _gone(keys: DataFrame) -> DataFrame:
+    return keys.select(
+        "doc_key",
+        F.lit(FAILED).alias("status"),
+        F.lit(READ).alias("stage"),
+        F.lit("could not open: the document is gone").alias("reason"),
+    )
+
+
+# An answer of an earlier attempt, with the digest of the text it was given.
+KEPT_TYPE = f"array<struct<text_md5:string,answer:{ANSWER_TYPE}>>"
+
 
-    The attempt is the partition column, so only folders of dead attempts are read.
+def _earlier_answers(spark: SparkSession, out: str, ledger: str, runs: DataFrame, attempt: str) -> DataFrame | None:
+    """Good answers (doc_key, attempt, text_md5, answer) of attempts that died, and of
+    documents that failed in committed ones.
+
+    Attempt and completeness are partition columns, so what finished documents
+    left is not read.
     """
-    if attempts.isEmpty():
+    dead = open_attempts(spark, ledger, runs).where(F.col("attempt") != attempt)
+    if runs.isEmpty() and dead.isEmpty():
         return None
     schema = T.StructType.fromDDL(STAGED_SCHEMA).add("attempt", T.StringType())
-    found = read_parquet_if_there(spark, f"{out}/_answers", schema).join(attempts, "attempt", "left_semi")
-    unknown = F.array_except(F.map_keys("answer"), catalog.allowed_fields(F.col("batch")))
-    return found.where(F.col("error").isNull() & (F.size(unknown) == 0))
+    found = read_parquet_if_there(spark, f"{out}/_answers", schema)
+    failed = found.where(~F.col("complete")).join(runs.select("attempt"), "attempt", "left_semi")
+    usable = found.join(dead, "attempt", "left_semi").unionByName(failed)
+    good = F.filter("answers", lambda a: a["error"].isNull())
+    return usable.select("doc_key", "attempt", "text_md5", F.explode(good).alias("answer"))
 
 
 def _require_unique(docs: DataFrame) -> None:
@@ -303,57 +385,65 @@ class _Work:
     """Which documents a run touches, worked out on names alone.
 
     Writes one row per listed document to ``path``: (doc_key, copies, done,
-    have). ``have`` names the batches that need no call, because ``orphans``,
-    the answers of attempts that died, hold a good answer.
+    kept). ``kept`` holds the good answers that ``earlier`` attempts left for a
+    pending document, the newest of each batch. With ``buckets`` it is a table
+    in so many buckets by doc_key.
     """
 
     def __init__(
-        self, spark: SparkSession, keys: DataFrame, events: DataFrame, orphans: DataFrame | None, path: str
+        self, spark: SparkSession, keys: DataFrame, events: DataFrame, earlier: DataFrame | None, path: str, buckets: int | None
     ) -> None:
-        self._orphans = orphans
+        self._spark, self._name = spark, None
         listed = keys.groupBy("doc_key").agg(F.count("*").alias("copies"))
         done = done_keys(events).withColumn("done", F.lit(True))
-        table = listed.join(done, "doc_key", "left")
-        if orphans is None:
-            table = table.withColumn("have", F.lit(None).cast("array<string>"))
+        table = listed.join(done, "doc_key", "left").withColumn("done", F.coalesce("done", F.lit(False)))
+        if earlier is None:
+            table = table.withColumn("kept", F.lit(None).cast(KEPT_TYPE))
+        else:
+            newest = earlier.groupBy("doc_key", F.col("answer.batch").alias("batch")).agg(
+                F.max_by(F.struct("text_md5", "answer"), "attempt").alias("one")
+            )
+            # One entry per batch of the catalog at most.
+            table = table.join(newest.groupBy("doc_key").agg(F.collect_list("one").alias("kept")), "doc_key", "left")
+        # A finished document's answers are of no use.
+        table = table.withColumn("kept", F.when(~F.col("done"), F.col("kept"))).select("doc_key", "copies", "done", "kept")
+        if buckets:
+            self._name = f"siftrow_work_{uuid.uuid4().hex}"
+            writer = table.repartition(buckets, "doc_key").write.bucketBy(buckets, "doc_key").sortBy("doc_key")
+            writer.format("parquet").option("path", path).saveAsTable(self._name)
+            self._table = spark.table(self._name)
         else:
-            # Several dead attempts may have answered the same batch: keep one.
-            self._kept = orphans.groupBy("doc_key", "batch").agg(F.max("attempt").alias("attempt"))
-            table = table.join(self._kept.groupBy("doc_key").agg(F.collect_set("batch").alias("have")), "doc_key", "left")
-        table.select("doc_key", "copies", F.coalesce("done", F.lit(False)).alias("done"), "have").write.mode(
-            "overwrite"
-        ).parquet(path)
-        self._table = spark.read.schema("doc_key string, copies bigint, done boolean, have array<string>").parquet(path)
+            table.write.mode("overwrite").parquet(path)
+            self._table = spark.read.schema(f"doc_key string, copies bigint, done boolean, kept {KEPT_TYPE}").parquet(path)
 
     def count(self) -> tuple[int, int]:
         """(listed, pending) documents; a key that occurs twice is an error."""
         row = self._table.agg(
             F.count("*").alias("total"),
             F.count_if(~F.col("done")).alias("pending"),
-            F.count_if(~F.col("done") & F.col("have").isNotNull()).alias("reusing"),
+            F.count_if(F.col("kept").isNotNull()).alias("keeping"),
             F.max(F.when(F.col("copies") > 1, F.col("doc_key"))).alias("twice"),
         ).head()
         if row.twice is not None:
             raise GuardError(f"document key is not unique: {row.twice!r}; see first_per_key")
-        self.has_reuse = row.reusing > 0
+        self.has_kept = row.keeping > 0
         return row.total, row.pending
 
     def pending(self) -> DataFrame:
         return self._table.where(~F.col("done")).select("doc_key")
 
     def narrow(self, docs: DataFrame) -> DataFrame:
-        """The pending documents with ``have``.
+        """The pending documents with ``kept``, by an inner join to their names.
 
-        An inner join to their names: Spark broadcasts them if their size
-        allows, and else may drop finished documents before the shuffle.
+        Spark broadcasts the names if their size allows. Where it does not, a
+        table in as many buckets meets them without a shuffle; other texts move.
         """
-        return docs.join(self._table.where(~F.col("done")).select("doc_key", "have"), "doc_key")
+        return docs.join(self._table.where(~F.col("done")).select("doc_key", "kept"), "doc_key")
 
-    def reused(self) -> DataFrame:
-        """Staged answers to use again, for pending documents only."""
-        return self._orphans.join(self._kept, ["doc_key", "batch", "attempt"], "left_semi").join(
-            self.pending(), "doc_key", "left_semi"
-        )
+    def drop(self) -> None:
+        """The table's name goes; its files belong to the attempt."""
+        if self._name:
+            self._spark.sql(f"DROP TABLE IF EXISTS {self._name}")
 
 
 def first_per_key(docs: DataFrame, order: str = "path", key: str = "doc_key") -> DataFrame:

@@ -3,15 +3,25 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
+from urllib.parse import quote, urlsplit
 
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from siftrow.errors import GuardError
 
 # The most bytes Spark can hold in one value.
 MAX_VALUE_BYTES = (1 << 31) - 16
+#: Files that one task opens, and bytes of texts that it hands on together.
+FILES_PER_TASK, BATCH_BYTES = 256, 16 << 20
+#: Storage that tasks open by themselves; files elsewhere are read by Spark's own reader.
+OPENED_BY_TASKS = {"": "file", "file": "file", "hdfs": "hdfs", "s3": "s3", "s3a": "s3", "gs": "gs"}
+NO_TEXT = "could not open: no readable text"
 
 
 def file_name(path: Column) -> Column:
@@ -28,10 +38,11 @@ def _reader(spark: SparkSession) -> DataFrameReader:
     return spark.read.format("binaryFile").option("ignoreMissingFiles", "true")
 
 
-def _listing(spark: SparkSession, folder: str, suffix: str) -> DataFrame:
+def _listing(spark: SparkSession, folder: str, suffix: str, pattern: bool = False) -> DataFrame:
     reader = _reader(spark)
+    top = folder.rstrip("/")
     try:
-        return reader.load(f"{_escaped(folder.rstrip('/'))}/*{_escaped(suffix)}")
+        return reader.load(f"{top if pattern else _escaped(top)}/*{_escaped(suffix)}")
     except AnalysisException as exc:
         if exc.getCondition() != "PATH_NOT_FOUND":
             raise
@@ -49,15 +60,19 @@ def _listing(spark: SparkSession, folder: str, suffix: str) -> DataFrame:
     return found.where(F.lit(False))
 
 
-def scan_documents(spark: SparkSession, folder: str, suffix: str = ".pdf", ordered: bool = True) -> DataFrame:
+def scan_documents(
+    spark: SparkSession, folder: str, suffix: str = ".pdf", ordered: bool = True, pattern: bool = False
+) -> DataFrame:
     """Files of one folder as (doc_key, path, length, modified), by name.
 
+    With ``pattern`` the folder may hold wildcards and stand for several.
+
     Only the top level counts and the suffix is case sensitive. The content is
     never read. An order that a later join or aggregation does not need is
     dropped by the optimizer. Spark leaves out files of zero bytes and names
     that start with ``_`` or ``.``.
     """
-    listing = _listing(spark, folder, suffix).select(
+    listing = _listing(spark, folder, suffix, pattern).select(
         file_name(F.col("path")).alias("doc_key"),
         "path",
         "length",
@@ -78,10 +93,13 @@ def read_documents(
     a null text and a reason. The size test reaches the reader, so a file that
     cannot be held is not opened.
 
-    ``only`` holds the paths that are wanted. They are handed to the reader,
-    which opens nothing else. The driver holds these names, as Spark's own file
-    listing does for every file of the folder.
+    ``only`` holds the rows of :func:`scan_documents` that are wanted. Tasks open
+    these files and no others (``read_listed``); their names never meet on the
+    driver. On storage that tasks cannot open, Spark's reader is handed the
+    list of paths instead.
     """
+    if only is not None and urlsplit(folder).scheme in OPENED_BY_TASKS:
+        return read_listed(only)
     listing = _listing(spark, folder, suffix)
     if only is not None:
         listing = _wanted(spark, listing, [r.path for r in only.select("path").collect()])
@@ -102,6 +120,79 @@ def read_documents(
     return load_text(readable).unionByName(too_large)
 
 
+def read_listed(listing: DataFrame, files_per_task: int = FILES_PER_TASK) -> DataFrame:
+    """Rows of a listing (doc_key, path, length, modified) with the files' text and reason, as from :func:`read_documents`.
+
+    The names are dealt over tasks, each of which opens its own ``files_per_task``
+    files, about, one after the other. A file that is gone gives no row, one
+    that cannot be read a reason. Texts are handed on as they come, in batches
+    of bounded size; a longer one stands alone.
+    """
+    named = listing.select("doc_key", "path", "length", "modified")
+    tasks = max(1, -(-named.count() // files_per_task))
+    schema = T.StructType([*named.schema, T.StructField("text", T.StringType()), T.StructField("reason", T.StringType())])
+
+    def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        opened: dict[tuple[str, str], pafs.FileSystem] = {}
+        for batch in batches:
+            rows, texts, reasons, held = [], [], [], 0
+            for i, (path, length) in enumerate(zip(batch.column("path").to_pylist(), batch.column("length").to_pylist(), strict=True)):
+                try:
+                    text, reason = _text_at(path, length, opened)
+                except FileNotFoundError:
+                    continue
+                rows.append(i)
+                texts.append(text)
+                reasons.append(reason)
+                held += len(text or "")
+                if held > BATCH_BYTES:
+                    yield _with_texts(batch, rows, texts, reasons)
+                    rows, texts, reasons, held = [], [], [], 0
+            if rows:
+                yield _with_texts(batch, rows, texts, reasons)
+
+    return named.repartition(tasks).mapInArrow(fetch, schema)
+
+
+def _with_texts(batch: pa.RecordBatch, rows: list[int], texts: list[str | None], reasons: list[str | None]) -> pa.RecordBatch:
+    picked = batch.take(pa.array(rows, pa.int64()))
+    columns = [*picked.columns, pa.array(texts, pa.string()), pa.array(reasons, pa.string())]
+    return pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, "text", "reason"])
+
+
+def _text_at(path: str, length: int | None, opened: dict) -> tuple[str | None, str | None]:
+    """Text and reason of one file; ``opened`` keeps the connections of a task."""
+    if length is not None and length > MAX_VALUE_BYTES:
+        return None, f"could not open: more than the {MAX_VALUE_BYTES} bytes of one value"
+    fs, at = _place(path, opened)
+    try:
+        with fs.open_input_stream(at) as stream:
+            return stream.read().decode("utf-8"), None
+    except UnicodeDecodeError:
+        return None, NO_TEXT
+    except FileNotFoundError:
+        raise
+    except OSError as exc:
+        return None, f"could not open: {type(exc).__name__}"
+
+
+def _place(path: str, opened: dict) -> tuple[pafs.FileSystem, str]:
+    """File system and path for an address as Spark lists it, in which nothing is quoted."""
+    scheme, colon, rest = path.partition(":")
+    if not colon or "/" in scheme:
+        scheme, rest = "", path
+    kind = OPENED_BY_TASKS[scheme]
+    host, at = "", rest
+    if rest.startswith("//"):
+        host, slash, at = rest[2:].partition("/")
+        at = slash + at
+    if kind == "file":
+        return opened.setdefault((kind, ""), pafs.LocalFileSystem()), at
+    if (kind, host) not in opened:
+        opened[kind, host] = pafs.FileSystem.from_uri(f"{kind}://{host}{quote(at)}")[0]
+    return opened[kind, host], at if kind == "hdfs" else f"{host}{at}"
+
+
 def _wanted(spark: SparkSession, listing: DataFrame, paths: list[str]) -> DataFrame:
     try:
         return _reader(spark).load([_escaped(p) for p in paths]) if paths else listing.where(F.lit(False))
@@ -115,7 +206,7 @@ def _wanted(spark: SparkSession, listing: DataFrame, paths: list[str]) -> DataFr
 
 def load_text(docs: DataFrame, text: str = "text") -> DataFrame:
     """Add ``reason``: a document without a text is a failure, not an exception."""
-    return docs.withColumn("reason", F.when(F.col(text).isNull(), "could not open: no readable text"))
+    return docs.withColumn("reason", F.when(F.col(text).isNull(), NO_TEXT))
 
 
 def decode_text(content: Column) -> Column:

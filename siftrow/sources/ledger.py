@@ -2,15 +2,21 @@
 
 Layout under the ledger folder::
 
-    started/part-*.parquet             one row per attempt at a run
+    started/*/part-*.parquet           one row per attempt at a run
     events/attempt=.../part-*.parquet  what came of each document
-    runs/part-*.parquet                one row per finished run, with its attempt
+    runs/*/part-*.parquet              one row per finished run, with its attempt
+    compactions/*/part-*.parquet       one row per compaction: its attempt, and the attempts whose events it replaces
 
 An attempt writes its events with as many tasks as it likes into a folder of its
 own, then commits by adding one row, that is one file, to ``runs``. Readers take
 only events of committed attempts, so they see a run whole or not at all, and no
 folder is ever written twice. An attempt that is in ``started`` and not in
 ``runs`` died on the way; its staged answers can be used again.
+
+``compact_ledger`` folds all events into one per document, under an attempt of
+its own, and commits by one row that names the attempts it stands for. Readers
+then take that attempt in their place. ``vacuum`` later removes what no reader
+takes any more.
 """
 
 from __future__ import annotations
@@ -24,7 +30,7 @@ from pyspark.sql import types as T
 
 from siftrow.errors import GuardError
 from siftrow.operators.ledger import DONE, FAILED, LEDGER_SCHEMA, fold_ledger, run_verdict
-from siftrow.sources.paths import read_parquet_if_there
+from siftrow.sources.paths import add_rows, read_added, read_parquet_if_there, remove
 
 # Fixed value: the only ledger version there is.
 LEDGER_VERSION = 1
@@ -35,6 +41,7 @@ RUNS_SCHEMA = (
 )
 
 EVENT_SCHEMA = "doc_key string, status string, stage string, reason string, at timestamp, version int"
+COMPACTIONS_SCHEMA = "attempt string, covers array<string>, at timestamp"
 STARTED_SCHEMA = "attempt string, run_id string, started_at timestamp"
 
 SNAPSHOT_SCHEMA = (
@@ -49,7 +56,7 @@ ISO_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+00:00'"
 
 def read_runs(spark: SparkSession, ledger: str) -> DataFrame:
     """Committed runs, after the version guard."""
-    runs = read_parquet_if_there(spark, f"{ledger}/runs", RUNS_SCHEMA)
+    runs = read_added(spark, f"{ledger}/runs", RUNS_SCHEMA)
     require_version(runs, ledger)
     return runs
 
@@ -64,13 +71,85 @@ def require_version(versioned: DataFrame, name: str) -> None:
         raise GuardError(f"ledger {name} has version {other[0][0]!r}, expected {LEDGER_VERSION}")
 
 
+def live_attempts(spark: SparkSession, ledger: str) -> DataFrame:
+    """(attempt, run_id) whose events make up the ledger: committed and not replaced. A compaction has no run_id."""
+    compactions = read_added(spark, f"{ledger}/compactions", COMPACTIONS_SCHEMA)
+    every = read_runs(spark, ledger).select("attempt", "run_id").unionByName(
+        compactions.select("attempt", F.lit(None).cast("string").alias("run_id"))
+    )
+    return every.join(compactions.select(F.explode("covers").alias("attempt")).distinct(), "attempt", "left_anti")
+
+
 def read_ledger(spark: SparkSession, ledger: str, runs: DataFrame | None = None) -> DataFrame:
-    """Events of all committed runs; no rows when there is no ledger yet."""
-    committed = read_runs(spark, ledger) if runs is None else runs
-    stored = T.StructType.fromDDL(EVENT_SCHEMA).add("attempt", T.StringType())
+    """Events of all committed runs, or of ``runs``; no rows when there is no ledger yet.
+
+    After a compaction earlier runs are there as one event per document, that of its last word.
+    """
+    taken = live_attempts(spark, ledger) if runs is None else runs.select("attempt", "run_id")
+    stored = T.StructType.fromDDL(EVENT_SCHEMA).add("run_id", T.StringType()).add("attempt", T.StringType())
     events = read_parquet_if_there(spark, f"{ledger}/events", stored)
     names = T.StructType.fromDDL(LEDGER_SCHEMA).names
-    return events.join(committed.select("attempt", "run_id"), "attempt").select(*names)
+    by_attempt = taken.select("attempt", F.col("run_id").alias("_run"))
+    return events.join(by_attempt, "attempt").withColumn("run_id", F.coalesce("_run", "run_id")).select(*names)
+
+
+def last_words(events: DataFrame, key: str = "doc_key") -> DataFrame:
+    """One event per document, of which the fold makes the same state as of all.
+
+    Done stays: the latest of them. Otherwise the latest failure, of two at the
+    same instant the one of the greater reason.
+    """
+    word = F.struct("at", "reason", "stage", "run_id", "version")
+    done = F.col("status") == DONE
+    folded = events.groupBy(key).agg(F.max(F.when(done, word)).alias("done"), F.max(F.when(~done, word)).alias("failed"))
+    last = F.coalesce("done", "failed")
+    return folded.select(
+        key,
+        F.when(F.col("done").isNotNull(), DONE).otherwise(FAILED).alias("status"),
+        *(last[c].alias(c) for c in ("stage", "reason", "at", "version", "run_id")),
+    )
+
+
+def compact_ledger(spark: SparkSession, ledger: str) -> int:
+    """Fold the history into one event per document; number of attempts replaced.
+
+    Runs may go on meanwhile: what they commit is not among the attempts that
+    are replaced. A crash before the last row leaves the ledger as it was.
+    """
+    now, attempt = datetime.now(UTC), f"compacted-{uuid.uuid4().hex}"
+    # Fixed first, so that the fold and the row that commits it are about the same attempts. A name per run, no more.
+    covered = [r.attempt for r in live_attempts(spark, ledger).select("attempt").collect()]
+    if len(covered) < 2:
+        return 0
+    names = spark.createDataFrame([(a,) for a in covered], "attempt string")
+    run_ids = read_runs(spark, ledger).select("attempt", "run_id")
+    last = last_words(read_ledger(spark, ledger, names.join(run_ids, "attempt", "left")))
+    last.write.mode("overwrite").parquet(f"{ledger}/events/attempt={attempt}")
+    row = spark.createDataFrame([(attempt, covered, now)], COMPACTIONS_SCHEMA)
+    add_rows(row, f"{ledger}/compactions")
+    return len(covered)
+
+
+def vacuum(spark: SparkSession, out: str, ledger: str, older_than_hours: float = 168.0) -> int:
+    """Remove what nothing reads any more; number of folders removed.
+
+    These are the events of attempts that a compaction replaced, the answers and
+    work tables of committed runs but for documents that failed, and all that
+    dead attempts left. Only what is older than ``older_than_hours`` goes: a run
+    still on its way looks like a dead one, and a reader may hold an older list.
+    """
+    limit = F.current_timestamp() - F.make_interval(secs=F.lit(older_than_hours * 3600.0))
+    compactions = read_added(spark, f"{ledger}/compactions", COMPACTIONS_SCHEMA).where(F.col("at") < limit)
+    replaced = [r.attempt for r in compactions.select(F.explode("covers").alias("attempt")).distinct().collect()]
+    runs = read_runs(spark, ledger)
+    finished = [r.attempt for r in runs.where(F.col("finished_at") < limit).select("attempt").collect()]
+    started = read_added(spark, f"{ledger}/started", STARTED_SCHEMA).where(F.col("started_at") < limit)
+    dead = [r.attempt for r in started.select("attempt").distinct().join(runs.select("attempt"), "attempt", "left_anti").collect()]
+    folders = [f"{ledger}/events/attempt={a}" for a in [*replaced, *dead]]
+    folders += [f"{out}/_work/attempt={a}" for a in [*finished, *dead]]
+    folders += [f"{out}/_answers/attempt={a}/complete=true" for a in finished]
+    folders += [f"{out}/{part}attempt={a}" for a in dead for part in ("", "_answers/")]
+    return sum(remove(spark, folder) for folder in folders)
 
 
 def write_events(events: DataFrame, ledger: str, attempt: str) -> None:
@@ -84,19 +163,19 @@ def start_attempt(spark: SparkSession, ledger: str, attempt: str, run_id: str, a
     row = spark.range(1, numPartitions=1).select(
         F.lit(attempt).alias("attempt"), F.lit(run_id).alias("run_id"), F.lit(at).alias("started_at")
     )
-    row.write.mode("append").parquet(f"{ledger}/started")
+    add_rows(row, f"{ledger}/started")
 
 
 def open_attempts(spark: SparkSession, ledger: str, runs: DataFrame) -> DataFrame:
     """All attempts (attempt) that never committed, whatever was committed since."""
-    started = read_parquet_if_there(spark, f"{ledger}/started", STARTED_SCHEMA)
+    started = read_added(spark, f"{ledger}/started", STARTED_SCHEMA)
     return started.select("attempt").distinct().join(runs.select("attempt"), "attempt", "left_anti")
 
 
 def commit_run(run: DataFrame, ledger: str) -> None:
     """Add the one row that makes a run visible. The row is one file."""
     names = T.StructType.fromDDL(RUNS_SCHEMA).names
-    run.select(*names).coalesce(1).write.mode("append").parquet(f"{ledger}/runs")
+    add_rows(run.select(*names), f"{ledger}/runs")
 
 
 def iso_utc(at: Column) -> Column:
@@ -167,6 +246,11 @@ def read_snapshot(spark: SparkSession, path: str, multi_line: bool = False) -> D
         spark.read.schema(SNAPSHOT_SCHEMA).option("mode", "FAILFAST").option("multiLine", multi_line).json(path)
     )
     require_version(rows, path)
+    try:
+        # Every column has to be read whole, so that a file cut off after its version is refused too.
+        rows.agg(*(F.max(F.length(F.to_json(F.struct(c)))) for c in rows.columns)).collect()
+    except Exception as exc:
+        raise GuardError(f"could not read ledger {path}: {exc}") from exc
     return snapshot_events(rows)
 
 

@@ -65,6 +65,7 @@ def test_explode_multi(spark):
             {
                 " | ".join("ABCDEF"): True, " | ".join("ABCDEFG"): False, " | ".join("ABCDEF") + " | et al.": True,
                 "A | B | C | D | E | F et al.": True, "NA": True,
+                "": False, "\t": False, "  ": False, "\u3000": False,
             },
         ),
         (
@@ -73,6 +74,7 @@ def test_explode_multi(spark):
             {
                 "Do this using that, finding it.": True, " ".join(["w"] * 40) + ".": True, " ".join(["w"] * 41): False,
                 "One. Two.": False, "Value 5.2 is fine": True, "NA": True,
+                "": False, "\t": False, "  ": False, "\xa0": False,
             },
         ),
         (
@@ -138,18 +140,24 @@ def test_labelled_sections(spark):
     ]
 
 
-def test_grounding(spark, docs_of):
-    rows = [("a", "blue", "x | y"), ("b", "green", "NA"), ("c", "NA", "x | q")]
+def test_grounding_is_told_per_value(spark, docs_of):
+    rows = [("a", "blue", "alpha | gamma | beta"), ("b", "green", "NA"), ("c", "NA", "x | q"), ("e", "no document", ""), ("f", None, "a | ")]
     df = spark.createDataFrame(rows, "doc_key string, title string, parts string")
-    docs = docs_of(("a", "a blue x and y"), ("b", "only blue"), ("c", "x"), ("d", "unused"))
+    docs = docs_of(("a", "blue, alpha beta"), ("b", "only blue"), ("c", "x"), ("d", "unused"), ("f", "a | b"))
     checked = check_grounding(df, docs, ("title", "parts"))
-    got = {(r.doc_key, r.field): r.ok for r in checked.collect()}
-    assert got == {
-        ("a", "title"): True, ("a", "parts"): True, ("b", "title"): False, ("b", "parts"): True,
-        ("c", "title"): True, ("c", "parts"): False,
-    }
-    share = {r.field: (r.stated, r.grounded, r.share) for r in grounding_share(checked).collect()}
-    assert share == {"title": (2, 1, 0.5), "parts": (2, 1, 0.5)}
+    assert checked.columns == ["doc_key", "field", "position", "value", "ok"]
+    got = sorted((r.doc_key, r.field, r.position, r.value, r.ok) for r in checked.where("value is not null").collect())
+    assert got == [
+        ("a", "parts", 0, "alpha", True), ("a", "parts", 1, "gamma", False), ("a", "parts", 2, "beta", True), ("a", "title", 0, "blue", True),
+        ("b", "parts", 0, "NA", True), ("b", "title", 0, "green", False),
+        ("c", "parts", 0, "x", True), ("c", "parts", 1, "q", False), ("c", "title", 0, "NA", True),
+        ("e", "parts", 0, "", False), ("e", "title", 0, "no document", False),
+        ("f", "parts", 0, "a", True), ("f", "parts", 1, "", False),
+    ]
+    (null,) = checked.where("value is null").collect()
+    assert (null.doc_key, null.field, null.position, null.ok) == ("f", "title", 0, False)
+    share = {r.field: (r.stated, r.grounded) for r in grounding_share(checked).collect()}
+    assert share == {"title": (3, 1), "parts": (8, 4)}
 
 
 def test_by_field_renames(spark):

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from siftrow import (
     GuardError,
+    compact_ledger,
     failures_report,
     fold_ledger,
     outcome,
@@ -13,10 +14,12 @@ from siftrow import (
     read_ledger,
     read_snapshot,
     run_summary,
+    vacuum,
     write_snapshot,
 )
 from siftrow.operators.catalog import Catalog, Entry
 from siftrow.operators.ledger import LEDGER_SCHEMA
+from siftrow.plans.queries.ledger import commit_part
 from siftrow.sources.ledger import RUNS_SCHEMA, commit_run, snapshot, write_events
 
 CATALOG = Catalog((Entry("A", "a", "one"), Entry("B", "b", "two")))
@@ -164,7 +167,7 @@ def test_import_of_an_indented_snapshot(spark, tmp_path):
     assert rows == {("a.pdf", "done", None, at(2)), ("b.pdf", "failed", "boom", at(2))}
 
 
-@pytest.mark.parametrize("text", ["{not valid json", '{"version": 999, "processed": [], "failed": {}}', '{"processed": []}'])
+@pytest.mark.parametrize("text", ["[1, {]", '{"version": 1, "processed": [', '{"version": 1, "processed": ["a"], "failed": {"b": ', '{"version": 27, "processed": [], "failed": {}}', '{"processed": []}'])
 def test_bad_snapshots_are_refused(spark, tmp_path, text):
     path = tmp_path / "bad.json"
     path.write_text(text)
@@ -175,3 +178,32 @@ def test_bad_snapshots_are_refused(spark, tmp_path, text):
 def test_snapshot_needs_no_second_pass_per_key(spark):
     rows = snapshot(events_of(spark, *EVENTS), F.length("doc_key") % 2).collect()
     assert sum(len(r.processed) for r in rows) == 3
+
+
+def committed(spark, ledger, attempt, rows):
+    write_events(events_of(spark, *rows).withColumn("stage", F.lit("extract")), ledger, attempt)
+    commit_part(spark, ledger, attempt)
+
+
+def state_of(events):
+    return sorted((r.doc_key, r.status, r.reason, r.at) for r in fold_ledger(events).collect())
+
+
+def test_compaction_keeps_the_state_and_shrinks_the_history(spark, tmp_path):
+    ledger = str(tmp_path / "ledger")
+    assert compact_ledger(spark, ledger) == 0
+    for i in range(3):
+        committed(spark, ledger, f"run-{i}", EVENTS)
+    before = state_of(read_ledger(spark, ledger))
+    assert compact_ledger(spark, ledger) == 3
+    left = read_ledger(spark, ledger)
+    assert state_of(left) == before and left.count() == len(before)
+    # A word of a later run counts, and a second compaction stands for the first one too.
+    committed(spark, ledger, "later", [("fresh", "failed", "no", 9)])
+    assert compact_ledger(spark, ledger) == 2
+    assert [r for r in state_of(read_ledger(spark, ledger)) if r[0] != "fresh"] == before
+    assert read_ledger(spark, ledger).where("doc_key = 'fresh'").head().run_id == "later"
+    # The files of all that was replaced go; the state stays.
+    assert vacuum(spark, str(tmp_path / "out"), ledger, older_than_hours=24) == 0
+    assert vacuum(spark, str(tmp_path / "out"), ledger, older_than_hours=-1) == 5
+    assert sorted(state_of(read_ledger(spark, ledger)))[: len(before)] and len(list((tmp_path / "ledger" / "events").glob("attempt=*"))) == 1

@@ -5,10 +5,26 @@ import uuid
 
 import pytest
 
-from siftrow import DEFAULT_CATALOG, SYSTEM_TEXT, Catalog, Entry, GuardError, count_output_rows, import_snapshot, incremental_run, read_ledger, read_results, run, run_folder
+from siftrow import (
+    DEFAULT_CATALOG,
+    SYSTEM_TEXT,
+    Catalog,
+    Entry,
+    GuardError,
+    compact_ledger,
+    count_output_rows,
+    import_snapshot,
+    incremental_run,
+    read_ledger,
+    read_results,
+    run,
+    run_folder,
+    vacuum,
+)
 from siftrow.operators.ledger import fold_ledger
 from siftrow.plans import run as run_module
-from siftrow.sources.documents import read_documents
+from siftrow.sources import documents as documents_module
+from siftrow.sources.documents import read_listed
 
 SMALL = Catalog((Entry("Title", "title", "first"), Entry("Year", "year", "second"), Entry("Brief", "brief", "synthesis")))
 
@@ -37,7 +53,7 @@ def test_end_to_end_default_catalog(spark, docs_of, places):
         batch = next(b for b in DEFAULT_CATALOG.batches if b.name == row["batch"])
         return json.dumps({f: f"{row['doc_key']} {f}" for f in batch.fields})
 
-    docs = docs_of(("paper_a.pdf", "Body a"), ("paper_b.pdf", "Body b"), ("paper_c.pdf", "Body c"))
+    docs = docs_of(("harbour.pdf", "Bells"), ("quay.pdf", "Gulls"), ("pier.pdf", "Ropes"))
     summary = run(spark, docs, stub, *places, header=list(DEFAULT_CATALOG.columns))
     assert counts(summary) == (3, 0, 3, 0, 0, 0)
     rows = read_results(spark, *places).collect()
@@ -116,10 +132,11 @@ def test_failure_of_a_departed_document_stays_outstanding(spark, docs_of, places
 @pytest.mark.parametrize("step", ["append_results", "write_events", "commit_run"])
 def test_crash_before_commit_shows_nothing_and_repeats_no_call(spark, docs_of, places, monkeypatch, step):
     calls = spark.sparkContext.accumulator(0)
+    fixed = False
 
     def counting(row):
         calls.add(1)
-        if row["doc_key"] == "bad" and row["batch"] == "second" and "fixed" not in row["request"]:
+        if row["doc_key"] == "bad" and row["batch"] == "second" and not fixed:
             raise ValueError("boom")
         return echo(row)
 
@@ -135,13 +152,141 @@ def test_crash_before_commit_shows_nothing_and_repeats_no_call(spark, docs_of, p
     assert calls.value == 3 + 9
     assert titles(spark, places) == {"old": "o"}
 
-    fixed = docs_of(("old", "o"), ("a", "x"), ("bad", "y fixed"), ("c", "z"))
-    assert counts(run(spark, fixed, counting, *places, catalog=SMALL)) == (4, 1, 3, 0, 0, 0)
+    fixed = True
+    assert counts(run(spark, docs, counting, *places, catalog=SMALL)) == (4, 1, 3, 0, 0, 0)
     assert calls.value == 3 + 9 + 1, "only the failed call is made again"
     assert set(titles(spark, places)) == {"old", "a", "bad", "c"}
     assert read_results(spark, *places, SMALL).count() == 4
 
 
+def test_one_failed_batch_of_a_committed_run_costs_one_call(spark, docs_of, places, tmp_path):
+    def stub(row):
+        if row["batch"] == "review" and row["doc_key"] == "b" and not fixed:
+            raise ValueError("boom")
+        (log / f"{row['doc_key']}-{row['batch']}-{uuid.uuid4().hex}").touch()
+        return "{}"
+
+    docs, log, fixed = docs_of(("a", "x"), ("b", "y")), tmp_path / "calls", False
+    log.mkdir()
+    assert counts(run(spark, docs, stub, *places)) == (2, 0, 1, 1, 1, 2)
+    assert len(calls_of(log)) == 21
+    fixed = True
+    assert counts(run(spark, docs, stub, *places)) == (2, 1, 1, 0, 0, 0)
+    assert len(calls_of(log)) == 22 and "b-review" in calls_of(log)
+    assert read_results(spark, *places).count() == 2
+
+
+def test_answers_to_another_text_or_system_text_are_stale(spark, docs_of, places, tmp_path):
+    log = tmp_path / "calls"
+    log.mkdir()
+
+    def stub(row):
+        if row["batch"] == "second" and not fixed:
+            raise ValueError("boom")
+        (log / f"{row['doc_key']}-{row['batch']}-{uuid.uuid4().hex}").touch()
+        return echo(row)
+
+    fixed = False
+    run(spark, docs_of(("a", "x"), ("b", "y"), ("c", "z")), stub, *places, catalog=SMALL)
+    assert len(calls_of(log)) == 6
+    fixed = True
+    run(spark, docs_of(("a", "x"), ("b", "changed")), stub, *places, catalog=SMALL)
+    # One call for the failed batch of the same text, three for the changed one.
+    assert len(calls_of(log)) == 10 and titles(spark, places) == {"a": "x", "b": "changed"}
+    run(spark, docs_of(("c", "z")), stub, *places, catalog=SMALL, system="Answer otherwise.")
+    assert len(calls_of(log)) == 13
+
+
+def test_runs_side_by_side_leave_no_document_twice(spark, docs_of, places, monkeypatch):
+    """Both look at the ledger before either commits."""
+    from concurrent.futures import ThreadPoolExecutor
+    from threading import Barrier
+
+    both, write = Barrier(2, timeout=120), run_module.write_events
+
+    def late(*args):
+        both.wait()
+        write(*args)
+
+    shared = [("a", "x"), ("b", "y")]
+    with monkeypatch.context() as patched, ThreadPoolExecutor(2) as pool:
+        patched.setattr(run_module, "write_events", late)
+        jobs = [pool.submit(run, spark, docs_of(*shared, (own, "own")), echo, *places, catalog=SMALL) for own in ("c", "d")]
+        for job in jobs:
+            job.result()
+    assert sorted(r.doc_key for r in read_results(spark, *places, SMALL).collect()) == ["a", "b", "c", "d"]
+    assert count_output_rows(spark, *places, SMALL) == 4
+    assert counts(run(spark, docs_of(*shared), echo, *places, catalog=SMALL)) == (2, 2, 0, 0, 0, 0)
+
+
+def test_a_run_leaves_out_what_another_finished_meanwhile(spark, docs_of, places, monkeypatch):
+    extract = run_module.extract_documents
+    outer = []
+
+    def overtaken(*args, **options):
+        if not outer:
+            outer.append(True)
+            run(spark, docs_of(("a", "x")), echo, *places, catalog=SMALL, run_id="fast")
+        return extract(*args, **options)
+
+    monkeypatch.setattr(run_module, "extract_documents", overtaken)
+    slow = run(spark, docs_of(("a", "x"), ("b", "y")), echo, *places, catalog=SMALL, run_id="slow")
+    assert counts(slow) == (2, 1, 1, 0, 0, 0)
+    assert {r.doc_key: r.run_id for r in read_results(spark, *places, SMALL).collect()} == {"a": "fast", "b": "slow"}
+    assert read_ledger(spark, places[1]).where("doc_key = 'a'").count() == 1
+
+
+def test_rounds_and_threads_make_each_call_once(spark, tmp_path, places):
+    log = tmp_path / "calls"
+    log.mkdir()
+    docs = spark.range(0, 12, 1, 3).selectExpr("CAST(id AS STRING) AS doc_key", "concat('t', id) AS text")
+    assert counts(run(spark, docs, logged(log), *places, catalog=SMALL, rounds=3, threads=4, tasks=2)) == (12, 0, 12, 0, 0, 0)
+    assert calls_of(log) == sorted(f"{i}-{b}" for i in range(12) for b in ("first", "second", "synthesis"))
+    assert titles(spark, places) == {str(i): f"t{i}" for i in range(12)}
+
+
+def test_rounds_that_ended_keep_their_answers(spark, tmp_path, places):
+    log = tmp_path / "calls"
+    log.mkdir()
+    docs = spark.range(0, 8, 1, 1).selectExpr("CAST(id AS STRING) AS doc_key", "concat('t', id) AS text")
+    turns = {r.doc_key: r.turn for r in docs.selectExpr("doc_key", "pmod(xxhash64(doc_key), 4) AS turn").collect()}
+    last = max(turns, key=turns.get)
+    with pytest.raises(Exception, match="(?i)python worker"):
+        run(spark, docs, logged(log, lethal=last), *places, catalog=SMALL, rounds=4)
+    assert len(calls_of(log)) >= 3 * sum(t < turns[last] for t in turns.values()) > 0
+    run(spark, docs, logged(log), *places, catalog=SMALL)
+    again = [c for c in set(calls_of(log)) if calls_of(log).count(c) > 1]
+    assert all(turns[c.split("-")[0]] == turns[last] for c in again)
+
+
+def test_a_cut_text_is_told_in_its_event(spark, docs_of, places):
+    run(spark, docs_of(("long", "w" * 50), ("short", "w")), echo, *places, catalog=SMALL, limit=10)
+    got = {r.doc_key: (r.status, r.stage) for r in read_ledger(spark, places[1]).collect()}
+    assert got == {"long": ("done", "extract: text cut"), "short": ("done", None)}
+
+
+def test_vacuum_keeps_what_a_later_run_needs(spark, docs_of, places, tmp_path, monkeypatch):
+    def stub(row):
+        if row["doc_key"] == "b" and row["batch"] == "second" and not fixed:
+            raise ValueError("boom")
+        (log / f"{row['doc_key']}-{row['batch']}-{uuid.uuid4().hex}").touch()
+        return echo(row)
+
+    docs, log, fixed = docs_of(("a", "x"), ("b", "y")), tmp_path / "calls", False
+    log.mkdir()
+    run(spark, docs, stub, *places, catalog=SMALL)
+    with monkeypatch.context() as m:
+        m.setattr(run_module, "commit_run", lambda *a: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            run(spark, docs_of(("dead", "x")), stub, *places, catalog=SMALL)
+    compact_ledger(spark, places[1])
+    # Of the committed run its work table and the answers of what it finished, and all of the dead one.
+    assert vacuum(spark, *places, older_than_hours=-1) >= 5
+    fixed, before = True, len(calls_of(log))
+    assert counts(run(spark, docs, stub, *places, catalog=SMALL)) == (2, 1, 1, 0, 0, 0)
+    assert len(calls_of(log)) == before + 1 and titles(spark, places) == {"a": "x", "b": "y"}
+
+
 def test_answers_of_several_dead_attempts_are_reused_once(spark, docs_of, places, monkeypatch):
     """Also under one and the same run id, as when a streaming batch is repeated."""
     calls = spark.sparkContext.accumulator(0)
@@ -216,15 +361,14 @@ def test_documents_that_vanish_are_failures(spark, docs_of, places):
 
 
 def test_folder_run_opens_only_pending_files(spark, tmp_path, places, monkeypatch):
-    opened = []
+    listed = []
 
-    def read(*args, **options):
-        docs = read_documents(*args, **options)
-        opened.append(sorted(f.rsplit("/", 1)[-1] for f in docs.inputFiles()))
-        return docs
+    def read(listing, *args):
+        listed.append(sorted(r.doc_key for r in listing.collect()))
+        return read_listed(listing, *args)
 
-    monkeypatch.setattr(run_module, "read_documents", read)
-    folder = tmp_path / "papers [1]"
+    monkeypatch.setattr(documents_module, "read_listed", read)
+    folder = tmp_path / "papers [1] %20"
     folder.mkdir()
     (folder / "a.txt").write_text("x")
     (folder / "b.txt").write_bytes(b"\xff")
@@ -232,12 +376,13 @@ def test_folder_run_opens_only_pending_files(spark, tmp_path, places, monkeypatc
     template.write_text("Title,Year,Brief\n")
     options = {"catalog": SMALL, "template": str(template)}
     assert counts(run_folder(spark, str(folder), echo, *places, **options)) == (2, 0, 1, 1, 1, 2)
+    assert {r.doc_key: r.reason for r in read_ledger(spark, places[1]).collect()} == {"a.txt": None, "b.txt": "could not open: no readable text"}
     (folder / "b.txt").write_text("y")
     (folder / "c.txt").write_text("z")
     (folder / "a.txt").write_text("changed, but done")
     assert counts(run_folder(spark, str(folder), echo, *places, **options)) == (3, 1, 2, 0, 0, 0)
     assert titles(spark, places) == {"a.txt": "x", "b.txt": "y", "c.txt": "z"}
-    assert opened == [["a.txt", "b.txt"], ["b.txt", "c.txt"]]
+    assert listed == [["a.txt", "b.txt"], ["b.txt", "c.txt"]]
     assert counts(run_folder(spark, str(folder), echo, *places, **options)) == (3, 3, 0, 0, 0, 0)
 
 
@@ -283,6 +428,43 @@ def test_streams_that_share_a_ledger_lose_nothing(spark, tmp_path, places):
     assert {r.doc_key for r in read_results(spark, *places).collect()} == set("abcde")
 
 
+def test_failed_documents_of_a_stream_are_handed_out_again_when_due(spark, tmp_path, places):
+    schema, source, marks = "doc_key string, text string, tags map<string,string>", str(tmp_path / "in"), str(tmp_path / "marks")
+    log = tmp_path / "calls"
+    log.mkdir()
+
+    def feed(*rows):
+        if rows:
+            spark.createDataFrame([(k, t, {"t": "u"}) for k, t in rows], schema).coalesce(1).write.mode("append").parquet(source)
+        return spark.readStream.schema(schema).parquet(source)
+
+    def stub(row):
+        if row["doc_key"] == "bad" and row["batch"] == "second" and not fixed:
+            raise ValueError("boom")
+        (log / f"{row['doc_key']}-{row['batch']}-{uuid.uuid4().hex}").touch()
+        return echo(row)
+
+    def trigger(*rows, **options):
+        return incremental_run(spark, feed(*rows), stub, *places, marks, catalog=SMALL, **options)
+
+    fixed = False
+    # A copy that cannot be read gives way to one that can, whichever comes first.
+    assert trigger(("a", None), ("a", "x"), ("bad", "y"), ("gone", None)) == 1
+    assert titles(spark, places) == {"a": "x"} and len(calls_of(log)) == 5
+    assert trigger() == 0, "not due yet"
+    # A key that was finished is not worked on again; one that failed is, with its other answers kept.
+    assert trigger(("a", "x"), ("c", "z"), retry_after=0.0) == 1
+    assert titles(spark, places) == {"a": "x", "c": "z"} and len(calls_of(log)) == 8
+    fixed = True
+    assert trigger(retry_after=0.0, max_tries=2) == 0, "tried twice"
+    assert trigger(retry_after=0.0) == 1, "nothing new, but two documents are due"
+    assert titles(spark, places) == {"a": "x", "bad": "y", "c": "z"}
+    assert calls_of(log).count("bad-second") == 1 and len(calls_of(log)) == 9
+    # A new copy takes the place of what was kept.
+    assert trigger(("gone", "back"), retry_after=0.0) == 1
+    assert titles(spark, places)["gone"] == "back"
+
+
 def logged(folder, lethal=None):
     """An extractor that leaves one file per call; one document ends its worker, after the others are through."""
 

@@ -146,27 +146,50 @@ def test_export_csv_has_the_header_and_key_order(spark, tmp_path):
 
 
 class FakeSession:
-    """Only what the scratch folder looks at; the setting of a live session is fixed."""
+    """What a session says about folders; everything is looked up, nothing is set."""
 
-    def __init__(self, configured=None):
+    def __init__(self, checkpoint=None, set_by_code=None):
+        self.asked = {"spark.checkpoint.dir": checkpoint, "spark.sql.warehouse.dir": "/warehouse"}
+        self.set_by_code = set_by_code
         self.conf = self.sparkContext = self
-        self.configured, self.made = configured, None
 
-    def get(self, key, default):
-        assert key == "spark.checkpoint.dir"
-        return self.configured or default
+    def get(self, key, default=None):
+        return self.asked.get(key) or default
 
     def getCheckpointDir(self):
-        return self.made
-
-    def setCheckpointDir(self, folder):
-        self.made = folder
+        return self.set_by_code
 
 
 def test_scratch_folder_follows_the_session():
     cluster = FakeSession("/shared/place/")
     assert scratch_folder(cluster).startswith("/shared/place/siftrow-")
     assert scratch_folder(cluster) != scratch_folder(cluster)
-    assert cluster.made is None
-    bare = FakeSession()
-    assert scratch_folder(bare).startswith(bare.made) and scratch_folder(bare).startswith(bare.made)
+    assert scratch_folder(FakeSession(set_by_code="/set")).startswith("/set/siftrow-")
+    # Never a folder that only one machine sees.
+    assert scratch_folder(FakeSession()).startswith("/warehouse/siftrow-")
+
+
+def test_any_number_of_names_is_read_where_the_names_are(spark, tmp_path, monkeypatch):
+    """100,000 names: tasks open the files; the driver never sees a path."""
+    from pyspark.sql import functions as F
+    from siftrow.sources import documents
+
+    for i in range(10):
+        (tmp_path / f"é {i} 100%.txt").write_text(f"text {i}\n" * i)
+    (tmp_path / "bad").write_bytes(b"ok \xff")
+    (tmp_path / "folder").mkdir()
+    name = F.concat(F.lit(f"file:{tmp_path}/é "), (F.col("id") % 10).cast("string"), F.lit(" 100%.txt"))
+    names = spark.range(100_000).select(
+        F.col("id").cast("string").alias("doc_key"), name.alias("path"), F.lit(5).cast("bigint").alias("length"), F.current_timestamp().alias("modified")
+    )
+    odd = [("gone", "nowhere.txt", 1), ("bad", "bad", 1), ("folder", "folder", 1), ("huge", "bad", documents.MAX_VALUE_BYTES + 1)]
+    more = spark.createDataFrame([(k, f"file://{tmp_path}/{p}", n) for k, p, n in odd], "doc_key string, path string, length bigint")
+    monkeypatch.setattr(documents, "BATCH_BYTES", 1000)
+    read = documents.read_listed(names.unionByName(more.withColumn("modified", F.current_timestamp())), files_per_task=9_000)
+    assert read.columns == ["doc_key", "path", "length", "modified", "text", "reason"]
+    rows = read.groupBy("text", "reason").agg(F.count("*").alias("n")).collect()
+    texts = {r.text: r.n for r in rows if r.reason is None}
+    assert texts == {f"text {i}\n" * i: 10_000 for i in range(10)}
+    failed = {r.doc_key: r.reason for r in read.where("reason is not null").collect()}
+    assert failed["bad"] == "could not open: no readable text" and "bytes" in failed["huge"] and failed["folder"].startswith("could not open")
+    assert read.where("doc_key = 'gone'").count() == 0
