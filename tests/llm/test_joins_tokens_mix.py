@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from siftrow.llm import mixing
+from siftrow.llm import jaccard, mixing
 from siftrow.llm.common import work_folder
 from siftrow.llm.components import connected_components
 from siftrow.llm.jaccard import jaccard_components, keep_one_of_each
@@ -72,6 +72,54 @@ def test_join_equals_brute_force(spark, seed):
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()), key=repr) == brute_components(rows)
 
 
+def test_a_crowd_of_near_copies_costs_about_one_comparison_each(spark, monkeypatch):
+    """Each lacks other words of one text; many are linked with nothing, none is compared with the whole crowd."""
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(90)]
+    rows = []
+    for i in range(260):
+        words = list(base)
+        for k in range(rng.choice([0, 1, 2, 3, 4, 5, 7])):
+            at = rng.randrange(len(words))
+            words[at : at + rng.choice([0, 1, 2])] = [f"own{i}x{k}"]
+        rows.append((i, " ".join(words)))
+    rows += [(1000 + i, " ".join(base[:12] + [f"u{i}y{k}" for k in range(60)])) for i in range(60)]
+    compared = []
+    verify = jaccard.verify
+
+    def counting(pairs, *rest):
+        compared.append(pairs.count())
+        return verify(pairs, *rest)
+
+    monkeypatch.setattr(jaccard, "verify", counting)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_components(docs).collect()), key=repr)
+    assert got == brute_components(rows)
+    assert len({c for _, _, c in got}) > 20 and sum(compared) < 3 * len(rows)
+
+
+def test_filters_of_further_orders_keep_every_linked_pair():
+    from siftrow.llm.bytes import slices
+    from siftrow.llm.jaccard import further_prefixes, share_prefixes, shingles
+
+    rng = random.Random(5)
+    texts = [t for _, t in near_copies(3)] + [" ".join(rng.choices("abcdefgh", k=rng.randint(1, 30))) for _ in range(40)]
+    (data, offsets, _), = slices(pa.array(texts))
+    token, bounds = shingles(data, offsets)
+    columns = further_prefixes(token, bounds, 75)
+    held = [[c[i].as_buffer() for c in columns] for i in range(len(texts))]
+    sets = [set(token[a:b].tolist()) for a, b in zip(bounds[:-1], bounds[1:])]
+    passed = dropped = 0
+    for i in range(len(texts)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            linked = both and 100 * both >= 75 * len(sets[i] | sets[j])
+            together = share_prefixes(held[i], held[j])[0]
+            assert together or not linked
+            passed, dropped = passed + together, dropped + (not together)
+    assert passed and dropped > passed
+
+
 def test_one_of_each_group_stays(spark):
     text = " ".join(f"w{i}" for i in range(40))
     rows = [(3, text, "x"), (1, text + " end", "y"), (2, "other words " + text[:60], None), (5, None, "z"), (6, "", "z")]
