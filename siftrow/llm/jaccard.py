@@ -10,12 +10,12 @@ token under a first order, and under two more; what is left after all three filt
   frequent, and they alone are sent to all tasks (2 MB). Any choice gives the same links.
 - A token's place counts too: if it is the first that two sets share, they share no more than follows it in either. A pair
   is a candidate through a token only if that is enough.
-- Within the classes that share a token, the one with the smallest share of rare tokens is the pivot: in a crowd of near
-  copies, the text they are copies of. Every class is compared with its pivots. Where a class is then in another component
-  than its pivot, and only there, it is compared with the others of the group. A crowd costs about as many comparisons as
-  it has members.
-- A frequent token's classes are dealt over groups by hash, each with a pivot, and the pivots are compared with the best of
-  them, so no task holds a whole crowd.
+- Within the classes that share a token, the one whose tokens are the most frequent on average, and of such the largest, is
+  the pivot: in a crowd of near copies, the text they are copies of. Every class is compared with its pivots. A class that is
+  then in another component than most of the group, and no other, is compared with the others. A crowd costs about as many
+  comparisons as it has members.
+- A frequent token's classes are dealt over groups by hash, and its pivot is the best of the groups' ones, so no task holds
+  a whole crowd.
 
 Nothing is capped: every pair that could be linked is compared or already connected. The two further filters look at the
 prefixes alone, before any set moves. Sets of candidate classes are built once and written; texts are never shuffled.
@@ -134,8 +134,9 @@ def word_sets(docs: DataFrame, size: int = SIZE) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(sets, "doc_id long, n long, cls long, token long, often long")
 
 
-def frequent_tokens(found: DataFrame, folder: str) -> np.ndarray:
-    """Sorted tokens of rows (token, often); at most FREQUENT, the most frequent, but for such as are equally frequent."""
+def frequent_tokens(found: DataFrame, folder: str) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted tokens of rows (token, often), and their frequencies in sixteenths of an octave; at most FREQUENT, the most
+    frequent, but for such as are equally frequent."""
     counts = stored(found.groupBy("token").agg(F.sum("often").alias("n")), f"{folder}/frequent")
     # Frequencies on a scale of sixteenths of an octave: a bounded number of rows.
     step = F.floor(F.log2(F.col("n").cast("double")) * 16)
@@ -147,15 +148,19 @@ def frequent_tokens(found: DataFrame, folder: str) -> np.ndarray:
             break
         least = at
     if least is None:
-        return np.zeros(0, U)
-    return np.sort(counts.where(step >= least).select("token").toArrow().column("token").to_numpy().view(U))
+        return np.zeros(0, U), np.zeros(0, np.int64)
+    kept = counts.where(step >= least).select("token", step.alias("step")).toArrow()
+    tokens = kept.column("token").to_numpy().view(U)
+    order = np.argsort(tokens)
+    return tokens[order], kept.column("step").to_numpy()[order].astype(np.int64)
 
 
-def prefix_tokens(docs: DataFrame, frequent: np.ndarray, percent: int = PERCENT, size: int = SIZE) -> DataFrame:
+def prefix_tokens(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], percent: int = PERCENT, size: int = SIZE) -> DataFrame:
     """key, cls, n, left, rare: the prefix of every set under the first order (frequent tokens last, then by number).
 
     key: KEY_BITS of the token, and for a frequent one the group of the class beyond them. left: tokens of the set from this
-    one on. rare: tokens that are not frequent, in 255ths of the set. A class is sent once by a task.
+    one on. rare: less the mean frequency of the set's tokens (in 256ths of an octave, 0 for those not in frequent), so the
+    text that many others are copies of has the least. A class is sent once by a task.
     """
     last = docs.sparkSession.sparkContext.broadcast(frequent)
 
@@ -173,11 +178,11 @@ def prefix_tokens(docs: DataFrame, frequent: np.ndarray, percent: int = PERCENT,
                 pick[first] = True
                 token, n, cls = token[np.repeat(pick, n)], n[pick], cls[pick]
                 bounds = np.concatenate([[0], np.cumsum(n)])
-                often = last.value
+                often, steps = last.value
                 at = np.minimum(np.searchsorted(often, token), max(len(often) - 1, 0))
                 is_often = often[at] == token if len(often) else np.zeros(len(token), bool)
-                usual = np.concatenate([[0], np.cumsum(is_often)])
-                rare = (n - (usual[bounds[1:]] - usual[bounds[:-1]])) * 255 // np.maximum(n, 1)
+                usual = np.concatenate([[0], np.cumsum(np.where(is_often, steps[at], 0) if len(often) else is_often)])
+                rare = -(16 * (usual[bounds[1:]] - usual[bounds[:-1]]) // np.maximum(n, 1))
                 rank = (token >> U(1)) | (is_often.astype(U) << U(63))
                 kept, text, left = ordered_prefixes(token, bounds, rank, percent)
                 key = (kept >> U(64 - KEY_BITS)).view(np.int64)
@@ -253,7 +258,8 @@ def together(pairs: DataFrame, values: DataFrame, columns: list[str], judge: Cal
     heads = ends.select("a", F.col("a").alias("b"), "salt").distinct()
     named = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id")))
     held = in_map(values.select(F.col("cls").alias("b"), *columns), "b", document_map(named.distinct()))
-    rows = heads.unionByName(ends).join(held, "b").select("a", "salt", "b", *columns, (F.col("a") != F.col("b")).alias("partner"))
+    # Merged at every size: pairs grow with the documents, so they are never sent to all tasks.
+    rows = heads.unionByName(ends).join(held.hint("merge"), "b").select("a", "salt", "b", *columns, (F.col("a") != F.col("b")).alias("partner"))
     rows = rows.repartition("a", "salt").sortWithinPartitions("a", "salt", "partner")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -320,10 +326,10 @@ def enough(left: Column, right: Column, n: Column, m: Column, percent: int) -> C
     return F.least(left, right).cast("long") * (100 + percent) >= (n.cast("long") + m) * percent
 
 
-def linked_classes(docs: DataFrame, base: DataFrame, frequent: np.ndarray, folder: str, percent: int = PERCENT, size: int = SIZE) -> DataFrame:
+def linked_classes(docs: DataFrame, base: DataFrame, frequent: tuple[np.ndarray, np.ndarray], folder: str, percent: int = PERCENT, size: int = SIZE) -> DataFrame:
     """a, b: links between classes, enough to connect all that are connected. base: doc_id, n, cls of docs, written."""
     # Rows of one key in order, pivot first; a key of one class goes.
-    in_key = Window.partitionBy("key").orderBy("rare", "cls")
+    in_key = Window.partitionBy("key").orderBy("rare", F.desc("n"), "cls")
     first = {c: F.first(c).over(in_key) for c in ("cls", "n", "left")}
     tokens = prefix_tokens(docs, frequent, percent, size).withColumns(
         {"pivot": first["cls"], "pn": first["n"], "pleft": first["left"], "more": F.lead("cls").over(in_key)}
@@ -332,30 +338,30 @@ def linked_classes(docs: DataFrame, base: DataFrame, frequent: np.ndarray, folde
     members = tokens.where((F.col("cls") != F.col("pivot")) | (F.col("more") != F.col("cls")) | grouped)
     members = members.withColumns({"token": F.col("key").bitwiseAND((1 << KEY_BITS) - 1), "grouped": grouped})
     members = stored(members.drop("more", "key"), f"{folder}/members")
-    # The pivots of a frequent token's groups meet the best of them: GROUPS rows of one token at most.
-    in_token = Window.partitionBy("token").orderBy("rare", "cls")
+    # The best of the groups' pivots is the frequent token's: GROUPS rows of one token at most, FREQUENT tokens in all.
+    in_token = Window.partitionBy("token").orderBy("rare", F.desc("n"), "cls")
     heads = members.where(F.col("grouped") & (F.col("cls") == F.col("pivot"))).dropDuplicates(["token", "cls"])
-    best = {c: F.first(c).over(in_token) for c in ("cls", "n", "left")}
-    heads = stored(heads.select("token", "cls", "n", "left", best["cls"].alias("pivot"), best["n"].alias("pn"), best["left"].alias("pleft")), f"{folder}/heads")
-
-    def with_pivot(rows: DataFrame) -> DataFrame:
-        possible = enough(F.col("left"), F.col("pleft"), F.col("n"), F.col("pn"), percent)
-        return rows.where((F.col("cls") != F.col("pivot")) & possible).select(F.col("pivot").alias("a"), F.col("cls").alias("b"))
-
+    best = {c: F.first(c).over(in_token).alias(f"best_{c}") for c in ("cls", "n", "left")}
+    best = stored(heads.select("token", *best.values()).distinct(), f"{folder}/best")
+    with_best = members.join(F.broadcast(best), "token", "left")
+    pivot, pn, pleft = (F.when(F.col("grouped"), F.col(f"best_{c}")).otherwise(F.col(p)) for c, p in (("cls", "pivot"), ("n", "pn"), ("left", "pleft")))
+    possible = enough(F.col("left"), pleft, F.col("n"), pn, percent)
     # Of two classes the same one is the pivot under every token, so no pair is there from both ends.
-    pairs = stored(with_pivot(members).unionByName(with_pivot(heads)).distinct(), f"{folder}/pairs")
+    pairs = with_best.where((F.col("cls") != pivot) & possible).select(pivot.alias("a"), F.col("cls").alias("b"))
+    pairs = stored(pairs.distinct(), f"{folder}/pairs")
     sets = chosen_sets(docs, base, _named(pairs), f"{folder}/sets", percent, size)
     links = verify(pairs, sets, f"{folder}/checked", percent)
 
-    # Classes that are not where their token's pivot is are compared with all others of the token that can be linked.
+    # A token's classes that are not in the component of most of them are compared with all of them that can be linked.
     roots = stored(connected_components(links, f"{folder}/first-roots"), f"{folder}/first-roots/all")
-    of_token = heads.select("token", F.col("pivot").alias("_best")).distinct()
-    judged = members.join(of_token, "token", "left").withColumn("pivot", F.coalesce("_best", "pivot")).select("token", "cls", "n", "left", "pivot")
     own = roots.select(F.col("node").alias("cls"), F.col("root").alias("own"))
-    theirs = roots.select(F.col("node").alias("pivot"), F.col("root").alias("theirs"))
-    judged = judged.distinct().join(own, "cls", "left").withColumn("own", F.coalesce("own", "cls"))
-    judged = judged.join(theirs, "pivot", "left").withColumn("theirs", F.coalesce("theirs", "pivot"))
-    judged = stored(judged.select("token", "cls", "n", "left", "own", (F.col("own") != F.col("theirs")).alias("far")), f"{folder}/judged")
+    placed = members.select("token", "cls", "n", "left").distinct().join(own, "cls", "left").withColumn("own", F.coalesce("own", "cls"))
+    placed = stored(placed, f"{folder}/placed")
+    most = placed.groupBy("token", "own").agg(F.count(F.lit(1)).alias("held"))
+    most = most.groupBy("token").agg(F.max(F.struct("held", "own"))["own"].alias("most"), F.count(F.lit(1)).alias("parts"))
+    # Tokens whose classes lie in one component need no more.
+    judged = placed.join(most.where("parts > 1"), "token").select("token", "cls", "n", "left", "own", (F.col("own") != F.col("most")).alias("far"))
+    judged = stored(judged, f"{folder}/judged")
     distant = judged.where("far").select("token", *(F.col(c).alias(f"x_{c}") for c in ("cls", "n", "left", "own")))
     # Two distant ones meet from both ends; one of them is enough.
     once = ~F.col("far") | (F.col("x_cls") < F.col("cls"))
