@@ -247,7 +247,7 @@ def class_sets(docs: DataFrame, chosen: DataFrame, percent: int = PERCENT, size:
 
 
 def together(pairs: DataFrame, values: DataFrame, columns: list[str], judge: Callable, result: str) -> DataFrame:
-    """a, b and what judge makes of the values (cls and columns) of both, for pairs a, b of classes.
+    """a, b and a number, what judge makes of the values (cls and columns) of both, for pairs a, b of classes.
 
     Each class moves to the places of its partners, and all pairs of one a follow its values. Values that no pair names
     stay where they are, as far as a map of bounded size tells.
@@ -273,12 +273,12 @@ def together(pairs: DataFrame, values: DataFrame, columns: list[str], judge: Cal
                 if a == b:
                     key, x = (a, part), y
                 elif key == (a, part):
-                    out.append((a, b, *judge(x, y)))
+                    out.append((a, b, judge(x, y)))
             yield pa.RecordBatch.from_pylist([dict(zip(schema.names, row, strict=True)) for row in out], schema)
 
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), (result, pa.bool_())])
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), (result, pa.int64())])
     # Copies of a class have its values too: one answer per pair.
-    return rows.drop("partner").mapInArrow(compare, f"a long, b long, {result} boolean").dropDuplicates(["a", "b"])
+    return rows.drop("partner").mapInArrow(compare, f"a long, b long, {result} long").dropDuplicates(["a", "b"])
 
 
 def in_map(rows: DataFrame, column: str, bits: np.ndarray) -> DataFrame:
@@ -295,9 +295,9 @@ def in_map(rows: DataFrame, column: str, bits: np.ndarray) -> DataFrame:
     return rows.withColumn("_at", F.pmod(F.xxhash64(column), F.lit(MAP_BITS))).mapInArrow(pick, rows.schema)
 
 
-def share_prefixes(x: list, y: list) -> tuple[bool]:
-    """Whether two classes share a prefix token under every further order."""
-    return (all(_common(np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4")) for a, b in zip(x, y, strict=True)),)
+def share_prefixes(x: list, y: list) -> int:
+    """1 if two classes share a prefix token under every further order, else 0."""
+    return int(all(_common(np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4")) for a, b in zip(x, y, strict=True)))
 
 
 def _common(x: np.ndarray, y: np.ndarray) -> int:
@@ -306,19 +306,25 @@ def _common(x: np.ndarray, y: np.ndarray) -> int:
     return int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
 
 
-def verify(pairs: DataFrame, sets: DataFrame, folder: str, percent: int = PERCENT) -> DataFrame:
-    """a, b: the candidate pairs (different, each once) that are linked. Both steps are written to folder.
+def verify(pairs: DataFrame, sets: DataFrame, folder: str) -> DataFrame:
+    """a, b, shared (tokens in both) of the candidate pairs (different, each once) that pass all filters.
 
     The filters of the further orders are intersected first, on the prefixes alone; whole sets move for pairs that pass all.
+    Both steps are written to folder.
     """
-    passed = stored(together(pairs, sets, ["f1", "f2"], share_prefixes, "passed").where("passed").select("a", "b"), f"{folder}/passed")
+    passed = stored(together(pairs, sets, ["f1", "f2"], share_prefixes, "passed").where("passed = 1").select("a", "b"), f"{folder}/passed")
 
-    def linked(x: list, y: list) -> tuple[bool]:
-        one, other = np.frombuffer(x[0], "<u8"), np.frombuffer(y[0], "<u8")
-        both = _common(one, other)
-        return (100 * both >= percent * (len(one) + len(other) - both),)
+    def shared(x: list, y: list) -> int:
+        return _common(np.frombuffer(x[0], "<u8"), np.frombuffer(y[0], "<u8"))
 
-    return stored(together(passed, sets, ["tokens"], linked, "linked").where("linked").select("a", "b"), f"{folder}/linked")
+    return stored(together(passed, sets, ["tokens"], shared, "shared"), f"{folder}/shared")
+
+
+def linked(compared: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    """a, b of the compared pairs (a, b, shared) that are alike enough. sizes: cls, n."""
+    both = compared.join(sizes.select(F.col("cls").alias("a"), F.col("n").alias("_na")), "a")
+    both = both.join(sizes.select(F.col("cls").alias("b"), F.col("n").alias("_nb")), "b")
+    return both.where(100 * F.col("shared") >= percent * (F.col("_na") + F.col("_nb") - F.col("shared"))).select("a", "b")
 
 
 def enough(left: Column, right: Column, n: Column, m: Column, percent: int) -> Column:
@@ -350,30 +356,46 @@ def linked_classes(docs: DataFrame, base: DataFrame, frequent: tuple[np.ndarray,
     pairs = with_best.where((F.col("cls") != pivot) & possible).select(pivot.alias("a"), F.col("cls").alias("b"))
     pairs = stored(pairs.distinct(), f"{folder}/pairs")
     sets = chosen_sets(docs, base, _named(pairs), f"{folder}/sets", percent, size)
-    links = verify(pairs, sets, f"{folder}/checked", percent)
+    sizes = stored(members.groupBy("cls").agg(F.max(F.col("n").cast("long")).alias("n"), F.max(F.when(F.col("grouped"), F.col("left"))).alias("usual")), f"{folder}/sizes")
+    compared = verify(pairs, sets, f"{folder}/checked")
+    links = stored(linked(compared, sizes, percent), f"{folder}/first-links")
 
     # A token's classes that are not in the component of most of them are compared with all of them that can be linked.
     roots = stored(connected_components(links, f"{folder}/first-roots"), f"{folder}/first-roots/all")
     own = roots.select(F.col("node").alias("cls"), F.col("root").alias("own"))
-    placed = members.select("token", "cls", "n", "left").distinct().join(own, "cls", "left").withColumn("own", F.coalesce("own", "cls"))
+    # The pivot of a frequent token, and how many rare tokens it has.
+    best_of = best.join(sizes, best["best_cls"] == sizes["cls"]).select(
+        "token", F.lit(True).alias("grouped"), F.col("best_cls").alias("pivot"), (sizes["n"] - F.col("usual")).alias("odd")
+    )
+    placed = members.select("token", "cls", "n", "left", "grouped").distinct().join(own, "cls", "left").withColumn("own", F.coalesce("own", "cls"))
     placed = stored(placed, f"{folder}/placed")
     most = placed.groupBy("token", "own").agg(F.count(F.lit(1)).alias("held"))
     most = most.groupBy("token").agg(F.max(F.struct("held", "own"))["own"].alias("most"), F.count(F.lit(1)).alias("parts"))
     # Tokens whose classes lie in one component need no more.
-    judged = placed.join(most.where("parts > 1"), "token").select("token", "cls", "n", "left", "own", (F.col("own") != F.col("most")).alias("far"))
-    judged = stored(judged, f"{folder}/judged")
-    distant = judged.where("far").select("token", *(F.col(c).alias(f"x_{c}") for c in ("cls", "n", "left", "own")))
+    judged = placed.join(most.where("parts > 1"), "token").withColumn("far", F.col("own") != F.col("most"))
+    # What a class shares with the pivot of a frequent token, and how many other frequent tokens it has.
+    judged = judged.join(F.broadcast(best_of), ["token", "grouped"], "left").join(sizes.select("cls", "usual"), "cls")
+    judged = judged.join(compared.select(F.col("a").alias("pivot"), F.col("b").alias("cls"), "shared"), ["pivot", "cls"], "left")
+    same = F.when(F.col("cls") == F.col("pivot"), F.col("n").cast("long")).otherwise(F.col("shared"))
+    # What it shares may be rare tokens of the pivot, which then do not count among its frequent ones.
+    judged = judged.withColumn("same", same).withColumn("other", F.greatest(F.col("usual") - F.col("same") + F.col("odd"), F.lit(0)))
+    judged = stored(judged.select("token", "cls", "n", "left", "own", "far", "grouped", "same", "other"), f"{folder}/judged")
+    distant = judged.where("far").select("token", *(F.col(c).alias(f"x_{c}") for c in ("cls", "n", "left", "own", "same", "other")))
     # Two distant ones meet from both ends; one of them is enough.
     once = ~F.col("far") | (F.col("x_cls") < F.col("cls"))
     possible = enough(F.col("x_left"), F.col("left"), F.col("x_n"), F.col("n"), percent)
-    across = distant.join(judged, "token").where((F.col("x_own") != F.col("own")) & once & possible)
+    # A pair that shares a rare token is met there, as rare ones come first. Here only frequent tokens can be shared: those
+    # of the pivot, no more than either has, and others, no more than either has.
+    most_shared = F.least("x_same", "same") + F.least("x_other", "other")
+    by_pivot = F.coalesce(most_shared * (100 + percent) >= (F.col("x_n").cast("long") + F.col("n")) * percent, F.lit(True))
+    across = distant.join(judged, "token").where((F.col("x_own") != F.col("own")) & once & possible & (~F.col("grouped") | by_pivot))
     across = across.select(F.col("x_cls").alias("a"), F.col("cls").alias("b")).distinct()
     known = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
     across = stored(across.join(known, ["a", "b"], "left_anti"), f"{folder}/across")
     missing = _named(across).join(_named(pairs), "cls", "left_anti")
     if not missing.isEmpty():
         sets = sets.unionByName(chosen_sets(docs, base, missing, f"{folder}/more-sets", percent, size))
-    return links.unionByName(verify(across, sets, f"{folder}/checked-across", percent))
+    return links.unionByName(linked(verify(across, sets, f"{folder}/checked-across"), sizes, percent))
 
 
 def _named(pairs: DataFrame) -> DataFrame:
