@@ -22,6 +22,8 @@ from siftrow.sources.paths import scratch_folder
 
 # Low enough for a good share of the texts to be cut.
 SHORT_LIMIT = 2_000
+# Bytes of one of the text files, about.
+FILE_BYTES = 8 << 20
 
 SPLIT_SQL = f"""
 SELECT doc_key, CAST(generate_subscripts(parts, 1) - 1 AS INTEGER) AS page_no, unnest(parts) AS text
@@ -181,9 +183,15 @@ def decoded_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _text_files(spark: SparkSession, sf_dir: str) -> str:
-    """The documents as text files on storage, as many as the scan has parts."""
+    """The documents as text files on storage, of about FILE_BYTES each however many there are.
+
+    A file is read back as one value, so none may grow with the table. Texts are
+    dealt one by one, so long ones that follow each other do not meet in a file.
+    """
     folder = scratch_folder(spark)
-    documents(spark, sf_dir).select("text").write.text(folder)
+    docs = documents(spark, sf_dir).select("text")
+    size = docs.agg(F.sum(F.octet_length("text").cast("bigint") + 1)).first()[0] or 0
+    docs.repartition(max(1, -(-size // FILE_BYTES))).write.text(folder)
     return folder
 
 

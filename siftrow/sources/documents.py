@@ -17,8 +17,8 @@ from siftrow.errors import GuardError
 
 # The most bytes Spark can hold in one value.
 MAX_VALUE_BYTES = (1 << 31) - 16
-#: Files that one task opens, and bytes of texts that it hands on together.
-FILES_PER_TASK, BATCH_BYTES = 256, 16 << 20
+#: Files that one task opens, bytes in them, about, and bytes of texts that it hands on together.
+FILES_PER_TASK, TASK_BYTES, BATCH_BYTES = 256, 32 << 20, 16 << 20
 #: Storage that tasks open by themselves; files elsewhere are read by Spark's own reader.
 OPENED_BY_TASKS = {"": "file", "file": "file", "hdfs": "hdfs", "s3": "s3", "s3a": "s3", "gs": "gs"}
 NO_TEXT = "could not open: no readable text"
@@ -124,12 +124,13 @@ def read_listed(listing: DataFrame, files_per_task: int = FILES_PER_TASK) -> Dat
     """Rows of a listing (doc_key, path, length, modified) with the files' text and reason, as from :func:`read_documents`.
 
     The names are dealt over tasks, each of which opens its own ``files_per_task``
-    files, about, one after the other. A file that is gone gives no row, one
-    that cannot be read a reason. Texts are handed on as they come, in batches
+    files, about, or ``TASK_BYTES`` in fewer, one after the other. A file that is
+    gone gives no row, one that cannot be read a reason. Texts are handed on as they come, in batches
     of bounded size; a longer one stands alone.
     """
     named = listing.select("doc_key", "path", "length", "modified")
-    tasks = max(1, -(-named.count() // files_per_task))
+    files, size = named.agg(F.count("*"), F.sum("length")).first()
+    tasks = max(1, -(-files // files_per_task), min(files, -(-(size or 0) // TASK_BYTES)))
     schema = T.StructType([*named.schema, T.StructField("text", T.StringType()), T.StructField("reason", T.StringType())])
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -193,3 +193,31 @@ def test_any_number_of_names_is_read_where_the_names_are(spark, tmp_path, monkey
     failed = {r.doc_key: r.reason for r in read.where("reason is not null").collect()}
     assert failed["bad"] == "could not open: no readable text" and "bytes" in failed["huge"] and failed["folder"].startswith("could not open")
     assert read.where("doc_key = 'gone'").count() == 0
+
+
+def test_files_are_dealt_over_tasks_by_bytes_too(spark, tmp_path, monkeypatch):
+    from siftrow.sources import documents
+
+    for i in range(6):
+        (tmp_path / f"{i}.txt").write_text("line\n" * 10)
+    listing = scan_documents(spark, str(tmp_path), ".txt", ordered=False)
+    monkeypatch.setattr(documents, "TASK_BYTES", 100)
+    read = documents.read_listed(listing)
+    assert read.rdd.getNumPartitions() == 3
+    assert sorted((r.doc_key, r.text) for r in read.collect()) == [(f"{i}.txt", "line\n" * 10) for i in range(6)]
+    monkeypatch.setattr(documents, "TASK_BYTES", 1)
+    assert documents.read_listed(listing).rdd.getNumPartitions() == 6
+
+
+def test_text_files_stay_small_however_many_documents_there_are(spark, tmp_path, monkeypatch):
+    from siftrow.plans.queries import texts
+
+    # Long texts stand together in the table; they must not in a file.
+    rows = [(i, ("x" * 400 if i < 60 else "y" * 20) + f"\nend {i}") for i in range(300)]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    monkeypatch.setattr(texts, "FILE_BYTES", 4_000)
+    listing = scan_documents(spark, texts._text_files(spark, str(tmp_path)), ".txt", ordered=False)
+    sizes = [r.length for r in listing.collect()]
+    assert sum(sizes) == sum(len(t) + 1 for _, t in rows) and max(sizes) < 2 * 4_000
+    got = {r.line: r.n for r in texts.lines_of_files(spark, str(tmp_path)).collect()}
+    assert got == {"x" * 400: 60, "y" * 20: 240, **{f"end {i}": 1 for i in range(300)}}
