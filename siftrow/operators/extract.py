@@ -10,6 +10,7 @@ from dataclasses import dataclass
 
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,6 +22,8 @@ from siftrow.operators.catalog import DEFAULT_CATALOG, MAX_CATALOG_ROWS, Catalog
 from siftrow.operators.requests import REQUEST_FRAME
 
 MAX_ATTEMPTS = 5
+#: Documents whose calls and answers a task holds at a time, and bytes of their texts; a longer text stands alone.
+DOCUMENTS_AT_A_TIME, TEXT_BYTES_AT_A_TIME = 256, 4 << 20
 
 RESPONSE_FIELDS = (
     T.StructField("batch", T.StringType()),
@@ -207,6 +210,18 @@ def extract_with(
 _CALLED = "array<struct<batch:string,batch_ordinal:int,asked:string,response:string,error:string,attempts:int>>"
 
 
+def few_documents(frame: pa.RecordBatch, text: str) -> Iterator[pa.RecordBatch]:
+    """A batch in runs of at most ``DOCUMENTS_AT_A_TIME`` rows and ``TEXT_BYTES_AT_A_TIME`` of texts, one row at least."""
+    start = held = 0
+    for at, size in enumerate(pc.fill_null(pc.binary_length(frame.column(text)), 0).to_pylist()):
+        if at > start and (at - start == DOCUMENTS_AT_A_TIME or held + size > TEXT_BYTES_AT_A_TIME):
+            yield frame.slice(start, at - start)
+            start, held = at, 0
+        held += size
+    if start < frame.num_rows:
+        yield frame.slice(start)
+
+
 def extract_documents(
     docs: DataFrame,
     extractor: Callable[[Mapping], str],
@@ -234,7 +249,8 @@ def extract_documents(
     non-null ``error`` gets no call and no answers, and neither do the batches
     named by ``have array<string>``, which is not handed on. All other columns
     are. ``threads`` calls run at a time in a task; the extractor must allow
-    that. The other settings are those of :func:`extract_with`, and so is the
+    that. A task holds the calls and answers of ``DOCUMENTS_AT_A_TIME`` documents
+    at most, however many rows Spark sends it at once. The other settings are those of :func:`extract_with`, and so is the
     advice to write the result before it is used twice.
     """
     if max_attempts < 1 or threads < 1:
@@ -261,7 +277,7 @@ def extract_documents(
 
         with ThreadPoolExecutor(threads) as pool:
             each = pool.map if threads > 1 else map
-            for frame in frames:
+            for frame in (part for whole in frames for part in few_documents(whole, text)):
                 keys, texts = frame.column(key).to_pylist(), frame.column(text).to_pylist()
                 barred = frame.column("error").is_valid().to_pylist() if has_error else [False] * len(keys)
                 have = frame.column("have").to_pylist() if has_have else [None] * len(keys)

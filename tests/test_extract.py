@@ -1,9 +1,12 @@
 import json
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from siftrow import Catalog, Entry, GuardError, Rule, TransientError, extract_by_rules, extract_with, to_answers
+from siftrow.operators import extract
+from siftrow.operators.catalog import DEFAULT_CATALOG
 from siftrow.operators.extract import exponential_wait, pacer, rules_of
 from tests.conftest import plan_of
 
@@ -116,3 +119,23 @@ def test_two_rules_for_one_field_are_refused(docs_of):
     rules = [Rule("title", "text", "a(.)"), Rule("title", "text", "b(.)")]
     with pytest.raises(GuardError, match="several rules"):
         extract_by_rules(docs_of(("d", "ab")), rules)
+
+
+def test_a_task_holds_the_answers_of_few_documents(monkeypatch):
+    texts = ["aa", None, "b" * 50, "", "cc", "dd", "ee"]
+    batch = pa.RecordBatch.from_pydict({"doc_key": [str(i) for i in range(7)], "text": pa.array(texts, pa.string())})
+    monkeypatch.setattr(extract, "DOCUMENTS_AT_A_TIME", 3)
+    monkeypatch.setattr(extract, "TEXT_BYTES_AT_A_TIME", 10)
+    parts = [p.column("doc_key").to_pylist() for p in extract.few_documents(batch, "text")]
+    assert parts == [["0", "1"], ["2"], ["3", "4", "5"], ["6"]]
+    assert list(extract.few_documents(batch.slice(0, 0), "text")) == []
+
+
+@pytest.mark.parametrize("threads", [1, 3])
+def test_answers_of_many_documents_stay_with_their_own(spark, threads):
+    docs = spark.range(700).coalesce(1).select(F.col("id").cast("string").alias("doc_key"), F.concat(F.lit("text "), "id").alias("text"))
+    called = extract.extract_documents(docs, lambda row: f"{row['batch']} {row['text']}", threads=threads)
+    rows = called.collect()
+    assert len({r.doc_key for r in rows}) == len(rows) == 700
+    names = [b.name for b in DEFAULT_CATALOG.batches]
+    assert all([a.response for a in r.answers] == [f"{n} text {r.doc_key}" for n in names] for r in rows)
