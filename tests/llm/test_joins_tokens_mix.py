@@ -98,6 +98,34 @@ def test_a_crowd_of_near_copies_costs_about_one_comparison_each(spark, monkeypat
     assert len({c for _, _, c in got}) > 20 and sum(compared) < 3 * len(rows)
 
 
+def test_a_passage_of_many_unlike_texts_is_met_once_and_compares_none(spark, monkeypatch):
+    """The passage is in no list of frequent tokens. Links between its texts are found all the same."""
+    rng = random.Random(5)
+    passage = [f"p{i}" for i in range(30)]
+    rows = [(i, " ".join([f"a{i}x{k}" for k in range(40)] + passage + [f"z{i}x{k}" for k in range(rng.randint(40, 60))])) for i in range(30)]
+    rows += [(100 + i, rows[i][1].replace(f"z{i}x3 ", "other ")) for i in range(5)]
+    compared, joined = [], []
+    verify, together = jaccard.verify, jaccard.together
+
+    def counting(pairs, *rest):
+        compared.append(pairs.count())
+        return verify(pairs, *rest)
+
+    def holding(pairs, values, columns, *rest):
+        if columns == ["held", "weights"]:
+            joined.append((pairs.count(), {r.cls: len(r.held) // 8 for r in values.collect()}))
+        return together(pairs, values, columns, *rest)
+
+    monkeypatch.setattr(jaccard, "frequent_tokens", lambda *_: (np.zeros(0, np.uint64), np.zeros(0, np.int64)))
+    monkeypatch.setattr(jaccard, "verify", counting)
+    monkeypatch.setattr(jaccard, "together", holding)
+    got = jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=repr) == brute_components(rows)
+    assert sum(compared) < 2 * len(rows)
+    # Of the passage's tokens few are left, as most are held by the same texts.
+    assert joined and max(joined[0][1].values()) < 12
+
+
 def test_filters_of_further_orders_keep_every_linked_pair():
     from siftrow.llm.bytes import slices
     from siftrow.llm.jaccard import further_prefixes, share_prefixes, shingles
